@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .lm_scoring import lm_scores
+from .mixing import mix_sources
+from .sharding import shard_positions
 from .token_counts import token_counts
+from .url_filter import judge_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,3 +45,88 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_token_counts"] = op2_token_counts
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
+QUERIES["op4_decontaminate"] = op4_decontaminate
+
+#: (host and start of path, verdict).
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+QUERIES["op7_url_filter"] = op7_url_filter
+ORACLE_SQL["op7_url_filter"] = """
+WITH tails AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages
+), parts AS (
+  SELECT page_id,
+         translate(regexp_extract(tail, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM tails
+), rules(rule, rule_host, rule_path, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'),
+  ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'),
+  ('net/fr/', 'net', '/fr/', 'block')
+), best AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
+"""
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_positions(_table(spark, sf_dir, "documents"), shards=8)
+
+
+QUERIES["op8_sharding"] = op8_sharding
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), power=0.5, total=1.0, seed=0)
+    return mixed.withColumnsRenamed({"_copies": "copies", "_copy": "copy", "_order": "shuffle_key"})
+
+
+QUERIES["op9_mixing"] = op9_mixing
+ORACLE_SQL["op9_mixing"] = """
+WITH sums AS (
+  SELECT source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS size FROM documents GROUP BY source
+), rates AS (
+  SELECT source, (SELECT sum(size)::DOUBLE FROM sums) * sqrt(size) / (SELECT sum(sqrt(size)) FROM sums) / size AS rate FROM sums
+), cdf AS (
+  SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p
+  FROM rates, (SELECT unnest(range(0, 120)) AS k)
+), draws AS (
+  SELECT doc_id, source, text, ('0x' || substr(md5('0:1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+), counts AS (
+  SELECT doc_id, source, text, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM draws.source AND p <= u) AS copies FROM draws
+), copies AS (
+  SELECT *, unnest(range(1, copies + 1)) AS copy FROM counts WHERE copies > 0
+)
+SELECT doc_id, source, text, copies, copy,
+       ('0x' || substr(md5('0s:' || copy::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS shuffle_key
+FROM copies
+"""
+
+
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op10_lm_scores"] = op10_lm_scores
