@@ -11,6 +11,7 @@ from .exact_dedup import exact_duplicates
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .sharding import shard_positions
+from .simhash import simhash_components
 from .token_counts import token_counts
 from .url_filter import judge_urls, rule_table
 
@@ -47,6 +48,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_token_counts"] = op2_token_counts
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"), n=3, radius=3)
+
+
+QUERIES["op3_simhash"] = op3_simhash
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
 
