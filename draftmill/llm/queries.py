@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .sharding import shard_positions
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .toxicity import score_toxicity
 from .url_filter import judge_urls, rule_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_decontaminate"] = op4_decontaminate
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES["op5_toxicity"] = op5_toxicity
+
 #: (host and start of path, verdict).
 URL_RULES = [
     ("com/", "allow"),
