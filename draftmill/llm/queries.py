@@ -12,6 +12,7 @@ from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .sharding import shard_positions
 from .simhash import simhash_components
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_filter import judge_urls, rule_table
@@ -68,6 +69,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_toxicity"] = op5_toxicity
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_substring_dedup"] = op6_substring_dedup
+
 #: (host and start of path, verdict).
 URL_RULES = [
     ("com/", "allow"),
