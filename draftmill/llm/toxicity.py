@@ -11,7 +11,6 @@ worst words, fitted on the same texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,12 +26,14 @@ DECAY, SPAN = 0.8, 5
 PIECE, OVERLAP = 24, 8
 LANDMARKS = 96
 #: Labelled texts of each class that are fitted, chosen by hash of the id.
-TOXIC_ROWS, CLEAN_ROWS = 2000, 3000
-#: Words of clean texts that are fitted.
-CLEAN_WORDS = 25_000
+TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
+#: Words of clean texts that are known, the most frequent of them that are always fitted, and the worst judged that join them in each round.
+CLEAN_WORDS, FREQUENT, HARD = 100_000, 15_000, 6_000
 #: Words whose judgement a worker remembers, and characters of text judged at a time.
 REMEMBERED, CHUNK = 250_000, 400_000
 CODES = 48
+#: Log of how much more frequent in toxic texts a word must be to be a witness.
+LEAST_ODDS = 1.5
 
 
 def _code(c: str) -> int:
@@ -185,66 +186,107 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """Logistic regression on the two worst words; both weights at least 0."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + np.diag([0.02, 0.02, 1e-4])
-        step = np.linalg.solve(h, x.T @ (p - y) + np.array([0.02, 0.02, 1e-4]) * w)
+        h = x.T @ (x * (cost * p * (1 - p))[:, None]) + np.diag([0.02, 0.02, 1e-4])
+        step = np.linalg.solve(h, x.T @ (cost * (p - y)) + np.array([0.02, 0.02, 1e-4]) * w)
         w -= np.clip(step, -3, 3)
     return np.r_[np.maximum(w[:2], 0), w[2]]
 
 
-def fit(texts: list[str], toxic: list[bool]) -> Machine | None:
-    """A machine from labelled texts; None if either class is missing."""
+class _Numbers(dict):
+    """Numbers things in order of first sight."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Machine | None:
+    """A machine from labelled texts; None if either class is missing. Texts are kept as numbers of words.
+
+    ``share`` is the part of texts that is toxic in general, for the scores; by default that among these.
+    """
     if not any(toxic) or all(toxic):
         return None
-    bags = [units(t) for t in texts]
-    forms = [{p for w in set(b) for p in pieces(w)} for b in bags]
-    bad, good = Counter(), Counter()
-    for f, t in zip(forms, toxic, strict=True):
-        (bad if t else good).update(f)
+    words, forms = _Numbers(), _Numbers()
+    bags = [np.fromiter(map(words.__getitem__, units(t)), np.int32) for t in texts]
+    cut = [[forms[p] for p in pieces(w)] for w in words]
+    longest = max(map(len, cut), default=1)
+    of_word = np.full((len(cut), max(1, min(longest, 4))), -1, np.int32)  # more pieces than four are judged by the words' rest below
+    for k, c in enumerate(cut):
+        of_word[k, : min(len(c), of_word.shape[1])] = c[: of_word.shape[1]]
+    del cut
+    names = list(forms)
+    counts = np.zeros((2, len(names)), np.int32)
+    members: list[np.ndarray] = []
+    for bag, t in zip(bags, toxic, strict=True):
+        own = np.unique(of_word[np.unique(bag)]) if len(bag) else np.zeros(0, np.int32)
+        own = own[own >= 0]
+        counts[int(t), own] += 1
+        if t:
+            members.append(own)
+    good, bad = counts
     n_bad, n_good = sum(toxic), len(toxic) - sum(toxic)
-    odds = {w: np.log((n + 0.2) / (n_bad + 1)) - np.log((good[w] + 0.2) / (n_good + 1)) for w, n in bad.items() if len(w) > 4}
+    odds = np.log((bad + 0.2) / (n_bad + 1)) - np.log((good + 0.2) / (n_good + 1))
     # Landmarks: two thirds words that mark toxic texts, the more texts the better, no two alike; the rest frequent words of clean ones.
-    ranked = sorted(odds, key=lambda w: (-odds[w] * min(bad[w], 20) ** 0.5, w))[:500]
-    near = _landmarks(ranked)
-    near_kernels = near.kernels(ranked)
+    able = np.array([len(w) > 4 for w in names])
+    marks = np.flatnonzero(able & (bad > 0))
+    marks = marks[np.lexsort((marks, -odds[marks] * np.minimum(bad[marks], 20) ** 0.5))][:500].tolist()
+    near = _landmarks([names[k] for k in marks])
+    near_kernels = near.kernels([names[k] for k in marks])
     chosen: list[int] = []
-    for k in range(len(ranked)):
+    for k in range(len(marks)):
         if len(chosen) < LANDMARKS * 2 // 3 and (not chosen or near_kernels[k, chosen].max() < 0.7):
             chosen.append(k)
-    common = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if len(w) > 4][: LANDMARKS - len(chosen)]
-    names = list(dict.fromkeys([ranked[k] for k in chosen] + common))
-    machine = _landmarks(names)
-    own = machine.kernels(names).astype(np.float64)
+    del near, near_kernels
+    common = np.flatnonzero(able & (good > 0))
+    common = common[np.lexsort((common, -good[common]))][: LANDMARKS - len(chosen)].tolist()
+    machine = _landmarks([names[k] for k in dict.fromkeys([marks[k] for k in chosen] + common)])
+    own = machine.kernels([names[k] for k in dict.fromkeys([marks[k] for k in chosen] + common)]).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-4 * np.eye(len(own)))
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-4))
-
-    clean = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], hash_order(x[0])))][:CLEAN_WORDS]
-    clean_x = machine.kernels(clean) @ whiten
-    index = {w: k for k, w in enumerate(dict.fromkeys(w for f, t in zip(forms, toxic, strict=True) if t for w in f))}
-    words = list(index)
-    words_x = machine.kernels(words) @ whiten
-    judged = np.array([odds.get(w, -9.0) for w in words])
-    members = [np.array([index[w] for w in f]) for f, t in zip(forms, toxic, strict=True) if t]
-    for _ in range(4):
-        witness = np.concatenate([m[np.argsort(-judged[m], kind="stable")[:2]] for m in members if len(m)])
-        witness = np.unique([k for k in witness if good[words[k]] * n_bad <= bad[words[k]] * n_good])
-        forms_x = machine.kernels([f for k in witness for f in disguised(words[k])]) @ whiten
-        x = np.r_[words_x[witness], forms_x, clean_x]
-        y = np.r_[np.ones(len(witness) + len(forms_x)), -np.ones(len(clean))]
-        cost = np.r_[np.full(len(witness), 2.0), np.full(len(forms_x), 0.5), np.full(len(clean), min(2.0, 4.0 * max(1, len(witness)) / len(clean) + 0.1))]
+    whiten = (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)
+
+    clean = np.flatnonzero(good > 0)
+    clean = clean[np.lexsort((np.array([hash_order(names[k]) for k in clean]), -good[clean]))][:CLEAN_WORDS]
+    clean_x = np.empty((len(clean), whiten.shape[1]), np.float32)
+    for at in range(0, len(clean), 10_000):
+        clean_x[at : at + 10_000] = machine.kernels([names[k] for k in clean[at : at + 10_000]]) @ whiten
+    hard = np.arange(min(len(clean), FREQUENT + HARD))
+    # Only words that are far more frequent in toxic texts can be what makes a text toxic.
+    able = np.flatnonzero((bad > 0) & (odds > LEAST_ODDS))
+    place = np.full(len(names), -1, np.int32)
+    place[able] = np.arange(len(able))
+    able_x = machine.kernels([names[k] for k in able]) @ whiten
+    judged = odds[able]
+    for _ in range(5):
+        witness = []
+        for m in members:
+            m = place[m]
+            m = m[m >= 0]
+            witness.append(m[np.argsort(-judged[m], kind="stable")[:2]])
+        witness = np.unique(np.concatenate(witness))
+        forms_x = machine.kernels([f for k in witness for f in disguised(names[able[k]])]) @ whiten
+        x = np.r_[able_x[witness], forms_x, clean_x[hard]].astype(np.float64)
+        y = np.r_[np.ones(len(witness) + len(forms_x)), -np.ones(len(hard))]
+        weight = min(2.0, 4.0 * max(1, len(witness)) / len(hard) + 0.1)
+        cost = np.r_[np.full(len(witness), 2.0), np.full(len(forms_x), 0.5), np.full(len(hard), weight)]
         w = _squared_hinge(x, y, cost)
-        judged = words_x @ w[:-1] + w[-1]
+        judged = able_x @ w[:-1] + w[-1]
+        worst_clean = np.argsort(-(clean_x @ w[:-1]), kind="stable")[:HARD]
+        hard = np.union1d(np.union1d(hard, worst_clean) if len(hard) < 2 * FREQUENT else np.arange(min(len(clean), FREQUENT)), worst_clean)
     machine.weights, machine.bias = whiten @ w[:-1], float(w[-1])
-    values = dict(zip(words, judged.tolist(), strict=True)) | dict(zip(clean, (clean_x @ w[:-1] + w[-1]).tolist(), strict=True))
-    rest = [p for p in {p for f in forms for p in f} if p not in values]
-    values |= dict(zip(rest, (machine.kernels(rest) @ machine.weights + machine.bias).tolist(), strict=True))
-    worst = np.array([two_worst([max((values[p] for p in pieces(u)), default=machine.bias) for u in b], machine.bias) for b in bags])
-    machine.link = _logistic(worst, np.array(toxic, float))
+    del able_x, clean_x, x
+    listed = list(words)
+    judgement = np.concatenate([np.array(machine.judge(listed[at : at + 5000])) for at in range(0, len(listed), 5000)] or [np.zeros(0)])
+    worst = np.array([two_worst(judgement[b], machine.bias) for b in bags])
+    given = n_bad / len(toxic)
+    share = given if share is None else min(max(share, 1e-3), 1 - 1e-3)
+    machine.link = _logistic(worst, np.array(toxic, float), np.where(toxic, share / given, (1 - share) / (1 - given)))
     return machine
 
 
@@ -254,10 +296,10 @@ def hash_order(word: str) -> int:
     return zlib.crc32(word.encode())
 
 
-def two_worst(values: list[float], floor: float) -> tuple[float, float]:
+def two_worst(values: list[float] | np.ndarray, floor: float) -> tuple[float, float]:
     if len(values) < 2:
         return (values[0] if values else floor), floor
-    at = np.partition(np.array(values), len(values) - 2)[-2:]
+    at = np.partition(np.asarray(values), len(values) - 2)[-2:]
     return float(at[1]), float(at[0])
 
 
@@ -294,8 +336,8 @@ def _scorer(shared):
     return scan
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool]]:
-    """At most about TOXIC_ROWS and CLEAN_ROWS labelled texts, chosen by hash of the id among those not held out.
+def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool], float]:
+    """At most about TOXIC_ROWS and CLEAN_ROWS labelled texts, chosen by hash of the id among those not held out, and the share of toxic ones.
 
     A document with several labels counts as toxic if any says so; null labels are ignored.
     """
@@ -310,7 +352,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out:
     for row in texts.select("_text", "_toxic").toLocalIterator():
         texts_.append(row[0])
         toxic.append(bool(row[1]))
-    return texts_, toxic
+    return texts_, toxic, counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
@@ -321,8 +363,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
     without words. Without labels of both classes all scores are 0. Null ids and repeated rows are scored like
     any other. ``keep`` names columns of ``docs`` to return beside these; by default none.
     """
-    texts, toxic = training_sample(docs, labels, modulus, held_out, id_col, text_col, label_col)
-    machine = fit(texts, toxic)
+    texts, toxic, share = training_sample(docs, labels, modulus, held_out, id_col, text_col, label_col)
+    machine = fit(texts, toxic, share)
     del texts
     held = (id_remainder(id_col, modulus) == held_out).alias("held_out")
     carried = F.struct(F.col(id_col).alias("id"), held, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep or [])]).alias("row")
