@@ -1,42 +1,16 @@
-"""What the corpus operators share: the folder for intermediate tables, and text helpers."""
+"""What the corpus operators share: bounds of broadcasts and text helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import materialise, shared_dir
+
 #: Most bytes of model state that one broadcast may carry; operators split larger state into several passes.
 BROADCAST_BYTES = 128 << 20
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset, a local master (tests) gets a temporary folder; a cluster must set it, as a
-    machine-local folder would lose rows there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="draftmill-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back, which cuts its lineage.
-
-    Unlike a local checkpoint the table outlives executors.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/draftmill-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BROADCAST_BYTES", "id_remainder", "materialise", "shared_dir", "text_or_empty", "words_of"]
 
 
 def text_or_empty(name: str = "text") -> Column:

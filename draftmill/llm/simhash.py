@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import materialise, text_or_empty, words_of
-from .components import connected_components
 
 #: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
 SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9

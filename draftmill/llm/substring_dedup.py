@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import materialise, text_or_empty
-from .components import connected_components
 
 SHINGLE = 5
 #: Words of a paragraph that is looked at, and of a run of repeated ones that is reported.
