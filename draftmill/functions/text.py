@@ -21,7 +21,7 @@ def rule_line(id_, label, v, most: int = 8) -> Column:
 
 def labels_of(given, file_name) -> Column:
     """Labels from a comma-separated text, blanks and empty ones dropped; without any, the file's name less its extension."""
-    parts = F.filter(F.transform(F.split(F.coalesce(col(given), F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(col(given), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(stem(file_name)))
 
 
