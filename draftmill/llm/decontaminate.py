@@ -236,24 +236,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     over ``max_coverage`` of its words under item windows is dropped as a whole.
     Shorter spans (of short items) and all other texts stay as they are, null and empty ones too.
     """
-    columns = docs.columns
-    found = contaminated_spans(docs, benchmark, window, text_col, **kw)
-    place = columns.index(text_col)
+    place = docs.columns.index(text_col)
+    columns = [f"c{k}" for k in range(len(docs.columns))]  # whatever names docs has
+    found = contaminated_spans(docs.toDF(*columns), benchmark, window, columns[place], **kw)
     covered = F.expr("aggregate(_spans, 0L, (n, x) -> n + x.e - x.s)")
     found = found.filter(covered <= F.lit(max_coverage) * F.greatest(F.col("_n_words"), F.lit(1)))
     found = found.withColumn("_spans", F.filter("_spans", lambda x: x.e - x.s > max_span)).drop("_n_words", "_items")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(place).to_pylist()
-            for k, spans in enumerate(b.column(b.num_columns - 1)):
-                if len(spans):
-                    texts[k] = without(texts[k], [(x["s"], x["e"]) for x in spans.as_py()])
-            kept = [b.column(k) if k != place else pa.array(texts, pa.string()) for k in range(b.num_columns - 1)]
+            kept = [b.column(k) for k in range(b.num_columns - 1)]
+            spans = b.column(b.num_columns - 1).to_pylist()
+            if any(spans):
+                texts = kept[place].to_pylist()
+                kept[place] = pa.array([without(t, [(x["s"], x["e"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(kept, columns)
 
-    touched = found.filter(F.size("_spans") > 0).mapInArrow(cut, docs.schema)
-    return found.filter(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in columns]).unionByName(touched)
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(columns, docs.schema, strict=True)])
+    return found.mapInArrow(cut, schema).toDF(*docs.columns)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -122,7 +122,7 @@ def _gather(shard_bits: int):
 
 
 def _positions(hashes: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
-    x = _mix(hashes + np.uint64(level) * np.uint64(0xD6E8FEB86659FD93))
+    x = _mix(hashes + np.uint64(level * 0xD6E8FEB86659FD93 % (1 << 64)))
     y = _mix(x + np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
     return (x + np.uint64(probe) * y) % sizes
 

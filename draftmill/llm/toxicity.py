@@ -377,9 +377,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
         scored = source.mapInArrow(_scorer(shared), schema)
     more = [F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(keep or [])]
     mine = [F.col("row.id").alias(id_col), F.col("row.held_out").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
-    return scored.select(*(more or mine[:1]), *mine[1:]) if keep else scored.select(*mine)
+    return scored.select(*(more or mine[:1]), *mine[1:])
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **kw) -> DataFrame:
-    """``docs`` less the rows that ``score_toxicity`` predicts to be toxic, with all their columns."""
-    return score_toxicity(docs, labels, threshold=threshold, keep=docs.columns, **kw).filter("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """``docs`` less the rows that ``score_toxicity`` predicts to be toxic, with all their columns, whatever their names."""
+    packed = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    scored = score_toxicity(packed, labels, threshold=threshold, id_col=id_col, text_col=text_col, keep=["_row"], **kw)
+    return scored.filter("predicted = 0").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
