@@ -102,11 +102,13 @@ def yolo_rows(label_lines: DataFrame, fields: str = "at least 5", text_col: str
     A class may be written as 2.0. The sixth field is the score, 1 without it.
     """
     f = F.split(F.trim(text_col), r"\s+")
-    enough = "size(_f) = 5" if fields == "exactly 5" else "size(_f) >= 5"
-    number = lambda k: F.expr(f"try_cast(get(_f, {k}) as double)")
-    rows = label_lines.withColumn("_f", f).filter(enough)
-    rows = rows.withColumns({"class_id": number(0).cast("int"), "cx": number(1), "cy": number(2), "w": number(3), "h": number(4), "score": F.coalesce(number(5), F.lit(1.0))})
-    return rows.filter("class_id is not null and cx is not null and cy is not null and w is not null and h is not null").drop("_f")
+    # The fields are parsed once, as an array; what reads it only picks from it.
+    number = F.transform(f, lambda x: x.try_cast("double"))
+    fits = F.size("_n") == 5 if fields == "exactly 5" else F.size("_n") >= 5
+    rows = label_lines.withColumn("_n", F.explode(F.array(number)))
+    rows = rows.filter(fits & F.forall(F.slice("_n", 1, 5), lambda x: x.isNotNull()))
+    values = {"class_id": F.get("_n", F.lit(0)).cast("int")} | {c: F.get("_n", F.lit(k)) for k, c in enumerate(("cx", "cy", "w", "h"), 1)}
+    return rows.withColumns(values | {"score": F.coalesce(F.get("_n", F.lit(5)), F.lit(1.0))}).drop("_n")
 
 
 def with_class_names(rows: DataFrame, names: DataFrame) -> DataFrame:
