@@ -219,12 +219,15 @@ def nets(runs: DataFrame) -> DataFrame:
     return joined.join(least, "component").select("image", "y", "x0", "x1", "net")
 
 
-def border_hits(lines: DataFrame, labelled: DataFrame, devices: DataFrame) -> DataFrame:
+def border_hits(lines: DataFrame, labelled: DataFrame, devices: DataFrame, width: int = 1) -> DataFrame:
     """(image, device, net, x, y): nets whose pixels lie on a device's border where ``lines`` have ink too, and the mean place of those, truncated.
 
     ``lines`` are runs before carving and ``labelled`` runs with nets after it; devices are (image, device, x1..y2).
+    A border wider than one pixel grows to both sides.
     """
-    d = devices.withColumns({"right": F.col("x2") - 1, "bottom": F.col("y2") - 1})
+    ring = F.explode(F.sequence(F.lit(-((width - 1) // 2)), F.lit(width // 2)))
+    d = devices.withColumn("_o", ring).select("image", "device", (F.col("x1") - F.col("_o")).alias("x1"), (F.col("y1") - F.col("_o")).alias("y1"), (F.col("x2") - 1 + F.col("_o")).alias("right"), (F.col("y2") - 1 + F.col("_o")).alias("bottom"))
+    d = d.filter("x1 <= right and y1 <= bottom")
     rows = d.select("image", "device", F.explode(F.array(F.struct(F.col("y1").alias("y")), F.struct(F.col("bottom").alias("y")))).alias("r"), F.col("x1").alias("b0"), F.col("right").alias("b1")).select("image", "device", "r.y", "b0", "b1")
     sides = d.select("image", "device", F.explode(F.sequence("y1", "bottom")).alias("y"), F.array("x1", "right").alias("xs"))
     sides = sides.select("image", "device", "y", F.explode("xs").alias("b0")).withColumn("b1", F.col("b0"))
