@@ -346,7 +346,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out:
     counts = {r[0]: r[1] for r in one.groupBy("_toxic").count().collect()}
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) / float(1 << 20)
     quota = F.when(F.col("_toxic") == 1, F.lit(TOXIC_ROWS / max(1, counts.get(1, 0)))).otherwise(F.lit(CLEAN_ROWS / max(1, counts.get(0, 0))))
-    chosen = one.filter(share < quota)
+    chosen = F.broadcast(one.filter(share < quota))  # about TOXIC_ROWS + CLEAN_ROWS ids, whatever the tables' sizes
     texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(chosen, "_id").orderBy("_id", "_text")
     texts_, toxic = [], []
     for row in texts.select("_text", "_toxic").toLocalIterator():
