@@ -11,6 +11,7 @@ worst words, fitted on the same texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,8 +30,10 @@ LANDMARKS = 96
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 #: Words of clean texts that are known, the most frequent of them that are always fitted, and the worst judged that join them in each round.
 CLEAN_WORDS, FREQUENT, HARD = 100_000, 15_000, 6_000
-#: Words whose judgement a worker remembers, and characters of text judged at a time.
-REMEMBERED, CHUNK = 250_000, 400_000
+#: Words whose judgement a worker remembers in each of two generations, and characters of text judged at a time.
+REMEMBERED, CHUNK = 300_000, 400_000
+# Fixed value: ASCII signs, taken off both ends of words.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CODES = 48
 #: Log of how much more frequent in toxic texts a word must be to be a witness.
 LEAST_ODDS = 1.5
@@ -75,10 +78,10 @@ def disguised(piece: str) -> list[str]:
 
 
 def units(text: str) -> list[str]:
-    """Words, and runs of three or more one-character words as one word more."""
-    words = text.split()
+    """Lower-case words without ASCII signs around them, and runs of three or more one-character words as one word more."""
+    words = [w.strip(SIGNS) for w in text.lower().split()]
     found, run = words, []
-    for w in words if any(len(w) == 1 for w in words) else ():
+    for w in words if 1 in map(len, words) else ():
         if len(w) == 1:
             run.append(w)
         else:
@@ -303,34 +306,54 @@ def two_worst(values: list[float] | np.ndarray, floor: float) -> tuple[float, fl
     return float(at[1]), float(at[0])
 
 
-def _scorer(shared):
-    memory: dict[str, float] = {}
+class _Memory:
+    """Judgements of words in two generations: when the young one is full it becomes the old one, which is forgotten."""
 
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.young: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+
+    def worst(self, bags: list[list[str]]) -> list[tuple[float, float]]:
+        seen = {w for bag in bags for w in bag}
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        missing = seen - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update((w, self.old[w]) for w in again)
+        fresh = list(missing - again)
+        self.young.update(zip(fresh, self.machine.judge(fresh), strict=True))
+        return [two_worst(list(map(self.young.__getitem__, bag)), self.machine.bias) for bag in bags]
+
+
+_memories: dict[str, _Memory] = {}
+
+
+def _memory_of(key: str, machine: Machine) -> _Memory:
+    """One memory a worker, kept from task to task."""
+    if key not in _memories:
+        _memories.clear()
+        _memories[key] = _Memory(machine)
+    return _memories[key]
+
+
+def _scorer(shared, key: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shared.value
+        memory = _memory_of(key, machine)
         for b in batches:
             bags: list[list[str]] = []
             worst: list[tuple[float, float]] = []
             n = 0
-
-            def flush() -> None:
-                fresh = list({w for bag in bags for w in bag} - memory.keys())
-                if len(memory) + len(fresh) > REMEMBERED:
-                    memory.clear()
-                    fresh = list({w for bag in bags for w in bag})
-                memory.update(zip(fresh, machine.judge(fresh), strict=True))
-                worst.extend(two_worst(list(map(memory.__getitem__, bag)), machine.bias) for bag in bags)
-                bags.clear()
-
             for t in b.column(1):
                 t = t.as_py()
                 bags.append(units(t))
                 n += len(t)
                 if n > CHUNK:
-                    flush()
-                    n = 0
-            flush()
-            scores = machine.scores(np.array(worst).reshape(-1, 2)) if machine is not None else np.zeros(len(b))
+                    worst += memory.worst(bags)
+                    bags, n = [], 0
+            worst += memory.worst(bags)
+            scores = machine.scores(np.array(worst).reshape(-1, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["row", "score"])
 
     return scan
@@ -374,7 +397,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
     else:
         shared = docs.sparkSession.sparkContext.broadcast(machine)
         schema = source.select("row").schema.add("score", "double")
-        scored = source.mapInArrow(_scorer(shared), schema)
+        scored = source.mapInArrow(_scorer(shared, uuid.uuid4().hex), schema)
     more = [F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(keep or [])]
     mine = [F.col("row.id").alias(id_col), F.col("row.held_out").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
     return scored.select(*(more or mine[:1]), *mine[1:])
