@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,24 +111,26 @@ def plan_cuts(boxes: DataFrame, images: DataFrame, tile: int = 2048, back_step:
     """(image, axis, cuts array<double>) for images (image, width, height); cuts is null where no plan exists.
 
     A box longer than a tile on an axis makes a plan impossible there. The greedy walk along an axis needs its
-    intervals in order, so each (image, axis) is one group: one merged interval list of one image.
+    intervals in order, so one row holds the merged intervals of one image's axis.
     """
     joined = boxes.select("image", "x1", "y1", "x2", "y2").join(images, "image")
     size = lambda name, c: F.struct(F.lit(name).alias("axis"), F.col(c).cast("double").alias("length"))
     axes = images.select("image", F.explode(F.array(size("x", "width"), size("y", "height"))).alias("a")).select("image", "a.axis", "a.length")
     longest = joined.groupBy("image").agg(F.max(F.col("x2") - F.col("x1")).alias("x"), F.max(F.col("y2") - F.col("y1")).alias("y"))
     longest = longest.select("image", F.explode(F.create_map(F.lit("x"), "x", F.lit("y"), "y")).alias("axis", "longest"))
-    rows = axes.join(forbidden_intervals(joined), ["image", "axis"], "left").join(longest, ["image", "axis"], "left")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        # Merged intervals may be longer than a tile; a single box may not.
-        spans = sorted((s, e) for s, e in zip(group.s, group.e, strict=True) if s == s)
-        possible = not (first.longest == first.longest and first.longest > tile)
-        cuts = cuts_along(first.length, spans, tile, back_step, least) if possible else None
-        return pd.DataFrame({"image": [first.image], "axis": [first.axis], "cuts": [cuts]})
-
-    return rows.groupBy("image", "axis").applyInPandas(walk, T.StructType([*images.select("image").schema.fields, T.StructField("axis", T.StringType()), T.StructField("cuts", T.ArrayType(T.DoubleType()))]))
+    spans = forbidden_intervals(joined).groupBy("image", "axis").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
+    rows = axes.join(spans, ["image", "axis"], "left").join(longest, ["image", "axis"], "left").select("image", "axis", "length", "spans", "longest")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = []
+            for length, own, most in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True):
+                # Merged intervals may be longer than a tile; a single box may not.
+                possible = most is None or most <= tile
+                cuts.append(cuts_along(length, [(x["s"], x["e"]) for x in own or ()], tile, back_step, least) if possible else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cuts, pa.list_(pa.float64()))], ["image", "axis", "cuts"])
+
+    return rows.mapInArrow(walk, T.StructType([*images.select("image").schema.fields, T.StructField("axis", T.StringType()), T.StructField("cuts", T.ArrayType(T.DoubleType()))]))
 
 
 def cut_tiles(plans: DataFrame, least: int = 64) -> DataFrame:

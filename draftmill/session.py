@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(name: str = "draftmill", **conf: str) -> SparkSession:
     """A session with UTC times and runtime re-planning; ``conf`` adds or overrides settings."""
@@ -44,3 +49,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/draftmill-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, unless they find it by PYTHONPATH or by a local driver's folder."""
+    package = Path(__file__).resolve().parent
+    root, context = str(package.parent), spark.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or (local and os.path.realpath(os.getcwd()) == root):
+        return
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="draftmill-")) / "draftmill.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
