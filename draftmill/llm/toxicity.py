@@ -31,7 +31,7 @@ TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 #: Words of clean texts that are known, the most frequent of them that are always fitted, and the worst judged that join them in each round.
 CLEAN_WORDS, FREQUENT, HARD = 100_000, 15_000, 6_000
 #: Words whose judgement a worker remembers in each of two generations, and characters of text judged at a time.
-REMEMBERED, CHUNK = 300_000, 400_000
+REMEMBERED, CHUNK = 120_000, 400_000
 # Fixed value: ASCII signs, taken off both ends of words.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CODES = 48
@@ -129,7 +129,7 @@ class Machine:
     def kernels(self, words: list[str]) -> np.ndarray:
         """Squared normalised kernels of pieces with the landmarks."""
         out = np.zeros((len(words), len(self.norms)), np.float32)
-        block = max(32, 2048 * LANDMARKS // max(1, len(self.norms)))
+        block = max(32, 512 * LANDMARKS // max(1, len(self.norms)))
         for at in range(0, len(words), block):
             keys, weights = subsequences(words[at : at + block])
             rows = self.row_of[keys]
