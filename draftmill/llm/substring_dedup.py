@@ -5,6 +5,10 @@ bands are tuned so that paragraphs at the wanted similarity collide with high pr
 form candidate groups; inside a group exact Jaccard similarities decide the links, and components of links are
 the classes of repeats. Equal paragraphs are one node throughout, however often they occur. A passage is a run
 of repeated paragraphs in a text; runs of too few words are let be.
+
+A passage may also stand inside longer, different lines. Lines of over LONG words are therefore cut into pieces
+as well, after pairs of words whose hash says so: where a passage repeats, so do its cuts. Equal pieces in a row
+are a passage too.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from .common import materialise, text_or_empty
 SHINGLE = 5
 #: Words of a paragraph that is looked at, and of a run of repeated ones that is reported.
 PARAGRAPH_WORDS, PASSAGE_WORDS = 5, 50
+#: Words of a line beyond which its pieces are looked at too, mean words of a piece, and words of a run of repeated pieces that is reported.
+LONG, PIECE, PIECES_WORDS = 24, 12, 25
 #: Signature values at most, and the share of pairs at the wanted similarity that must collide.
 VALUES, RECALL = 64, 0.999
 #: Paragraphs of a candidate group that one task compares with as many others.
@@ -92,6 +98,27 @@ def _signatures(many: list[list[bytes]], bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def pieces(words: list[bytes]) -> list[tuple[int, int]]:
+    """[start, end) word places of the pieces of a long line: one ends after each pair of words whose hash PIECE divides."""
+    h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)).astype(np.uint64)
+    pair = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * _BASE >> np.uint64(40)
+    ends = [*(np.flatnonzero(pair % np.uint64(PIECE) == 0) + 2).tolist(), len(words)]
+    return [(s, e) for s, e in zip([0, *ends[:-1]], ends, strict=True) if s < e]
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        columns: list[list] = [[], [], [], [], [], []]
+        for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, words in enumerate(paragraphs(text.as_py())):
+                if len(words) > LONG:
+                    for c, (s, e) in enumerate(pieces(words)):
+                        for column, v in zip(columns, (i, k, c, s, paragraph_id(words[s:e]), e - s), strict=True):
+                            column.append(v)
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "place", "piece", "first_word", "paragraph", "n_words"])
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, places, names, sizes = [], [], [], []
@@ -270,15 +297,32 @@ def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     return found.select(F.col("node").alias("paragraph"), F.col("component").alias("class_id"))
 
 
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph of a repeated passage: id, place, n_words, class_id, class_size, first_id, removed.
+def _repeated_pieces(source: DataFrame, least_words: int) -> DataFrame:
+    """Pieces in runs of repeated pieces of a line, ``least_words`` long or more."""
+    rows = materialise(source.mapInArrow(_piece_rows, "id long, place int, piece int, first_word int, paragraph long, n_words int"), "pieces")
+    first = F.min(F.struct("id", "place", "first_word")).alias("first")
+    counts = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("class_size"), first, F.max("id").alias("last_id"))
+    counts = counts.filter("first.id <> last_id").drop("last_id")  # a word said over and over in one text is no passage
+    hits = rows.join(counts, "paragraph")
+    run = hits.withColumn("run", F.col("piece") - F.expr("dense_rank() over (partition by id, place order by piece)"))
+    words = run.withColumn("run_words", F.expr("sum(n_words) over (partition by id, place, run)"))
+    return words.filter(F.col("run_words") >= least_words).withColumn("class_id", F.col("paragraph"))
+
+
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, piece_words: int = PIECES_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per paragraph, or piece of one, of a repeated passage: id, place, first_word, n_words, class_id,
+    class_size, first_id, removed.
 
     place counts the id's lines of at least PARAGRAPH_WORDS words from 0; shorter lines neither count nor part
     a passage. A class holds paragraphs of Jaccard similarity of at least ``similarity``, directly or over
     others; class_size is its occurrences. A passage is a run of paragraphs whose classes occur more than
     once, ``least_words`` words long or more. Of a class the occurrence of smallest (id, place) stays;
-    removed is true for the others. Null and empty texts have no paragraphs. Rows with a null id are not
-    looked at. Rows repeated with one id are repeats of each other. Other columns are ignored.
+    removed is true for the others. Lines that are no part of such a passage give their repeated pieces, if
+    a run of them has ``piece_words`` words or more; classes of pieces are equal ones that several ids hold.
+    first_word is a piece's place in its line, 0 for whole lines.
+
+    Null and empty texts have no paragraphs. Rows with a null id are not looked at. Rows repeated with one id
+    are repeats of each other. Other columns are ignored.
     """
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     rows = materialise(source.mapInArrow(_occurrences, "id long, place int, paragraph long, n_words int"), "paragraphs")
@@ -293,32 +337,49 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     # Runs of neighbouring places: place less its rank is constant in a run; repeated rows share a rank.
     run = hits.withColumn("run", F.col("place") - F.expr("dense_rank() over (partition by id order by place)"))
     words = run.withColumn("run_words", F.expr("sum(n_words) over (partition by id, run)"))
-    return words.filter(F.col("run_words") >= least_words).select(
-        F.col("id").alias(id_col), "place", "n_words", "class_id", "class_size", F.col("first.id").alias("first_id"),
-        (~((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")))).alias("removed"),
-    )
+    lines = words.filter(F.col("run_words") >= least_words).withColumn("first_word", F.lit(0))
+    lines = lines.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))))
+    inside = _repeated_pieces(source, piece_words).join(lines.select("id", "place").distinct(), ["id", "place"], "left_anti")
+    inside = inside.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")) & (F.col("first_word") == F.col("first.first_word"))))
+    shown = [F.col("id").alias(id_col), "place", "first_word", "n_words", "class_id", "class_size", F.col("first.id").alias("first_id"), "removed"]
+    return lines.select(*shown).unionByName(inside.select(*shown))
 
 
-def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed paragraphs of ``repeated_passages`` cut from their texts, in the same columns."""
-    found = repeated_passages(docs, similarity, least_words, id_col, text_col).filter("removed")
-    cuts = found.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_set("place")).alias("_cuts"))
-    joined = docs.join(cuts, F.col(f"`{id_col}`").cast("long") == F.col("_id"), "left").drop("_id")
-    place = docs.columns.index(text_col)
+def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, piece_words: int = PIECES_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with what ``repeated_passages`` removes cut from their texts, in the same columns.
+
+    Lines that lose pieces have their other words joined by blanks. Columns may have any names.
+    """
+    place, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
+    found = repeated_passages(docs, similarity, least_words, piece_words, id_col, text_col).filter("removed")
+    cuts = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("place", "first_word", "n_words")).alias("_cuts"))
+    joined = docs.toDF(*names).join(cuts, F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("_id"), "left").drop("_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [without_places(t, set(c)) if c else t for t, c in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == place else b.column(k) for k in range(b.num_columns - 1)], b.schema.names[:-1])
+            kept = [b.column(k) for k in range(b.num_columns - 1)]
+            given = b.column(b.num_columns - 1).to_pylist()
+            texts = [without(t, [tuple(x.values()) for x in c]) if c and t else t for t, c in zip(kept[place].to_pylist(), given, strict=True)]
+            kept[place] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
-def without_places(text: str, places: set[int], least: int = PARAGRAPH_WORDS) -> str:
+def without(text: str, cuts: list[tuple[int, int, int]], least: int = PARAGRAPH_WORDS) -> str:
+    """The text less (place, first word, words) cuts; a line without words left goes as a whole."""
+    gone: dict[int, set[int]] = {}
+    for place, first, n in cuts:
+        gone.setdefault(place, set()).update(range(first, first + n))
     kept, k = [], 0
     for line in text.split("\n"):
-        counts = len(line.encode("utf-8", "surrogatepass").split()) >= least
-        if not (counts and k in places):
+        words = line.encode("utf-8", "surrogatepass").split()
+        if len(words) < least:
+            kept.append(line)
+            continue
+        if k not in gone:
             kept.append(line)
-        k += counts
+        elif left := [w for j, w in enumerate(words) if j not in gone[k]]:
+            kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+        k += 1
     return "\n".join(kept)

@@ -72,18 +72,42 @@ def test_equals_brute_force(spark, rows, monkeypatch, part):
     monkeypatch.setattr(sd, "PART", part)
     records = corpus()
     docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in records], "doc_id long, text string, place int, paragraph long, words string").repartition(3)
-    found = sd.repeated_passages(docs)
+    found = sd.repeated_passages(docs, piece_words=10**6)
     expected = brute(records, 0.8, 50)
     assert len({r[0] for r in expected}) >= 6
     assert rows(found.select("doc_id", "place", "n_words", "class_size", "first_id", "removed")) == expected
     if part > 1:
-        cut = {r.doc_id: r.text for r in sd.remove_passages(docs).collect()}
+        cut = {r.doc_id: r.text for r in sd.remove_passages(docs, piece_words=10**6).collect()}
         gone = {(r[0], r[1]) for r in expected if r[5]}
         for i, t in records:
             if i is not None:
                 assert len(sd.paragraphs(cut[i])) == len(sd.paragraphs(t)) - len({k for j, k in gone if j == i})
 
 
+def test_passages_inside_longer_lines(spark):
+    rng = random.Random(8)
+    passage = words(rng, 80)
+    texts = [(k, " ".join([*words(rng, 60 + k), *(passage if k < 4 else []), *words(rng, 70 - k)])) for k in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sd.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3} and {r.removed for r in got if r.doc_id == 0} == {False}
+    for r in got:
+        assert 60 + r.doc_id <= r.first_word and r.first_word + r.n_words <= 140 + r.doc_id and r.class_size == 4 and r.first_id == 0
+    cut = {r.doc_id: r.text.split() for r in sd.remove_passages(docs).collect()}
+    for k, t in texts:
+        own = t.split()
+        left = [w for j, w in enumerate(own) if not any(r.doc_id == k and r.removed and r.first_word <= j < r.first_word + r.n_words for r in got)]
+        assert cut[k] == left and (len(left) < len(own)) == (k in (1, 2, 3))
+
+
+def test_pieces_cover_a_line():
+    w = words(random.Random(1), 300)
+    cut = sd.pieces(w)
+    assert cut[0][0] == 0 and cut[-1][1] == 300 and all(a[1] == b[0] for a, b in pairwise(cut))
+    inner = sd.pieces(w[50:250])
+    assert {(s + 50, e + 50) for s, e in inner[1:-1]} <= set(cut)
+
+
 def test_bands_reach_their_recall():
     bands, rows = sd.tune_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= sd.VALUES
