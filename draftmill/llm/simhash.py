@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import materialise, text_or_empty, words_of
+from .substring_dedup import band_keys, collisions, packed_keys, tune_bands
 
 #: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
 SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9
@@ -29,6 +30,8 @@ SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9
 BLOCK = 20_000
 #: Texts of a component that one task compares at first.
 PART = 2000
+#: Shingles whose MinHash values a task makes at a time.
+CHUNK = 400_000
 #: Up to this size a bucket's pairs are compared by offset, all buckets at once.
 SMALL = 48
 
@@ -386,11 +389,51 @@ def shingle_hashes(text: str | None, n: int) -> set[int]:
     return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[words[k:] for k in range(n)], strict=False))))
 
 
+def _banded(shingle: int, bands: int, rows: int, log: int):
+    """Task side: (bucket, run) with the packed MinHash band keys of texts and their ids."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        n = 0
+
+        def packed() -> pa.RecordBatch:
+            starts = np.cumsum([0, *map(len, sets)])[:-1]
+            return packed_keys(band_keys(np.concatenate(sets), starts, bands, rows), np.array(ids, np.int64), log)
+
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = shingle_hashes(text.as_py(), shingle)
+                ids.append(i)
+                sets.append(np.fromiter(own, np.uint64, len(own)))
+                n += len(own)
+                if n > CHUNK:
+                    yield packed()
+                    ids, sets, n = [], [], 0
+        if ids:
+            yield packed()
+
+    return scan
+
+
+def shingle_links(source: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b long) of ids of ``source`` (id, text): ids whose texts share a MinHash band, each with the first.
+
+    The share of pairs found depends on the Jaccard similarity of their shingles alone, whatever the edit: 0.999
+    at ``similarity``, more above.
+    """
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    log = max(1, (2 * parts - 1).bit_length())
+    runs = source.select("id", "text").mapInArrow(_banded(shingle, *tune_bands(similarity), log), "bucket int, run binary")
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(collisions, "a long, b long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less near copies: one document of each group stays, with all its columns.
 
-    Fingerprints are 128-bit SimHashes of the sets of words. Components of fingerprints within ``radius`` bits
-    hold the candidates. In a component, by ascending id, a text is dropped if its set of ``shingle``-word
+    Fingerprints are 128-bit SimHashes of the sets of words; those within ``radius`` bits are linked. They find
+    scattered edits, but few texts cut short or added to, so texts that share a MinHash band of their shingles
+    are linked as well. Components of both kinds of links hold the candidates. In a component, by ascending id, a text is dropped if its set of ``shingle``-word
     shingles has a Jaccard similarity of at least ``similarity`` with that of a text kept before. A component of
     over PART texts is first split by hash of the id, and what its parts keep is compared again.
 
@@ -404,8 +447,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     rows = materialise(fingerprints(source, word_set_fingerprint, "id"), "simhash128")
     # Equal texts fold by digest, so that no copy's text travels.
     firsts = materialise(source.select(F.sha2("text", 256).alias("sha"), "id").groupBy("sha").agg(F.min("id").alias("id")).select("id").distinct(), "firsts")
-    found = materialise(fingerprint_components(rows, 128, radius), "candidates")
-    placed = rows.join(firsts, "id", "left_semi").distinct().join(found.select("fp", "component_id"), "fp")
+    near = materialise(fingerprint_components(rows, 128, radius), "fpgroups")
+    near = rows.join(near.select("fp", "component_id"), "fp").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+    found = materialise(connected_components(near.unionByName(shingle_links(source, shingle, similarity))), "candidates")
+    placed = firsts.join(found.select(F.col("node").alias("id"), F.col("component").alias("component_id")), "id")
     sizes = placed.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     placed = materialise(placed.join(sizes, "component_id").select("id", "component_id", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / PART)).alias("part"), (F.col("k") > PART).alias("cut")), "placed")
 

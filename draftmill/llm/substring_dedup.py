@@ -83,14 +83,13 @@ def _shingles(many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return rolled[inside[: len(rolled)]], np.r_[0, np.cumsum(counts)[:-1]]
 
 
-def _signatures(many: list[list[bytes]], bands: int, rows: int) -> np.ndarray:
-    """(bands, n) keys: the MinHash values of each band, mixed."""
-    shingles, starts = _shingles(many)
+def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(bands, n) keys of n sets of shingle hashes, none empty: the MinHash values of each band, mixed."""
     rng = np.random.default_rng(7)
     odd = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    keys = np.empty((bands, len(many)), np.uint64)
+    keys = np.empty((bands, len(starts)), np.uint64)
     for band in range(bands):
-        key = np.full(len(many), band + 1, np.uint64)
+        key = np.full(len(starts), band + 1, np.uint64)
         for a in odd[band * rows : (band + 1) * rows]:
             key = (key ^ np.minimum.reduceat(shingles * a, starts)) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(31)
@@ -98,6 +97,19 @@ def _signatures(many: list[list[bytes]], bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def packed_keys(keys: np.ndarray, names: np.ndarray, log: int) -> pa.RecordBatch:
+    """(bucket, run): the (bands, n) keys and their names, by the first ``log`` bits of the keys."""
+    names = np.tile(names, len(keys))
+    keys = keys.ravel()
+    order = np.argsort(keys)
+    keys, names = keys[order], names[order]
+    place = (keys >> np.uint64(64 - log)).astype(np.int64)
+    edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    ends = np.r_[edges[1:], len(place)]
+    blobs = [keys[s:e].tobytes() + names[s:e].tobytes() for s, e in zip(edges, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(place[edges], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
+
+
 def pieces(words: list[bytes]) -> list[tuple[int, int]]:
     """[start, end) word places of the pieces of a long line: one ends after each pair of words whose hash PIECE divides."""
     h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)).astype(np.uint64)
@@ -135,16 +147,7 @@ def _bands(bands: int, rows: int, log: int):
     """Task side: (bucket, run) with packed (key, paragraph) pairs; each paragraph once in a chunk."""
 
     def packed(held: dict[int, list[bytes]]) -> pa.RecordBatch:
-        names = np.array(list(held), np.int64)
-        keys = _signatures(list(held.values()), bands, rows).ravel()
-        names = np.tile(names, bands)
-        order = np.argsort(keys)
-        keys, names = keys[order], names[order]
-        place = (keys >> np.uint64(64 - log)).astype(np.int64)
-        edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        ends = np.r_[edges[1:], len(place)]
-        blobs = [keys[s:e].tobytes() + names[s:e].tobytes() for s, e in zip(edges, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(place[edges], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
+        return packed_keys(band_keys(*_shingles(list(held.values())), bands, rows), np.array(list(held), np.int64), log)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
@@ -165,8 +168,8 @@ def _bands(bands: int, rows: int, log: int):
     return scan
 
 
-def _collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket side: paragraphs of one band key, each linked with the first."""
+def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket side: names of one band key, each linked with the first."""
 
     def links(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not runs:
@@ -276,7 +279,7 @@ def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     bands, rows = tune_bands(similarity)
     log = max(1, (2 * parts - 1).bit_length())
     runs = source.select("text").mapInArrow(_bands(bands, rows, log), "bucket int, run binary")
-    links = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_collisions, "a long, b long")
+    links = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(collisions, "a long, b long")
     groups = materialise(connected_components(links), "collisions")
     n = groups.count()
     if n <= BROADCAST_IDS:

@@ -93,3 +93,19 @@ def test_one_of_each_group_stays(docs, records, monkeypatch, part):
 
 def test_no_rows(empty):
     assert simhash.simhash_components(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_texts_cut_short_or_added_to_are_found(spark):
+    rng = random.Random(3)
+    new = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
+    records = []
+    for k in range(0, 600, 10):
+        w = new(200)
+        # Cut at the end, at the start, in the middle; added to at the end, in the middle; all of Jaccard 0.8 to 0.84.
+        records += [(k + j, " ".join(x)) for j, x in enumerate([w, w[:165], w[35:], w[:80] + w[112:], w + new(42), w[:90] + new(38) + w[90:]])]
+    originals = {i for i, _ in records if i % 10 == 0}
+    sets = {i: simhash.shingle_hashes(t, 5) for i, t in records}
+    near = {i for i in sets if len(sets[i] & sets[i // 10 * 10]) >= 0.8 * len(sets[i] | sets[i // 10 * 10])}
+    assert len(near) == len(records)
+    stay = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(records, "doc_id long, text string").repartition(3)).collect()}
+    assert stay == originals
