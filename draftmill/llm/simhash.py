@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import materialise, text_or_empty, words_of
-from .substring_dedup import band_keys, collisions, packed_keys, tune_bands
+from .substring_dedup import band_keys, collisions, packed_keys, similar_pairs, tune_bands
 
 #: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
 SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9
 #: Fingerprints whose signatures a task makes at a time.
 BLOCK = 20_000
-#: Texts of a component that one task compares at first.
+#: Texts of a component that one task compares with as many others.
 PART = 2000
 #: Shingles whose MinHash values a task makes at a time.
 CHUNK = 400_000
@@ -347,36 +347,27 @@ def simhash_components(docs: DataFrame, n: int = 3, radius: int = 3, id_col: str
 # ---- documents to keep
 
 
-def _first_kept(shingle: int, similarity: float):
-    """Streams rows (component, part, id, text) in order; a text is dropped if it is similar to one kept before it."""
+def _similar(shingle: int, similarity: float):
+    """Streams rows (component, left, right, part, id, text) in order; links of ids that connect what is similar in a block."""
+
+    def links(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if len(rows) < 2:
+            return
+        ids = np.array([r[1] for r in rows], np.int64)
+        found = list(similar_pairs(ids, [r[2] for r in rows], np.array([r[0] for r in rows]), similarity))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        component = None
-        owners: dict[int, list[int]] = {}
-        sizes: list[int] = []
-        names: list[int] = []
+        block, rows = None, []
         for b in batches:
-            ids, keeps = [], []
-            for c, part, i, text in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3), strict=True):
-                if (c, part) != component:
-                    component, owners, sizes, names = (c, part), {}, [], []
+            for c, left, right, part, i, text in zip(*[b.column(k).to_pylist() for k in range(5)], b.column(5), strict=True):
+                if (c, left, right) != block:
+                    yield from links(rows)
+                    block, rows = (c, left, right), []
                 own = shingle_hashes(text.as_py(), shingle)
-                shared: dict[int, int] = {}
-                for h in own:
-                    for k in owners.get(h, ()):
-                        shared[k] = shared.get(k, 0) + 1
-                similar = [k for k, s in shared.items() if s >= similarity * (len(own) + sizes[k] - s)]
-                if similar:
-                    keep = names[min(similar)]
-                else:
-                    keep = i
-                    for h in own:
-                        owners.setdefault(h, []).append(len(sizes))
-                    sizes.append(len(own))
-                    names.append(i)
-                ids.append(i)
-                keeps.append(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keeps, pa.int64())], ["id", "keep_id"])
+                rows.append((part, i, np.fromiter(own, np.uint64, len(own))))
+        yield from links(rows)
 
     return scan
 
@@ -433,13 +424,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
 
     Fingerprints are 128-bit SimHashes of the sets of words; those within ``radius`` bits are linked. They find
     scattered edits, but few texts cut short or added to, so texts that share a MinHash band of their shingles
-    are linked as well. Components of both kinds of links hold the candidates. In a component, by ascending id, a text is dropped if its set of ``shingle``-word
-    shingles has a Jaccard similarity of at least ``similarity`` with that of a text kept before. A component of
-    over PART texts is first split by hash of the id, and what its parts keep is compared again.
+    are linked as well. Components of both kinds of links hold the candidates. Texts of a component whose sets of
+    ``shingle``-word shingles have a Jaccard similarity of at least ``similarity`` are similar, and so are texts
+    that others link by such pairs; of each such group the smallest id stays. A component of over PART texts is
+    split by hash of the id, and each two of its parts are compared.
 
     Of equal texts the smallest id stays. Null texts count as empty, and empty texts are copies of each other.
-    Rows with a null id stay. Rows that share an id are one document and stay or go together. Components are
-    streamed: a task holds the shingles of what it keeps, not of the group.
+    Rows with a null id stay. Rows that share an id are one document and stay or go together. A task holds
+    the shingles of two parts.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty(text_col)
@@ -451,16 +443,14 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     near = rows.join(near.select("fp", "component_id"), "fp").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
     found = materialise(connected_components(near.unionByName(shingle_links(source, shingle, similarity))), "candidates")
     placed = firsts.join(found.select(F.col("node").alias("id"), F.col("component").alias("component_id")), "id")
-    sizes = placed.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    placed = materialise(placed.join(sizes, "component_id").select("id", "component_id", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / PART)).alias("part"), (F.col("k") > PART).alias("cut")), "placed")
-
-    def compared(some: DataFrame) -> DataFrame:
-        group = some.join(source, "id").select("component_id", "part", "id", "text")
-        group = group.repartition(parts, "component_id", "part").sortWithinPartitions("component_id", "part", "id")
-        return group.mapInArrow(_first_kept(shingle, similarity), "id long, keep_id long")
-
-    first = materialise(compared(placed).filter("id <> keep_id").select("id").distinct(), "copies")
-    again = placed.filter("cut").join(first, "id", "left_anti").withColumn("part", F.lit(0))
-    second = materialise(compared(again).filter("id <> keep_id").select("id").distinct(), "copies")
-    kept = firsts.join(first, "id", "left_anti").join(second, "id", "left_anti").withColumnRenamed("id", "_kept_id")
+    sizes = placed.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("cuts"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    placed = placed.join(sizes, "component_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    group = materialise(placed.select("component_id", "cuts", "part", "id"), "placed").join(source, "id")
+    # Blocks (left, right) of parts, left <= right: each pair of texts meets in one.
+    group = group.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    blocks = group.select("component_id", F.least("part", "o").alias("left"), F.greatest("part", "o").alias("right"), "part", "id", "text")
+    blocks = blocks.repartition(parts, "component_id", "left", "right").sortWithinPartitions("component_id", "left", "right", "id")
+    similar = connected_components(blocks.mapInArrow(_similar(shingle, similarity), "a long, b long"))
+    copies = similar.filter("node <> component").select(F.col("node").alias("id"))
+    kept = firsts.join(copies, "id", "left_anti").withColumnRenamed("id", "_kept_id")
     return docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))

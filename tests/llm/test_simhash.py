@@ -109,3 +109,37 @@ def test_texts_cut_short_or_added_to_are_found(spark):
     assert len(near) == len(records)
     stay = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(records, "doc_id long, text string").repartition(3)).collect()}
     assert stay == originals
+
+
+def connected(records, similarity=0.8):
+    """Ids that stay: the smallest of each component of similar texts, by comparing all with all."""
+    sets = {i: simhash.shingle_hashes(t, 5) for i, t in records}
+    root = {i: i for i in sets}
+    find = lambda k: k if root[k] == k else find(root[k])
+    for i, own in sets.items():
+        for j, other in sets.items():
+            if len(own & other) >= similarity * len(own | other):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i for i in sets if find(i) == i}
+
+
+@pytest.mark.parametrize("part", [2000, 2])
+def test_links_by_way_of_dropped_texts_count(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(9)
+    new = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
+    records = []
+    for k in range(0, 400, 10):
+        w = new(200)
+        a, b = w[:170], w[30:]  # both similar to w, not to each other
+        records += [(k + 1, " ".join(a)), (k + 2, " ".join(w)), (k + 3, " ".join(b)), (k + 4, " ".join(new(80)))]
+        for j in range(5, 9):
+            x = w[:]
+            for _ in range(3):
+                x[rng.randrange(200)] = new(1)[0]
+            records.append((k + j, " ".join(x)))
+    expected = connected(records)
+    assert len(greedy(records)) > len(expected) == 80
+    got = simhash.drop_near_duplicates(spark.createDataFrame(records, "doc_id long, text string").repartition(3))
+    assert {r.doc_id for r in got.collect()} == expected
