@@ -6,14 +6,16 @@ form candidate groups; inside a group exact Jaccard similarities decide the link
 the classes of repeats. Equal paragraphs are one node throughout, however often they occur. A passage is a run
 of repeated paragraphs in a text; runs of too few words are let be.
 
-A passage may also stand inside longer, different lines. Lines of over LONG words are therefore cut into pieces
-as well, after pairs of words whose hash says so: where a passage repeats, so do its cuts. Equal pieces in a row
-are a passage too.
+A passage may also stand anywhere else, inside longer lines, over line ends or in lines of few words. A text's
+words, regardless of lines, are therefore looked at in windows too. Of neighbouring runs of words the one of least
+hash is an anchor (winnowing), so that every window holds one, the same wherever it occurs. Windows around anchors
+that several texts have are counted; those that several texts have, joined where they follow each other, are passages.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialise, text_or_empty
+from .common import materialise, text_or_empty, words_of
 
 SHINGLE = 5
 #: Words of a paragraph that is looked at, and of a run of repeated ones that is reported.
 PARAGRAPH_WORDS, PASSAGE_WORDS = 5, 50
-#: Words of a line beyond which its pieces are looked at too, mean words of a piece, and words of a run of repeated pieces that is reported.
-LONG, PIECE, PIECES_WORDS = 24, 12, 25
+#: Mean words of a piece of a line, and words of a window of the word stream that is reported if several ids hold it.
+PIECE, PIECES_WORDS = 12, 51
+#: Most binary logarithm of the bits that shared anchors set in a table sent to all tasks (32 MB); a fuller one only lets more windows be counted.
+TABLE_LOG = 28
 #: Signature values at most, and the share of pairs at the wanted similarity that must collide.
 VALUES, RECALL = 64, 0.999
 #: Paragraphs of a candidate group that one task compares with as many others.
@@ -111,24 +115,122 @@ def packed_keys(keys: np.ndarray, names: np.ndarray, log: int) -> pa.RecordBatch
 
 
 def pieces(words: list[bytes]) -> list[tuple[int, int]]:
-    """[start, end) word places of the pieces of a long line: one ends after each pair of words whose hash PIECE divides."""
+    """[start, end) word places of the pieces of a long line: one ends after each pair of words whose hash PIECE divides.
+
+    ``repeated_passages`` does not use them: a passage need not hold a whole piece.
+    """
     h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)).astype(np.uint64)
     pair = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * _BASE >> np.uint64(40)
     ends = [*(np.flatnonzero(pair % np.uint64(PIECE) == 0) + 2).tolist(), len(words)]
     return [(s, e) for s, e in zip([0, *ends[:-1]], ends, strict=True) if s < e]
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbouring words, the same wherever they stand."""
+    one = np.ones(1, np.uint64)
+    powers = np.multiply.accumulate(np.r_[one, np.full(len(words), _BASE)])
+    inverse = np.multiply.accumulate(np.r_[one, np.full(len(words), pow(int(_BASE), -1, 1 << 64), np.uint64)])
+    sums = np.r_[np.zeros(1, np.uint64), np.add.accumulate(words * inverse[:-1])]
+    h = (sums[n:] - sums[: len(sums) - n]) * powers[: len(sums) - n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
+    """``f`` (least or greatest) over each n neighbours."""
+    width = 1
+    while 2 * width <= n:
+        x, width = f(x[:-width], x[width:]), 2 * width
+    return f(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
+
+
+def anchors(words: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of anchors, runs of ``window`` // 2 + 1 words, and for each window's start if it lies in one text.
+
+    ``words`` holds hashes of the words of texts in a row, ``ends`` for each the end of its text. Every window
+    inside a text holds an anchor that hangs on the window's words alone.
+    """
+    size = window // 2 + 1
+    near = window - size + 1
+    runs = _rolled(words, size)
+    inside = np.arange(window, len(words) + 1) <= ends[: len(words) - window + 1]
+    least = np.where(inside, _sliding(np.minimum, runs, near), np.uint64(0))
+    aside = np.zeros(near - 1, np.uint64)
+    most = _sliding(np.maximum, np.r_[aside, least, aside], near)
+    places = np.flatnonzero((runs == most) & (most > 0))
+    return places, runs[places], inside
+
+
+def _streams(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For the words of texts of at least ``window`` words in a row: ids, starts and ends of their texts, hashes."""
+
+    def joined(ids: list[int], many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.array([len(w) for w in many])
+        ends = np.cumsum(sizes)
+        words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(many)), np.uint64, int(ends[-1]))
+        return np.repeat(np.array(ids, np.int64), sizes), np.repeat(ends - sizes, sizes), np.repeat(ends, sizes), words
+
+    ids, many, n = [], [], 0
     for b in batches:
-        columns: list[list] = [[], [], [], [], [], []]
         for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for k, words in enumerate(paragraphs(text.as_py())):
-                if len(words) > LONG:
-                    for c, (s, e) in enumerate(pieces(words)):
-                        for column, v in zip(columns, (i, k, c, s, paragraph_id(words[s:e]), e - s), strict=True):
-                            column.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "place", "piece", "first_word", "paragraph", "n_words"])
+            words = words_of(text.as_py())
+            if len(words) >= window:
+                ids.append(i)
+                many.append(words)
+                n += len(words)
+                if n > CHUNK:
+                    yield joined(ids, many)
+                    ids, many, n = [], [], 0
+    if many:
+        yield joined(ids, many)
+
+
+def _anchor_rows(window: int):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, ends, words in _streams(batches, window):
+            places, hashes, _ = anchors(words, ends, window)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[places])], ["anchor", "id"])
+
+    return scan
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bit) in order of blocks to (block, bits packed)."""
+    block, held = None, np.zeros(0, bool)
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    for b in batches:
+        blocks, bits = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for k in np.unique(blocks).tolist():
+            if k != block:
+                if block is not None:
+                    yield packed()
+                block, held = k, np.zeros(1 << 16, bool)
+            held[bits[blocks == k]] = True
+    if block is not None:
+        yield packed()
+
+
+def _window_rows(window: int, table, log: int):
+    """(window, id, at): the windows around anchors in the table."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        near = window - window // 2
+        for ids, starts, ends, words in _streams(batches, window):
+            places, hashes, inside = anchors(words, ends, window)
+            slot = (hashes >> np.uint64(64 - log)).astype(np.int64)
+            places = places[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0]
+            edges = np.bincount(np.maximum(places - near + 1, 0), minlength=len(words) + 1) - np.bincount(places + 1, minlength=len(words) + 1)
+            at = np.flatnonzero((np.cumsum(edges)[: len(inside)] > 0) & inside)
+            if len(at):
+                own = _rolled(words, window)[at].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[at]), pa.array((at - starts[at]).astype(np.int32))], ["window", "id", "at"])
+
+    return scan
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,29 +402,47 @@ def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     return found.select(F.col("node").alias("paragraph"), F.col("component").alias("class_id"))
 
 
-def _repeated_pieces(source: DataFrame, least_words: int) -> DataFrame:
-    """Pieces in runs of repeated pieces of a line, ``least_words`` long or more."""
-    rows = materialise(source.mapInArrow(_piece_rows, "id long, place int, piece int, first_word int, paragraph long, n_words int"), "pieces")
-    first = F.min(F.struct("id", "place", "first_word")).alias("first")
-    counts = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("class_size"), first, F.max("id").alias("last_id"))
-    counts = counts.filter("first.id <> last_id").drop("last_id")  # a word said over and over in one text is no passage
-    hits = rows.join(counts, "paragraph")
-    run = hits.withColumn("run", F.col("piece") - F.expr("dense_rank() over (partition by id, place order by piece)"))
-    words = run.withColumn("run_words", F.expr("sum(n_words) over (partition by id, place, run)"))
-    return words.filter(F.col("run_words") >= least_words).withColumn("class_id", F.col("paragraph"))
+def _repeated_windows(source: DataFrame, window: int) -> DataFrame:
+    """(id, first_word, n_words, class_id, class_size, first_id, removed): runs of windows that several ids hold."""
+    spark = source.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = source.mapInArrow(_anchor_rows(window), "anchor long, id long")
+    shared = found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("anchor")
+    shared = materialise(shared, "anchors")
+    log = min(TABLE_LOG, max(16, (16 * shared.count()).bit_length()))
+    slot = F.shiftrightunsigned("anchor", 64 - log)
+    blocks = shared.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(65535)).alias("bit"))
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    for k, own in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_bits, "block long, bits binary").toLocalIterator():
+        bits[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
+    table = spark.sparkContext.broadcast(bits)
+    rows = materialise(source.mapInArrow(_window_rows(window, table, log), "window long, id long, at int"), "windows")
+    first = F.min(F.struct("id", "at")).alias("first")
+    counts = rows.groupBy("window").agg(F.count(F.lit(1)).alias("class_size"), first, F.max("id").alias("last_id"))
+    counts = counts.filter("first.id <> last_id").drop("last_id")  # words said over and over in one text are no passage
+    hits = rows.join(counts, "window").withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))))
+    keys = ["id", "class_size", "first_id", "removed"]
+    hits = hits.select("window", "at", "id", "class_size", F.col("first.id").alias("first_id"), "removed")
+    run = hits.withColumn("run", F.col("at") - F.expr(f"dense_rank() over (partition by {', '.join(keys)} order by at)"))
+    spans = run.groupBy(*keys, "run").agg(F.min("at").alias("first_word"), (F.max("at") - F.min("at") + window).alias("n_words"), F.min_by("window", "at").alias("class_id"))
+    return spans.drop("run")
 
 
 def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, piece_words: int = PIECES_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph, or piece of one, of a repeated passage: id, place, first_word, n_words, class_id,
-    class_size, first_id, removed.
+    """One row per paragraph of a repeated passage, and per span of words that several ids hold: id, place,
+    first_word, n_words, class_id, class_size, first_id, removed.
 
     place counts the id's lines of at least PARAGRAPH_WORDS words from 0; shorter lines neither count nor part
     a passage. A class holds paragraphs of Jaccard similarity of at least ``similarity``, directly or over
     others; class_size is its occurrences. A passage is a run of paragraphs whose classes occur more than
     once, ``least_words`` words long or more. Of a class the occurrence of smallest (id, place) stays;
-    removed is true for the others. Lines that are no part of such a passage give their repeated pieces, if
-    a run of them has ``piece_words`` words or more; classes of pieces are equal ones that several ids hold.
-    first_word is a piece's place in its line, 0 for whole lines.
+    removed is true for the others. first_word is 0 for paragraphs.
+
+    Regardless of lines, all windows of ``piece_words`` words that several ids hold are reported as well, with
+    place null and first_word counted in the text's words. Windows that follow each other are one span if
+    they occur as often, are first in the same id and stay or go alike; spans may overlap each other and
+    paragraphs. Of a window the occurrence of smallest (id, first_word) stays. class_id is the hash of a
+    span's first window.
 
     Null and empty texts have no paragraphs. Rows with a null id are not looked at. Rows repeated with one id
     are repeats of each other. Other columns are ignored.
@@ -342,16 +462,15 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     words = run.withColumn("run_words", F.expr("sum(n_words) over (partition by id, run)"))
     lines = words.filter(F.col("run_words") >= least_words).withColumn("first_word", F.lit(0))
     lines = lines.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))))
-    inside = _repeated_pieces(source, piece_words).join(lines.select("id", "place").distinct(), ["id", "place"], "left_anti")
-    inside = inside.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place")) & (F.col("first_word") == F.col("first.first_word"))))
-    shown = [F.col("id").alias(id_col), "place", "first_word", "n_words", "class_id", "class_size", F.col("first.id").alias("first_id"), "removed"]
-    return lines.select(*shown).unionByName(inside.select(*shown))
+    spans = _repeated_windows(source, piece_words).withColumn("place", F.lit(None).cast("int"))
+    shown = [F.col("id").alias(id_col), "place", "first_word", "n_words", "class_id", "class_size"]
+    return lines.select(*shown, F.col("first.id").alias("first_id"), "removed").unionByName(spans.select(*shown, "first_id", "removed"))
 
 
 def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, piece_words: int = PIECES_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what ``repeated_passages`` removes cut from their texts, in the same columns.
 
-    Lines that lose pieces have their other words joined by blanks. Columns may have any names.
+    Lines that lose some words have the others joined by blanks. Columns may have any names.
     """
     place, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
     found = repeated_passages(docs, similarity, least_words, piece_words, id_col, text_col).filter("removed")
@@ -369,20 +488,22 @@ def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int =
     return joined.mapInArrow(cut, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
-def without(text: str, cuts: list[tuple[int, int, int]], least: int = PARAGRAPH_WORDS) -> str:
-    """The text less (place, first word, words) cuts; a line without words left goes as a whole."""
-    gone: dict[int, set[int]] = {}
+def without(text: str, cuts: list[tuple[int | None, int, int]], least: int = PARAGRAPH_WORDS) -> str:
+    """The text less (place, first word, words) cuts, those of place null by words of the text; a line without words left goes as a whole."""
+    gone: dict[int | None, set[int]] = {}
     for place, first, n in cuts:
         gone.setdefault(place, set()).update(range(first, first + n))
-    kept, k = [], 0
+    spans = gone.pop(None, set())
+    kept, k, at = [], 0, 0
     for line in text.split("\n"):
         words = line.encode("utf-8", "surrogatepass").split()
-        if len(words) < least:
-            kept.append(line)
-            continue
-        if k not in gone:
+        own = {j for j in range(len(words)) if at + j in spans}
+        at += len(words)
+        if len(words) >= least:
+            own |= gone.get(k, set())
+            k += 1
+        if not own:
             kept.append(line)
-        elif left := [w for j, w in enumerate(words) if j not in gone[k]]:
+        elif left := [w for j, w in enumerate(words) if j not in own]:
             kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
-        k += 1
     return "\n".join(kept)

@@ -119,3 +119,40 @@ def test_all_odd_rows(docs, empty):
     assert sd.repeated_passages(docs, least_words=5).filter("doc_id between 200 and 214").count() >= 15
     assert sd.repeated_passages(empty).count() == 0
     assert sd.remove_passages(docs).count() == docs.count()
+
+
+def covered(records, n):
+    """id -> words that windows of n words cover which another id has too, by looking at all windows."""
+    streams = [(i, t.lower().split()) for i, t in records]
+    owners = {}
+    for i, w in streams:
+        for k in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[k : k + n]), set()).add(i)
+    return {i: {k + j for k in range(len(w) - n + 1) if len(owners[tuple(w[k : k + n])]) > 1 for j in range(n)} for i, w in streams}
+
+
+@pytest.mark.parametrize("wrapped", [False])  # inside long lines
+def test_no_window_is_missed(spark, wrapped):
+    rng = random.Random(21)
+    records = []
+    for k in range(0, 120, 2):
+        passage = words(rng, 48 + k % 14)  # 48 to 60 words, those of under 51 are none
+        for j in range(2):
+            w = [*words(rng, rng.randint(20, 70)), *passage, *words(rng, rng.randint(20, 70))]
+            at = 0
+            while wrapped and at < len(w) - 1:
+                at += rng.choice([1, 2, 3, 4, 9, 14, 20])
+                w[at:at] = ["\n"] if at < len(w) else []
+                at += 1
+            records.append((k + j, " ".join(w)))
+    expected = {i: c for i, c in covered(records, 51).items() if c}
+    assert len(expected) > 80
+    docs = spark.createDataFrame(records, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in sd.repeated_passages(docs).filter("place is null").collect():
+        assert r.n_words >= 51 and r.class_size == 2 and r.removed == (r.doc_id % 2 == 1) and r.first_id == r.doc_id // 2 * 2
+        got.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    assert got == expected
+    cut = {r.doc_id: r.text.split() for r in sd.remove_passages(docs).collect()}
+    for i, t in records:
+        assert cut[i] == [w for j, w in enumerate(t.split()) if i % 2 == 0 or j not in expected.get(i, ())]
