@@ -67,3 +67,29 @@ def test_grid_names(spark):
     assert [r.tile_name for r in tiling.tile_grid(images, 1024).orderBy("tile_x").collect()] == ["p_x00000_y00000", "p_x00001_y00000"]
     with pytest.raises(Exception):  # noqa: B017
         tiling.tile_grid(images.drop("height"), 1024).collect()
+
+
+def test_cut_plans_hold_all_boxes(spark):
+    from draftmill.plans.queries import QUERIES
+    from draftmill.plans.tables import boxes
+
+    sf = "/root/testdata/sf0.001"
+    spans = {}
+    for r in boxes(spark, sf).collect():
+        for axis, size, lo, hi in (("x", 1900, r.x1, r.x2), ("y", 1100, r.y1, r.y2)):
+            spans.setdefault((r.image, axis), []).append((max(0, lo), min(size, hi), hi - lo))
+    expected = {}
+    for (image, axis), own in spans.items():
+        length = 1900 if axis == "x" else 1100
+        inside = set()  # doubled places that a cut must not have: inside a box, or where two boxes touch
+        for s, e, _ in own:
+            inside |= set(range(2 * s + 1, 2 * e))
+        starts = {s for s, e, _ in own if s < e}
+        inside |= {2 * e for s, e, _ in own if s < e and e in starts}
+        cuts = [0] if max(x[2] for x in own) <= 512 else None
+        while cuts and length - cuts[-1] > 512:
+            found = [x for x in range(cuts[-1] + 512, cuts[-1] + 32, -4) if 2 * x not in inside]
+            cuts = [*cuts, found[0]] if found else None
+        expected[image, axis] = [*cuts, length] if cuts else None
+    got = {(r.image, r.axis): r.cuts for r in QUERIES["q36_cut_plans"](spark, sf).collect()}
+    assert got == expected
