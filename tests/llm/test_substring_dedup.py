@@ -131,7 +131,7 @@ def covered(records, n):
     return {i: {k + j for k in range(len(w) - n + 1) if len(owners[tuple(w[k : k + n])]) > 1 for j in range(n)} for i, w in streams}
 
 
-@pytest.mark.parametrize("wrapped", [False])  # inside long lines
+@pytest.mark.parametrize("wrapped", [False, True])  # inside long lines; over lines of other lengths in each text, short ones too
 def test_no_window_is_missed(spark, wrapped):
     rng = random.Random(21)
     records = []
