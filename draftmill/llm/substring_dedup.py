@@ -20,7 +20,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -416,11 +416,12 @@ def _repeated_windows(source: DataFrame, window: int) -> DataFrame:
     for k, own in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_bits, "block long, bits binary").toLocalIterator():
         bits[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
     table = spark.sparkContext.broadcast(bits)
-    rows = materialise(source.mapInArrow(_window_rows(window, table, log), "window long, id long, at int"), "windows")
-    first = F.min(F.struct("id", "at")).alias("first")
-    counts = rows.groupBy("window").agg(F.count(F.lit(1)).alias("class_size"), first, F.max("id").alias("last_id"))
-    counts = counts.filter("first.id <> last_id").drop("last_id")  # words said over and over in one text are no passage
-    hits = rows.join(counts, "window").withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))))
+    rows = source.mapInArrow(_window_rows(window, table, log), "window long, id long, at int")
+    # One shuffle instead of a count and a join back: most windows around shared anchors are repeated.
+    same = Window.partitionBy("window")
+    hits = rows.select("*", F.count(F.lit(1)).over(same).alias("class_size"), F.min(F.struct("id", "at")).over(same).alias("first"), F.max("id").over(same).alias("last_id"))
+    hits = hits.filter("first.id <> last_id")  # words said over and over in one text are no passage
+    hits = hits.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))))
     keys = ["id", "class_size", "first_id", "removed"]
     hits = hits.select("window", "at", "id", "class_size", F.col("first.id").alias("first_id"), "removed")
     run = hits.withColumn("run", F.col("at") - F.expr(f"dense_rank() over (partition by {', '.join(keys)} order by at)"))
