@@ -24,3 +24,11 @@ def test_stages_work_on_each_others_rows(spark, tmp_path):
 
             assert contamination(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("contaminated").count() == 0
     assert {r[0] for r in docs.select("shard").distinct().collect()} <= set(range(8))
+
+
+def test_short_benchmark_items_are_cut(spark, tmp_path):
+    spark.createDataFrame([(1, "what is the capital city")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(1, "one two three four five six What is the capital city? seven eight nine"), (2, "what is the capital of one two three four five")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert got[1].split() == "one two three four five six ? seven eight nine".split() and got[2] == texts[1][1]
