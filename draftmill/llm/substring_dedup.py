@@ -1,47 +1,50 @@
 """Repeated passages, found as near-duplicate paragraphs by MinHash banding.
 
-Paragraphs (lines) of enough words get a MinHash signature of their five-word shingles, cut into bands. The
-bands are tuned so that paragraphs at the wanted similarity collide with high probability. Colliding paragraphs
-form candidate groups; inside a group exact Jaccard similarities decide the links, and components of links are
-the classes of repeats. Equal paragraphs are one node throughout, however often they occur. A passage is a run
-of repeated paragraphs in a text; runs of too few words are let be.
-
-A passage may also stand anywhere else, inside longer lines, over line ends or in lines of few words. A text's
-words, regardless of lines, are therefore looked at in windows too. Of neighbouring runs of words the one of least
-hash is an anchor (winnowing), so that every window holds one, the same wherever it occurs. Windows around anchors
-that several texts have are counted; those that several texts have, joined where they follow each other, are passages.
+There are two kinds of paragraphs. Lines get a MinHash signature of their five-word shingles, cut into bands that
+are tuned so that lines at the wanted similarity collide with high probability. Colliding lines form candidate
+groups; inside a group exact Jaccard similarities decide the links, and components of links are the classes of
+repeats. Equal lines are one node throughout, however often they occur. A passage is a run of repeated lines in a
+text; runs of too few words are let be.
+
+A passage may also stand anywhere else, inside longer lines, over line ends or in lines of few words. So each run of
+51 words, wherever it starts, is a paragraph too. Neighbours overlap, hence their MinHash values are sliding minima,
+which stay the same for many words on. One band of these is a key; paragraphs whose key several places have are
+candidates, verified word for word (by a hash of all 51 words). Repeated ones that follow each other are a passage, so
+its ends are exact and no window of 51 words is missed.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import materialise, text_or_empty, words_of
 
 SHINGLE = 5
-#: Words of a paragraph that is looked at, and of a run of repeated ones that is reported.
-PARAGRAPH_WORDS, PASSAGE_WORDS = 5, 50
-#: Mean words of a piece of a line, and words of a window of the word stream that is reported if several ids hold it.
-PIECE, PIECES_WORDS = 12, 51
-#: Most binary logarithm of the bits that shared anchors set in a table sent to all tasks (32 MB); a fuller one only lets more windows be counted.
+#: Words of a run of repeated lines that is reported, and of a window of the word stream that is a paragraph of its own.
+PASSAGE_WORDS, WINDOW_WORDS = 50, 51
+#: MinHash values in the one band of windows. Equal windows agree in all, so one band finds them all; two values keep most windows out that share only a phrase.
+WINDOW_ROWS = 2
+#: Most binary logarithm of the bits that keys set in a table sent to all tasks (32 MB); a fuller one only lets more windows or lines be verified.
 TABLE_LOG = 28
-#: Signature values at most, and the share of pairs at the wanted similarity that must collide.
-VALUES, RECALL = 64, 0.999
-#: Paragraphs of a candidate group that one task compares with as many others.
-PART = 1500
-#: Paragraph ids up to which they are broadcast to fetch their texts (8 bytes each); beyond, a shuffle does it.
-BROADCAST_IDS = 4_000_000
-#: Words hashed at a time.
-CHUNK = 100_000
+#: Signature values at most (of whole texts, of lines), and the share of pairs at the wanted similarity that must collide.
+VALUES, LINE_VALUES, RECALL = 64, 32, 0.999
+#: Lines of a candidate group that one task compares with as many others.
+PART = 500
+#: Groups of over PART lines up to which their sizes are broadcast (16 bytes each); beyond, a shuffle does it.
+BROADCAST_GROUPS = 1_000_000
+#: Words of lines, and of windows, that are hashed at a time.
+CHUNK, WINDOW_CHUNK = 100_000, 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(7).integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def tune_bands(similarity: float, recall: float = RECALL, values: int = VALUES) -> tuple[int, int]:
@@ -57,10 +60,10 @@ def tune_bands(similarity: float, recall: float = RECALL, values: int = VALUES)
     return best
 
 
-def paragraphs(text: str | None, least: int = PARAGRAPH_WORDS) -> list[list[bytes]]:
-    """Words (A-Z lowered) of each line of at least ``least`` words, in order."""
+def paragraphs(text: str | None) -> list[list[bytes]]:
+    """Words (A-Z lowered) of each line that has any, in order."""
     lines = (line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")) if text else ()
-    return [w for w in lines if len(w) >= least]
+    return [w for w in lines if w]
 
 
 def paragraph_id(words: list[bytes]) -> int:
@@ -70,8 +73,9 @@ def paragraph_id(words: list[bytes]) -> int:
 
 
 def _shingles(many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of paragraphs (each of at least SHINGLE words), and where each starts."""
+    """Hashes of all shingles of paragraphs, and where each starts; those of fewer than SHINGLE words are one shingle."""
     digest = xxhash.xxh64_intdigest
+    many = [p if len(p) >= SHINGLE else [*p, *[b""] * (SHINGLE - len(p))] for p in many]
     lengths = np.array([len(p) for p in many])
     words = np.fromiter((digest(w) for p in many for w in p), np.uint64, int(lengths.sum()))
     rolled = np.zeros(len(words) - SHINGLE + 1, np.uint64)
@@ -89,12 +93,10 @@ def _shingles(many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(shingles: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(bands, n) keys of n sets of shingle hashes, none empty: the MinHash values of each band, mixed."""
-    rng = np.random.default_rng(7)
-    odd = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
     keys = np.empty((bands, len(starts)), np.uint64)
     for band in range(bands):
         key = np.full(len(starts), band + 1, np.uint64)
-        for a in odd[band * rows : (band + 1) * rows]:
+        for a in _ODD[band * rows : (band + 1) * rows]:
             key = (key ^ np.minimum.reduceat(shingles * a, starts)) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(31)
         keys[band] = key
@@ -114,15 +116,19 @@ def packed_keys(keys: np.ndarray, names: np.ndarray, log: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(place[edges], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
 
 
-def pieces(words: list[bytes]) -> list[tuple[int, int]]:
-    """[start, end) word places of the pieces of a long line: one ends after each pair of words whose hash PIECE divides.
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as bytes, by byte planes, whose high ones compress well."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"" for a in map(np.ascontiguousarray, arrays)]
+    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(planes)
 
-    ``repeated_passages`` does not use them: a passage need not hold a whole piece.
-    """
-    h = np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint32, len(words)).astype(np.uint64)
-    pair = (h[:-1] * np.uint64(0x9E3779B1) + h[1:]) * _BASE >> np.uint64(40)
-    ends = [*(np.flatnonzero(pair % np.uint64(PIECE) == 0) + 2).tolist(), len(words)]
-    return [(s, e) for s, e in zip([0, *ends[:-1]], ends, strict=True) if s < e]
+
+def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(raw, "<u4", len(kinds)).tolist(), 4 * len(kinds), []
+    for kind, n in zip(kinds, sizes, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
 
 
 def _rolled(words: np.ndarray, n: int) -> np.ndarray:
@@ -145,61 +151,98 @@ def _sliding(f: np.ufunc, x: np.ndarray, n: int) -> np.ndarray:
     return f(x[: len(x) - (n - width)], x[n - width :]) if width < n else x
 
 
-def anchors(words: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and hashes of anchors, runs of ``window`` // 2 + 1 words, and for each window's start if it lies in one text.
+def window_keys(words: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window's start its key, one band of MinHash values of its shingles, and whether it lies in one text.
 
-    ``words`` holds hashes of the words of texts in a row, ``ends`` for each the end of its text. Every window
-    inside a text holds an anchor that hangs on the window's words alone.
+    ``words`` holds hashes of the words of texts in a row, ``ends`` for each the end of its text.
     """
-    size = window // 2 + 1
-    near = window - size + 1
-    runs = _rolled(words, size)
-    inside = np.arange(window, len(words) + 1) <= ends[: len(words) - window + 1]
-    least = np.where(inside, _sliding(np.minimum, runs, near), np.uint64(0))
-    aside = np.zeros(near - 1, np.uint64)
-    most = _sliding(np.maximum, np.r_[aside, least, aside], near)
-    places = np.flatnonzero((runs == most) & (most > 0))
-    return places, runs[places], inside
+    n = min(SHINGLE, window)
+    shingles = _rolled(words, n)
+    keys = np.zeros(len(words) - window + 1, np.uint64)
+    for a in _ODD[:WINDOW_ROWS]:
+        keys = (keys ^ _sliding(np.minimum, shingles * a, window - n + 1)) * np.uint64(0x94D049BB133111EB)
+        keys ^= keys >> np.uint64(31)
+    return keys, np.arange(window, len(words) + 1) <= ends[: len(keys)]
 
 
 def _streams(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For the words of texts of at least ``window`` words in a row: ids, starts and ends of their texts, hashes."""
+    """For the words of texts of at least ``window`` words, texts by id: ids, starts and ends of their texts, hashes."""
 
-    def joined(ids: list[int], many: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        sizes = np.array([len(w) for w in many])
+    def joined(held: list[tuple[int, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        held.sort(key=lambda x: x[0])
+        sizes = np.array([len(w) for _, w in held])
         ends = np.cumsum(sizes)
-        words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(many)), np.uint64, int(ends[-1]))
-        return np.repeat(np.array(ids, np.int64), sizes), np.repeat(ends - sizes, sizes), np.repeat(ends, sizes), words
+        words = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(w for _, w in held)), np.uint64, int(ends[-1]))
+        return np.repeat(np.array([i for i, _ in held], np.int64), sizes), np.repeat(ends - sizes, sizes), np.repeat(ends, sizes), words
 
-    ids, many, n = [], [], 0
+    held, n = [], 0
     for b in batches:
         for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             words = words_of(text.as_py())
             if len(words) >= window:
-                ids.append(i)
-                many.append(words)
+                held.append((i, words))
                 n += len(words)
-                if n > CHUNK:
-                    yield joined(ids, many)
-                    ids, many, n = [], [], 0
-    if many:
-        yield joined(ids, many)
+                if n > WINDOW_CHUNK:
+                    yield joined(held)
+                    held, n = [], 0
+    if held:
+        yield joined(held)
+
 
+def _dealt(hashes: np.ndarray, log: int) -> Iterator[tuple[int, slice]]:
+    """Buckets, by the first ``log`` bits, of sorted hashes, and where each lies; empty ones are left out."""
+    edges = np.searchsorted(hashes, np.arange(1, 1 << log, dtype=np.uint64) << np.uint64(64 - log))
+    for bucket, (s, e) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(hashes)], strict=True)):
+        if s < e:
+            yield bucket, slice(s, e)
+
+
+def _key_runs(window: int, log: int):
+    """Task side: (bucket, run) of the sorted keys of windows and whether several places of the chunk have them."""
 
-def _anchor_rows(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, ends, words in _streams(batches, window):
-            places, hashes, _ = anchors(words, ends, window)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[places])], ["anchor", "id"])
+        for _, starts, ends, words in _streams(batches, window):
+            keys, inside = window_keys(words, ends, window)
+            at = np.flatnonzero(inside)
+            keys, text = keys[at], starts[at]
+            keys = keys[np.r_[True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])]]
+            keys, times = np.unique(keys, return_counts=True)
+            buckets, runs = zip(*[(k, packed(keys[s], times[s] > 1)) for k, s in _dealt(keys, log)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(runs, pa.binary())], ["bucket", "run"])
 
     return scan
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (tuples) of one value of the first column at a time."""
+    name, rows = None, []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if rows and row[0] != name:
+                yield rows
+                rows = []
+            name = row[0]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket side: the keys that several places have."""
+    for rows in _by_bucket(batches):
+        keys, several = map(np.concatenate, zip(*[unpacked(r[1], "<u8", "?") for r in rows], strict=True))
+        order = np.argsort(keys)
+        keys, several = keys[order], several[order]
+        start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        shared = np.logical_or.reduceat(several, start) | (np.diff(np.r_[start, len(keys)]) > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[start][shared].view(np.int64))], ["key"])
+
+
 def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (block, bit) in order of blocks to (block, bits packed)."""
-    block, held = None, np.zeros(0, bool)
+    block, held = None, np.zeros(1 << 16, bool)
 
-    def packed() -> pa.RecordBatch:
+    def done() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
 
     for b in batches:
@@ -207,28 +250,114 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.unique(blocks).tolist():
             if k != block:
                 if block is not None:
-                    yield packed()
+                    yield done()
                 block, held = k, np.zeros(1 << 16, bool)
             held[bits[blocks == k]] = True
     if block is not None:
-        yield packed()
+        yield done()
+
+
+def bit_table(keys: DataFrame):
+    """A broadcast table of bits set by the first bits of ``keys`` (key long), and the logarithm of its size: at most TABLE_LOG."""
+    log = min(TABLE_LOG, max(16, (16 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned("key", 64 - log)
+    rows = keys.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(65535)).alias("bit"))
+    bits = np.zeros(1 << (log - 3), np.uint8)
+    for k, own in rows.repartition("block").sortWithinPartitions("block").mapInArrow(_bits, "block long, bits binary").toLocalIterator():
+        bits[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(bits), log
+
+
+def _in_table(bits: np.ndarray, log: int, keys: np.ndarray) -> np.ndarray:
+    slot = (keys >> np.uint64(64 - log)).astype(np.int64)
+    return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+WINDOW_RUN = ("<u8", "<i8", "<i4", "<i4", "?")  # of windows with one hash in a chunk: hash, first id and place, occurrences, whether several ids have it
+CHUNK_PLACES = ("<i8", "<i4", "<i4", "<u4")  # of runs of windows in a chunk: id, first place, length; of each window the number of its hash
+REPLY = ("?", "?", "<i4", "<i8", "<i4")  # of each hash whether it is repeated; of those: whether the first is in this chunk, occurrences, first id and place
 
 
-def _window_rows(window: int, table, log: int):
-    """(window, id, at): the windows around anchors in the table."""
+def _window_runs(window: int, table, table_log: int, log: int):
+    """Task side: (bucket, chunk, run) of the candidate windows of each chunk, and in bucket -1 their places."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
-        near = window - window // 2
         for ids, starts, ends, words in _streams(batches, window):
-            places, hashes, inside = anchors(words, ends, window)
-            slot = (hashes >> np.uint64(64 - log)).astype(np.int64)
-            places = places[(bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0]
-            edges = np.bincount(np.maximum(places - near + 1, 0), minlength=len(words) + 1) - np.bincount(places + 1, minlength=len(words) + 1)
-            at = np.flatnonzero((np.cumsum(edges)[: len(inside)] > 0) & inside)
-            if len(at):
-                own = _rolled(words, window)[at].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids[at]), pa.array((at - starts[at]).astype(np.int32))], ["window", "id", "at"])
+            keys, inside = window_keys(words, ends, window)
+            at = np.flatnonzero(inside & _in_table(bits, table_log, keys))
+            if not len(at):
+                continue
+            own, ids, place = _rolled(words, window)[at], ids[at], (at - starts[at]).astype(np.int32)
+            order = np.argsort(own, kind="stable")  # equal ones stay in order of id and place
+            new = np.r_[True, own[order][1:] != own[order][:-1]]
+            number = np.empty(len(at), np.uint32)
+            number[order] = np.cumsum(new) - 1
+            head = np.flatnonzero(new)
+            size = np.diff(np.r_[head, len(at)])
+            first, last = order[head], order[head + size - 1]
+            columns = (own[first], ids[first], place[first], size.astype(np.int32), ids[first] != ids[last])
+            broken = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (starts[at][1:] != starts[at][:-1])])
+            rows = [(-1, packed(ids[broken], place[broken], np.diff(np.r_[broken, len(at)]).astype(np.int32), number))]
+            rows += [(k, packed(*[c[s] for c in columns])) for k, s in _dealt(own[first], log)]
+            chunk = int.from_bytes(os.urandom(8)) >> 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "chunk", "run"])
+
+    return scan
+
+
+def _window_replies(inside: bool):
+    """Bucket side: (chunk, bucket, run): a REPLY for each run. A window that very many texts have comes once a chunk."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            parts = [unpacked(r[2], *WINDOW_RUN) for r in rows]
+            lengths = [len(p[0]) for p in parts]
+            hashes, ids, places, sizes, several = map(np.concatenate, zip(*parts, strict=True))
+            order = np.lexsort((np.repeat([r[1] for r in rows], lengths), places, ids, hashes))
+            new = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
+            start, group = np.flatnonzero(new), np.empty(len(order), np.int64)
+            group[order] = np.cumsum(new) - 1
+            size = np.add.reduceat(sizes[order].astype(np.int64), start)
+            apart = np.logical_or.reduceat(several[order], start) | (np.maximum.reduceat(ids[order], start) != ids[order[start]])
+            repeated = (size > 1 if inside else apart)[group]
+            size = np.minimum(size, np.iinfo(np.int32).max).astype(np.int32)
+            won = np.zeros(len(order), bool)
+            won[order[start]] = True
+            first = order[start][group]
+            runs, at = [], 0
+            for n in lengths:
+                some = at + np.flatnonzero(repeated[at : at + n])
+                runs.append(packed(repeated[at : at + n], won[some], size[group[some]], ids[first[some]], places[first[some]]))
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows], pa.int32()), pa.array(runs, pa.binary())], ["chunk", "bucket", "run"])
+
+    return scan
+
+
+def _window_spans(window: int):
+    """Chunk side: rows (chunk, bucket, run) of a chunk, its places first, to its spans of repeated windows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bucket(batches):
+            ids, places, lengths, number = unpacked(rows[0][2], *CHUNK_PLACES)
+            repeated, won, size, first_id, first_place = map(np.concatenate, zip(*[unpacked(r[2], *REPLY) for r in rows[1:]], strict=True))
+            of = np.cumsum(repeated) - 1  # hashes to repeated ones
+            run = np.repeat(np.arange(len(ids)), lengths)
+            at = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + places[run]
+            head = np.zeros(len(number), bool)
+            head[np.unique(number, return_index=True)[1]] = True
+            some = np.flatnonzero(repeated[number])
+            if not len(some):
+                continue
+            own = of[number[some]]
+            run, at, head, size, first_id, first_place = run[some], at[some], head[some], size[own], first_id[own], first_place[own]
+            gone = ~(head & won[own])
+            change = lambda x: x[1:] != x[:-1]
+            start = np.flatnonzero(np.r_[True, change(run) | (np.diff(at) != 1) | change(size) | change(first_id) | change(gone)])
+            n = np.diff(np.r_[start, len(some)]) + window - 1
+            columns = [ids[run[start]], at[start].astype(np.int32), n.astype(np.int32), size[start].astype(np.int64), first_id[start], first_place[start], gone[start]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["id", "first_word", "n_words", "class_size", "first_id", "first_id_word", "removed"])
 
     return scan
 
@@ -296,20 +425,17 @@ def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links(runs)
 
 
-def _texts(wanted):
-    """(paragraph, text) of the wanted paragraphs, each once a batch."""
+def _texts(table, log: int):
+    """(paragraph, words) of the lines whose bits are in the table, each once a batch; a few others come along."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = wanted.value if wanted is not None else None
+        bits = table.value
         for b in batches:
             found: dict[int, bytes] = {}
             for text in b.column(0):
                 own = {n: w for w in paragraphs(text.as_py()) if (n := paragraph_id(w)) not in found}
-                if ids is not None and own:
-                    names = np.fromiter(own, np.int64, len(own))
-                    at = np.searchsorted(ids, names).clip(0, max(0, len(ids) - 1))
-                    own = {int(n): own[int(n)] for n in (names[ids[at] == names] if len(ids) else ())}
-                found |= {n: b" ".join(w) for n, w in own.items()}
+                names = np.fromiter(own, np.int64, len(own))
+                found |= {n: b" ".join(own[n]) for n in names[_in_table(bits, log, names.view(np.uint64))].tolist()}
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["paragraph", "words"])
 
     return scan
@@ -374,25 +500,28 @@ def _verified(similarity: float):
     return scan
 
 
+def in_parts(groups: DataFrame, part: int) -> DataFrame:
+    """``groups`` (node, component) with cuts and part: components of over ``part`` nodes in cuts parts, by hash of the node."""
+    large = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("cuts")).filter("cuts > 1")
+    large = materialise(large, "large")  # at most one row in ``part`` nodes
+    large = F.broadcast(large) if large.count() <= BROADCAST_GROUPS else large
+    placed = groups.join(large, "component", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    return placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+
+
 def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(paragraph, class_id) of paragraphs of ``source`` (text, not null) with similar, different ones."""
     spark = source.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bands, rows = tune_bands(similarity)
+    bands, rows = tune_bands(similarity, values=LINE_VALUES)
     log = max(1, (2 * parts - 1).bit_length())
     runs = source.select("text").mapInArrow(_bands(bands, rows, log), "bucket int, run binary")
     links = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(collisions, "a long, b long")
     groups = materialise(connected_components(links), "collisions")
-    n = groups.count()
-    if n <= BROADCAST_IDS:
-        ids = np.sort(groups.select("node").toArrow().column(0).to_numpy())
-        wanted = spark.sparkContext.broadcast(ids)
-    else:
-        wanted = None
-    texts = source.select("text").mapInArrow(_texts(wanted), "paragraph long, words binary")
+    wanted = bit_table(groups.select(F.col("node").alias("key")))
+    texts = source.select("text").mapInArrow(_texts(*wanted), "paragraph long, words binary")
     texts = texts.groupBy("paragraph").agg(F.min("words").alias("words"))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("cuts"))
-    placed = groups.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    placed = in_parts(groups, PART)
     # Blocks (left, right) of parts, left <= right: each pair of paragraphs meets in one.
     other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
     blocks = placed.join(texts, placed["node"] == texts["paragraph"]).select("component", "part", other.alias("o"), "paragraph", "words")
@@ -402,60 +531,48 @@ def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     return found.select(F.col("node").alias("paragraph"), F.col("component").alias("class_id"))
 
 
-def _repeated_windows(source: DataFrame, window: int) -> DataFrame:
+def _repeated_windows(source: DataFrame, window: int, inside: bool) -> DataFrame:
     """(id, first_word, n_words, class_id, class_size, first_id, removed): runs of windows that several ids hold."""
     spark = source.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = source.mapInArrow(_anchor_rows(window), "anchor long, id long")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("anchor")
-    shared = materialise(shared, "anchors")
-    log = min(TABLE_LOG, max(16, (16 * shared.count()).bit_length()))
-    slot = F.shiftrightunsigned("anchor", 64 - log)
-    blocks = shared.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(65535)).alias("bit"))
-    bits = np.zeros(1 << (log - 3), np.uint8)
-    for k, own in blocks.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(_bits, "block long, bits binary").toLocalIterator():
-        bits[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
-    table = spark.sparkContext.broadcast(bits)
-    rows = source.mapInArrow(_window_rows(window, table, log), "window long, id long, at int")
-    # One shuffle instead of a count and a join back: most windows around shared anchors are repeated.
-    same = Window.partitionBy("window")
-    hits = rows.select("*", F.count(F.lit(1)).over(same).alias("class_size"), F.min(F.struct("id", "at")).over(same).alias("first"), F.max("id").over(same).alias("last_id"))
-    hits = hits.filter("first.id <> last_id")  # words said over and over in one text are no passage
-    hits = hits.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))))
-    keys = ["id", "class_size", "first_id", "removed"]
-    hits = hits.select("window", "at", "id", "class_size", F.col("first.id").alias("first_id"), "removed")
-    run = hits.withColumn("run", F.col("at") - F.expr(f"dense_rank() over (partition by {', '.join(keys)} order by at)"))
-    spans = run.groupBy(*keys, "run").agg(F.min("at").alias("first_word"), (F.max("at") - F.min("at") + window).alias("n_words"), F.min_by("window", "at").alias("class_id"))
-    return spans.drop("run")
-
-
-def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, piece_words: int = PIECES_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph of a repeated passage, and per span of words that several ids hold: id, place,
+    log = max(1, (2 * parts - 1).bit_length())
+    dealt = lambda rows, *keys: rows.repartition(parts, keys[0]).sortWithinPartitions(*keys)
+    keys = dealt(source.mapInArrow(_key_runs(window, log), "bucket int, run binary"), "bucket").mapInArrow(_shared_keys, "key long")
+    table, table_log = bit_table(materialise(keys, "windowkeys"))
+    found = materialise(source.mapInArrow(_window_runs(window, table, table_log, log), "bucket int, chunk long, run binary"), "windows")
+    replies = dealt(found.filter("bucket >= 0"), "bucket", "chunk").mapInArrow(_window_replies(inside), "chunk long, bucket int, run binary")
+    places = found.filter("bucket < 0").select("chunk", "bucket", "run")
+    spans = dealt(places.unionByName(replies), "chunk", "bucket").mapInArrow(_window_spans(window), "id long, first_word int, n_words int, class_size long, first_id long, first_id_word int, removed boolean")
+    return spans.withColumn("class_id", F.xxhash64("first_id", "first_id_word")).drop("first_id_word")
+
+
+def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, window_words: int = WINDOW_WORDS, inside: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per line of a repeated passage, and per span of words that several ids hold: id, place,
     first_word, n_words, class_id, class_size, first_id, removed.
 
-    place counts the id's lines of at least PARAGRAPH_WORDS words from 0; shorter lines neither count nor part
-    a passage. A class holds paragraphs of Jaccard similarity of at least ``similarity``, directly or over
-    others; class_size is its occurrences. A passage is a run of paragraphs whose classes occur more than
-    once, ``least_words`` words long or more. Of a class the occurrence of smallest (id, place) stays;
-    removed is true for the others. first_word is 0 for paragraphs.
+    place counts the id's lines that have words from 0. A class holds lines of Jaccard similarity of at least
+    ``similarity``, directly or over others; class_size is its occurrences. A passage is a run of lines whose
+    classes several ids have, ``least_words`` words long or more. Of a class the occurrence of smallest (id,
+    place) stays; removed is true for the others. first_word is 0 for lines.
 
-    Regardless of lines, all windows of ``piece_words`` words that several ids hold are reported as well, with
+    Regardless of lines, all windows of ``window_words`` words that several ids hold are reported as well, with
     place null and first_word counted in the text's words. Windows that follow each other are one span if
     they occur as often, are first in the same id and stay or go alike; spans may overlap each other and
-    paragraphs. Of a window the occurrence of smallest (id, first_word) stays. class_id is the hash of a
-    span's first window.
+    lines. Of a window the occurrence of smallest (id, first_word) stays. class_id is a hash of the place of
+    the first occurrence of a span's first window.
 
-    Null and empty texts have no paragraphs. Rows with a null id are not looked at. Rows repeated with one id
-    are repeats of each other. Other columns are ignored.
+    What one id alone says several times is reported only if ``inside`` is true. Null and empty texts have no
+    lines. Rows with a null id are not looked at. Rows repeated with one id are that id's repeats of itself.
+    Other columns are ignored; an empty table gives no rows.
     """
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = materialise(source.mapInArrow(_occurrences, "id long, place int, paragraph long, n_words int"), "paragraphs")
+    rows = materialise(source.mapInArrow(_occurrences, "id long, place int, paragraph long, n_words int"), "lines")
     classes = materialise(paragraph_classes(source, similarity), "classes")
-    # Counts fold by paragraph first, then by class.
-    first = F.min(F.struct("id", "place")).alias("first")
-    counts = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n"), first)
+    # Counts fold by line first, then by class.
+    counts = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last_id"))
     counts = counts.join(classes, "paragraph", "left").withColumn("class_id", F.coalesce("class_id", "paragraph"))
-    totals = counts.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("first").alias("first")).filter("class_size > 1")
+    totals = counts.groupBy("class_id").agg(F.sum("n").alias("class_size"), F.min("first").alias("first"), F.max("last_id").alias("last_id"))
+    totals = totals.filter("class_size > 1" if inside else "first.id <> last_id").drop("last_id")
     named = materialise(counts.select("paragraph", "class_id").join(totals, "class_id"), "repeats")
     hits = rows.join(named, "paragraph")
     # Runs of neighbouring places: place less its rank is constant in a run; repeated rows share a rank.
@@ -463,18 +580,18 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     words = run.withColumn("run_words", F.expr("sum(n_words) over (partition by id, run)"))
     lines = words.filter(F.col("run_words") >= least_words).withColumn("first_word", F.lit(0))
     lines = lines.withColumn("removed", ~((F.col("id") == F.col("first.id")) & (F.col("place") == F.col("first.place"))))
-    spans = _repeated_windows(source, piece_words).withColumn("place", F.lit(None).cast("int"))
+    spans = _repeated_windows(source, window_words, inside).withColumn("place", F.lit(None).cast("int"))
     shown = [F.col("id").alias(id_col), "place", "first_word", "n_words", "class_id", "class_size"]
     return lines.select(*shown, F.col("first.id").alias("first_id"), "removed").unionByName(spans.select(*shown, "first_id", "removed"))
 
 
-def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, piece_words: int = PIECES_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, window_words: int = WINDOW_WORDS, inside: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what ``repeated_passages`` removes cut from their texts, in the same columns.
 
     Lines that lose some words have the others joined by blanks. Columns may have any names.
     """
     place, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
-    found = repeated_passages(docs, similarity, least_words, piece_words, id_col, text_col).filter("removed")
+    found = repeated_passages(docs, similarity, least_words, window_words, inside, id_col, text_col).filter("removed")
     cuts = found.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set(F.struct("place", "first_word", "n_words")).alias("_cuts"))
     joined = docs.toDF(*names).join(cuts, F.col(names[docs.columns.index(id_col)]).cast("long") == F.col("_id"), "left").drop("_id")
 
@@ -489,7 +606,7 @@ def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int =
     return joined.mapInArrow(cut, docs.toDF(*names).schema).toDF(*docs.columns)
 
 
-def without(text: str, cuts: list[tuple[int | None, int, int]], least: int = PARAGRAPH_WORDS) -> str:
+def without(text: str, cuts: list[tuple[int | None, int, int]]) -> str:
     """The text less (place, first word, words) cuts, those of place null by words of the text; a line without words left goes as a whole."""
     gone: dict[int | None, set[int]] = {}
     for place, first, n in cuts:
@@ -500,7 +617,7 @@ def without(text: str, cuts: list[tuple[int | None, int, int]], least: int = PAR
         words = line.encode("utf-8", "surrogatepass").split()
         own = {j for j in range(len(words)) if at + j in spans}
         at += len(words)
-        if len(words) >= least:
+        if words:
             own |= gone.get(k, set())
             k += 1
         if not own:

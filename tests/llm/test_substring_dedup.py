@@ -35,7 +35,7 @@ def brute(records, similarity, least):
                 occurrences.append((i, k, tuple(w)))
                 names.append(tuple(w))
     names = list(dict.fromkeys(names))
-    sets = {w: {w[j : j + 5] for j in range(len(w) - 4)} for w in names}
+    sets = {w: {w[j : j + 5] for j in range(max(1, len(w) - 4))} for w in names}
     root = {w: w for w in names}
     find = lambda w: w if root[w] == w else find(root[w])
     for a in names:
@@ -47,7 +47,7 @@ def brute(records, similarity, least):
         groups.setdefault(find(o[2]), []).append(o)
     hits = {}
     for members in groups.values():
-        if len(members) > 1:
+        if len({m[0] for m in members}) > 1:
             first = min(m[:2] for m in members)
             for i, k, w in members:
                 hits.setdefault(i, []).append((k, len(w), len(members), first[0], (i, k) != first))
@@ -72,12 +72,12 @@ def test_equals_brute_force(spark, rows, monkeypatch, part):
     monkeypatch.setattr(sd, "PART", part)
     records = corpus()
     docs = spark.createDataFrame([(i, t, 1, 2, "x") for i, t in records], "doc_id long, text string, place int, paragraph long, words string").repartition(3)
-    found = sd.repeated_passages(docs, piece_words=10**6)
+    found = sd.repeated_passages(docs, window_words=10**6)
     expected = brute(records, 0.8, 50)
     assert len({r[0] for r in expected}) >= 6
     assert rows(found.select("doc_id", "place", "n_words", "class_size", "first_id", "removed")) == expected
     if part > 1:
-        cut = {r.doc_id: r.text for r in sd.remove_passages(docs, piece_words=10**6).collect()}
+        cut = {r.doc_id: r.text for r in sd.remove_passages(docs, window_words=10**6).collect()}
         gone = {(r[0], r[1]) for r in expected if r[5]}
         for i, t in records:
             if i is not None:
@@ -100,14 +100,6 @@ def test_passages_inside_longer_lines(spark):
         assert cut[k] == left and (len(left) < len(own)) == (k in (1, 2, 3))
 
 
-def test_pieces_cover_a_line():
-    w = words(random.Random(1), 300)
-    cut = sd.pieces(w)
-    assert cut[0][0] == 0 and cut[-1][1] == 300 and all(a[1] == b[0] for a, b in pairwise(cut))
-    inner = sd.pieces(w[50:250])
-    assert {(s + 50, e + 50) for s, e in inner[1:-1]} <= set(cut)
-
-
 def test_bands_reach_their_recall():
     bands, rows = sd.tune_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= sd.VALUES
@@ -117,6 +109,7 @@ def test_bands_reach_their_recall():
 
 def test_all_odd_rows(docs, empty):
     assert sd.repeated_passages(docs, least_words=5).filter("doc_id between 200 and 214").count() >= 15
+    assert sd.repeated_passages(docs, least_words=5, inside=True).count() >= sd.repeated_passages(docs, least_words=5).count()
     assert sd.repeated_passages(empty).count() == 0
     assert sd.remove_passages(docs).count() == docs.count()
 
@@ -156,3 +149,26 @@ def test_no_window_is_missed(spark, wrapped):
     cut = {r.doc_id: r.text.split() for r in sd.remove_passages(docs).collect()}
     for i, t in records:
         assert cut[i] == [w for j, w in enumerate(t.split()) if i % 2 == 0 or j not in expected.get(i, ())]
+
+
+@pytest.mark.parametrize("chunk", [10**6, 60])  # one chunk a task; many, whose verdicts meet
+def test_what_one_document_repeats_is_told_apart(spark, monkeypatch, chunk):
+    monkeypatch.setattr(sd, "WINDOW_CHUNK", chunk)
+    rng = random.Random(4)
+    own, shared = words(rng, 60), words(rng, 55)
+    records = [(1, [*own, *words(rng, 9), *own]), (2, [*words(rng, 30), *shared]), (3, [*shared, *words(rng, 30)]), (4, words(rng, 200)), (4, words(rng, 80))]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in records], "doc_id long, text string").repartition(2)
+    shown = lambda **kw: sorted((r.doc_id, r.first_word, r.n_words, r.class_size, r.first_id, r.removed) for r in sd.repeated_passages(docs, **kw).collect())
+    across = [(2, 30, 55, 2, 2, False), (3, 0, 55, 2, 2, True)]
+    assert shown() == across
+    assert shown(inside=True) == sorted([*across, (1, 0, 60, 2, 1, False), (1, 69, 60, 2, 1, True)])
+
+
+def test_a_passage_of_very_many_documents(spark):
+    rng = random.Random(12)
+    passage = words(rng, 52)
+    others = lambda k, side: [f"{side}{k}x{j}" for j in range(rng.randint(0, 9))]
+    docs = spark.createDataFrame([(k, " ".join([*others(k, "a"), *passage, *others(k, "b")])) for k in range(700)], "doc_id long, text string").repartition(6)
+    got = sd.repeated_passages(docs).filter("place is null").collect()
+    assert {r.doc_id for r in got} == set(range(700)) and {(r.n_words, r.class_size, r.first_id) for r in got} == {(52, 700, 0)}
+    assert [r.doc_id for r in got if not r.removed] == [0]
