@@ -8,13 +8,15 @@ found by probing (pair, 1), (pair, 2), ... until one is missing; it interpolates
 
     p(w | v) = (1 - MIX) * p(w) + MIX * c(v, w) / c(v),    p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-and p(w | v) = p(w) where v is unknown. A text's first token follows an end token. State beyond the broadcast
-bound is cut into groups of shards; each group is one pass that fills in the counts its shards know.
+and p(w | v) = p(w) where v is unknown. A level stands for the least count that it holds, so the shares of all
+followers of a word sum to at most 1, but for pairs that the filter wrongly holds. A text's first token follows an
+end token. State beyond the broadcast bound is cut into groups of shards; each group is one pass that fills in the
+counts its shards know.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,10 @@ MIX = 0.5
 #: Hashes that a task counts at a time, and characters of text that are turned to words at a time.
 COUNTED, CHUNK = 2_000_000, 400_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))  # no word holds a line feed
-#: The count that stands for a level: the middle of [2^(q-1), 2^q) by size.
-_LEVEL = np.r_[0.0, 1.0, np.sqrt(2.0 ** np.arange(1, 63) * (2.0 ** np.arange(2, 64) - 1))]
+#: The count that stands for a level q: the least of [2^(q-1), 2^q).
+_LEVEL = np.r_[0.0, 2.0 ** np.arange(63)]
+#: Counts from here on are kept beside those of one byte.
+LARGE = 255
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -145,8 +149,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = pairs[level >= q]
             for k in range(PROBES):
                 bits[_positions(some, q, k, np.uint64(size)).astype(np.int64)] = True
-        row = [shard, len(tokens), int(counts.sum()), len(pairs), tokens.tobytes(), counts.astype("<u4").tobytes() if counts.max(initial=0) < 1 << 32 else counts.astype("<u8").tobytes(), np.packbits(bits, bitorder="little").tobytes()]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        large = np.flatnonzero(counts >= LARGE)
+        row = [shard, len(tokens), int(counts.sum()), len(pairs), tokens.tobytes(), np.minimum(counts, LARGE).astype(np.uint8).tobytes(), np.r_[tokens[large].view(np.int64), counts[large]].tobytes(), np.packbits(bits, bitorder="little").tobytes()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], MODEL_NAMES)
 
     shard, held, n = None, {1: [], 2: []}, 0
@@ -165,31 +170,42 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(shard, held, n)
 
 
-MODEL = "shard int, v long, n long, pairs long, tokens binary, counts binary, filter binary"
+MODEL = "shard int, v long, n long, pairs long, tokens binary, counts binary, large binary, filter binary"
 MODEL_NAMES = [c.split()[0] for c in MODEL.split(", ")]
 
 
 class Part:
     """What some shards know: exact counts of their tokens, quantised counts of their pairs."""
 
-    def __init__(self, shard_bits: int, rows: list):
+    def __init__(self, shard_bits: int, sizes: dict[int, tuple[int, int]], rows: Iterable):
+        """``sizes``: tokens and filter bytes of each shard. ``rows`` of shards go one by one to their places in arrays, so that none is held twice."""
         self.bits = shard_bits
-        rows = sorted(rows, key=lambda r: r.shard)
-        self.tokens = np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in rows]) if rows else np.array([], np.uint64)
-        self.counts = np.concatenate([np.frombuffer(r.counts, "<u4" if len(r.counts) == 4 * r.v else "<u8").astype(np.uint32 if all(len(x.counts) == 4 * x.v for x in rows) else np.int64) for r in rows]) if rows else np.array([], np.int64)
-        self.size = np.zeros(1 << shard_bits, np.uint64)
-        self.start = np.zeros(1 << shard_bits, np.int64)
-        at = 0
+        self.size, self.start = np.zeros(1 << shard_bits, np.uint64), np.zeros(1 << shard_bits, np.int64)
+        place, v, at = {}, 0, 0
+        for shard in sorted(sizes):
+            place[shard], (n, held) = v, sizes[shard]
+            self.size[shard], self.start[shard] = 8 * held, at
+            v, at = v + n, at + held
+        self.tokens, self.counts, self.filter = np.empty(v, np.uint64), np.empty(v, np.uint8), np.empty(at, np.uint8)
+        large = [np.empty((2, 0), np.int64)]
         for r in rows:
-            self.size[r.shard], self.start[r.shard] = 8 * len(r.filter), at
-            at += len(r.filter)
-        self.filter = np.frombuffer(b"".join(r.filter for r in rows), np.uint8)
+            tokens, bits = np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["filter"], np.uint8)
+            own, start = slice(place[r["shard"]], place[r["shard"]] + len(tokens)), self.start[r["shard"]]
+            self.tokens[own], self.counts[own] = tokens, np.frombuffer(r["counts"], np.uint8)
+            self.filter[start : start + len(bits)] = bits
+            large.append(np.frombuffer(r["large"], np.int64).reshape(2, -1))
+        large_tokens, large_counts = np.concatenate(large, 1)
+        order = np.argsort(large_tokens.view(np.uint64))
+        self.large_tokens, self.large_counts = large_tokens.view(np.uint64)[order], large_counts[order]
 
     def token_counts(self, tokens: np.ndarray) -> np.ndarray:
         if not len(self.tokens):
             return np.zeros(len(tokens), np.int64)
         at = np.searchsorted(self.tokens, tokens).clip(0, len(self.tokens) - 1)
-        return np.where(self.tokens[at] == tokens, self.counts[at], 0).astype(np.int64)
+        found = np.where(self.tokens[at] == tokens, self.counts[at], 0).astype(np.int64)
+        large = np.flatnonzero(found == LARGE)
+        found[large] = self.large_counts[np.searchsorted(self.large_tokens, tokens[large])]
+        return found
 
     def levels(self, pairs: np.ndarray) -> np.ndarray:
         """q of each pair, 0 where the filter doesn't hold (pair, 1)."""
@@ -276,18 +292,20 @@ def score_texts(docs: DataFrame, training: DataFrame, most: int = BROADCAST_BYTE
     """
     spark = docs.sparkSession
     model, bits = train(training)
-    sizes = [(r[0], r[1]) for r in model.select("shard", F.expr("octet_length(tokens) + octet_length(counts) + octet_length(filter)")).orderBy("shard").collect()]
+    total = F.expr("octet_length(tokens) + octet_length(counts) + octet_length(large) + octet_length(filter)")
+    found = model.select("shard", F.octet_length("counts"), F.octet_length("filter"), total).orderBy("shard").collect()
     n, v = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    groups = _groups(sizes, most)
+    groups = _groups([(r[0], r[3]) for r in found], most)
+
+    def part(group: list[int]) -> Part:
+        sizes = {r[0]: (r[1], r[2]) for r in found if r[0] in group}
+        return Part(bits, sizes, model.filter(F.col("shard").isin(group)).toLocalIterator() if group else [])
+
     end_shard = int(END) >> (64 - bits)
-    own = model.filter(F.col("shard") == end_shard).collect()
-    end_count = int(Part(bits, own).token_counts(np.array([END]))[0])
-    del own
+    end_count = int(part([r[0] for r in found if r[0] == end_shard]).token_counts(np.array([END]))[0])
     out = docs
     for k, group in enumerate(groups):
-        rows = model.filter(F.col("shard").isin(group)).collect() if group else []
-        shared = spark.sparkContext.broadcast((Part(bits, rows), end_count))
-        del rows
+        shared = spark.sparkContext.broadcast((part(group), end_count))
         last = k == len(groups) - 1
         out = materialise(out, "counts") if k else out
         schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double" if last else "id long, held_out boolean, text string, known binary, levels binary"

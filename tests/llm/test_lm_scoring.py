@@ -51,9 +51,7 @@ def test_filter_levels():
 
     batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([2], pa.int32()), pa.array([lm_scoring._pack(pairs, counts)], pa.binary())], ["shard", "kind", "run"])
     row = next(lm_scoring._merge(iter([batch]))).to_pylist()[0]
-    from types import SimpleNamespace
-
-    part = lm_scoring.Part(0, [SimpleNamespace(**row)])
+    part = lm_scoring.Part(0, {0: (0, len(row["filter"]))}, [row])
     levels = part.levels(pairs)
     exact_levels = np.floor(np.log2(counts)) + 1
     assert (levels >= exact_levels).all() and (levels == exact_levels).mean() > 0.97
@@ -65,3 +63,23 @@ def test_no_training_and_no_rows(spark, empty):
     df = spark.createDataFrame([(i, "a b") for i in held], "doc_id long, text string")
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_scoring.lm_scores(df).collect()] == [(3, 0, 0, 0.0, 0.0)] * 3
     assert lm_scoring.lm_scores(empty).count() == 0
+
+
+def test_counts_beyond_a_byte(spark):
+    text = " ".join(["one"] * 254 + ["two"] * 255 + ["three"] * 70_000 + ["four"])
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(40)]
+    learnt, asked = held.index(False), held.index(True)
+    docs = spark.createDataFrame([(learnt, text), (asked, "one two three four five")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.lm_scores(docs).collect()}[asked]
+    total = 254 + 255 + 70_000 + 2
+    expected = sum(math.log10((c + 0.5) / (total + 0.5 * 6)) for c in (254, 255, 70_000, 1, 0, 1))
+    assert (got.n_known, got.train_tokens) == (5, total) and got.base_score == pytest.approx(expected, rel=1e-12)
+
+
+def test_shares_of_followers_sum_to_at_most_one():
+    """Whatever the counts of a word's followers, their levels over the word's count are no more than a whole."""
+    rng = np.random.default_rng(3)
+    for counts in [np.full(50, k) for k in (1, 2, 3, 4, 7, 8, 15)] + [rng.integers(1, 10**6, 200)]:
+        levels = np.floor(np.log2(counts)).astype(int) + 1
+        share = lm_scoring._LEVEL[levels] / counts.sum()
+        assert 0.5 <= share.sum() <= 1
