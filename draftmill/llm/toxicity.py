@@ -11,7 +11,6 @@ worst words, fitted on the same texts.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ LANDMARKS = 96
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 #: Words of clean texts that are known, the most frequent of them that are always fitted, and the worst judged that join them in each round.
 CLEAN_WORDS, FREQUENT, HARD = 100_000, 15_000, 6_000
-#: Words whose judgement a worker remembers in each of two generations, and characters of text judged at a time.
+#: Words whose judgement a task remembers in each of two generations, and characters of text judged at a time.
 REMEMBERED, CHUNK = 120_000, 400_000
 # Fixed value: ASCII signs, taken off both ends of words.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -219,17 +218,17 @@ def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Mach
     words, forms = _Numbers(), _Numbers()
     bags = [np.fromiter(map(words.__getitem__, units(t)), np.int32) for t in texts]
     cut = [[forms[p] for p in pieces(w)] for w in words]
-    longest = max(map(len, cut), default=1)
-    of_word = np.full((len(cut), max(1, min(longest, 4))), -1, np.int32)  # more pieces than four are judged by the words' rest below
-    for k, c in enumerate(cut):
-        of_word[k, : min(len(c), of_word.shape[1])] = c[: of_word.shape[1]]
+    length = np.array([len(c) for c in cut], np.int64)
+    start = np.cumsum(length) - length
+    of_words = np.fromiter((p for c in cut for p in c), np.int32, int(length.sum()))
     del cut
     names = list(forms)
     counts = np.zeros((2, len(names)), np.int32)
     members: list[np.ndarray] = []
     for bag, t in zip(bags, toxic, strict=True):
-        own = np.unique(of_word[np.unique(bag)]) if len(bag) else np.zeros(0, np.int32)
-        own = own[own >= 0]
+        k = np.unique(bag)
+        n = length[k]
+        own = np.unique(of_words[np.repeat(start[k] - np.cumsum(n) + n, n) + np.arange(n.sum())])
         counts[int(t), own] += 1
         if t:
             members.append(own)
@@ -326,37 +325,26 @@ class _Memory:
         return [two_worst(list(map(self.young.__getitem__, bag)), self.machine.bias) for bag in bags]
 
 
-_memories: dict[str, _Memory] = {}
+def _scored(shared):
+    """Scores of columns of texts, by a memory that lasts as long as the task."""
+    machine = shared.value
+    memory = _Memory(machine)
 
+    def scores(texts: pa.Array) -> np.ndarray:
+        bags: list[list[str]] = []
+        worst: list[tuple[float, float]] = []
+        n = 0
+        for t in texts:
+            t = t.as_py() or ""
+            bags.append(units(t))
+            n += len(t)
+            if n > CHUNK:
+                worst += memory.worst(bags)
+                bags, n = [], 0
+        worst += memory.worst(bags)
+        return machine.scores(np.array(worst).reshape(-1, 2))
 
-def _memory_of(key: str, machine: Machine) -> _Memory:
-    """One memory a worker, kept from task to task."""
-    if key not in _memories:
-        _memories.clear()
-        _memories[key] = _Memory(machine)
-    return _memories[key]
-
-
-def _scorer(shared, key: str):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
-        memory = _memory_of(key, machine)
-        for b in batches:
-            bags: list[list[str]] = []
-            worst: list[tuple[float, float]] = []
-            n = 0
-            for t in b.column(1):
-                t = t.as_py()
-                bags.append(units(t))
-                n += len(t)
-                if n > CHUNK:
-                    worst += memory.worst(bags)
-                    bags, n = [], 0
-            worst += memory.worst(bags)
-            scores = machine.scores(np.array(worst).reshape(-1, 2))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["row", "score"])
-
-    return scan
+    return scores
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool], float]:
@@ -378,33 +366,51 @@ def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out:
     return texts_, toxic, counts.get(1, 0) / max(1, sum(counts.values()))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
+def _fitted(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, label_col: str) -> Machine | None:
+    texts, toxic, share = training_sample(docs, labels, modulus, held_out, id_col, text_col, label_col)
+    return fit(texts, toxic, share)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1), predicted (1 if score >= ``threshold``).
 
     The machine is fitted on the driver on a bounded sample of labelled texts whose crc32(id as text) mod
     ``modulus`` isn't ``held_out``; only texts are inputs of a score. Null and empty texts score like a text
     without words. Without labels of both classes all scores are 0. Null ids and repeated rows are scored like
-    any other. ``keep`` names columns of ``docs`` to return beside these; by default none.
+    any other. Other columns are ignored; an empty table gives no rows.
     """
-    texts, toxic, share = training_sample(docs, labels, modulus, held_out, id_col, text_col, label_col)
-    machine = fit(texts, toxic, share)
-    del texts
+    machine = _fitted(docs, labels, modulus, held_out, id_col, text_col, label_col)
     held = (id_remainder(id_col, modulus) == held_out).alias("held_out")
-    carried = F.struct(F.col(id_col).alias("id"), held, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep or [])]).alias("row")
-    source = docs.select(carried, text_or_empty(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), held, F.col(text_col).alias("text"))
     if machine is None:
-        scored = source.select("row", F.lit(0.0).alias("score"))
+        scored = source.select("id", "held_out", F.lit(0.0).alias("score"))
     else:
         shared = docs.sparkSession.sparkContext.broadcast(machine)
-        schema = source.select("row").schema.add("score", "double")
-        scored = source.mapInArrow(_scorer(shared, uuid.uuid4().hex), schema)
-    more = [F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(keep or [])]
-    mine = [F.col("row.id").alias(id_col), F.col("row.held_out").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
-    return scored.select(*(more or mine[:1]), *mine[1:])
-
-
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` less the rows that ``score_toxicity`` predicts to be toxic, with all their columns, whatever their names."""
-    packed = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    scored = score_toxicity(packed, labels, threshold=threshold, id_col=id_col, text_col=text_col, keep=["_row"], **kw)
-    return scored.filter("predicted = 0").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = _scored(shared)
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores(b.column(2)), pa.float64())], ["id", "held_out", "score"])
+
+        scored = source.mapInArrow(scan, source.select("id", "held_out").schema.add("score", "double"))
+    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``docs`` less the rows that ``score_toxicity`` predicts to be toxic, with all their columns, whatever their names.
+
+    Rows go through Python once and come back or don't. A null text counts as empty; null ids and repeated rows are
+    judged like any other. Without labels of both classes, or of an empty table, all rows stay.
+    """
+    machine = _fitted(docs, labels, modulus, held_out, id_col, text_col, label_col)
+    if machine is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    place, rows = docs.columns.index(text_col), docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scored(shared)
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(place)) < threshold))
+
+    return rows.mapInArrow(scan, rows.schema).toDF(*docs.columns)
