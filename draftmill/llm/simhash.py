@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import materialise, text_or_empty, words_of
-from .substring_dedup import band_keys, collisions, packed_keys, similar_pairs, tune_bands
+from .substring_dedup import band_keys, collisions, in_parts, packed_keys, similar_pairs, tune_bands
 
 #: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
 SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9
 #: Fingerprints whose signatures a task makes at a time.
 BLOCK = 20_000
 #: Texts of a component that one task compares with as many others.
-PART = 2000
+PART = 1000
+#: Ids of dropped documents up to which they are broadcast (8 bytes each); beyond, documents are shuffled to them.
+BROADCAST_IDS = 1_000_000
 #: Shingles whose MinHash values a task makes at a time.
 CHUNK = 400_000
 #: Up to this size a bucket's pairs are compared by offset, all buckets at once.
@@ -440,17 +442,17 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     # Equal texts fold by digest, so that no copy's text travels.
     firsts = materialise(source.select(F.sha2("text", 256).alias("sha"), "id").groupBy("sha").agg(F.min("id").alias("id")).select("id").distinct(), "firsts")
     near = materialise(fingerprint_components(rows, 128, radius), "fpgroups")
-    near = rows.join(near.select("fp", "component_id"), "fp").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
-    found = materialise(connected_components(near.unionByName(shingle_links(source, shingle, similarity))), "candidates")
-    placed = firsts.join(found.select(F.col("node").alias("id"), F.col("component").alias("component_id")), "id")
-    sizes = placed.groupBy("component_id").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("cuts"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    placed = placed.join(sizes, "component_id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    group = materialise(placed.select("component_id", "cuts", "part", "id"), "placed").join(source, "id")
+    near = rows.join(near.select("fp", "component_id"), "fp").filter("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+    found = connected_components(near.unionByName(shingle_links(source, shingle, similarity)))
+    groups = materialise(firsts.withColumnRenamed("id", "node").join(found, "node"), "candidates")
+    group = in_parts(groups, PART).select(F.col("component").alias("component_id"), "cuts", "part", F.col("node").alias("id")).join(source, "id")
     # Blocks (left, right) of parts, left <= right: each pair of texts meets in one.
     group = group.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     blocks = group.select("component_id", F.least("part", "o").alias("left"), F.greatest("part", "o").alias("right"), "part", "id", "text")
     blocks = blocks.repartition(parts, "component_id", "left", "right").sortWithinPartitions("component_id", "left", "right", "id")
     similar = connected_components(blocks.mapInArrow(_similar(shingle, similarity), "a long, b long"))
     copies = similar.filter("node <> component").select(F.col("node").alias("id"))
-    kept = firsts.join(copies, "id", "left_anti").withColumnRenamed("id", "_kept_id")
-    return docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("_kept_id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    kept = firsts.join(copies, "id", "left_anti")
+    gone = materialise(rows.select(F.col("id").alias("_gone_id")).distinct().join(kept, F.col("_gone_id") == F.col("id"), "left_anti"), "dropped")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left_anti")
