@@ -1,7 +1,7 @@
 """Exact deduplication over a log-structured merge index of text digests.
 
-Each scan task fills a memtable (digest -> surviving id, copies). A full memtable is flushed as a sorted
-run with a Bloom filter, cut by digest into shards. One task per shard compacts its runs in tiers: an entry
+Each scan task fills a memtable (digest -> surviving id, copies). A full memtable is flushed as sorted runs,
+one for each shard of digests, each with its Bloom filter. One task per shard compacts its runs in tiers: an entry
 that no other run's filter knows passes unmerged, the rest are merged and keep one identifier. The index
 then holds one row per digest. Digests with several copies are hits; the bytes of their texts are compared
 before any row is dropped, so a digest collision never merges different texts.
@@ -32,7 +32,7 @@ HEAVY = 1000
 _ENTRY = pa.schema([("digest", pa.binary()), ("keep", pa.int64()), ("n", pa.int64())])
 
 
-def _halves(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _halves(digests: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each digest; FNV-1a style over its bytes, as digests may be shortened."""
     width = len(digests[0].as_py())
     raw = np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, width)
@@ -48,11 +48,22 @@ def _halves(digests: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class _Filter:
     """A Bloom filter of the digests of one run."""
 
-    def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.size = np.uint64(max(64, 1 << int(np.ceil(np.log2(max(1, len(a)) * FILTER_BITS)))))
-        self.bits = np.zeros(int(self.size), bool)
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.size = bits, np.uint64(len(bits))
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray) -> _Filter:
+        found = cls(np.zeros(max(64, 1 << int(np.ceil(np.log2(max(1, len(a)) * FILTER_BITS)))), bool))
         for k in range(FILTER_PROBES):
-            self.bits[(a + np.uint64(k) * b) % self.size] = True
+            found.bits[(a + np.uint64(k) * b) % found.size] = True
+        return found
+
+    @classmethod
+    def read(cls, raw: bytes) -> _Filter:
+        return cls(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little").astype(bool))
+
+    def raw(self) -> bytes:
+        return np.packbits(self.bits, bitorder="little").tobytes()
 
     def may_hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         found = np.ones(len(a), bool)
@@ -61,45 +72,50 @@ class _Filter:
         return found
 
 
+_Run = tuple[pa.Table, _Filter]
+
+
 def _merged(table: pa.Table, keep: str) -> pa.Table:
     out = table.group_by("digest").aggregate([("keep", keep), ("n", "sum")])
     return out.rename_columns(["digest", "keep", "n"]).select(["digest", "keep", "n"]).cast(_ENTRY)
 
 
-def _compact(runs: list[pa.Table], keep: str) -> pa.Table:
-    """One sorted run of all entries; only those that another run's filter may hold are merged."""
+def _compact(runs: list[_Run], keep: str) -> _Run:
+    """One sorted run of all entries and its filter; only entries that another run's filter may hold are merged."""
     if len(runs) == 1:
         return runs[0]
-    hashes = [_halves(r["digest"].combine_chunks()) for r in runs]
-    filters = [_Filter(*h) for h in hashes]
+    hashes = [_halves(run["digest"]) for run, _ in runs]
     alone, shared = [], []
-    for k, run in enumerate(runs):
+    for k, (run, _) in enumerate(runs):
         hit = np.zeros(len(run), bool)
-        for j, other in enumerate(filters):
+        for j, (_, other) in enumerate(runs):
             if j != k:
                 hit |= other.may_hold(*hashes[k])
         alone.append(run.filter(pa.array(~hit)))
         shared.append(run.filter(pa.array(hit)))
-    return pa.concat_tables([*alone, _merged(pa.concat_tables(shared), keep)]).sort_by("digest").combine_chunks()
+    out = pa.concat_tables([*alone, _merged(pa.concat_tables(shared), keep)]).sort_by("digest")
+    return out, _Filter.of(*_halves(out["digest"]))
 
 
 def _flush(shards: int, rows: int, keep: str):
     def flushed(memtable: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-        run = _merged(pa.concat_tables(memtable), keep).sort_by("digest").combine_chunks()
+        run = _merged(pa.concat_tables(memtable), keep).sort_by("digest")
         if not len(run):
             return
-        place = (_halves(run["digest"].combine_chunks())[1] >> np.uint64(7)) % np.uint64(shards)
+        a, b = _halves(run["digest"])
+        place = (b >> np.uint64(7)) % np.uint64(shards)
         order = np.argsort(place, kind="stable")
-        run, place = run.take(pa.array(order)), place[order]
+        run, place, a, b = run.take(pa.array(order)), place[order], a[order], b[order]
         ends = np.flatnonzero(np.r_[place[1:] != place[:-1], True]) + 1
-        names, blobs = [], []
+        names, blobs, filters = [], [], []
         for start, end in zip(np.r_[0, ends[:-1]], ends, strict=True):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _ENTRY) as out:
-                out.write_table(run.slice(start, end - start).combine_chunks())
+                out.write_table(run.slice(start, end - start))
             names.append(int(place[start]))
             blobs.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "run"])
+            filters.append(_Filter.of(a[start:end], b[start:end]).raw())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary()), pa.array(filters, pa.binary())], ["shard", "run", "filter"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memtable: list[pa.Table] = []
@@ -121,21 +137,21 @@ def _flush(shards: int, rows: int, keep: str):
 
 
 def _compaction(keep: str):
-    def done(tiers: list[list[pa.Table]]) -> pa.RecordBatch | None:
+    def done(tiers: list[list[_Run]]) -> Iterator[pa.RecordBatch]:
         runs = [r for tier in tiers for r in tier]
         while len(runs) > 1:
             runs = [_compact(runs[i : i + FANOUT], keep) for i in range(0, len(runs), FANOUT)]
-        return runs[0].combine_chunks().to_batches()[0] if runs and len(runs[0]) else None
+        if runs:
+            yield from runs[0][0].to_batches()  # of each chunk: large digests don't fit one
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, tiers = None, [[]]
         for b in batches:
-            for s, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for s, blob, own in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if s != shard:
-                    if (out := done(tiers)) is not None:
-                        yield out
+                    yield from done(tiers)
                     shard, tiers = s, [[]]
-                tiers[0].append(pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks())
+                tiers[0].append((pa.ipc.open_stream(blob.as_buffer()).read_all(), _Filter.read(own.as_py())))
                 level = 0
                 while len(tiers[level]) >= FANOUT:
                     if level + 1 == len(tiers):
@@ -143,8 +159,7 @@ def _compaction(keep: str):
                     tiers[level + 1].append(_compact(tiers[level], keep))
                     tiers[level] = []
                     level += 1
-        if (out := done(tiers)) is not None:
-            yield out
+        yield from done(tiers)
 
     return compact
 
@@ -155,7 +170,7 @@ def build_index(digests: DataFrame, keep: str = "min", memtable_rows: int = MEMT
     ``keep`` is "min" or "max": which identifier survives. Null ids lose against any other.
     """
     shards = max(1, int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = digests.mapInArrow(_flush(shards, memtable_rows, keep), "shard int, run binary")
+    runs = digests.mapInArrow(_flush(shards, memtable_rows, keep), "shard int, run binary, filter binary")
     compacted = runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_compaction(keep), "digest binary, keep_id long, group_size long")
     return compacted
 
