@@ -215,9 +215,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0).
 
     items_sha256 is the digest of the ids of items with occurring windows, sorted as strings and joined by
-    commas (of the empty text where there are none). See ``contaminated_spans`` for nulls and empty texts.
+    commas (of the empty text where there are none). Items that share an id count as one there. See
+    ``contaminated_spans`` for nulls and empty texts.
     """
     found = contaminated_spans(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), benchmark, window, "_text", keep_text=False, **kw)
+    found = found.withColumn("_items", F.array_distinct("_items"))
     n_hit = F.expr("aggregate(_spans, 0L, (n, x) -> n + x.e - x.s)")
     return found.select(
         F.col("_id").alias(id_col),

@@ -8,18 +8,18 @@ from draftmill.llm.decontaminate import contamination, decontaminate, normal_wor
 @pytest.fixture(scope="module")
 def benchmark(spark, records):
     long = [t.split() for _, t in records[:8]]
-    items = [(k, " ".join(w[:25])) for k, w in enumerate(long)] + [(20, long[0][0]), (21, "x"), (22, None), (23, "!!"), (24, "never seen words " * 5), (25, " ".join(long[1][2:6])), (None, " ".join(long[2][:12])), (20, long[0][0])]
+    items = [(k, " ".join(w[:25])) for k, w in enumerate(long)] + [(20, long[0][0]), (21, "x"), (22, None), (23, "!!"), (24, "never seen words " * 5), (25, " ".join(long[1][2:6])), (None, " ".join(long[2][:12])), (20, long[0][0]), (3, " ".join(long[3][3:20]))]  # 20 and 3 stand for two items each
     return items, spark.createDataFrame(items, "item_id long, text string")
 
 
 def brute(items, text):
-    w, hit, found = normal_words(text), set(), []
+    w, hit, found = normal_words(text), set(), set()
     for i, t in items:
         v = normal_words(t)
         windows = [v[k : k + 10] for k in range(len(v) - 9)] if len(v) >= 10 else [v] if v else []
         at = [(k, len(x)) for x in windows for k in range(len(w) - len(x) + 1) if w[k : k + len(x)] == x]
         if at:
-            found.append("" if i is None else str(i))
+            found.add("" if i is None else str(i))
         hit |= {k + j for k, n in at for j in range(n)}
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
