@@ -37,20 +37,24 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, power: float
     """(_source, _rate): mean copies of a document of each source, for ``total`` times the present bytes.
 
     ``weights`` (source, weight) names target shares; they are scaled to 1 over the sources present, and a
-    source it doesn't name gets none. Without it, shares are bytes to the ``power``. Bytes of a text include
-    one for its end, so that sources of empty texts have a size. A null source is a source of its own.
+    source it doesn't name gets none. Weights of a source named several times add up, a null one counts as 0, a
+    negative one or NaN is an error; if no source present has a weight over 0, all rates are 0. Without ``weights``,
+    shares are bytes to the ``power``. Bytes of a text include one for its end, so that sources of empty texts
+    have a size. A null source is a source of its own.
     """
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
     sums = materialise(docs.groupBy(F.col(source_col).cast("string").alias("_source")).agg(F.sum(size).alias("_bytes")), "sources")
     if weights is None:
         shares = sums.withColumn("_share", F.pow(F.col("_bytes").cast("double"), F.lit(power)))
     else:
-        named = weights.select(F.col("source").cast("string").alias("_named"), F.col("weight").cast("double").alias("_share"))
+        weight = F.coalesce(F.col("weight").cast("double"), F.lit(0.0))
+        weight = F.when((weight < 0) | F.isnan(weight), F.raise_error(F.lit("a weight must not be negative"))).otherwise(weight)
+        named = weights.groupBy(F.col("source").cast("string").alias("_named")).agg(F.sum(weight).alias("_share"))
         shares = sums.join(named, F.col("_source").eqNullSafe(F.col("_named")), "left").na.fill(0.0, ["_share"]).drop("_named")
-    every = shares.agg(F.sum("_bytes").alias("_all"), F.sum("_share").alias("_shares"))
-    rate = F.lit(total) * F.col("_all") * F.col("_share") / F.col("_shares") / F.col("_bytes")
-    # One row of sums joins each source's row.
-    return shares.withColumn("_one", F.lit(1)).join(F.broadcast(every.withColumn("_one", F.lit(1))), "_one").select("_source", F.coalesce(rate, F.lit(0.0)).alias("_rate"))
+    every, whole = shares.agg(F.sum("_bytes"), F.sum("_share")).first()  # two numbers
+    if not whole:
+        return shares.select("_source", F.lit(0.0).alias("_rate"))
+    return shares.select("_source", (F.lit(total) * F.lit(every) * F.col("_share") / F.lit(whole) / F.col("_bytes")).alias("_rate"))
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, total: float = 1.0, seed: int = 0, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,14 @@ def test_plan_is_native_and_empty_tables_stay_empty(docs, empty):
     plan = mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
     assert mixing.mix_sources(empty).count() == 0
+
+
+def test_odd_weights(docs, spark):
+    rates = lambda rows: {r[0]: r[1] for r in mixing.source_rates(docs, spark.createDataFrame(rows, "source string, weight double")).collect()}
+    once, twice = rates([("s0", 3.0), ("s1", 1.0)]), rates([("s0", 2.0), ("s0", 1.0), ("s1", 1.0), ("s1", None)])
+    assert once == twice and once["s0"] > 0 and once[None] == 0
+    assert set(rates([("stranger", 1.0)]).values()) == set(rates([("s0", 0.0)]).values()) == {0.0}
+    assert mixing.mix_sources(docs, spark.createDataFrame([("stranger", 1.0)], "source string, weight double")).count() == 0
+    for bad in (-1.0, float("nan")):
+        with pytest.raises(Exception, match="negative"):
+            rates([("s0", bad)])
