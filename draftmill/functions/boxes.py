@@ -33,6 +33,18 @@ def expand(x1, y1, x2, y2, margin, width, height) -> Box:
     return clip(x1 - margin, y1 - margin, x2 + margin, y2 + margin, width, height)
 
 
+def size(x1, y1, x2, y2) -> tuple[Column, Column]:
+    """Width and height, no less than 0."""
+    x1, y1, x2, y2 = map(col, (x1, y1, x2, y2))
+    return F.greatest(F.lit(0), x2 - x1), F.greatest(F.lit(0), y2 - y1)
+
+
+def within(x1, y1, x2, y2, left, top) -> Box:
+    """Corners counted from the corner of a region that was cut out."""
+    x1, y1, x2, y2, left, top = map(col, (x1, y1, x2, y2, left, top))
+    return x1 - left, y1 - top, x2 - left, y2 - top
+
+
 def intersection(a: Box, b: Box) -> Box:
     """Corners of the common box; it is empty where ``overlaps`` is false."""
     a, b = tuple(map(col, a)), tuple(map(col, b))
@@ -50,6 +62,11 @@ def yolo_to_box(cx, cy, w, h, width, height) -> Box:
     return (cx - w / 2) * width, (cy - h / 2) * height, (cx + w / 2) * width, (cy + h / 2) * height
 
 
+def yolo_to_pixels(cx, cy, w, h, width, height) -> Box:
+    """Corners in whole pixels, truncated toward zero."""
+    return tuple(c.cast("int") for c in yolo_to_box(cx, cy, w, h, width, height))
+
+
 def box_to_yolo(x1, y1, x2, y2, width, height) -> Box:
     """Normalised center and size; corners may come in either order."""
     x1, y1, x2, y2, width, height = map(col, (x1, y1, x2, y2, width, height))
@@ -79,10 +96,15 @@ def elbow(px, py, tx, ty) -> tuple[Column, Column]:
 
 
 def letterbox(w, h, target_w, target_h) -> tuple[Column, Column, Column, Column, Column]:
-    """(scale, new width, new height, left, top) that fit an image into a frame; sides round half to even."""
+    """(scale, new width, new height, left, top) that fit an image into a frame; sides round half to even.
+
+    An image without width or height fills the frame, with a null scale.
+    """
     w, h, target_w, target_h = map(col, (w, h, target_w, target_h))
-    scale = F.least(target_w / w, target_h / h)
-    nw, nh = F.greatest(F.lit(1), F.bround(w * scale).cast("int")), F.greatest(F.lit(1), F.bround(h * scale).cast("int"))
+    some = (w > 0) & (h > 0)
+    scale = F.when(some, F.least(target_w / F.nullif(w, F.lit(0)), target_h / F.nullif(h, F.lit(0))))
+    side = lambda n, target: F.when(some, F.greatest(F.lit(1), F.bround(n * scale).cast("int"))).otherwise(target)
+    nw, nh = side(w, target_w), side(h, target_h)
     return scale, nw, nh, F.floor((target_w - nw) / 2), F.floor((target_h - nh) / 2)
 
 

@@ -14,9 +14,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components, shared_net_pairs
+from ..functions import boxes as bx
+from ..session import materialise
+from .cleanup import of_classes
+from .graph import connected_components, graph_json, shared_net_pairs
+from .tiling import centers_in_regions
 
 RUN = "image string, y int, x0 int, x1 int"
+#: Side of the squares on which runs meet, in pixels.
+BLOCK = 64
 
 
 # ---- pixels
@@ -167,10 +173,14 @@ def pixels_of(runs: DataFrame) -> DataFrame:
     return runs.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
-def straight_lines(runs: DataFrame, least_x: int, least_y: int) -> DataFrame:
-    """Row runs of the pixels in horizontal runs of at least ``least_x`` or vertical ones of at least ``least_y``."""
+def straight_lines(runs: DataFrame, least_x: int | Column, least_y: int | Column) -> DataFrame:
+    """Row runs of the pixels in horizontal runs of at least ``least_x`` or vertical ones of at least ``least_y``: numbers, or columns of ``runs``."""
     flat = runs.filter(F.col("x1") - F.col("x0") + 1 >= least_x)
-    tall = runs_of(pixels_of(runs), ["image", "x"], "y", least_y)
+    if isinstance(least_y, Column):
+        pixels = runs.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), least_y.alias("_least"))
+        tall = runs_of(pixels, ["image", "x", "_least"], "y").filter(F.col("end") - F.col("start") + 1 >= F.col("_least"))
+    else:
+        tall = runs_of(pixels_of(runs), ["image", "x"], "y", least_y)
     upright = tall.select("image", F.explode(F.sequence("start", "end")).alias("y"), "x")
     return row_runs(pixels_of(flat).unionByName(upright.select("image", "y", "x")))
 
@@ -199,23 +209,25 @@ def carved(runs: DataFrame, boxes: DataFrame, margin: int = 1) -> DataFrame:
 
 
 def nets(runs: DataFrame) -> DataFrame:
-    """``runs`` with net long: 8-connected components, named by their smallest run.
+    """``runs`` with net long: 8-connected components, named by y * 2^32 + x0 of their first run, which tells them apart in an image.
 
-    Nodes are row runs and column runs: a column run of one vertical wire joins all its rows in one step, so
-    rounds don't grow with a wire's height.
+    Nodes are row runs and column runs, numbered: a column run of one vertical wire joins all its rows in one step,
+    so rounds don't grow with a wire's height. Runs meet on squares of BLOCK pixels, not pixel by pixel.
     """
-    named = runs.withColumn("run", F.abs(F.xxhash64("image", "y", "x0", "x1")).bitwiseAND(F.lit((1 << 62) - 1)))
-    above = named.select("image", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("up"))
-    # Row runs of neighbouring rows meet on the blocks of columns that they touch.
-    block = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 64), F.floor((F.col(b) + 1) / 64)))
-    near = named.withColumn("_c", block("x0", "x1")).join(above.withColumn("_c", block("u0", "u1")), ["image", "y", "_c"]).filter("x0 <= u1 + 1 and u0 <= x1 + 1").select(F.col("run").alias("a"), F.col("up").alias("b"))
-    tall = runs_of(pixels_of(runs), ["image", "x"], "y", 3).withColumn("column", -F.abs(F.xxhash64("image", "x", "start", "end")).bitwiseAND(F.lit((1 << 62) - 1)) - 1)
-    at = tall.select("image", "x", F.explode(F.sequence("start", "end")).alias("y"), "column")
-    crossing = at.join(named.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "run"), ["image", "y", "x"]).select(F.col("run").alias("a"), F.col("column").alias("b"))
-    own = named.select(F.col("run").alias("a"), F.col("run").alias("b"))
-    found = connected_components(near.unionByName(crossing).unionByName(own))
-    joined = named.join(found, named["run"] == found["node"])
-    least = joined.groupBy("component").agg(F.min("run").alias("net"))
+    named = materialise(runs.select("image", "y", "x0", "x1").withColumn("run", F.monotonically_increasing_id()), "runs")
+    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BLOCK), F.floor(F.col(b) / BLOCK)))
+    # Row runs of neighbouring rows meet on the blocks of columns that they touch; the first that both touch counts.
+    above = named.select("image", (F.col("y") + 1).alias("y"), (F.col("x0") - 1).alias("u0"), (F.col("x1") + 1).alias("u1"), F.col("run").alias("up"))
+    near = named.withColumn("_c", blocks("x0", "x1")).join(above.withColumn("_c", blocks("u0", "u1")), ["image", "y", "_c"])
+    near = near.filter("x0 <= u1 and u0 <= x1").filter(F.col("_c") == F.floor(F.greatest("x0", "u0") / BLOCK)).select(F.col("run").alias("a"), F.col("up").alias("b"))
+    tall = materialise(runs_of(pixels_of(runs), ["image", "x"], "y", 3).withColumn("column", -1 - F.monotonically_increasing_id()), "columns")
+    upright = tall.withColumns({"_c": F.floor(F.col("x") / BLOCK), "_r": blocks("start", "end")})
+    flat = named.withColumns({"_c": blocks("x0", "x1"), "_r": F.floor(F.col("y") / BLOCK)})
+    crossing = upright.join(flat, ["image", "_r", "_c"]).filter("x0 <= x and x <= x1 and start <= y and y <= end").select(F.col("run").alias("a"), F.col("column").alias("b"))
+    found = connected_components(near.unionByName(crossing))
+    joined = named.join(found, named["run"] == found["node"], "left").withColumn("component", F.coalesce("component", "run"))
+    place = F.col("y").cast("long") * (1 << 32) + F.col("x0")
+    least = joined.groupBy("component").agg(F.min(place).alias("net"))
     return joined.join(least, "component").select("image", "y", "x0", "x1", "net")
 
 
@@ -244,3 +256,62 @@ def device_graph(rasters: DataFrame, devices: DataFrame, least_x: int, least_y:
     wide = thickened(lines, radius, rasters.select("image", "width", "height"))
     labelled = nets(carved(wide, devices))
     return shared_net_pairs(border_hits(wide, labelled, devices), within=("image",))
+
+
+# ---- cabinets
+
+CABINETS = ("cabinet", "cabinets")
+
+
+def cabinet_regions(boxes: DataFrame, sizes: DataFrame, pad: int = 0) -> DataFrame:
+    """(image, cabinet, tx1, ty1, tx2, ty2): boxes of a CABINETS class, widened by ``pad`` inside the image, numbered in
+    order of (y1, x1, y2, x2); an image (image, width, height) without any is one region as a whole."""
+    own = of_classes(boxes, list(CABINETS)).join(sizes, "image")
+    place = F.row_number().over(Window.partitionBy("image").orderBy("y1", "x1", "y2", "x2"))
+    corners = dict(zip(("tx1", "ty1", "tx2", "ty2"), bx.expand("x1", "y1", "x2", "y2", pad, "width", "height"), strict=True))
+    regions = own.withColumn("cabinet", place - 1).select("image", "cabinet", *[c.alias(n) for n, c in corners.items()])
+    whole = sizes.join(own.select("image").distinct(), "image", "left_anti")
+    rest = whole.select("image", F.lit(0).alias("cabinet"), F.lit(0).alias("tx1"), F.lit(0).alias("ty1"), F.col("width").alias("tx2"), F.col("height").alias("ty2"))
+    return regions.unionByName(rest)
+
+
+def devices_in_cabinets(boxes: DataFrame, regions: DataFrame) -> DataFrame:
+    """(image, cabinet, device, class, x1, y1, x2, y2): boxes whose center a region holds, counted from its corner, numbered from 0.
+
+    Boxes of a CABINETS class are no devices. Numbers follow box_id; a box in several regions is a device of each.
+    """
+    px, py = bx.center("x1", "y1", "x2", "y2")
+    devices = of_classes(boxes, exclude=list(CABINETS)).withColumns({"px": px, "py": py})
+    found = centers_in_regions(devices, regions)
+    number = F.row_number().over(Window.partitionBy("image", "cabinet").orderBy("box_id", "y1", "x1", "y2", "x2")) - 1
+    corners = dict(zip(("x1", "y1", "x2", "y2"), bx.within("x1", "y1", "x2", "y2", "tx1", "ty1"), strict=True))
+    return found.withColumn("device", number).select("image", "cabinet", "device", "class", *[c.alias(n) for n, c in corners.items()])
+
+
+def cropped(rasters: DataFrame, regions: DataFrame) -> DataFrame:
+    """(image, cabinet, height, width, pixels): each region cut out of its raster; empty regions are left out."""
+    meant = rasters.select("image", F.col("width").alias("_w"), "pixels").join(regions, "image").filter("tx2 > tx1 and ty2 > ty1")
+    row = lambda y: F.slice("pixels", (y * F.col("_w") + F.col("tx1") + 1).cast("int"), (F.col("tx2") - F.col("tx1")).cast("int"))
+    pixels = F.flatten(F.transform(F.sequence("ty1", F.col("ty2") - 1), row))
+    return meant.select("image", "cabinet", (F.col("ty2") - F.col("ty1")).cast("int").alias("height"), (F.col("tx2") - F.col("tx1")).cast("int").alias("width"), pixels.alias("pixels"))
+
+
+def cabinet_graphs(rasters: DataFrame, boxes: DataFrame, pad: int = 0, least: int = 25, share: float = 0.015, radius: int = 0, method: str = "otsu") -> DataFrame:
+    """(image, cabinet, json): the graph of devices of each cabinet, from rasters and boxes (image, box_id, class, x1..y2).
+
+    Lines are at least max(``least``, int(``share`` * the crop's side)) pixels long.
+    """
+    regions = materialise(cabinet_regions(boxes, rasters.select("image", "width", "height"), pad), "regions")
+    key = F.concat_ws("/", F.col("image").cast("string"), F.col("cabinet").cast("string"))
+    crops = materialise(cropped(rasters, regions).withColumn("key", key), "crops")
+    devices = materialise(devices_in_cabinets(boxes, regions).withColumn("key", key), "devices")
+    whole = crops.select(F.col("key").alias("image"), "height", "width", "pixels")
+    side = lambda n: F.greatest(F.lit(least), (F.col(n) * share).cast("int"))
+    runs = ink_runs(whole, method).join(whole.select("image", side("width").alias("_x"), side("height").alias("_y")), "image")
+    lines = thickened(straight_lines(runs, F.col("_x"), F.col("_y")), radius, whole.select("image", "width", "height"))
+    boxes_ = devices.select(F.col("key").alias("image"), "device", "x1", "y1", "x2", "y2")
+    pairs = shared_net_pairs(border_hits(lines, nets(carved(lines, boxes_)), boxes_), within=("image",))
+    nodes = devices.select(F.col("key").alias("image"), F.col("device").cast("long").alias("id"), "class")
+    found = graph_json(nodes, pairs.select("image", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")), "image")
+    every = crops.select("image", "cabinet", "key").join(found.select(F.col("image").alias("key"), "json"), "key", "left")
+    return every.select("image", "cabinet", F.coalesce("json", F.lit('{"nodes":[],"edges":[]}')).alias("json"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import escaped, rule_line, vector_text
+from ..session import materialise
 
 SCHEMA = (
     T.StructType()
@@ -21,57 +22,67 @@ SCHEMA = (
 
 
 def insert_if_absent(batch: DataFrame, stored: DataFrame, label_col: str = "label", order_col: str = "position") -> DataFrame:
-    """``batch`` with added boolean: the first row (by ``order_col``) of each label that ``stored`` lacks.
+    """``batch`` with added boolean: the first row (by ``order_col``, which tells rows apart) of each label that ``stored`` lacks.
 
-    Others are ignored labels. A null label is never added.
+    Others are ignored labels. A null label is never added. Labels fold to their first places before any join.
     """
-    first = F.row_number().over(Window.partitionBy(label_col).orderBy(order_col)) == 1
-    known = stored.select(F.col(label_col).alias("_known")).filter("_known is not null").distinct()
-    marked = batch.withColumn("_first", first).join(known, F.col(label_col) == F.col("_known"), "left")
-    return marked.withColumn("added", F.col("_first") & F.col("_known").isNull() & F.col(label_col).isNotNull()).drop("_first", "_known")
+    known = stored.select(F.col(label_col).alias("_label")).distinct()
+    fresh = batch.groupBy(F.col(label_col).alias("_label")).agg(F.min(order_col).alias("_first")).join(known, "_label", "left_anti")
+    marked = batch.join(fresh, F.col(label_col) == F.col("_label"), "left")
+    return marked.withColumn("added", F.coalesce(F.col(order_col) == F.col("_first"), F.lit(False))).drop("_label", "_first")
+
+
+def numbered(rows: DataFrame, order: list[str], first: int = 1, name: str = "id") -> DataFrame:
+    """``rows`` with whole numbers from ``first`` in their order: sorted by ranges, each partition counts on from those before it."""
+    placed = materialise(rows.drop(name).orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    joined = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return joined.withColumn(name, F.lit(first) + F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
 class RuleStore:
-    """Rules under a path that executors reach. Each write is a new version; readers see whole versions."""
+    """Rules under a path that executors reach. Each write is a folder of its own, in order; readers see whole ones, since the last that cleared the store."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _version(self) -> str | None:
+    def _written(self) -> list[str]:
+        """Names of the complete folders, in order."""
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return None
-        done = [s.getPath().toString() for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max(done, key=lambda p: p.rsplit("/", 1)[-1], default=None)
+        found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def rules(self) -> DataFrame:
-        found = self._version()
-        return self.spark.read.schema(SCHEMA).parquet(found) if found else self.spark.createDataFrame([], SCHEMA)
+        names = self._written()
+        since = max((k for k, n in enumerate(names) if "-clear-" in n), default=-1) + 1
+        paths = [f"{self.path}/{n}" for n in names[since:]]
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
-    def _write(self, rows: DataFrame) -> None:
-        found = self._version()
-        n = int(found.rsplit("/v", 1)[-1].split("-")[0]) + 1 if found else 0
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.parquet(f"{self.path}/v{n:08d}-{uuid.uuid4().hex[:8]}")
+    def _write(self, rows: DataFrame, kind: str) -> None:
+        n = int(max(self._written())[1:9]) + 1 if self._written() else 0
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in SCHEMA]).write.parquet(f"{self.path}/v{n:08d}-{kind}-{uuid.uuid4().hex[:8]}")
 
     def add(self, batch: DataFrame, unless_present: bool = True, order_col: str = "position") -> DataFrame:
-        """Adds (label, embedding, [features, energies]) rows, numbered on from the largest id; returns (label, added)."""
+        """Adds (label, embedding, [features, energies]) rows, numbered on from the largest id in their order; returns (label, added).
+
+        Only the new rows are written.
+        """
         stored = self.rules()
         for f in SCHEMA.fields[2:]:
             if f.name not in batch.columns:
                 batch = batch.withColumn(f.name, F.lit(None).cast(f.dataType))
         marked = insert_if_absent(batch, stored, order_col=order_col) if unless_present else batch.withColumn("added", F.lit(True))
-        marked = marked.persist()
+        marked = materialise(marked, "rules")
         top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = marked.filter("added")
-        # One store is small beside the data it is matched with; ids follow the order of the batch.
-        new = new.withColumn("id", F.lit(top) + F.row_number().over(Window.orderBy(order_col)))
-        self._write(stored.unionByName(new.select(*SCHEMA.names)))
+        self._write(numbered(marked.filter("added"), [order_col], top + 1), "add")
         return marked.select("label", "added")
 
     def clear(self) -> None:
-        self._write(self.spark.createDataFrame([], SCHEMA))
+        self._write(self.spark.createDataFrame([], SCHEMA), "clear")
 
     def get(self, id_: int) -> DataFrame:
         return self.rules().filter(F.col("id") == id_)

@@ -15,6 +15,8 @@ from .vector import nearest
 #: Energy that a cell needs in both images, and guards of divisions.
 LEAST_ENERGY, EPS = 1e-4, 1e-6
 SHIFTS = 2
+#: Numbers of the descriptors that a task compares at a time.
+CELLS = 2_000_000
 
 
 def grid_descriptor(gray: np.ndarray, gx: int = 20, gy: int = 50, bins: int = 9) -> tuple[np.ndarray, np.ndarray]:
@@ -61,31 +63,46 @@ def describe(images: DataFrame, gx: int = 20, gy: int = 50, bins: int = 9, id_co
     return rows.mapInArrow(scan, f"id long, {DESCRIPTOR}").withColumnRenamed("id", id_col)
 
 
-def shift_score(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, most: int = SHIFTS) -> tuple[float, int, int, np.ndarray]:
-    """(score, dy, dx, per-cell similarity) of the best shift; the first in ascending (dy, dx) among the best.
+def shift_scores(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, most: int = SHIFTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(scores, dy, dx) of the best shifts of many pairs; features [pair, row, column, bin], energies [pair, row, column].
 
-    A cell counts by the lesser of both energies if that is enough; others are -1 in the map.
+    A shift moves the first of a pair by (dy, dx) cells; the score is the mean similarity of the cells that lie on
+    each other, weighed by the lesser of both energies where that is enough. The first in ascending (dy, dx) is
+    taken among the best.
     """
-    gy, gx = ea.shape
-    best = (-1.0, 0, 0, np.full((0, 0), -1.0))
-    for dy in range(-most, most + 1):
-        for dx in range(-most, most + 1):
-            if abs(dy) >= gy or abs(dx) >= gx:
-                continue
-            a = np.s_[max(0, dy) : gy + min(0, dy), max(0, dx) : gx + min(0, dx)]
-            b = np.s_[max(0, -dy) : gy - max(0, dy), max(0, -dx) : gx - max(0, dx)]
-            similar = (fa[a] * fb[b]).sum(-1)
-            weight = np.minimum(ea[a], eb[b])
-            on = weight > LEAST_ENERGY
-            score = float((similar[on] * weight[on]).sum() / (weight[on].sum() + EPS)) if on.any() else 0.0
+    n, gy, gx = ea.shape
+    best = np.full(n, -1.0)
+    found = np.zeros((2, n), np.int32)
+    for dy in range(-min(most, gy - 1), min(most, gy - 1) + 1):
+        for dx in range(-min(most, gx - 1), min(most, gx - 1) + 1):
+            similar, weight = _overlaid(fa, ea, fb, eb, dy, dx)
+            total = weight.sum((1, 2))
+            score = np.where(total > 0, (similar * weight).sum((1, 2)) / (total + EPS), 0.0)
             # Scores equal to nine digits count as tied, so that the order of sums doesn't decide.
-            if round(score, 9) > round(best[0], 9):
-                best = (score, dy, dx, np.where(on, similar, -1.0))
-    return max(0.0, best[0]), *best[1:]
+            better = np.round(score, 9) > np.round(best, 9)
+            best[better] = score[better]
+            found[:, better] = [[dy], [dx]]
+    return np.maximum(best, 0.0), found[0], found[1]
 
 
-def heat(similar: np.ndarray, contrast: float = 0.2) -> np.ndarray:
-    return np.clip((similar - (1 - contrast)) / contrast, 0, 1)
+def _overlaid(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities and weights (0: too little energy) of the cells that lie on each other under a shift."""
+    _, gy, gx = ea.shape
+    a = np.s_[:, max(0, dy) : gy + min(0, dy), max(0, dx) : gx + min(0, dx)]
+    b = np.s_[:, max(0, -dy) : gy - max(0, dy), max(0, -dx) : gx - max(0, dx)]
+    weight = np.minimum(ea[a], eb[b])
+    return np.einsum("pyxk,pyxk->pyx", fa[a], fb[b]), np.where(weight > LEAST_ENERGY, weight, 0.0)
+
+
+def similarity_map(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, dy: int, dx: int) -> np.ndarray:
+    """Similarities of one pair's cells under a shift, -1 where a cell doesn't count."""
+    similar, weight = _overlaid(fa[None], ea[None], fb[None], eb[None], dy, dx)
+    return np.where(weight > 0, similar, -1.0)[0]
+
+
+def mean_similarity(fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
+    """Mean similarity of all cells of pairs without energies, unshifted; no less than 0."""
+    return np.maximum(0.0, np.einsum("pyxk,pyxk->pyx", fa, fb).mean((1, 2)))
 
 
 def match_structure(pairs: DataFrame, described: DataFrame, gx: int, gy: int, bins: int, most: int = SHIFTS, a: str = "query_id", b: str = "rule_id", id_col: str = "id", described_rules: DataFrame | None = None) -> DataFrame:
@@ -99,15 +116,15 @@ def match_structure(pairs: DataFrame, described: DataFrame, gx: int, gy: int, bi
     source = joined.select(*names, "_fa", "_ea", "_fb", "_eb")
     n = len(names)
 
+    step = max(1, CELLS // (gx * gy * bins))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for fa, ea, fb, eb in zip(*[batch.column(n + k) for k in range(4)], strict=True):
-                f = [x.values.to_numpy(zero_copy_only=False).reshape(gy, gx, bins) for x in (fa, fb)]
-                e = [x.values.to_numpy(zero_copy_only=False).reshape(gy, gx) for x in (ea, eb)]
-                found.append(shift_score(f[0], e[0], f[1], e[1], most)[:3])
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(n)], pa.array(columns[0], pa.float64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], [*names, "structure", "dy", "dx"])
+            for at in range(0, len(batch), step):
+                some = batch.slice(at, step)
+                fa, ea, fb, eb = (some.column(n + k).flatten().to_numpy(zero_copy_only=False).reshape(len(some), gy, gx, -1) for k in range(4))
+                found = shift_scores(fa, ea[..., 0], fb, eb[..., 0], most)
+                yield pa.RecordBatch.from_arrays([*[some.column(k) for k in range(n)], *map(pa.array, found)], [*names, "structure", "dy", "dx"])
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("structure", T.DoubleType()), T.StructField("dy", T.IntegerType()), T.StructField("dx", T.IntegerType())])
     return source.mapInArrow(scan, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import boxes as bx
+from ..sources.annotations import label_files
 
 #: Side of the grid over which boxes and tiles meet, in pixels.
 BUCKET = 512
@@ -90,18 +91,16 @@ def forbidden_intervals(boxes: DataFrame) -> DataFrame:
 def cuts_along(length: float, forbidden: list[tuple[float, float]], tile: float, back_step: float, least: float) -> list[float] | None:
     """Cut places from 0 to ``length``, at most ``tile`` apart and never strictly inside a forbidden interval.
 
-    Each cut goes as far as it can, stepping back by ``back_step`` while it would hit something; None if a step
-    back comes within ``least`` of the last cut. The last part may be short.
+    Each cut goes as far as it can, stepping back by ``back_step`` while it would hit something, to no less than
+    ``least`` after the last cut; None if it still hits something there. The last part may be short.
     """
     hits = lambda x: any(s < x < e for s, e in forbidden)
     cuts = [0.0]
     while length - cuts[-1] > tile:
         x = cuts[-1] + tile
-        while hits(x):
+        while hits(x) and x > cuts[-1] + least:
             x -= back_step
-            if x <= cuts[-1] + least:
-                return None
-        if x - cuts[-1] < least:
+        if hits(x) or x < cuts[-1] + least or x <= cuts[-1]:
             return None
         cuts.append(float(x))
     return [*cuts, float(length)]
@@ -143,11 +142,42 @@ def cut_tiles(plans: DataFrame, least: int = 64) -> DataFrame:
 
 
 def split_validation(tiles: DataFrame, group_col: str, id_col: str, k: int = 1, seed: int = 0, labelled: str | None = None) -> DataFrame:
-    """``tiles`` with split: k of each group are "val", labelled ones first, chosen by a hash of the id and the seed."""
-    order = F.pmod(F.col(id_col) * F.lit(2654435761) + seed, F.lit(1 << 31))
+    """``tiles`` with split: k of each group are "val", labelled ones first, chosen by a hash of the id and the seed.
+
+    Tiles of one id and group go together. Each task keeps k tiles a group, so that no group meets in one task.
+    """
+    order = F.pmod(F.pmod(F.col(id_col), F.lit(1 << 31)) * F.lit(2654435761) + seed, F.lit(1 << 31))
     first = [F.col(labelled).desc()] if labelled else []
-    rank = F.row_number().over(Window.partitionBy(group_col).orderBy(*first, order, id_col))
-    return tiles.withColumn("split", F.when(rank <= k, "val").otherwise("train"))
+    chosen = tiles.select(F.col(group_col).alias("_group"), F.col(id_col).alias("_id"), *([labelled] if labelled else []), order.alias("_order"))
+    chosen = chosen.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*first, "_order", "_id"))).filter(F.col("_rank") <= k)
+    joined = tiles.join(chosen.select("_group", "_id").distinct(), F.col(group_col).eqNullSafe(F.col("_group")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    return joined.withColumn("split", F.when(F.col("_id").isNotNull(), "val").otherwise("train")).drop("_group", "_id")
 
 
-__all__ = ["boxes_in_tiles", "boxes_inside_tiles", "centers_in_regions", "cut_tiles", "cuts_along", "forbidden_intervals", "merge_intervals", "plan_cuts", "split_validation", "tile_grid"]
+def tiled_dataset(images: DataFrame, boxes: DataFrame, tile: int = 2048, back_step: int = 8, least: int = 64, k: int = 1, seed: int = 0) -> DataFrame:
+    """(image, tile_name, tx1, ty1, tx2, ty2, labels, text, split): tiles that cut no box, with their label files.
+
+    ``images`` hold image, width, height and ``boxes`` image, class_id, x1..y2. A box belongs to the tile that it lies in
+    wholly. ``k`` tiles an image are "val", labelled ones first. Images without a plan give no tiles.
+    """
+    tiles = cut_tiles(plan_cuts(boxes, images, tile, back_step, least), least)
+    inside = boxes_inside_tiles(boxes.select("image", "class_id", "x1", "y1", "x2", "y2"), tiles)
+    w, h = F.col("tx2") - F.col("tx1"), F.col("ty2") - F.col("ty1")
+    yolo = dict(zip(("cx", "cy", "w", "h"), bx.box_to_yolo(*bx.within("x1", "y1", "x2", "y2", "tx1", "ty1"), w, h), strict=True))
+    rows = inside.select("tile_name", "class_id", *[c.alias(n) for n, c in yolo.items()])
+    texts = label_files(tiles, rows)
+    labels = rows.groupBy("tile_name").agg(F.count(F.lit(1)).alias("labels"))
+    whole = tiles.join(texts, "tile_name").join(labels, "tile_name", "left").withColumn("labels", F.coalesce("labels", F.lit(0)))
+    marked = whole.withColumns({"_labelled": (F.col("labels") > 0).cast("int"), "_tile": F.abs(F.xxhash64("tile_name").bitwiseAND(F.lit((1 << 62) - 1)))})
+    return split_validation(marked, "image", "_tile", k, seed, "_labelled").select("image", "tile_name", "tx1", "ty1", "tx2", "ty2", "labels", "text", "split")
+
+
+def overlapping_tiles(images: DataFrame, boxes: DataFrame, tile: int = 1024, overlap: float = 0.2, least_share: float = 0.0002) -> DataFrame:
+    """(tile_name, text): the tiles of a grid over ``images`` (image, width, height), and label files of what ``boxes`` (image, class_id, x1..y2) show in them."""
+    grid = tile_grid(images, tile, overlap)
+    cut = boxes_in_tiles(boxes.select("image", F.lit(0).alias("box_id"), F.col("class_id").alias("class"), "x1", "y1", "x2", "y2"), grid.drop("tile_name"), tile, least_share)
+    rows = cut.withColumnRenamed("class", "class_id").join(grid, ["image", "tile_x", "tile_y"])
+    return label_files(grid, rows)
+
+
+__all__ = ["boxes_in_tiles", "boxes_inside_tiles", "centers_in_regions", "overlapping_tiles", "tiled_dataset", "cut_tiles", "cuts_along", "forbidden_intervals", "merge_intervals", "plan_cuts", "split_validation", "tile_grid"]

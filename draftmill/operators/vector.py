@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.boxes import col
 
-#: Queries that one pass carries to all tasks, and numbers of one distance block.
-BLOCK, CELLS = 4096, 4_000_000
+#: Vectors of one block, and numbers of one distance block.
+BLOCK, CELLS = 1024, 4_000_000
 
 
 def l2_norm(v) -> Column:
@@ -35,29 +35,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _nearest(shared, k: int):
-    """The k nearest rules of a task for each query of a block, ties by id."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = shared.value
-        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), np.int64)
-        for b in batches:
-            own, rules = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
-            if not len(rules):
-                continue
-            d = distances(queries, rules)
-            d, i = np.c_[best_d, d], np.c_[best_i, np.tile(own, (len(ids), 1))]
-            if d.shape[1] > k:
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-            best_d, best_i = d, i
-        if best_d.shape[1]:
-            n = best_d.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_i.ravel()), pa.array(np.sqrt(best_d.ravel()))], ["query_id", "rule_id", "distance"])
-
-    return scan
-
-
 def distances(queries: np.ndarray, rules: np.ndarray) -> np.ndarray:
     """Squared distances, from differences: no cancellation for near vectors."""
     out = np.empty((len(queries), len(rules)))
@@ -68,58 +45,90 @@ def distances(queries: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, id, v) to blocks (part, ids, values) of up to BLOCK vectors of one part."""
+    for b in batches:
+        for at in range(0, len(b), BLOCK):
+            part, ids = (b.column(k).slice(at, BLOCK).to_numpy(zero_copy_only=False) for k in (0, 1))
+            matrix = _matrix(b.column(2).slice(at, BLOCK))
+            parts = np.unique(part)
+            rows = [part == p for p in parts]
+            blobs = [[ids[r].astype(np.int64).tobytes() for r in rows], [matrix[r].tobytes() for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], ["part", "ids", "vs"])
+
+
+def _unblocked(ids: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    own = np.concatenate([np.frombuffer(x, np.int64) for x in ids])
+    return own, np.concatenate([np.frombuffer(x, np.float64) for x in values]).reshape(len(own), -1)
+
+
+def _compared(queries: DataFrame, rules: DataFrame, id_col: str, vector_col: str, found) -> DataFrame:
+    """(query_id, rule_id, distance) of what ``found(query ids, queries, rule ids, rules)`` gives for each block of queries and each group of rules.
+
+    Rules are dealt into groups by hash, one a task; blocks of queries go to every group, behind its rules.
+    Nothing passes through the driver. Null ids and vectors are ignored.
+    """
+    parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = lambda rows, part: rows.select(part.cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
+    blocks = lambda rows: rows.mapInArrow(_blocks, "part int, ids binary, vs binary")
+    one = blocks(vectors(rules, F.pmod(F.xxhash64(id_col), F.lit(parts)))).select("part", F.lit(0).alias("kind"), "ids", "vs")
+    other = blocks(vectors(queries, F.lit(0))).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "ids", "vs")
+    both = one.unionByName(other)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, rule_ids, matrix = None, ([], []), None, None
+        for b in batches:
+            for p, kind, ids, values in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if p != part:
+                    part, held, matrix = p, ([], []), None
+                if kind == 0:
+                    held[0].append(ids)
+                    held[1].append(values)
+                elif held[0]:
+                    if matrix is None:
+                        rule_ids, matrix = _unblocked(*held)
+                    for q, r, d in found(*_unblocked([ids], [values]), rule_ids, matrix):
+                        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(r), pa.array(np.sqrt(d))], ["query_id", "rule_id", "distance"])
+
+    return both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(scan, "query_id long, rule_id long, distance double")
+
+
 def nearest(queries: DataFrame, rules: DataFrame, k: int = 3, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, rule_id, distance): the k nearest rules of each query by exact L2 distance.
 
-    Fewer rows where there are fewer rules. Ties go to the smaller id. Queries travel in blocks of BLOCK; each
-    block is one pass over the rules, in which a task keeps k rules a query, so k rows a task are shuffled, not
-    the product. Null ids and vectors are ignored.
+    Fewer rows where there are fewer rules. Ties go to the smaller id. Rules are dealt into groups; each group
+    keeps k rules a query, so k rows a group are shuffled, not the product. Null ids and vectors are ignored.
     """
-    spark = rules.sparkSession
-    rules = rules.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    wanted = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    found = None
-    for ids, matrix in _blocks(wanted):
-        shared = spark.sparkContext.broadcast((ids, matrix))
-        part = rules.mapInArrow(_nearest(shared, k), "query_id long, rule_id long, distance double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, rule_id long, distance double")
+
+    def best(ids: np.ndarray, own: np.ndarray, rule_ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        step = max(1, CELLS // len(rule_ids))
+        for at in range(0, len(ids), step):
+            d = distances(own[at : at + step], matrix)
+            i = np.tile(rule_ids, (len(d), 1))
+            if d.shape[1] > k:
+                near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]  # with ties, which ids decide
+                most = int(near.sum(1).max())
+                some = np.argsort(~near, axis=1, kind="stable")[:, :most]
+                d, i = np.take_along_axis(d, some, 1), np.take_along_axis(i, some, 1)
+            order = np.lexsort((i, d), axis=1)[:, :k]
+            d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+            yield np.repeat(ids[at : at + step], d.shape[1]), i.ravel(), d.ravel()
+
+    found = _compared(queries, rules, id_col, vector_col, best)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "rule_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "rule_id", "distance")
 
 
-def _blocks(wanted: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for i, v in wanted.toLocalIterator():
-        ids.append(i)
-        rows.append(v)
-        if len(ids) == BLOCK:
-            yield np.array(ids, np.int64), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.array(rows, np.float64)
-
-
 def distance_rows(queries: DataFrame, rules: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rule_id, distance) for every query and rule: the rows of a distance matrix, in blocks."""
-    spark = rules.sparkSession
-    rules = rules.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    wanted = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
-    found = spark.createDataFrame([], "query_id long, rule_id long, distance double")
-    for ids, matrix in _blocks(wanted):
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for b in batches:
-                for at in range(0, len(b), 1024):
-                    own, rules = b.column(0).slice(at, 1024).to_numpy(zero_copy_only=False), _matrix(b.column(1).slice(at, 1024))
-                    d = np.sqrt(distances(matrix, rules))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(own))), pa.array(np.tile(own, len(ids))), pa.array(d.ravel())], ["query_id", "rule_id", "distance"])
-
-        found = found.unionByName(rules.mapInArrow(scan, "query_id long, rule_id long, distance double"))
-    return found
+
+    def every(ids: np.ndarray, own: np.ndarray, rule_ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        step = max(1, CELLS // (8 * len(rule_ids)))
+        for at in range(0, len(ids), step):
+            d = distances(own[at : at + step], matrix)
+            yield np.repeat(ids[at : at + step], len(rule_ids)), np.tile(rule_ids, len(d)), d.ravel()
+
+    return _compared(queries, rules, id_col, vector_col, every)
 
 
 def principal_components(rows: DataFrame, k: int = 2, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:

@@ -193,6 +193,7 @@ def q12(spark, sf_dir):
 def q13(spark, sf_dir):
     b = boxes(spark, sf_dir)
     s = F.col("s_nationkey")
+    # Suppliers in debt stand for images without a region of their own, which are one region as a whole.
     own = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("image"), (100 + s * 20).alias("tx1"), F.lit(50).alias("ty1"), (900 + s * 30).alias("tx2"), F.lit(700).alias("ty2"))
     whole = b.select("image").distinct().join(own, "image", "left_anti").select("image", F.lit(0).alias("tx1"), F.lit(0).alias("ty1"), F.lit(WIDTH).alias("tx2"), F.lit(HEIGHT).alias("ty2"))
     px, py = bx.center("x1", "y1", "x2", "y2")
@@ -236,9 +237,8 @@ def _label_lines(spark, sf_dir):
 )
 def q15(spark, sf_dir):
     lines = _label_lines(spark, sf_dir)
-    five = src.yolo_rows(lines, "exactly 5").withColumn("five", F.lit(True))
-    more = src.yolo_rows(lines, "at least 5").filter(F.size(F.split("text", " ")) > 5).withColumn("five", F.lit(False))
-    return five.unionByName(more).select("file", "part", "text", "class_id", "cx", "cy", "w", "h", "score", "five")
+    rows = src.yolo_rows(lines, "at least 5").withColumn("five", F.size(F.split("text", " ")) == 5)
+    return rows.select("file", "part", "text", "class_id", "cx", "cy", "w", "h", "score", "five")
 
 
 @query(
@@ -367,13 +367,14 @@ def q25(spark, sf_dir):
 @query(
     "q26_content_boxes",
     """WITH p AS (SELECT l_suppkey AS image, l_orderkey AS y, l_partkey AS x, (floor(l_extendedprice)::BIGINT % 256)::INTEGER AS v FROM lineitem),
-    b AS (SELECT image, min(x) AS a, min(y) AS b, max(x) + 1 AS c, max(y) + 1 AS d FROM p WHERE v > 240 AND image % 3 <> 0 GROUP BY image)
+    b AS (SELECT image, min(x) AS a, min(y) AS b, max(x) + 1 AS c, max(y) + 1 AS d FROM p WHERE v > 254 GROUP BY image)
     SELECT s_suppkey AS image, coalesce(a, 0) AS x1, coalesce(b, 0) AS y1, coalesce(c, 3000) AS x2, coalesce(d, 2000) AS y2 FROM supplier LEFT JOIN b ON s_suppkey = image""",
 )
 def q26(spark, sf_dir):
-    p = table(spark, sf_dir, "lineitem").filter("l_suppkey % 3 <> 0").select(F.col("l_suppkey").alias("image"), F.col("l_orderkey").alias("y"), F.col("l_partkey").alias("x"), (F.floor("l_extendedprice") % 256).cast("int").alias("v"))
+    # So few pixels are that bright that some images have none.
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_orderkey").alias("y"), F.col("l_partkey").alias("x"), (F.floor("l_extendedprice") % 256).cast("int").alias("v"))
     sizes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image"), F.lit(3000).alias("width"), F.lit(2000).alias("height"))
-    return raster.content_boxes(p, sizes, white_background=False, limit=240)
+    return raster.content_boxes(p, sizes, white_background=False, limit=254)
 
 
 @query(
@@ -429,6 +430,7 @@ def q30(spark, sf_dir):
     name = k.cast("string")
     pages = table(spark, sf_dir, "pages")
     images = pages.select("page_id", F.when(k % 3 == 0, F.concat(F.lit("set/images/"), name, F.lit(".png"))).when(k % 3 == 1, F.concat(F.lit("flat/"), name, F.lit(".png"))).otherwise(F.concat(F.lit("set/Images/a/"), name, F.lit(".png"))).alias("path"))
+    # Every fifth image has no label file, whose path is then null.
     labels = pages.filter("page_id % 5 <> 0").select(F.when(k % 3 == 1, F.concat(F.lit("flat/"), name, F.lit(".txt"))).when(k % 3 == 0, F.concat(F.lit("set/labels/"), name, F.lit(".txt"))).otherwise(F.concat(F.lit("set/labels/a/"), name, F.lit(".txt"))).alias("path"))
     return src.labels_for_images(images, labels)
 
@@ -494,14 +496,42 @@ def q35(spark, sf_dir):
     return vector.principal_components(vectors(spark, sf_dir), 2)
 
 
-@query("q36_cut_plans")
+@query(
+    "q36_cut_plans",
+    f"""WITH RECURSIVE {BOXES}, sides AS (
+      SELECT image, 'x' AS axis, x2 - x1 AS n, greatest(0, x1)::DOUBLE AS s, least(1900, x2)::DOUBLE AS e FROM boxes
+      UNION ALL SELECT image, 'y', y2 - y1, greatest(0, y1)::DOUBLE, least(1100, y2)::DOUBLE FROM boxes),
+    marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY image, axis ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM sides WHERE e > s),
+    runs AS (SELECT *, sum(new) OVER (PARTITION BY image, axis ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM marked),
+    merged AS (SELECT image, axis, min(s) AS s, max(e) AS e FROM runs GROUP BY image, axis, run),
+    spans AS (SELECT image, axis, list(struct_pack(s := s, e := e)) AS spans FROM merged GROUP BY image, axis),
+    axes AS (SELECT image, axis, CASE axis WHEN 'x' THEN 1900.0::DOUBLE ELSE 1100.0::DOUBLE END AS length, max(n) <= 512 AS possible FROM sides GROUP BY image, axis),
+    walk AS (
+      SELECT image, axis, length, possible, coalesce(spans, []) AS spans, [0.0::DOUBLE] AS cuts, 0.0::DOUBLE AS last FROM axes LEFT JOIN spans USING (image, axis)
+      UNION ALL
+      SELECT image, axis, length, possible, spans, list_append(cuts, found), found FROM (
+        SELECT *, list_max(list_filter([last + 512 - 4 * k for k in range(0, 121)], lambda x: len(list_filter(spans, lambda i: i.s < x AND x < i.e)) = 0)) AS found FROM walk WHERE possible AND length - last > 512)
+      WHERE found IS NOT NULL),
+    ends AS (SELECT image, axis, possible, length, max_by(cuts, len(cuts)) AS cuts, max(last) AS last FROM walk GROUP BY ALL)
+    SELECT image, axis, CASE WHEN possible AND length - last <= 512 THEN list_append(cuts, length) END AS cuts FROM ends""",
+)
 def q36(spark, sf_dir):
     b = boxes(spark, sf_dir)
     images = b.select("image").distinct().withColumns({"width": F.lit(1900), "height": F.lit(1100)})
     return tiling.plan_cuts(b, images, tile=512, back_step=4, least=32)
 
 
-@query("q37_wire_nets")
+@query(
+    "q37_wire_nets",
+    """WITH RECURSIVE p AS (SELECT DISTINCT l_returnflag AS image, l_suppkey AS y, l_partkey AS x FROM lineitem),
+    i AS (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS island FROM p),
+    r AS (SELECT image, y, min(x) AS x0, max(x) AS x1, y * 4294967296 + min(x) AS run FROM i GROUP BY image, y, island),
+    meet AS (SELECT a.image, a.run AS a, b.run AS b FROM r a JOIN r b ON a.image = b.image AND b.y = a.y - 1 AND a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1),
+    ways AS (SELECT image, a, b FROM meet UNION ALL SELECT image, b, a FROM meet),
+    low(image, run, net) AS (SELECT image, run, run FROM r UNION SELECT ways.image, ways.b, low.net FROM low JOIN ways ON low.image = ways.image AND low.run = ways.a WHERE low.net < ways.b),
+    nets AS (SELECT image, run, min(net) AS net FROM low GROUP BY image, run)
+    SELECT image, net, sum(x1 - x0 + 1)::BIGINT AS area, count(*) AS runs FROM nets JOIN r USING (image, run) GROUP BY image, net""",
+)
 def q37(spark, sf_dir):
     """Nets of the line-item raster: runs of parts (x) on rows of suppliers (y), 8-connected."""
     p = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("image"), F.col("l_suppkey").cast("int").alias("y"), F.col("l_partkey").cast("int").alias("x"))
@@ -522,5 +552,59 @@ def q38(spark, sf_dir):
     return joined.select("query_id", F.col("rank").cast("long").alias("rank"), F.concat_ws(":", F.col("rule_id").cast("string"), "label").alias("bar"), F.round("distance", 6).alias("distance"), "ring")
 
 
+_CABINETS = f"""{BOXES}, every AS (
+  SELECT * FROM boxes UNION ALL SELECT s_suppkey, -s_suppkey, 100 + s_nationkey * 20, 50, 900 + s_nationkey * 30, 700, 'Cabinet' FROM supplier WHERE s_acctbal >= 0
+), wide AS (
+  SELECT image, row_number() OVER (PARTITION BY image ORDER BY y1, x1, y2, x2) - 1 AS cabinet, greatest(0, least(x1 - 10, {WIDTH - 1})) AS a, greatest(0, least(y1 - 10, {HEIGHT - 1})) AS b,
+         greatest(0, least(x2 + 10, {WIDTH})) AS c, greatest(0, least(y2 + 10, {HEIGHT})) AS d FROM every WHERE lower(class) IN ('cabinet', 'cabinets')
+), regions AS (
+  SELECT image, cabinet, a AS tx1, b AS ty1, CASE WHEN c <= a THEN a + 1 ELSE c END AS tx2, CASE WHEN d <= b THEN b + 1 ELSE d END AS ty2 FROM wide
+  UNION ALL SELECT DISTINCT image, 0, 0, 0, {WIDTH}, {HEIGHT} FROM boxes WHERE image NOT IN (SELECT image FROM wide)
+), devices AS (
+  SELECT *, trunc((x1 + x2) / 2)::INTEGER AS px, trunc((y1 + y2) / 2)::INTEGER AS py FROM every WHERE lower(class) NOT IN ('cabinet', 'cabinets')
+)"""
+
+
+def _with_cabinets(spark, sf_dir):
+    """The boxes, one cabinet on each image whose supplier isn't in debt, and the images' sizes; other images are one region as a whole."""
+    s = F.col("s_nationkey")
+    cabinets = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("image"), (-F.col("s_suppkey")).alias("box_id"), (100 + s * 20).alias("x1"), F.lit(50).alias("y1"), (900 + s * 30).alias("x2"), F.lit(700).alias("y2"), F.lit("Cabinet").alias("class"))
+    b = boxes(spark, sf_dir)
+    return b.unionByName(cabinets), b.select("image").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+
+
+@query(
+    "q39_cabinet_devices",
+    f"""WITH {_CABINETS} SELECT image, cabinet::INTEGER AS cabinet, (row_number() OVER (PARTITION BY image, cabinet ORDER BY box_id, y1, x1, y2, x2) - 1)::INTEGER AS device, class,
+      x1 - tx1 AS x1, y1 - ty1 AS y1, x2 - tx1 AS x2, y2 - ty1 AS y2
+    FROM devices JOIN regions USING (image) WHERE px >= tx1 AND px < tx2 AND py >= ty1 AND py < ty2""",
+)
+def q39(spark, sf_dir):
+    every, sizes = _with_cabinets(spark, sf_dir)
+    return raster.devices_in_cabinets(every, raster.cabinet_regions(every, sizes, pad=10))
+
+
+@query(
+    "q40_pixel_labels",
+    f"""WITH {_LINES}, f AS (SELECT *, string_split(text, ' ') AS f FROM lines), n AS (SELECT file, part, text, f[2]::DOUBLE AS cx, f[3]::DOUBLE AS cy, f[4]::DOUBLE AS w, f[5]::DOUBLE AS h, coalesce(f[6]::DOUBLE, 1.0) AS score FROM f WHERE len(f) >= 5)
+    SELECT file, part, text, score, trunc((cx - w / 2) * 1000)::INTEGER AS x1, trunc((cy - h / 2) * 800)::INTEGER AS y1, trunc((cx + w / 2) * 1000)::INTEGER AS x2, trunc((cy + h / 2) * 800)::INTEGER AS y2 FROM n""",
+)
+def q40(spark, sf_dir):
+    rows = src.yolo_rows(_label_lines(spark, sf_dir))
+    corners = bx.yolo_to_pixels("cx", "cy", "w", "h", F.lit(1000), F.lit(800))
+    return rows.select("file", "part", "text", "score", *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), corners, strict=True)])
+
+
+@query(
+    "q41_crop_geometry",
+    f"""WITH {BOXES} SELECT image, box_id, x2 - x1 AS w, y2 - y1 AS h, x1 - 40 AS x1, y1 - 25 AS y1, x2 - 40 AS x2, y2 - 25 AS y2 FROM boxes""",
+)
+def q41(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    w, h = bx.size("x1", "y1", "x2", "y2")
+    moved = bx.within("x1", "y1", "x2", "y2", F.lit(40), F.lit(25))
+    return b.select("image", "box_id", w.alias("w"), h.alias("h"), *[c.alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), moved, strict=True)])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q01(spark, sf_dir)

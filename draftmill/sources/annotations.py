@@ -18,10 +18,22 @@ COCO = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, a
 # ---- images and lists of them
 
 
-def image_files(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
-    """(path, length) of image files under folders or given directly; each path once, by path."""
+def image_files(spark: SparkSession, paths: str | list[str], recursive: bool = True, strict: bool = False) -> DataFrame:
+    """(path, length) of image files under folders or given directly; each path once, by path.
+
+    If ``strict``, a path that names a file of another kind and a scan that finds no image are errors.
+    """
+    given = [paths] if isinstance(paths, str) else paths
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
-    return files.filter(F.lower("path").rlike(rf"\.({'|'.join(EXTENSIONS)})$")).select("path", "length").dropDuplicates(["path"]).orderBy("path")
+    named = rf"\.({'|'.join(EXTENSIONS)})$"
+    found = files.filter(F.lower("path").rlike(named)).select("path", "length").dropDuplicates(["path"]).orderBy("path")
+    if strict:
+        other = [p for p in given if (tail := p.rstrip("/").rsplit("/", 1)[-1]).rpartition(".")[1] and tail.rpartition(".")[2].lower() not in EXTENSIONS and files.select("path").filter(F.col("path").endswith("/" + tail)).limit(1).count()]
+        if other:
+            raise ValueError(f"not images: {', '.join(other)}")
+        if found.isEmpty():
+            raise ValueError(f"no images under {', '.join(given)}")
+    return found
 
 
 def images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -170,11 +182,31 @@ def circuit_panels(spark: SparkSession, path: str) -> DataFrame:
 # ---- sinks
 
 
-def label_files(tiles: DataFrame, rows: DataFrame, key: str = "tile_name", keep_empty: bool = True) -> DataFrame:
-    """(key, text): the label file of each tile, lines in order; of tiles without rows an empty one if wanted."""
+def label_files(tiles: DataFrame, rows: DataFrame, key: str = "tile_name", keep_empty: bool = True, last_newline: bool = False) -> DataFrame:
+    """(key, text): the label file of each tile, lines in order; of tiles without rows an empty one if wanted.
+
+    ``last_newline`` ends the last line, too.
+    """
     texts = rows.groupBy(key).agg(F.concat_ws("\n", F.array_sort(F.collect_list(yolo_line("class_id", "cx", "cy", "w", "h")))).alias("text"))
     joined = tiles.select(key).distinct().join(texts, key, "left" if keep_empty else "inner")
-    return joined.withColumn("text", F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
+    return joined.withColumn("text", F.when(text != "", F.concat(text, F.lit("\n"))).otherwise(text) if last_newline else text)
+
+
+def relative_path(path, root: str) -> Column:
+    """A path from ``root`` on, with forward slashes; one that lies elsewhere stays whole."""
+    p, base = F.regexp_replace(F.col(path) if isinstance(path, str) else path, r"\\", "/"), root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(p.startswith(base), F.substring(p, len(base) + 1, 1 << 20)).otherwise(p)
+
+
+def circuit_json(panels: DataFrame) -> DataFrame:
+    """(json): panels (name, nodes, components, layout) in the form that ``circuit_panels`` reads, one line a panel."""
+    return panels.select(F.to_json(F.struct(F.array(F.struct(*panels.columns)).alias("circuits"))).alias("json"))
+
+
+def write_graphs(graphs: DataFrame, path: str) -> None:
+    """One folder for each image and cabinet with the JSON of its graph (image, cabinet, json)."""
+    graphs.select("image", "cabinet", F.col("json").alias("value")).write.mode("overwrite").partitionBy("image", "cabinet").text(path)
 
 
 def write_lines(rows: DataFrame, path: str, text_col: str = "text", order: str | None = None) -> None:

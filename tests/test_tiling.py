@@ -46,6 +46,12 @@ def test_cuts_never_go_through_boxes(length, spans):
     assert not any(s < c < e for c in cuts for s, e in merged)
 
 
+def test_a_cut_may_stand_at_the_least_place():
+    assert tiling.cuts_along(3000, [(64, 2100)], 2048, 8, 64) == [0, 64, 2112, 3000]
+    assert tiling.cuts_along(3000, [(63, 2100)], 2048, 8, 64) is None
+    assert tiling.cuts_along(100, [(0, 90)], 50, 7, 0) is None
+
+
 def test_plan_cuts(spark):
     images = spark.createDataFrame([("a", 700, 200), ("b", 700, 200), ("c", 100, 100)], "image string, width int, height int")
     boxes = spark.createDataFrame([("a", 290, 10, 310, 20), ("b", 0, 0, 400, 50)], "image string, x1 int, y1 int, x2 int, y2 int")
@@ -60,6 +66,9 @@ def test_split_prefers_labelled(spark):
     tiles = spark.createDataFrame([("a", k, int(k == 3)) for k in range(5)] + [("b", 9, 0)], "image string, id long, labelled int")
     got = tiling.split_validation(tiles, "image", "id", 1, 5, "labelled").filter("split = 'val'").collect()
     assert sorted((r.image, r.id) for r in got) == [("a", 3), ("b", 9)]
+    large = spark.createDataFrame([(None, 4 * 10**9 + k) for k in range(9)] + [("a", 9 * 10**18)], "image string, id long")
+    split = tiling.split_validation(large, "image", "id", 2)
+    assert split.count() == 10 and split.filter("split = 'val'").count() == 3
 
 
 def test_grid_names(spark):

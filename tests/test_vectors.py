@@ -44,12 +44,31 @@ def test_shift_match_finds_the_shift():
     feature = lambda a: (a / (np.linalg.norm(a, axis=-1, keepdims=True) + 1e-6), a.sum(-1))
     fa, ea = feature(raw[2:8, 2:8])
     fb, eb = feature(raw[1:7, 3:9])
-    assert structure.shift_score(fa, ea, fa, ea)[:3] == (pytest.approx(1, abs=1e-4), 0, 0)
-    score, dy, dx, similar = structure.shift_score(fa, ea, fb, eb)
+    best = lambda *x: tuple(v[0] for v in structure.shift_scores(*[a[None] for a in x]))
+    assert best(fa, ea, fa, ea) == (pytest.approx(1, abs=1e-4), 0, 0)
+    score, dy, dx = best(fa, ea, fb, eb)
     assert (dy, dx) == (-1, 1) or (dy, dx) == (1, -1)
+    similar = structure.similarity_map(fa, ea, fb, eb, dy, dx)
     assert score == pytest.approx(1, abs=1e-4) and similar.shape == (5, 5)
-    empty = np.zeros_like(ea)
-    assert structure.shift_score(fa, empty, fb, eb)[:3] == (0.0, -2, -2)
+    assert best(fa, np.zeros_like(ea), fb, eb) == (0.0, -2, -2)
+    assert structure.mean_similarity(fa[None], fa[None])[0] == pytest.approx(1, abs=1e-4)
+
+
+def test_batches_of_pairs_equal_each_pair():
+    rng = np.random.default_rng(5)
+    fa, fb, ea, eb = rng.random((7, 4, 5, 3)), rng.random((7, 4, 5, 3)), rng.random((7, 4, 5)) * 2e-4, rng.random((7, 4, 5)) * 2e-4
+    got = structure.shift_scores(fa, ea, fb, eb)
+    for p in range(7):
+        expected = (-1.0, 0, 0)
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                cells = [(y, x) for y in range(4) for x in range(5) if 0 <= y - dy < 4 and 0 <= x - dx < 5]
+                used = [(fa[p, y, x] @ fb[p, y - dy, x - dx], min(ea[p, y, x], eb[p, y - dy, x - dx])) for y, x in cells]
+                used = [(s, w) for s, w in used if w > 1e-4]
+                score = sum(s * w for s, w in used) / (sum(w for _, w in used) + 1e-6) if used else 0.0
+                if round(score, 9) > round(expected[0], 9):
+                    expected = (score, dy, dx)
+        assert (got[0][p], got[1][p], got[2][p]) == (pytest.approx(expected[0]), *expected[1:])
 
 
 def test_descriptor_of_a_blank_image_keeps_large_border_cells():
