@@ -24,6 +24,17 @@ def session(name: str = "draftmill", **conf: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=own | conf).getOrCreate()
 
 
+#: Bytes of an Arrow batch that Python workers get at once, so that long texts don't add up.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` to BATCH_BYTES unless the session has its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
