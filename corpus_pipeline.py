@@ -17,22 +17,26 @@ from draftmill.llm.mixing import mix_sources
 from draftmill.llm.sharding import shard_rows
 from draftmill.llm.simhash import drop_near_duplicates
 from draftmill.llm.toxicity import drop_toxic
+from draftmill.session import bound_batches
 
 SHARDS = 8
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine rejects go; it is fitted on the labelled documents among ``docs``."""
+    bound_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies and near copies (five-word shingles, similarity 0.8) one document stays."""
+    bound_batches(spark)
     return drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages under windows of 10 benchmark words, or whole items of fewer, are cut; texts that are mostly such passages go."""
+    bound_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), max_span=0)  # spans under 10 words are of whole short items
 
 

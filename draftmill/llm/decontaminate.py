@@ -8,14 +8,14 @@ Texts are first scanned for runs of words that items have at all, as only those
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, text_or_empty
+from .common import lean, materialise, text_or_empty
 
 #: Words of one automaton (about 600 bytes each in a worker); more items are taken in several passes.
 AUTOMATON_WORDS = 200_000
@@ -169,27 +169,46 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     are read to the driver in blocks of ``automaton_words`` words; each block is one pass over ``docs``.
     Without ``keep_text`` the text column is left out of the result.
     """
-    spark = docs.sparkSession
     given = docs.drop("_n_words", "_spans", "_items")
-    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), text_or_empty(item_text).alias("t")).toLocalIterator()
-    items = ((i, normal_words(t)) for i, t in rows)
     place, names = given.columns.index(text_col), given.columns
-    added = T.StructType.fromDDL("_n_words long, _spans array<struct<s:int,e:int>>, _items array<string>").fields
-    blocks = _blocks(items, automaton_words)
-    out, number, block = given, 0, next(blocks)
+    kept = [k for k in range(len(names)) if keep_text or k != place]
+    schema = T.StructType([*[given.schema.fields[k] for k in kept], *T.StructType.fromDDL(_ADDED).fields])
+    last = lambda columns, counts, spans, found: _added([columns[k] for k in kept], counts, spans, found, schema.names)
+    return _scanned(given, place, benchmark, window, item_id, item_text, automaton_words, last, schema)
+
+
+_ADDED = "_n_words long, _spans array<struct<s:int,e:int>>, _items array<string>"
+_Spans = list[list[tuple[int, int]]]
+
+
+def _added(columns: list[pa.Array], counts: list[int], spans: _Spans, found: list[list[str]], names: list[str]) -> pa.RecordBatch:
+    spans = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], _SPANS)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), spans, pa.array(found, pa.list_(pa.string()))], names)
+
+
+def _scanned(docs: DataFrame, place: int, benchmark: DataFrame, window: int, item_id: str, item_text: str, automaton_words: int, last: Callable, schema: T.StructType) -> DataFrame:
+    """What ``last(columns, word counts, spans, items)`` makes of each batch of ``docs`` when all blocks of items have been looked for.
+
+    Rows go through Python once for each block.
+    """
+    rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), text_or_empty(item_text).alias("t")).toLocalIterator()
+    blocks = _blocks(((i, normal_words(t)) for i, t in rows), automaton_words)
+    names = docs.columns
+    between = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_ADDED).fields])
+    out, number, block = docs, 0, next(blocks)
     while block is not None:
         following = next(blocks, None)
-        kept = [k for k in range(len(names)) if keep_text or following is not None or k != place]
         out = materialise(out, "spans") if number else out
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
-        schema = T.StructType([*[given.schema.fields[k] for k in kept], *added])
-        out = out.mapInArrow(_scanner(shared, place, kept, [f.name for f in schema], number > 0), schema)
+        shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
+        more = lambda columns, counts, spans, found: _added(columns, counts, spans, found, between.names)
+        scan = _scanner(shared, place, len(names), last if following is None else more, number > 0)
+        out = out.mapInArrow(lean(scan), schema if following is None else between)
         number, block = number + 1, following
     return out
 
 
-def _scanner(shared, place: int, kept: list[int], names: list[str], again: bool):
-    """Adds spans and items of one automaton to each row, to those of former passes if ``again``."""
+def _scanner(shared, place: int, n: int, make: Callable, again: bool):
+    """Finds spans and items of one automaton in each row, beside those of former passes if ``again``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
@@ -202,11 +221,10 @@ def _scanner(shared, place: int, kept: list[int], names: list[str], again: bool)
                 spans.append(s)
                 found.append([automaton.names[k] for k in sorted(f)])
             if again:
-                old_spans, old_found = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
+                old_spans, old_found = b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist()
                 spans = [_joined([(x["s"], x["e"]) for x in old], new) for old, new in zip(old_spans, spans, strict=True)]
                 found = [old + new for old, new in zip(old_found, found, strict=True)]
-            spans = pa.array([[{"s": s, "e": e} for s, e in x] for x in spans], _SPANS)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(counts, pa.int64()), spans, pa.array(found, pa.list_(pa.string()))], names)
+            yield make([b.column(k) for k in range(n)], counts, spans, found)
 
     return scan
 
@@ -231,7 +249,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 9, max_coverage: float = 0.5, text_col: str = "text", **kw) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int = 9, max_coverage: float = 0.5, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """``docs`` without benchmark passages, in the same columns.
 
     Spans of over ``max_span`` words are cut from the text, with what stands between their words. A text with
@@ -239,23 +257,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     Shorter spans (of short items) and all other texts stay as they are, null and empty ones too.
     """
     place = docs.columns.index(text_col)
-    columns = [f"c{k}" for k in range(len(docs.columns))]  # whatever names docs has
-    found = contaminated_spans(docs.toDF(*columns), benchmark, window, columns[place], **kw)
-    covered = F.expr("aggregate(_spans, 0L, (n, x) -> n + x.e - x.s)")
-    found = found.filter(covered <= F.lit(max_coverage) * F.greatest(F.col("_n_words"), F.lit(1)))
-    found = found.withColumn("_spans", F.filter("_spans", lambda x: x.e - x.s > max_span)).drop("_n_words", "_items")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [b.column(k) for k in range(b.num_columns - 1)]
-            spans = b.column(b.num_columns - 1).to_pylist()
-            if any(spans):
-                texts = kept[place].to_pylist()
-                kept[place] = pa.array([without(t, [(x["s"], x["e"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays(kept, columns)
-
-    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(columns, docs.schema, strict=True)])
-    return found.mapInArrow(cut, schema).toDF(*docs.columns)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # whatever names docs has
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(names, docs.schema, strict=True)])
+
+    def cut(columns: list[pa.Array], counts: list[int], spans: _Spans, found: list[list[str]]) -> pa.RecordBatch:
+        stays = [sum(e - s for s, e in x) <= max_coverage * max(n, 1) for n, x in zip(counts, spans, strict=True)]
+        long = [[(s, e) for s, e in x if e - s > max_span] for x in spans]
+        columns = list(columns)
+        if any(long):
+            texts = columns[place].to_pylist()
+            columns[place] = pa.array([without(t, x) if x and stay else t for t, x, stay in zip(texts, long, stays, strict=True)], columns[place].type)
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays, pa.bool_()))
+
+    return _scanned(docs.toDF(*names), place, benchmark, window, item_id, item_text, automaton_words, cut, schema).toDF(*docs.columns)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

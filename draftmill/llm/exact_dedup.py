@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import lean, materialise, text_or_empty
 
 #: Entries of a memtable before it is flushed (about 48 bytes each).
 MEMTABLE_ROWS = 500_000
@@ -170,8 +170,8 @@ def build_index(digests: DataFrame, keep: str = "min", memtable_rows: int = MEMT
     ``keep`` is "min" or "max": which identifier survives. Null ids lose against any other.
     """
     shards = max(1, int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    runs = digests.mapInArrow(_flush(shards, memtable_rows, keep), "shard int, run binary, filter binary")
-    compacted = runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_compaction(keep), "digest binary, keep_id long, group_size long")
+    runs = digests.mapInArrow(lean(_flush(shards, memtable_rows, keep)), "shard int, run binary, filter binary")
+    compacted = runs.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(lean(_compaction(keep)), "digest binary, keep_id long, group_size long")
     return compacted
 
 

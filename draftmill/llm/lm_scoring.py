@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, id_remainder, materialise, text_or_empty
+from .common import BROADCAST_BYTES, id_remainder, lean, materialise, text_or_empty
 
 #: Filter bits of an entry, and probes.
 ENTRY_BITS, PROBES = 10, 6
@@ -227,8 +227,8 @@ def train(texts: DataFrame, shard_bits: int | None = None) -> tuple[DataFrame, i
     """The model's shards (MODEL) from a table with one column of non-null texts, and the bits of a shard number."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (n - 1).bit_length()) if shard_bits is None else shard_bits
-    runs = texts.mapInArrow(_gather(bits), "shard int, kind int, run binary")
-    merged = runs.repartition(max(1, n), "shard").sortWithinPartitions("shard").mapInArrow(_merge, MODEL)
+    runs = texts.mapInArrow(lean(_gather(bits)), "shard int, kind int, run binary")
+    merged = runs.repartition(max(1, n), "shard").sortWithinPartitions("shard").mapInArrow(lean(_merge), MODEL)
     return materialise(merged, "model"), bits
 
 
@@ -309,7 +309,7 @@ def score_texts(docs: DataFrame, training: DataFrame, most: int = BROADCAST_BYTE
         last = k == len(groups) - 1
         out = materialise(out, "counts") if k else out
         schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double" if last else "id long, held_out boolean, text string, known binary, levels binary"
-        out = out.mapInArrow(_scorer(shared, k == 0, last, n, v), schema)
+        out = out.mapInArrow(lean(_scorer(shared, k == 0, last, n, v)), schema)
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialise, text_or_empty, words_of
+from .common import lean, materialise, text_or_empty, words_of
 from .substring_dedup import band_keys, collisions, in_parts, packed_keys, similar_pairs, tune_bands
 
 #: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, make, id_col: str = "doc_id", text_col: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(t.as_py()) for t in b.column(1)], pa.binary())], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(scan, "id long, fp binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(lean(scan), "id long, fp binary")
 
 
 # ---- the plan
@@ -102,7 +102,7 @@ def bit_counts(fps: DataFrame, bits: int) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits * bits + 1), pa.int64()), pa.array(np.r_[total.ravel(), n].astype(np.int64))], ["k", "n"])
 
-    rows = fps.select("fp").mapInArrow(scan, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # bits * bits + 1 rows
+    rows = fps.select("fp").mapInArrow(lean(scan), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()  # bits * bits + 1 rows
     counts = np.zeros(bits * bits + 1)
     for k, n in rows:
         counts[k] = n
@@ -314,8 +314,8 @@ def fingerprint_links(fps: DataFrame, bits: int, radius: int) -> DataFrame:
     masks = masks_of(plan_partitions(n, both, radius), bits // 64)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = max(1, (2 * parts - 1).bit_length())
-    runs = fps.select("fp").mapInArrow(_signatures(masks, log), "bucket int, run binary")
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_probe(masks, radius), "a binary, b binary").distinct()
+    runs = fps.select("fp").mapInArrow(lean(_signatures(masks, log)), "bucket int, run binary")
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_probe(masks, radius)), "a binary, b binary").distinct()
 
 
 def fingerprint_components(rows: DataFrame, bits: int, radius: int) -> DataFrame:
@@ -417,8 +417,8 @@ def shingle_links(source: DataFrame, shingle: int, similarity: float) -> DataFra
     """
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = max(1, (2 * parts - 1).bit_length())
-    runs = source.select("id", "text").mapInArrow(_banded(shingle, *tune_bands(similarity), log), "bucket int, run binary")
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(collisions, "a long, b long").distinct()
+    runs = source.select("id", "text").mapInArrow(lean(_banded(shingle, *tune_bands(similarity), log)), "bucket int, run binary")
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(collisions), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,7 +450,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     group = group.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     blocks = group.select("component_id", F.least("part", "o").alias("left"), F.greatest("part", "o").alias("right"), "part", "id", "text")
     blocks = blocks.repartition(parts, "component_id", "left", "right").sortWithinPartitions("component_id", "left", "right", "id")
-    similar = connected_components(blocks.mapInArrow(_similar(shingle, similarity), "a long, b long"))
+    similar = connected_components(blocks.mapInArrow(lean(_similar(shingle, similarity)), "a long, b long"))
     copies = similar.filter("node <> component").select(F.col("node").alias("id"))
     kept = firsts.join(copies, "id", "left_anti")
     gone = materialise(rows.select(F.col("id").alias("_gone_id")).distinct().join(kept, F.col("_gone_id") == F.col("id"), "left_anti"), "dropped")

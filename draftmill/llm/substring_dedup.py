@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import materialise, text_or_empty, words_of
+from .common import lean, materialise, text_or_empty, words_of
 
 SHINGLE = 5
 #: Words of a run of repeated lines that is reported, and of a window of the word stream that is a paragraph of its own.
@@ -263,7 +263,7 @@ def bit_table(keys: DataFrame):
     slot = F.shiftrightunsigned("key", 64 - log)
     rows = keys.select(F.shiftright(slot, 16).alias("block"), slot.bitwiseAND(F.lit(65535)).alias("bit"))
     bits = np.zeros(1 << (log - 3), np.uint8)
-    for k, own in rows.repartition("block").sortWithinPartitions("block").mapInArrow(_bits, "block long, bits binary").toLocalIterator():
+    for k, own in rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_bits), "block long, bits binary").toLocalIterator():
         bits[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
     return keys.sparkSession.sparkContext.broadcast(bits), log
 
@@ -515,11 +515,11 @@ def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bands, rows = tune_bands(similarity, values=LINE_VALUES)
     log = max(1, (2 * parts - 1).bit_length())
-    runs = source.select("text").mapInArrow(_bands(bands, rows, log), "bucket int, run binary")
-    links = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(collisions, "a long, b long")
+    runs = source.select("text").mapInArrow(lean(_bands(bands, rows, log)), "bucket int, run binary")
+    links = runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(collisions), "a long, b long")
     groups = materialise(connected_components(links), "collisions")
     wanted = bit_table(groups.select(F.col("node").alias("key")))
-    texts = source.select("text").mapInArrow(_texts(*wanted), "paragraph long, words binary")
+    texts = source.select("text").mapInArrow(lean(_texts(*wanted)), "paragraph long, words binary")
     texts = texts.groupBy("paragraph").agg(F.min("words").alias("words"))
     placed = in_parts(groups, PART)
     # Blocks (left, right) of parts, left <= right: each pair of paragraphs meets in one.
@@ -527,7 +527,7 @@ def paragraph_classes(source: DataFrame, similarity: float = 0.8) -> DataFrame:
     blocks = placed.join(texts, placed["node"] == texts["paragraph"]).select("component", "part", other.alias("o"), "paragraph", "words")
     blocks = blocks.select("component", F.least("part", "o").alias("left"), F.greatest("part", "o").alias("right"), "part", "paragraph", "words")
     blocks = blocks.repartition(parts, "component", "left", "right").sortWithinPartitions("component", "left", "right", "paragraph")
-    found = connected_components(blocks.mapInArrow(_verified(similarity), "a long, b long"))
+    found = connected_components(blocks.mapInArrow(lean(_verified(similarity)), "a long, b long"))
     return found.select(F.col("node").alias("paragraph"), F.col("component").alias("class_id"))
 
 
@@ -537,12 +537,12 @@ def _repeated_windows(source: DataFrame, window: int, inside: bool) -> DataFrame
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     log = max(1, (2 * parts - 1).bit_length())
     dealt = lambda rows, *keys: rows.repartition(parts, keys[0]).sortWithinPartitions(*keys)
-    keys = dealt(source.mapInArrow(_key_runs(window, log), "bucket int, run binary"), "bucket").mapInArrow(_shared_keys, "key long")
+    keys = dealt(source.mapInArrow(lean(_key_runs(window, log)), "bucket int, run binary"), "bucket").mapInArrow(lean(_shared_keys), "key long")
     table, table_log = bit_table(materialise(keys, "windowkeys"))
-    found = materialise(source.mapInArrow(_window_runs(window, table, table_log, log), "bucket int, chunk long, run binary"), "windows")
-    replies = dealt(found.filter("bucket >= 0"), "bucket", "chunk").mapInArrow(_window_replies(inside), "chunk long, bucket int, run binary")
+    found = materialise(source.mapInArrow(lean(_window_runs(window, table, table_log, log)), "bucket int, chunk long, run binary"), "windows")
+    replies = dealt(found.filter("bucket >= 0"), "bucket", "chunk").mapInArrow(lean(_window_replies(inside)), "chunk long, bucket int, run binary")
     places = found.filter("bucket < 0").select("chunk", "bucket", "run")
-    spans = dealt(places.unionByName(replies), "chunk", "bucket").mapInArrow(_window_spans(window), "id long, first_word int, n_words int, class_size long, first_id long, first_id_word int, removed boolean")
+    spans = dealt(places.unionByName(replies), "chunk", "bucket").mapInArrow(lean(_window_spans(window)), "id long, first_word int, n_words int, class_size long, first_id long, first_id_word int, removed boolean")
     return spans.withColumn("class_id", F.xxhash64("first_id", "first_id_word")).drop("first_id_word")
 
 
@@ -566,7 +566,7 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
     Other columns are ignored; an empty table gives no rows.
     """
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = materialise(source.mapInArrow(_occurrences, "id long, place int, paragraph long, n_words int"), "lines")
+    rows = materialise(source.mapInArrow(lean(_occurrences), "id long, place int, paragraph long, n_words int"), "lines")
     classes = materialise(paragraph_classes(source, similarity), "classes")
     # Counts fold by line first, then by class.
     counts = rows.groupBy("paragraph").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first"), F.max("id").alias("last_id"))
@@ -603,7 +603,7 @@ def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int =
             kept[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(kept, names)
 
-    return joined.mapInArrow(cut, docs.toDF(*names).schema).toDF(*docs.columns)
+    return joined.mapInArrow(lean(cut), docs.toDF(*names).schema).toDF(*docs.columns)
 
 
 def without(text: str, cuts: list[tuple[int | None, int, int]]) -> str:

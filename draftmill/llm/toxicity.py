@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, text_or_empty
+from .common import id_remainder, lean, text_or_empty
 
 DECAY, SPAN = 0.8, 5
 #: Characters of a piece; longer words are cut into pieces that overlap.
@@ -392,7 +392,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_ou
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores(b.column(2)), pa.float64())], ["id", "held_out", "score"])
 
-        scored = source.mapInArrow(scan, source.select("id", "held_out").schema.add("score", "double"))
+        scored = source.mapInArrow(lean(scan), source.select("id", "held_out").schema.add("score", "double"))
     return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -413,4 +413,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: i
         for b in batches:
             yield b.filter(pa.array(scores(b.column(place)) < threshold))
 
-    return rows.mapInArrow(scan, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(lean(scan), rows.schema).toDF(*docs.columns)

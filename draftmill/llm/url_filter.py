@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise
+from .common import BROADCAST_BYTES, lean, materialise
 
 #: Bits of a block and of the filter for a key, and bits that a key sets in its block.
 BLOCK, BITS_PER_KEY, PROBES = 512, 16, 6
@@ -100,7 +100,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
         shared = spark.sparkContext.broadcast(bloom)
     else:
         shared = None  # the list is too large for one filter: the join alone decides
-    possible = keyed.select("host", "path").mapInArrow(_possible(shared, labels, lengths), "host string, path string, rule string")
+    possible = keyed.select("host", "path").mapInArrow(lean(_possible(shared, labels, lengths)), "host string, path string, rule string")
     exact = possible.join(listed, "rule")
     size = F.struct(F.length("rule").alias("l"), F.length(F.substring_index("rule", "/", 1)).alias("h"))
     best = exact.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), size).alias("b"))
