@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_tables: list[str] = []
 
 
 def session(name: str = "draftmill", **conf: str) -> SparkSession:
@@ -58,10 +59,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/draftmill-{tag}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_so_far() -> int:
+    """How many tables ``materialise`` has written; for ``drop_tables``."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables written after that many. What was made of them must have been written by then."""
+    jvm = spark.sparkContext._jvm
+    for path in _tables[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _tables[since:]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, unless they find it by PYTHONPATH or by a local driver's folder."""
     package = Path(__file__).resolve().parent
