@@ -11,7 +11,7 @@ from ..session import materialise
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -34,9 +34,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         now = materialise(_small_star(_large_star(now)), "stars")
         # Settled: every node hangs on one root, and no root hangs on another node.
-        hung = now.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        unsettled = hung.filter("n > 1").select("a").unionByName(hung.select("a").join(now.select(F.col("b").alias("a")), "a", "left_semi"))
-        if unsettled.isEmpty():
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        if ends.groupBy("node").agg(F.sum("hangs").alias("n"), F.max("holds").alias("holds")).filter("n > 1 or (n > 0 and holds > 0)").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
