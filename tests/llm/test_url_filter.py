@@ -52,3 +52,19 @@ def test_filter_holds_its_keys_and_few_others(n):
     assert bloom.may_hold(keys).all()
     assert bloom.may_hold([f"other{k}".encode() for k in range(5000)]).mean() < 0.02
     assert len(bloom.may_hold([])) == 0
+
+
+def test_tasks_make_the_same_filter(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "PIECE", 7)
+    rules = [(f"h{k}.com/", "allow") for k in range(2000)]
+    made = url_filter.filter_of(url_filter.rule_table(spark, rules).repartition(3), len(rules))
+    own = url_filter.BlockedBloom(len(rules))
+    own.add([r.encode() for r, _ in rules])
+    assert made.blocks == own.blocks > 7 and (made.bits == own.bits).all()
+
+
+def test_a_full_filter_only_lets_more_through(spark, rows, monkeypatch):
+    monkeypatch.setattr(url_filter.BlockedBloom.__init__, "__defaults__", (1,))
+    rules = [(f"h{k}.com/", "block") for k in range(0, 3000, 2)]
+    pages = spark.createDataFrame([(k, f"http://h{k}.com/x") for k in range(300)], "page_id long, url string")
+    assert rows(url_filter.judge_urls(pages, url_filter.rule_table(spark, rules))) == sorted(((k, *judge(f"http://h{k}.com/x", rules)) for k in range(300)), key=repr)
