@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..session import materialise, shared_dir
 #: Most bytes of model state that one broadcast may carry; operators split larger state into several passes.
 BROADCAST_BYTES = 128 << 20
 
-__all__ = ["BROADCAST_BYTES", "id_remainder", "lean", "materialise", "shared_dir", "text_or_empty", "words_of"]
+__all__ = ["BROADCAST_BYTES", "by_first", "dealt_out", "id_remainder", "lean", "materialise", "packed", "shared_dir", "text_or_empty", "unpacked", "words_of"]
 
 
 def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -44,3 +45,43 @@ def id_remainder(name: str, modulus: int) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words between space and \\x09-\\x0D, with A-Z lowered; null has none."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+# ---- packed runs, which tasks send each other
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers as bytes, by byte planes, whose high ones compress well."""
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"" for a in map(np.ascontiguousarray, arrays)]
+    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(planes)
+
+
+def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes, at, out = np.frombuffer(raw, "<u4", len(kinds)).tolist(), 4 * len(kinds), []
+    for kind, n in zip(kinds, sizes, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return out
+
+
+def dealt_out(hashes: np.ndarray, log: int) -> Iterator[tuple[int, slice]]:
+    """Buckets, by the first ``log`` bits, of sorted hashes, and where each lies; empty ones are left out."""
+    edges = np.searchsorted(hashes, np.arange(1, 1 << log, dtype=np.uint64) << np.uint64(64 - log))
+    for bucket, (s, e) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(hashes)], strict=True)):
+        if s < e:
+            yield bucket, slice(s, e)
+
+
+def by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (tuples) of one value of the first column at a time."""
+    name, rows = None, []
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            if rows and row[0] != name:
+                yield rows
+                rows = []
+            name = row[0]
+            rows.append(row)
+    if rows:
+        yield rows

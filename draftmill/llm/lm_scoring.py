@@ -10,12 +10,13 @@ found by probing (pair, 1), (pair, 2), ... until one is missing; it interpolates
 
 and p(w | v) = p(w) where v is unknown. A level stands for the least count that it holds, so the shares of all
 followers of a word sum to at most 1, but for pairs that the filter wrongly holds. A text's first token follows an
-end token. State beyond the broadcast bound is cut into groups of shards; each group is one pass that fills in the
-counts its shards know.
+end token. A model beyond the broadcast bound stays where its shards are: chunks of texts send each shard the distinct
+tokens and pairs that it would know, and are scored from the answers.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,13 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, id_remainder, lean, materialise, text_or_empty
+from .common import BROADCAST_BYTES, by_first, dealt_out, id_remainder, lean, materialise, packed, text_or_empty, unpacked
 
 #: Filter bits of an entry, and probes.
 ENTRY_BITS, PROBES = 10, 6
 MIX = 0.5
-#: Hashes that a task counts at a time, and characters of text that are turned to words at a time.
-COUNTED, CHUNK = 2_000_000, 400_000
+#: Hashes that a task counts at a time, characters of text that are turned to words at a time, and of a chunk that asks shards.
+COUNTED, CHUNK, ASKED = 2_000_000, 400_000, 4_000_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))  # no word holds a line feed
 #: The count that stands for a level q: the least of [2^(q-1), 2^q).
 _LEVEL = np.r_[0.0, 2.0 ** np.arange(63)]
@@ -61,13 +62,13 @@ def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((digest(w, 42) for w in flat), np.uint64, len(flat)), lengths
 
 
-def _chunks(texts: pa.Array) -> Iterator[list[str]]:
+def _chunks(texts: pa.Array, most: int) -> Iterator[list[str]]:
     chunk, n = [], 0
     for t in texts:
         t = t.as_py()
         chunk.append(t)
         n += len(t)
-        if n >= CHUNK:
+        if n >= most:
             yield chunk
             chunk, n = [], 0
     if chunk:
@@ -108,7 +109,7 @@ def _gather(shard_bits: int):
         held: dict[int, list[np.ndarray]] = {1: [], 2: []}
         n = 0
         for b in batches:
-            for chunk in _chunks(b.column(0)):
+            for chunk in _chunks(b.column(0), CHUNK):
                 tokens, _ = _tokens(chunk)
                 held[1].append(tokens)
                 held[2].append(_pairs(tokens))
@@ -232,84 +233,127 @@ def train(texts: DataFrame, shard_bits: int | None = None) -> tuple[DataFrame, i
     return materialise(merged, "model"), bits
 
 
-def _groups(sizes: list[tuple[int, int]], most: int) -> list[list[int]]:
-    groups, held = [[]], 0
-    for shard, size in sizes:
-        if groups[-1] and held + size > most:
-            groups.append([])
-            held = 0
-        groups[-1].append(shard)
-        held += size
-    return groups
-
-
-def _scorer(shared, first: bool, last: bool, n: int, v: int):
-    """Fills in the counts that one part knows; the last pass turns them to scores."""
-    total = n + 0.5 * (v + 1)
-
-    def scores(known: np.ndarray, levels: np.ndarray, lengths: np.ndarray, end_count: int) -> list[np.ndarray]:
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        share = (known + 0.5) / total
-        before = np.r_[0, known[:-1]]
-        before[starts] = end_count
-        pair = np.divide(_LEVEL[levels], before, out=np.zeros(len(known)), where=before > 0)
-        joint = np.where(before > 0, (1 - MIX) * share + MIX * np.minimum(pair, 1.0), share)
-        add = lambda x: np.add.reduceat(x, starts)
-        return [lengths, add((known > 0).astype(np.int64)), add(np.log10(share)), add(np.log10(joint))]
+def _scores(known: np.ndarray, levels: np.ndarray, lengths: np.ndarray, end_count: int, n: int, v: int) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of texts of ``lengths`` tokens, from the count of each token and the level of each pair."""
+    starts = np.cumsum(lengths) - lengths
+    share = (known + 0.5) / (n + 0.5 * (v + 1))
+    before = np.r_[0, known[:-1]]
+    before[starts] = end_count
+    pair = np.divide(_LEVEL[levels], before, out=np.zeros(len(known)), where=before > 0)
+    joint = np.where(before > 0, (1 - MIX) * share + MIX * np.minimum(pair, 1.0), share)
+    add = lambda x: np.add.reduceat(x, starts)
+    return [lengths, add((known > 0).astype(np.int64)), add(np.log10(share)), add(np.log10(joint))]
+
+
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_SCORED_NAMES = [c.split()[0] for c in SCORED.split(", ")]
+
+
+def _scorer(shared, n: int, v: int):
+    """Scores by a model that each worker holds."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, end_count = shared.value
+        part = shared.value
+        end_count = int(part.token_counts(np.array([END]))[0])
         for b in batches:
             at = 0
-            for chunk in _chunks(b.column(2)):
+            for chunk in _chunks(b.column(2), CHUNK):
                 tokens, lengths = _tokens(chunk)
-                known, levels = part.token_counts(tokens), part.levels(_pairs(tokens))
-                here = [b.column(0).slice(at, len(chunk)), b.column(1).slice(at, len(chunk))]
-                cuts = np.cumsum(lengths)[:-1]
-                if not first:
-                    known += np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in b.column(3).slice(at, len(chunk))])
-                    levels += np.concatenate([np.frombuffer(x.as_py(), np.int8) for x in b.column(4).slice(at, len(chunk))])
-                if last:
-                    found = scores(known, levels, lengths, end_count)
-                    yield pa.RecordBatch.from_arrays([*here, *map(pa.array, found)], ["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-                else:
-                    more = [pa.array([x.tobytes() for x in np.split(a, cuts)], pa.binary()) for a in (known, levels)]
-                    yield pa.RecordBatch.from_arrays([*here, b.column(2).slice(at, len(chunk)), *more], ["id", "held_out", "text", "known", "levels"])
+                found = _scores(part.token_counts(tokens), part.levels(_pairs(tokens)), lengths, end_count, n, v)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(chunk)), b.column(1).slice(at, len(chunk)), *map(pa.array, found)], _SCORED_NAMES)
                 at += len(chunk)
 
     return scan
 
 
+def _asks(bits: int):
+    """(shard, chunk, run): the distinct tokens and pairs of a chunk of texts by shard, and under shard -1 its rows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for chunk in _chunks(b.column(2), ASKED):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(b.slice(at, len(chunk)))
+                at += len(chunk)
+                tokens, _ = _tokens(chunk)
+                words, pairs = np.unique(tokens), np.unique(_pairs(tokens))
+                own, other = dict(dealt_out(words, bits)), dict(dealt_out(pairs, bits))
+                none = slice(0, 0)
+                rows = [(-1, sink.getvalue().to_pybytes())]
+                rows += [(s, packed(words[own.get(s, none)], pairs[other.get(s, none)])) for s in sorted({*own, *other})]
+                name = int.from_bytes(os.urandom(8)) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["shard", "chunk", "run"])
+
+    return scan
+
+
+def _answers(bits: int):
+    """Rows (shard, kind, chunk, run, tokens, counts, large, filter), a shard's model (kind 0) before what it is asked, to (chunk, shard, run)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, part = None, None
+        for b in batches:
+            out = []
+            for s, kind, chunk, run, *model in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if s != shard:
+                    shard, part = s, Part(bits, {}, [])
+                if kind == 0:
+                    row = dict(zip(("tokens", "counts", "large", "filter"), model, strict=True))
+                    part = Part(bits, {s: (len(row["counts"]), len(row["filter"]))}, [row | {"shard": s}])
+                else:
+                    words, pairs = unpacked(run, "<u8", "<u8")
+                    out.append((chunk, s, packed(part.token_counts(words), part.levels(pairs))))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["chunk", "shard", "run"])
+
+    return scan
+
+
+def _from_answers(n: int, v: int):
+    """Rows (chunk, shard, run) of a chunk, its texts first and then the answers by shard, to scores."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_first(batches):
+            texts = pa.ipc.open_stream(rows[0][2]).read_all().to_batches()[0]
+            counts, levels = map(np.concatenate, zip(*[unpacked(r[2], "<i8", "i1") for r in rows[1:]], strict=True))
+            tokens, lengths = _tokens(texts.column(2).to_pylist())
+            words, own = np.unique(tokens, return_inverse=True)
+            pair = np.unique(_pairs(tokens), return_inverse=True)[1]
+            end_count = int(counts[np.searchsorted(words, END)])
+            found = _scores(counts[own], levels[pair], lengths, end_count, n, v)
+            yield pa.RecordBatch.from_arrays([texts.column(0), texts.column(1), *map(pa.array, found)], _SCORED_NAMES)
+
+    return scan
+
+
 def score_texts(docs: DataFrame, training: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """Scores ``docs`` (id long, held_out boolean, text, not null) by a model of ``training`` (text, not null).
 
     One row per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Words lie between
     space and \\x09-\\x0D, A-Z lowered, and each text has one end token more, so an empty text has one token.
     With no training text every share is 0.5 / (0.5 * 1) = 1. Counts are over all training texts; token counts
-    are exact up to 64-bit hash collisions, pair counts are the filter's. ``most`` bounds the bytes of model
-    that are broadcast at once; beyond it the texts are passed over once per group of shards.
+    are exact up to 64-bit hash collisions, pair counts are the filter's. A model of up to ``most`` bytes is
+    broadcast; a larger one answers where its shards are, which takes two shuffles more and gives the same scores.
     """
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     model, bits = train(training)
     total = F.expr("octet_length(tokens) + octet_length(counts) + octet_length(large) + octet_length(filter)")
-    found = model.select("shard", F.octet_length("counts"), F.octet_length("filter"), total).orderBy("shard").collect()
-    n, v = model.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    groups = _groups([(r[0], r[3]) for r in found], most)
-
-    def part(group: list[int]) -> Part:
-        sizes = {r[0]: (r[1], r[2]) for r in found if r[0] in group}
-        return Part(bits, sizes, model.filter(F.col("shard").isin(group)).toLocalIterator() if group else [])
-
-    end_shard = int(END) >> (64 - bits)
-    end_count = int(part([r[0] for r in found if r[0] == end_shard]).token_counts(np.array([END]))[0])
-    out = docs
-    for k, group in enumerate(groups):
-        shared = spark.sparkContext.broadcast((part(group), end_count))
-        last = k == len(groups) - 1
-        out = materialise(out, "counts") if k else out
-        schema = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double" if last else "id long, held_out boolean, text string, known binary, levels binary"
-        out = out.mapInArrow(lean(_scorer(shared, k == 0, last, n, v)), schema)
+    n, v, size = model.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", total)]).first()
+    if size <= most:
+        sizes = {r[0]: (r[1], r[2]) for r in model.select("shard", F.octet_length("counts"), F.octet_length("filter")).collect()}
+        shared = spark.sparkContext.broadcast(Part(bits, sizes, model.toLocalIterator()))
+        out = docs.mapInArrow(lean(_scorer(shared, n, v)), SCORED)
+    else:
+        dealt = lambda rows, *keys: rows.repartition(parts, keys[0]).sortWithinPartitions(*keys)
+        asks = materialise(docs.mapInArrow(lean(_asks(bits)), "shard int, chunk long, run binary"), "asks")
+        known = model.select("shard", F.lit(0).alias("kind"), "tokens", "counts", "large", "filter")
+        both = known.unionByName(asks.filter("shard >= 0").withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        answers = dealt(both.select("shard", "kind", "chunk", "run", "tokens", "counts", "large", "filter"), "shard", "kind").mapInArrow(lean(_answers(bits)), "chunk long, shard int, run binary")
+        texts = asks.filter("shard < 0").select("chunk", "shard", "run")
+        out = dealt(texts.unionByName(answers), "chunk", "shard").mapInArrow(lean(_from_answers(n, v)), SCORED)
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 

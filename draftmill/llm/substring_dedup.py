@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import lean, materialise, text_or_empty, words_of
+from .common import by_first, dealt_out, lean, materialise, packed, text_or_empty, unpacked, words_of
 
 SHINGLE = 5
 #: Words of a run of repeated lines that is reported, and of a window of the word stream that is a paragraph of its own.
@@ -116,21 +116,6 @@ def packed_keys(keys: np.ndarray, names: np.ndarray, log: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(place[edges], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers as bytes, by byte planes, whose high ones compress well."""
-    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() if len(a) else b"" for a in map(np.ascontiguousarray, arrays)]
-    return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(planes)
-
-
-def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(raw, "<u4", len(kinds)).tolist(), 4 * len(kinds), []
-    for kind, n in zip(kinds, sizes, strict=True):
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel())
-        at += n * width
-    return out
-
-
 def _rolled(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n neighbouring words, the same wherever they stand."""
     one = np.ones(1, np.uint64)
@@ -189,14 +174,6 @@ def _streams(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[n
         yield joined(held)
 
 
-def _dealt(hashes: np.ndarray, log: int) -> Iterator[tuple[int, slice]]:
-    """Buckets, by the first ``log`` bits, of sorted hashes, and where each lies; empty ones are left out."""
-    edges = np.searchsorted(hashes, np.arange(1, 1 << log, dtype=np.uint64) << np.uint64(64 - log))
-    for bucket, (s, e) in enumerate(zip([0, *edges.tolist()], [*edges.tolist(), len(hashes)], strict=True)):
-        if s < e:
-            yield bucket, slice(s, e)
-
-
 def _key_runs(window: int, log: int):
     """Task side: (bucket, run) of the sorted keys of windows and whether several places of the chunk have them."""
 
@@ -207,29 +184,15 @@ def _key_runs(window: int, log: int):
             keys, text = keys[at], starts[at]
             keys = keys[np.r_[True, (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])]]
             keys, times = np.unique(keys, return_counts=True)
-            buckets, runs = zip(*[(k, packed(keys[s], times[s] > 1)) for k, s in _dealt(keys, log)], strict=True)
+            buckets, runs = zip(*[(k, packed(keys[s], times[s] > 1)) for k, s in dealt_out(keys, log)], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(runs, pa.binary())], ["bucket", "run"])
 
     return scan
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (tuples) of one value of the first column at a time."""
-    name, rows = None, []
-    for b in batches:
-        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            if rows and row[0] != name:
-                yield rows
-                rows = []
-            name = row[0]
-            rows.append(row)
-    if rows:
-        yield rows
-
-
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket side: the keys that several places have."""
-    for rows in _by_bucket(batches):
+    for rows in by_first(batches):
         keys, several = map(np.concatenate, zip(*[unpacked(r[1], "<u8", "?") for r in rows], strict=True))
         order = np.argsort(keys)
         keys, several = keys[order], several[order]
@@ -299,7 +262,7 @@ def _window_runs(window: int, table, table_log: int, log: int):
             columns = (own[first], ids[first], place[first], size.astype(np.int32), ids[first] != ids[last])
             broken = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (starts[at][1:] != starts[at][:-1])])
             rows = [(-1, packed(ids[broken], place[broken], np.diff(np.r_[broken, len(at)]).astype(np.int32), number))]
-            rows += [(k, packed(*[c[s] for c in columns])) for k, s in _dealt(own[first], log)]
+            rows += [(k, packed(*[c[s] for c in columns])) for k, s in dealt_out(own[first], log)]
             chunk = int.from_bytes(os.urandom(8)) >> 1
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows)), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "chunk", "run"])
 
@@ -310,7 +273,7 @@ def _window_replies(inside: bool):
     """Bucket side: (chunk, bucket, run): a REPLY for each run. A window that very many texts have comes once a chunk."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
+        for rows in by_first(batches):
             parts = [unpacked(r[2], *WINDOW_RUN) for r in rows]
             lengths = [len(p[0]) for p in parts]
             hashes, ids, places, sizes, several = map(np.concatenate, zip(*parts, strict=True))
@@ -339,7 +302,7 @@ def _window_spans(window: int):
     """Chunk side: rows (chunk, bucket, run) of a chunk, its places first, to its spans of repeated windows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_bucket(batches):
+        for rows in by_first(batches):
             ids, places, lengths, number = unpacked(rows[0][2], *CHUNK_PLACES)
             repeated, won, size, first_id, first_place = map(np.concatenate, zip(*[unpacked(r[2], *REPLY) for r in rows[1:]], strict=True))
             of = np.cumsum(repeated) - 1  # hashes to repeated ones
