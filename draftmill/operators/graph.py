@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """``rows``, one a key, dealt out evenly, so that the join that follows shuffles both its sides and can split the links of one node."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return both.join(_apart(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hung = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    hung = down.join(_apart(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
