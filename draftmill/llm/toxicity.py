@@ -25,6 +25,8 @@ DECAY, SPAN = 0.8, 5
 #: Characters of a piece; longer words are cut into pieces that overlap.
 PIECE, OVERLAP = 24, 8
 LANDMARKS = 96
+#: Words that mark toxic texts and are compared at a time when landmarks are chosen.
+MARKS = 500
 #: Labelled texts of each class that are fitted, chosen by hash of the id.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
 #: Words of clean texts that are known, the most frequent of them that are always fitted, and the worst judged that join them in each round.
@@ -238,18 +240,22 @@ def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Mach
     # Landmarks: two thirds words that mark toxic texts, the more texts the better, no two alike; the rest frequent words of clean ones.
     able = np.array([len(w) > 4 for w in names])
     marks = np.flatnonzero(able & (bad > 0))
-    marks = marks[np.lexsort((marks, -odds[marks] * np.minimum(bad[marks], 20) ** 0.5))][:500].tolist()
-    near = _landmarks([names[k] for k in marks])
-    near_kernels = near.kernels([names[k] for k in marks])
+    marks = marks[np.lexsort((marks, -odds[marks] * np.minimum(bad[marks], 20) ** 0.5))].tolist()
     chosen: list[int] = []
-    for k in range(len(marks)):
-        if len(chosen) < LANDMARKS * 2 // 3 and (not chosen or near_kernels[k, chosen].max() < 0.7):
-            chosen.append(k)
-    del near, near_kernels
+    for at in range(0, len(marks), MARKS):
+        block = [*chosen, *marks[at : at + MARKS]]
+        near = _landmarks([names[k] for k in block]).kernels([names[k] for k in block])
+        picked = list(range(len(chosen)))
+        for k in range(len(picked), len(block)):
+            if len(picked) < LANDMARKS * 2 // 3 and (not picked or near[k, picked].max() < 0.7):
+                picked.append(k)
+        chosen = [block[k] for k in picked]
+        if len(chosen) >= LANDMARKS * 2 // 3:
+            break
     common = np.flatnonzero(able & (good > 0))
     common = common[np.lexsort((common, -good[common]))][: LANDMARKS - len(chosen)].tolist()
-    machine = _landmarks([names[k] for k in dict.fromkeys([marks[k] for k in chosen] + common)])
-    own = machine.kernels([names[k] for k in dict.fromkeys([marks[k] for k in chosen] + common)]).astype(np.float64)
+    machine = _landmarks([names[k] for k in dict.fromkeys(chosen + common)])
+    own = machine.kernels([names[k] for k in dict.fromkeys(chosen + common)]).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-4 * np.eye(len(own)))
     whiten = (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)
 
