@@ -238,7 +238,7 @@ def _in_table(bits: np.ndarray, log: int, keys: np.ndarray) -> np.ndarray:
 
 WINDOW_RUN = ("<u8", "<i8", "<i4", "<i4", "?")  # of windows with one hash in a chunk: hash, first id and place, occurrences, whether several ids have it
 CHUNK_PLACES = ("<i8", "<i4", "<i4", "<u4")  # of runs of windows in a chunk: id, first place, length; of each window the number of its hash
-REPLY = ("?", "?", "<i4", "<i8", "<i4")  # of each hash whether it is repeated; of those: whether the first is in this chunk, occurrences, first id and place
+REPLY = ("?", "<i4", "<i8", "<i4")  # of each hash whether it is repeated; of those: occurrences, first id and place
 
 
 def _window_runs(window: int, table, table_log: int, log: int):
@@ -277,7 +277,7 @@ def _window_replies(inside: bool):
             parts = [unpacked(r[2], *WINDOW_RUN) for r in rows]
             lengths = [len(p[0]) for p in parts]
             hashes, ids, places, sizes, several = map(np.concatenate, zip(*parts, strict=True))
-            order = np.lexsort((np.repeat([r[1] for r in rows], lengths), places, ids, hashes))
+            order = np.lexsort((places, ids, hashes))
             new = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
             start, group = np.flatnonzero(new), np.empty(len(order), np.int64)
             group[order] = np.cumsum(new) - 1
@@ -285,13 +285,11 @@ def _window_replies(inside: bool):
             apart = np.logical_or.reduceat(several[order], start) | (np.maximum.reduceat(ids[order], start) != ids[order[start]])
             repeated = (size > 1 if inside else apart)[group]
             size = np.minimum(size, np.iinfo(np.int32).max).astype(np.int32)
-            won = np.zeros(len(order), bool)
-            won[order[start]] = True
             first = order[start][group]
             runs, at = [], 0
             for n in lengths:
                 some = at + np.flatnonzero(repeated[at : at + n])
-                runs.append(packed(repeated[at : at + n], won[some], size[group[some]], ids[first[some]], places[first[some]]))
+                runs.append(packed(repeated[at : at + n], size[group[some]], ids[first[some]], places[first[some]]))
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[0] for r in rows], pa.int32()), pa.array(runs, pa.binary())], ["chunk", "bucket", "run"])
 
@@ -304,18 +302,16 @@ def _window_spans(window: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_first(batches):
             ids, places, lengths, number = unpacked(rows[0][2], *CHUNK_PLACES)
-            repeated, won, size, first_id, first_place = map(np.concatenate, zip(*[unpacked(r[2], *REPLY) for r in rows[1:]], strict=True))
+            repeated, size, first_id, first_place = map(np.concatenate, zip(*[unpacked(r[2], *REPLY) for r in rows[1:]], strict=True))
             of = np.cumsum(repeated) - 1  # hashes to repeated ones
             run = np.repeat(np.arange(len(ids)), lengths)
             at = np.arange(len(number)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + places[run]
-            head = np.zeros(len(number), bool)
-            head[np.unique(number, return_index=True)[1]] = True
             some = np.flatnonzero(repeated[number])
             if not len(some):
                 continue
             own = of[number[some]]
-            run, at, head, size, first_id, first_place = run[some], at[some], head[some], size[own], first_id[own], first_place[own]
-            gone = ~(head & won[own])
+            run, at, size, first_id, first_place = run[some], at[some], size[own], first_id[own], first_place[own]
+            gone = (ids[run] != first_id) | (at != first_place)  # rows repeated with one id stay or go alike
             change = lambda x: x[1:] != x[:-1]
             start = np.flatnonzero(np.r_[True, change(run) | (np.diff(at) != 1) | change(size) | change(first_id) | change(gone)])
             n = np.diff(np.r_[start, len(some)]) + window - 1

@@ -161,6 +161,9 @@ def test_what_one_document_repeats_is_told_apart(spark, monkeypatch, chunk):
     shown = lambda **kw: sorted((r.doc_id, r.first_word, r.n_words, r.class_size, r.first_id, r.removed) for r in sd.repeated_passages(docs, **kw).collect())
     across = [(2, 30, 55, 2, 2, False), (3, 0, 55, 2, 2, True)]
     assert shown() == across
+    twice = docs.unionByName(docs.filter("doc_id = 2"))  # a row repeated with its id keeps its passage in both
+    assert {(r.doc_id, r.removed) for r in sd.repeated_passages(twice).collect()} == {(2, False), (3, True)}
+    assert sorted(len(r.text.split()) for r in sd.remove_passages(twice).filter("doc_id in (2, 3)").collect()) == [30, 85, 85]
     assert shown(inside=True) == sorted([*across, (1, 0, 60, 2, 1, False), (1, 69, 60, 2, 1, True)])
 
 
