@@ -608,3 +608,6 @@ def q41(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q01(spark, sf_dir)
+
+
+from . import annotation_queries  # noqa: E402, F401  its queries join QUERIES
