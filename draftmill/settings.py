@@ -38,7 +38,7 @@ def load(spark: SparkSession | None = None, path: str | None = None) -> Settings
     """Defaults, then the JSON object at ``path`` (read by Spark, so any store will do), then the session's entries."""
     out = Settings()
     if path and spark is not None:
-        out = out.overridden(json.loads(spark.read.option("wholetext", "true").text(path).first()[0]))
+        out = out.overridden(json.loads(spark.read.text(path, wholetext=True).first()[0]))
     if spark is not None:
         out = out.overridden({f.name: v for f in fields(out) if (v := spark.conf.get(PREFIX + f.name, None)) is not None})
     return out

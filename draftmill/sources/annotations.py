@@ -43,7 +43,7 @@ def images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, text): lines that aren't blank, counted from 1 in each file."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "text"))
     return whole.select("file", (F.col("at") + 1).alias("line"), F.trim("text").alias("text")).filter("text <> ''")
 
 

@@ -95,3 +95,38 @@ def test_rows_are_numbered_in_order(spark):
     rows = spark.range(0, 5000).withColumn("k", F.xxhash64("id")).drop("id").repartition(7)
     got = rules.numbered(rows, ["k"], 10).orderBy("id").collect()
     assert [r.id for r in got] == list(range(10, 5010)) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_command_line(spark, tmp_path):
+    from draftmill.__main__ import main
+    from test_graphs_and_rasters import png
+
+    ink, boxes = drawing()
+    (tmp_path / "images").mkdir()
+    (tmp_path / "images" / "sheet.png").write_bytes(png(ink))
+    found = [{"image_path": "in/sheet.png", "class": c, "x1": x1, "y1": y1, "x2": x2, "y2": y2} for _, c, x1, y1, x2, y2 in boxes]
+    (tmp_path / "boxes.json").write_text(json.dumps(found))
+    main(["graphs", str(tmp_path / "images"), str(tmp_path / "boxes.json"), str(tmp_path / "graphs"), "--pad", "0", "--least", "20"])
+    text = next((tmp_path / "graphs" / "image=sheet" / "cabinet=0").glob("*.txt")).read_text()
+    got = json.loads(text)
+    names = {n["id"]: n["class"] for n in got["nodes"]}
+    assert sorted(names.values()) == ["a", "b", "c"] and [sorted((names[e["u"]], names[e["v"]])) for e in got["edges"]] == [["a", "b"]]
+    (tmp_path / "labels").mkdir()
+    (tmp_path / "labels" / "sheet.txt").write_text("2 0.15 0.28125 0.1 0.1875\n")
+    main(["tiles", str(tmp_path / "images"), str(tmp_path / "labels"), str(tmp_path / "set"), "--tile", "128", "--back-step", "4", "--least", "16"])
+    tiles = {r.tile_name: r for r in spark.read.parquet(str(tmp_path / "set" / "tiles")).collect()}
+    assert sum(r.labels for r in tiles.values()) == 1 and sum(r.split == "val" for r in tiles.values()) == 1 and "cls_2" in [r[0] for r in spark.read.text(str(tmp_path / "set" / "dataset"), wholetext=True).collect() if r[0].strip()][0]
+    main(["grid", str(tmp_path / "images"), str(tmp_path / "labels"), str(tmp_path / "grid"), "--tile", "128"])
+    assert spark.read.parquet(str(tmp_path / "grid")).filter("text <> ''").count() >= 1
+
+
+def test_lines_are_counted_in_each_file(spark, tmp_path):
+    from draftmill import settings
+
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.txt").write_text("0 1\r\n\n  2 3 \n")
+    (tmp_path / "l" / "b.txt").write_text("")
+    got = [(r.file.rsplit("/", 1)[-1], r.line, r.text) for r in src.lines(spark, str(tmp_path / "l")).orderBy("file", "line").collect()]
+    assert got == [("a.txt", 1, "0 1"), ("a.txt", 3, "2 3")]
+    (tmp_path / "s.json").write_text('{\n  "top_k": 4\n}\n')
+    assert settings.load(spark, str(tmp_path / "s.json")).top_k == 4
