@@ -52,20 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def table_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, which ``drop_tables`` deletes too."""
+    path = f"{shared_dir(spark).rstrip('/')}/draftmill-{tag}-{uuid.uuid4().hex}"
+    _tables.append(path)
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back, which cuts its lineage.
 
     Unlike a local checkpoint the table outlives executors.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/draftmill-{tag}-{uuid.uuid4().hex}"
-    _tables.append(path)
+    path = table_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def tables_so_far() -> int:
-    """How many tables ``materialise`` has written; for ``drop_tables``."""
+    """How many tables have been written (or their paths given out); for ``drop_tables``."""
     return len(_tables)
 
 
