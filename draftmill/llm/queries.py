@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..session import table_path
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
+from .packed_ids import read_token_ids, write_token_ids
 from .sharding import shard_positions
 from .simhash import simhash_components
 from .substring_dedup import repeated_passages
@@ -174,3 +177,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_lm_scores"] = op10_lm_scores
+
+
+def op13_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = table_path(spark, "ids")
+    write_token_ids(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return read_token_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES["op13_packed_ids"] = op13_packed_ids
