@@ -15,7 +15,7 @@ from ..session import materialise, shared_dir
 #: Most bytes of model state that one broadcast may carry; operators split larger state into several passes.
 BROADCAST_BYTES = 128 << 20
 
-__all__ = ["BROADCAST_BYTES", "by_first", "dealt_out", "id_remainder", "lean", "materialise", "packed", "shared_dir", "text_or_empty", "unpacked", "words_of"]
+__all__ = ["BROADCAST_BYTES", "by_first", "dealt_out", "id_remainder", "is_finite_vector", "lean", "materialise", "packed", "scaled_vectors", "shared_dir", "text_or_empty", "unpacked", "words_of"]
 
 
 def lean(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -85,3 +85,25 @@ def by_first(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
             rows.append(row)
     if rows:
         yield rows
+
+
+# ---- vectors
+
+#: Components are multiplied by SCALE and floored; results beyond LIMIT either way count as LIMIT, so that sums of products fit 64 bits.
+SCALE, LIMIT = 256, 1 << 22
+
+
+def is_finite_vector(v: Column) -> Column:
+    """Whether a vector is there and holds neither nulls nor infinities nor what is not a number."""
+    return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def scaled_vectors(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a list column hold ``dimension`` finite components, and those as floor(SCALE * x), a row each."""
+    offsets = column.offsets.to_numpy()
+    child = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls are not numbers
+    keep = column.is_valid().to_numpy(zero_copy_only=False) & (np.diff(offsets) == dimension)
+    rows = child[offsets[:-1][keep][:, None] + np.arange(dimension)] if keep.any() else np.zeros((0, dimension))
+    good = np.isfinite(rows).all(1)
+    keep[keep] = good
+    return keep, np.clip(np.floor(SCALE * rows[good]), -LIMIT, LIMIT).astype(np.int64)

@@ -19,6 +19,7 @@ from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_filter import judge_urls, rule_table
+from .vector_codes import compress_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,6 +180,53 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op10_lm_scores"] = op10_lm_scores
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+QUERIES["op11_vector_codes"] = op11_vector_codes
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """For unique ids and vectors of one length that ``parts`` divides."""
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+, near{r} AS (
+  SELECT id, part, any_value(x) AS x, min(d * {entries} + entry) % {entries} AS entry, min(d * {entries} + entry) // {entries} AS d
+  FROM (SELECT id, p.part, p.x, entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts p JOIN book{r} c ON p.part = c.part)
+  GROUP BY id, part
+)"""
+        if r < rounds:
+            steps += f"""
+, means{r} AS (
+  SELECT part, entry, list(m ORDER BY k) AS x
+  FROM (SELECT part, entry, k, floor(sum(c)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT part, entry, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS k FROM near{r}) GROUP BY part, entry, k)
+  GROUP BY part, entry
+), book{r + 1} AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM book{r} b LEFT JOIN means{r} m ON b.part = m.part AND b.entry = m.entry
+)"""
+    return f"""
+WITH kept AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // {parts} AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT id, label, part, v[part * w + 1 : (part + 1) * w] AS x FROM (SELECT *, unnest(range(0, {parts})) AS part FROM kept)
+), book0 AS (
+  SELECT part, rank - 1 AS entry, x FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY id) AS rank FROM parts) WHERE rank <= {entries}
+){steps}
+, codes AS (
+  SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM near{rounds} GROUP BY id
+)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM codes JOIN (SELECT id, label FROM kept) USING (id)
+"""
+
+
+ORACLE_SQL["op11_vector_codes"] = _codes_sql()
+
+
 def op13_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
