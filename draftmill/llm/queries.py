@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import table_path
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .hard_negatives import mine_hard_negatives
 from .lm_scoring import lm_scores
 from .mixing import mix_sources
 from .packed_ids import read_token_ids, write_token_ids
@@ -227,6 +228,30 @@ FROM codes JOIN (SELECT id, label FROM kept) USING (id)
 ORACLE_SQL["op11_vector_codes"] = _codes_sql()
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(rows.withColumn("label", label), lambda i: i % 100 == 0, positives=5, negatives=10, window=(30, 90))
+
+
+QUERIES["op12_hard_negatives"] = op12_hard_negatives
+ORACLE_SQL["op12_hard_negatives"] = """
+WITH kept AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM kept a JOIN kept b ON a.id <> b.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 def op13_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
