@@ -11,6 +11,7 @@ index, MAGIC). All numbers are little-endian.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import uuid
@@ -31,7 +32,9 @@ TAIL = struct.Struct("<IIQQQQ8s")
 #: Ids of a block, a multiple of 8, so that blocks end at whole bytes; ids after which a new file begins.
 BLOCK_IDS, FILE_IDS = 4096, 1 << 24
 #: Bytes of words that a worker remembers, at WORD_BYTES a word and its length; words taken at once; bytes of a text that are split at once.
-REMEMBERED_BYTES, WORD_BYTES, WORDS, SPLIT_BYTES = 64 << 20, 120, 1 << 17, 1 << 20
+REMEMBERED_BYTES, WORD_BYTES, WORDS, SPLIT_BYTES = 128 << 20, 120, 1 << 17, 1 << 20
+#: New words that the library gets at once, and the word between them.
+TOGETHER, MARK = 512, "!"
 #: Ids that a reading task hands on at once.
 CHUNK = 1 << 20
 MANIFEST = "part int, number int, file string, bits int, n_docs long, n_ids long"
@@ -204,7 +207,9 @@ class TextIds:
 
         self.library = Tokenizer.from_buffer(vocabulary)
         self.size = max(self.library.get_vocab(with_added_tokens=True).values(), default=0) + 1
-        self.by_word = self._independent_words(vocabulary)
+        mark = self.library.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else -1
+        self.by_word = self.mark >= 0 and self._independent_words(vocabulary)
         self._forget()
 
     @staticmethod
@@ -222,19 +227,34 @@ class TextIds:
         self.places, self.held, self.used = _Places(), 0, 0
         self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _new_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has. Words without the mark are encoded as one text with marks between them."""
+        ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        if len(marks) == len(words) - 1 and not any(MARK in w for w in words):
+            return np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for word in found for i in word], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     def _learn(self) -> None:
         new, self.places.new = self.places.new, []
         if not new:
             return
-        ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        more = int(count.sum())
-        while self.used + more > len(self.flat):
+        # Words with the mark come last, whatever place they have.
+        words = [w.decode() for w in new]
+        order = sorted(range(len(words)), key=lambda k: MARK in words[k])
+        plain = sum(MARK not in w for w in words)
+        cuts = [*range(0, plain, TOGETHER), *range(plain, len(words), TOGETHER), len(words)]
+        parts = [self._new_ids([words[k] for k in order[s:e]]) for s, e in zip(cuts, cuts[1:], strict=False)]
+        ids, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + more] = [i for word in ids for i in word]
-        self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.used += more
+        self.flat[self.used : self.used + len(ids)] = ids
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        self.first = np.concatenate([self.first, (self.used + np.cumsum(count) - count)[back]])
+        self.count = np.concatenate([self.count, count[back]])
+        self.used += len(ids)
         self.held += sum(map(len, new)) + WORD_BYTES * len(new)
 
     def _of_words(self, words: list[bytes], per_piece: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,6 +306,7 @@ _loaded: dict[int, TextIds] = {}
 def _tokens(key: int, vocabulary: Callable[[], bytes]) -> TextIds:
     """The worker's own, so that words are remembered from task to task."""
     if key not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _loaded.clear()
         _loaded[key] = TextIds(vocabulary())
     return _loaded[key]
