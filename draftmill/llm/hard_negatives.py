@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import is_finite_vector, lean, materialise, packed, scaled_vectors, unpacked
 
-#: Rows of a leaf; anchors of a block; bytes of a group's vectors; most labels by which a node is parted.
-LEAF, BLOCK, GROUP_BYTES, BY_LABEL = 256, 512, 64 << 20, 32
+#: Rows of a leaf; anchors of a block; most bytes of a group's vectors; rows below which no further group is made; most labels by which a node is parted.
+LEAF, BLOCK, GROUP_BYTES, GROUP_ROWS, BY_LABEL = 256, 512, 64 << 20, 8192, 32
 #: Products of whole numbers below this are exact as doubles, times 100 too.
 EXACT = 1 << 46
 
@@ -264,7 +264,8 @@ def mine_hard_negatives(rows: DataFrame, anchors, positives: int = 5, negatives:
     rows = _taking_part(rows, id_col, vector_col, label_col)
     n, dimension = rows.agg(F.count(F.lit(1)), F.min_by(F.size("v"), F.struct("id", "v"))).first()
     dimension = dimension or 0
-    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * max(1, dimension) * 8 // GROUP_BYTES))
+    # Every group answers every anchor, so there are no more than cores have use for, but of bounded size.
+    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP_ROWS)), -(-n * max(1, dimension) * 8 // GROUP_BYTES))
     rows = rows.filter(F.size("v") == dimension)
     chosen = rows.filter(anchors(F.col("id"))).groupBy("id").agg(F.min(F.struct("label", "v")).alias("s")).select("id", "s.label", "s.v")
     best = _searched(rows, chosen, dimension, groups, True, positives, None)

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from draftmill.llm import hard_negatives
 from draftmill.llm.hard_negatives import BallTree, Search, mine_hard_negatives, needed
 
 SCHEMA = "vec_id long, label int, embedding array<float>, id string, v string, part int, score string, place string, rank string"
@@ -45,7 +46,8 @@ def table(spark, records):
 
 
 @pytest.mark.parametrize(("window", "positives", "negatives"), [((30, 90), 5, 10), ((95, 100), 3, 4), ((0, 40), 400, 2)])
-def test_equals_brute_force(table, records, rows, window, positives, negatives):
+def test_equals_brute_force(table, records, rows, window, positives, negatives, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "GROUP_ROWS", 300)  # several groups
     found = mine_hard_negatives(table, lambda i: i % 20 == 0, positives, negatives, window)
     assert rows(found) == brute(records, 20, positives, negatives, window, 8)
 
