@@ -194,7 +194,16 @@ def thickened(runs: DataFrame, radius: int, sizes: DataFrame) -> DataFrame:
     if radius <= 0:
         return runs
     wide = runs.join(sizes, "image").select("image", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - radius), F.least(F.col("height") - 1, F.col("y") + radius))).alias("y"), F.greatest(F.lit(0), F.col("x0") - radius).alias("x0"), F.least(F.col("width") - 1, F.col("x1") + radius).alias("x1"))
-    return row_runs(pixels_of(wide))
+    return merged_runs(wide)
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """Runs that overlap or touch in a row made one, without going through their pixels."""
+    along = Window.partitionBy("image", "y").orderBy("x0", "x1")
+    before = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    marked = runs.select("image", "y", "x0", "x1", F.when(F.col("x0") <= before + 1, 0).otherwise(1).alias("_new"))
+    parts = marked.withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return parts.groupBy("image", "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
 
 
 def carved(runs: DataFrame, boxes: DataFrame, margin: int = 1) -> DataFrame:

@@ -167,12 +167,10 @@ def q52(spark, sf_dir):
 
 @query(
     "q53_wrapped_base64",
-    """WITH b AS (SELECT doc_id, base64(encode(substr(coalesce(text, ''), 1, 60 + doc_id % 30))) AS b FROM documents)
-    SELECT doc_id, array_to_string(list_transform(range(0, ((len(b) + 19) // 20)::BIGINT), lambda k: b[k * 20 + 1 : k * 20 + 20]), chr(10)) AS wrapped FROM b""",
+    r"""SELECT doc_id, rtrim(regexp_replace(base64(encode(coalesce(text, ''))), '(.{76})', '\1' || chr(10), 'g'), chr(10)) AS wrapped FROM documents""",
 )
 def q53(spark, sf_dir):
-    raw = F.substring(F.coalesce("text", F.lit("")), F.lit(1), (60 + F.col("doc_id") % 30).cast("int")).cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.wrapped_base64(raw, 20).alias("wrapped"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.wrapped_base64(F.coalesce("text", F.lit("")).cast("binary")).alias("wrapped"))
 
 
 # ---- cuts between sparse boxes: eight parts an image
@@ -245,11 +243,12 @@ def q56(spark, sf_dir):
 
 @query(
     "q57_thick_lines",
-    f"""WITH {_INK}, o AS (SELECT unnest([-1, 0, 1]) AS d), wide AS (SELECT DISTINCT image, y + a.d AS y, x + b.d AS x FROM ink, o a, o b WHERE y + a.d BETWEEN 0 AND 999 AND x + b.d BETWEEN 0 AND 1999) {_ROWS.format("wide")}""",
+    f"""WITH {_INK}, sizes AS (SELECT image, max(x) AS xmax, max(y) AS ymax FROM ink GROUP BY image), o AS (SELECT unnest([-1, 0, 1]) AS d),
+    wide AS (SELECT DISTINCT image, y + a.d AS y, x + b.d AS x FROM ink JOIN sizes USING (image), o a, o b WHERE y + a.d BETWEEN 0 AND ymax AND x + b.d BETWEEN 0 AND xmax) {_ROWS.format("wide")}""",
 )
 def q57(spark, sf_dir):
-    runs = _wires(spark, sf_dir).filter("y < 1000 and x0 < 2000")
-    sizes = runs.select("image").distinct().withColumns({"width": F.lit(2000), "height": F.lit(1000)})
+    runs = _wires(spark, sf_dir)
+    sizes = runs.groupBy("image").agg((F.max("x1") + 1).alias("width"), (F.max("y") + 1).alias("height"))
     return raster.thickened(runs, 1, sizes)
 
 

@@ -496,9 +496,21 @@ def q35(spark, sf_dir):
     return vector.principal_components(vectors(spark, sf_dir), 2)
 
 
+# Parts: a few on most images, so that there is room to cut; every fifth on one of seven crowded images; some wider than a tile.
+_PARTS = """boxes AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN -1 - p_partkey % 7 ELSE p_partkey // 8 END AS image, p_partkey * 37 % 1800 AS x1, p_partkey * 53 % 1000 AS y1,
+  p_partkey * 37 % 1800 + 5 + p_size * CASE WHEN p_partkey % 23 = 0 THEN 20 ELSE 1 END AS x2, p_partkey * 53 % 1000 + 5 + p_size % 20 AS y2 FROM part)"""
+
+
+def _parts(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    x, y = k * 37 % 1800, k * 53 % 1000
+    image = F.when(k % 5 == 0, -1 - k % 7).otherwise(F.floor(k / 8))
+    return table(spark, sf_dir, "part").select(image.alias("image"), x.alias("x1"), y.alias("y1"), (x + 5 + s * F.when(k % 23 == 0, 20).otherwise(1)).alias("x2"), (y + 5 + s % 20).alias("y2"))
+
+
 @query(
     "q36_cut_plans",
-    f"""WITH RECURSIVE {BOXES}, sides AS (
+    f"""WITH RECURSIVE {_PARTS}, sides AS (
       SELECT image, 'x' AS axis, x2 - x1 AS n, greatest(0, x1)::DOUBLE AS s, least(1900, x2)::DOUBLE AS e FROM boxes
       UNION ALL SELECT image, 'y', y2 - y1, greatest(0, y1)::DOUBLE, least(1100, y2)::DOUBLE FROM boxes),
     marked AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY image, axis ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM sides WHERE e > s),
@@ -516,7 +528,7 @@ def q35(spark, sf_dir):
     SELECT image, axis, CASE WHEN possible AND length - last <= 512 THEN list_append(cuts, length) END AS cuts FROM ends""",
 )
 def q36(spark, sf_dir):
-    b = boxes(spark, sf_dir)
+    b = _parts(spark, sf_dir)
     images = b.select("image").distinct().withColumns({"width": F.lit(1900), "height": F.lit(1100)})
     return tiling.plan_cuts(b, images, tile=512, back_step=4, least=32)
 
