@@ -99,19 +99,24 @@ def sauvola(gray: np.ndarray, window: int, k: float, spread: float = 128.0) -> n
     return mean * (1 + k * (deviation / spread - 1))
 
 
+def thinning_pass(a: np.ndarray) -> None:
+    """Both halves of one pass of thinning, in place, on ink with a rim of at least one pixel that isn't looked at."""
+    for first in (True, False):
+        n, ne, e, se, s, sw, w, nw = a[:-2, 1:-1], a[:-2, 2:], a[1:-1, 2:], a[2:, 2:], a[2:, 1:-1], a[2:, :-2], a[1:-1, :-2], a[:-2, :-2]
+        ring = np.array([n, ne, e, se, s, sw, w, nw])
+        count = ring.sum(0)
+        turns = (~ring & np.roll(ring, -1, 0)).sum(0)
+        ends = ~(n & e & s) & ~(e & s & w) if first else ~(n & e & w) & ~(n & s & w)
+        drop = a[1:-1, 1:-1] & (count >= 2) & (count <= 6) & (turns == 1) & ends
+        a[1:-1, 1:-1] &= ~drop
+
+
 def thinned(ink: np.ndarray) -> np.ndarray:
     """Lines of one pixel (Zhang and Suen, 1984)."""
     a = np.pad(ink.astype(bool), 1)
     while True:
         before = a.sum()
-        for first in (True, False):
-            n, ne, e, se, s, sw, w, nw = a[:-2, 1:-1], a[:-2, 2:], a[1:-1, 2:], a[2:, 2:], a[2:, 1:-1], a[2:, :-2], a[1:-1, :-2], a[:-2, :-2]
-            ring = np.array([n, ne, e, se, s, sw, w, nw])
-            count = ring.sum(0)
-            turns = (~ring & np.roll(ring, -1, 0)).sum(0)
-            ends = ~(n & e & s) & ~(e & s & w) if first else ~(n & e & w) & ~(n & s & w)
-            drop = a[1:-1, 1:-1] & (count >= 2) & (count <= 6) & (turns == 1) & ends
-            a[1:-1, 1:-1] &= ~drop
+        thinning_pass(a)
         if a.sum() == before:
             return a[1:-1, 1:-1]
 
