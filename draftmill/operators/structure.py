@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,21 +64,24 @@ def describe(images: DataFrame, gx: int = 20, gy: int = 50, bins: int = 9, id_co
     return rows.mapInArrow(scan, f"id long, {DESCRIPTOR}").withColumnRenamed("id", id_col)
 
 
-def shift_scores(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, most: int = SHIFTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shift_scores(fa: np.ndarray, ea: np.ndarray | None, fb: np.ndarray, eb: np.ndarray | None, most: int = SHIFTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(scores, dy, dx) of the best shifts of many pairs; features [pair, row, column, bin], energies [pair, row, column].
 
     A shift moves the first of a pair by (dy, dx) cells; the score is the mean similarity of the cells that lie on
-    each other, weighed by the lesser of both energies where that is enough. The first in ascending (dy, dx) is
-    taken among the best.
+    each other, weighed by the lesser of both energies where that is enough. Without energies all cells that lie on
+    each other weigh the same. The first in ascending (dy, dx) is taken among the best.
     """
-    n, gy, gx = ea.shape
+    n, gy, gx = fa.shape[:3]
     best = np.full(n, -1.0)
     found = np.zeros((2, n), np.int32)
     for dy in range(-min(most, gy - 1), min(most, gy - 1) + 1):
         for dx in range(-min(most, gx - 1), min(most, gx - 1) + 1):
-            similar, weight = _overlaid(fa, ea, fb, eb, dy, dx)
-            total = weight.sum((1, 2))
-            score = np.where(total > 0, (similar * weight).sum((1, 2)) / (total + EPS), 0.0)
+            if ea is None or eb is None:
+                score = _laid(fa, fb, dy, dx)[0].mean((1, 2))
+            else:
+                similar, weight = _overlaid(fa, ea, fb, eb, dy, dx)
+                total = weight.sum((1, 2))
+                score = np.where(total > 0, (similar * weight).sum((1, 2)) / (total + EPS), 0.0)
             # Scores equal to nine digits count as tied, so that the order of sums doesn't decide.
             better = np.round(score, 9) > np.round(best, 9)
             best[better] = score[better]
@@ -85,13 +89,19 @@ def shift_scores(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray,
     return np.maximum(best, 0.0), found[0], found[1]
 
 
-def _overlaid(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
-    """Similarities and weights (0: too little energy) of the cells that lie on each other under a shift."""
-    _, gy, gx = ea.shape
+def _laid(fa: np.ndarray, fb: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, tuple, tuple]:
+    """Similarities of the cells that lie on each other under a shift, and where those are in both grids."""
+    gy, gx = fa.shape[1:3]
     a = np.s_[:, max(0, dy) : gy + min(0, dy), max(0, dx) : gx + min(0, dx)]
     b = np.s_[:, max(0, -dy) : gy - max(0, dy), max(0, -dx) : gx - max(0, dx)]
+    return np.einsum("pyxk,pyxk->pyx", fa[a], fb[b]), a, b
+
+
+def _overlaid(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, dy: int, dx: int) -> tuple[np.ndarray, np.ndarray]:
+    """Similarities and weights (0: too little energy) of the cells that lie on each other under a shift."""
+    similar, a, b = _laid(fa, fb, dy, dx)
     weight = np.minimum(ea[a], eb[b])
-    return np.einsum("pyxk,pyxk->pyx", fa[a], fb[b]), np.where(weight > LEAST_ENERGY, weight, 0.0)
+    return similar, np.where(weight > LEAST_ENERGY, weight, 0.0)
 
 
 def similarity_map(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarray, dy: int, dx: int) -> np.ndarray:
@@ -100,17 +110,14 @@ def similarity_map(fa: np.ndarray, ea: np.ndarray, fb: np.ndarray, eb: np.ndarra
     return np.where(weight > 0, similar, -1.0)[0]
 
 
-def mean_similarity(fa: np.ndarray, fb: np.ndarray) -> np.ndarray:
-    """Mean similarity of all cells of pairs without energies, unshifted; no less than 0."""
-    return np.maximum(0.0, np.einsum("pyxk,pyxk->pyx", fa, fb).mean((1, 2)))
-
-
 def match_structure(pairs: DataFrame, described: DataFrame, gx: int, gy: int, bins: int, most: int = SHIFTS, a: str = "query_id", b: str = "rule_id", id_col: str = "id", described_rules: DataFrame | None = None) -> DataFrame:
     """``pairs`` with structure double, dy int, dx int from the descriptors of both sides.
 
-    Pairs without descriptors are left out.
+    Pairs without features are left out. Where a side has no energies (null, or no such column), a shift's score is
+    the plain mean of its cells' similarities.
     """
-    own = lambda d, name: d.select(F.col(id_col).alias(f"_{name}"), F.col("features").alias(f"_f{name}"), F.col("energies").alias(f"_e{name}"))
+    energies = lambda d: F.col("energies") if "energies" in d.columns else F.lit(None).cast("array<double>")
+    own = lambda d, name: d.filter("features is not null").select(F.col(id_col).alias(f"_{name}"), F.col("features").alias(f"_f{name}"), energies(d).alias(f"_e{name}"))
     joined = pairs.join(own(described, "a"), F.col(a) == F.col("_a")).join(own(described_rules if described_rules is not None else described, "b"), F.col(b) == F.col("_b"))
     names = pairs.columns
     source = joined.select(*names, "_fa", "_ea", "_fb", "_eb")
@@ -122,9 +129,12 @@ def match_structure(pairs: DataFrame, described: DataFrame, gx: int, gy: int, bi
         for batch in batches:
             for at in range(0, len(batch), step):
                 some = batch.slice(at, step)
-                fa, ea, fb, eb = (some.column(n + k).flatten().to_numpy(zero_copy_only=False).reshape(len(some), gy, gx, -1) for k in range(4))
-                found = shift_scores(fa, ea[..., 0], fb, eb[..., 0], most)
-                yield pa.RecordBatch.from_arrays([*[some.column(k) for k in range(n)], *map(pa.array, found)], [*names, "structure", "dy", "dx"])
+                weighed = pc.and_(some.column(n + 1).is_valid(), some.column(n + 3).is_valid())
+                for part, plain in ((some.filter(weighed), False), (some.filter(pc.invert(weighed)), True)):
+                    if len(part):
+                        grid = lambda k, part=part: part.column(n + k).flatten().to_numpy(zero_copy_only=False).reshape(len(part), gy, gx, -1)
+                        found = shift_scores(grid(0), None, grid(2), None, most) if plain else shift_scores(grid(0), grid(1)[..., 0], grid(2), grid(3)[..., 0], most)
+                        yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(n)], *map(pa.array, found)], [*names, "structure", "dy", "dx"])
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("structure", T.DoubleType()), T.StructField("dy", T.IntegerType()), T.StructField("dx", T.IntegerType())])
     return source.mapInArrow(scan, schema)
@@ -135,9 +145,9 @@ def recognise(queries: DataFrame, rules: DataFrame, k: int = 3, gx: int = 20, gy
 
     max(8 k, 32) candidates a query come from exact search by embedding; they are ordered by
     ``weight * (1 - structure) + (1 - weight) * distance``, then by their coarse rank. Both tables hold id,
-    embedding, features, energies. An empty store gives no rows; rules without descriptors aren't candidates.
+    embedding, features, energies. An empty store gives no rows; rules without features aren't candidates.
     """
-    complete = rules.filter("features is not null and energies is not null")
+    complete = rules.filter("features is not null")
     coarse = nearest(queries, complete, max(8 * k, 32), id_col).withColumnRenamed("rank", "coarse_rank")
     matched = match_structure(coarse, queries, gx, gy, bins, id_col=id_col, described_rules=complete)
     blended = matched.withColumn("blended", weight * (1 - F.col("structure")) + (1 - weight) * F.col("distance"))

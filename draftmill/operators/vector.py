@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import col
+from ..session import materialise
 
 #: Vectors of one block, and numbers of one distance block.
 BLOCK, CELLS = 1024, 4_000_000
+#: Most pivots of a filed store, and rules of one of its groups.
+PIVOTS, GROUP = 256, 65_536
 
 
 def l2_norm(v) -> Column:
@@ -71,9 +74,14 @@ def _compared(queries: DataFrame, rules: DataFrame, id_col: str, vector_col: str
     parts = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     vectors = lambda rows, part: rows.select(part.cast("int").alias("part"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter("id is not null and v is not null")
     blocks = lambda rows: rows.mapInArrow(_blocks, "part int, ids binary, vs binary")
-    one = blocks(vectors(rules, F.pmod(F.xxhash64(id_col), F.lit(parts)))).select("part", F.lit(0).alias("kind"), "ids", "vs")
-    other = blocks(vectors(queries, F.lit(0))).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "ids", "vs")
-    both = one.unionByName(other)
+    one = blocks(vectors(rules, F.pmod(F.xxhash64(id_col), F.lit(parts))))
+    other = blocks(vectors(queries, F.lit(0))).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "ids", "vs")
+    return _met(other, one, parts, found)
+
+
+def _met(queries: DataFrame, rules: DataFrame, parts: int, found) -> DataFrame:
+    """``_compared`` for blocks (part, ids, vs) of queries and rules that meet where their part is the same."""
+    both = rules.select("part", F.lit(0).alias("kind"), "ids", "vs").unionByName(queries.select("part", F.lit(1).alias("kind"), "ids", "vs"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, rule_ids, matrix = None, ([], []), None, None
@@ -93,12 +101,8 @@ def _compared(queries: DataFrame, rules: DataFrame, id_col: str, vector_col: str
     return both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(scan, "query_id long, rule_id long, distance double")
 
 
-def nearest(queries: DataFrame, rules: DataFrame, k: int = 3, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, rule_id, distance): the k nearest rules of each query by exact L2 distance.
-
-    Fewer rows where there are fewer rules. Ties go to the smaller id. Rules are dealt into groups; each group
-    keeps k rules a query, so k rows a group are shuffled, not the product. Null ids and vectors are ignored.
-    """
+def _best_of(k: int):
+    """For ``_compared``: the k nearest of a group, ties to the smaller id."""
 
     def best(ids: np.ndarray, own: np.ndarray, rule_ids: np.ndarray, matrix: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         step = max(1, CELLS // len(rule_ids))
@@ -114,11 +118,115 @@ def nearest(queries: DataFrame, rules: DataFrame, k: int = 3, id_col: str = "id"
             d, i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
             yield np.repeat(ids[at : at + step], d.shape[1]), i.ravel(), d.ravel()
 
-    found = _compared(queries, rules, id_col, vector_col, best)
+    return best
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "rule_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "rule_id", "distance")
 
 
+def nearest(queries: DataFrame, rules: DataFrame, k: int = 3, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, rule_id, distance): the k nearest rules of each query by exact L2 distance.
+
+    Fewer rows where there are fewer rules. Ties go to the smaller id. Rules are dealt into groups; each group
+    keeps k rules a query, so k rows a group are shuffled, not the product. Null ids and vectors are ignored.
+    For stores of many groups, ``FiledRules`` sends queries only to groups that can matter.
+    """
+    return _ranked(_compared(queries, rules, id_col, vector_col, _best_of(k)), k)
+
+
+class FiledRules:
+    """Rules filed by their nearest pivot, for exact search that skips groups by the triangle inequality.
+
+    ``pivots`` rules, chosen by hash of the id, are pivots; they alone, and a count and radius of each pivot's rules,
+    reach the driver. All rules are filed, in a table of the shared folder; a pivot of many rules has several groups.
+    Null ids and vectors are ignored, repeated ids count as often as they come.
+    """
+
+    def __init__(self, rules: DataFrame, pivots: int = 64, id_col: str = "id", vector_col: str = "embedding", group: int = GROUP):
+        self.spark = rules.sparkSession
+        rows = self._rows(rules, id_col, vector_col)
+        chosen = rows.orderBy(F.xxhash64("id"), "id", "v").limit(min(pivots, PIVOTS)).collect()
+        self.pivots = np.array([r.v for r in chosen], np.float64) if chosen else np.zeros((0, 0))
+        filed = materialise(rows.mapInArrow(self._filing(), "pivot int, d double, id long, v array<double>"), "filed")
+        stats = {r.pivot: r for r in filed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()}
+        self.count = np.array([stats[p].n if p in stats else 0 for p in range(len(chosen))], np.int64)
+        self.radius = np.array([stats[p].radius if p in stats else -np.inf for p in range(len(chosen))])
+        # Groups of a pivot: so many that none has more than ``group`` rules on average; numbered on from pivot to pivot.
+        self.groups = np.maximum(1, -(-self.count // group))
+        self.first = np.r_[0, np.cumsum(self.groups)].astype(np.int64)
+        number = lambda values: F.element_at(F.array(*[F.lit(int(x)) for x in values]), F.col("pivot") + 1)
+        part = (number(self.first[:-1]) + F.pmod(F.xxhash64("id", "v"), number(self.groups))).cast("int") if len(chosen) else F.lit(0)
+        self.rules = filed.select(part.alias("part"), "id", "v")
+
+    @staticmethod
+    def _rows(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+        return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+
+    def _filing(self):
+        pivots = self.pivots
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if len(b):
+                    d = distances(_matrix(b.column(1)), pivots)
+                    at = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.sqrt(d[np.arange(len(d)), at])), *b.columns], ["pivot", "d", "id", "v"])
+
+        return scan
+
+    def _sent(self, queries: DataFrame, k: int, home: bool) -> DataFrame:
+        """Blocks (part, ids, vs) of queries (id, v, bound) for their nearest pivot's groups, or for all others that may hold a rule within the bound.
+
+        Where a query has no bound yet, rules are counted: the groups that surely lie within some distance of it hold
+        k rules, so no rule farther off matters.
+        """
+        pivots, radius, count, first, groups = self.pivots, self.radius, self.count, self.first, self.groups
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not len(b):
+                    continue
+                matrix, ids = _matrix(b.column(1)), b.column(0).to_numpy()
+                d = np.sqrt(distances(matrix, pivots))
+                own = np.where(count > 0, d, np.inf).argmin(1)
+                far = d + radius
+                order = np.argsort(far, axis=1)
+                enough = np.cumsum(count[order], axis=1) >= k
+                at = np.where(enough.any(1), enough.argmax(1), len(count) - 1)
+                sure = np.where(enough.any(1), far[np.arange(len(d)), order[np.arange(len(d)), at]], np.inf)
+                bound = np.fmin(b.column(2).to_numpy(zero_copy_only=False), sure)
+                wanted = np.zeros(d.shape, bool)
+                wanted[np.arange(len(d)), own] = True
+                if not home:
+                    slack = 1e-9 * (1 + d + np.abs(radius))  # of rounding
+                    wanted = ~wanted & (count > 0) & (d - radius <= bound[:, None] + slack)
+                for p in np.flatnonzero(wanted.any(0)):
+                    who = wanted[:, p]
+                    parts = range(int(first[p]), int(first[p] + groups[p]))
+                    yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([ids[who].astype(np.int64).tobytes()] * len(parts), pa.binary()), pa.array([matrix[who].tobytes()] * len(parts), pa.binary())], ["part", "ids", "vs"])
+
+        return queries.select("id", "v", F.col("bound").cast("double")).mapInArrow(scan, "part int, ids binary, vs binary")
+
+    def nearest(self, queries: DataFrame, k: int = 3, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+        """What ``nearest`` gives: first the groups of each query's nearest pivot, then those that its k-th distance so far doesn't rule out."""
+        if not len(self.pivots):
+            return self.spark.createDataFrame([], "query_id long, rank int, rule_id long, distance double")
+        asked = self._rows(queries, id_col, vector_col)
+        near = materialise(_ranked(self._searched(self._sent(asked.withColumn("bound", F.lit(None)), k, True), k), k), "near")
+        return _ranked(near.select("query_id", "rule_id", "distance").unionByName(self._searched(self.others(asked, near, k), k)), k)
+
+    def others(self, asked: DataFrame, near: DataFrame, k: int) -> DataFrame:
+        """Blocks of queries for the groups that the first search leaves open."""
+        bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("bound"))
+        return self._sent(asked.join(bound, "id", "left"), k, False)
+
+    def _searched(self, sent: DataFrame, k: int) -> DataFrame:
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), int(self.first[-1]))
+        return _met(sent, self.rules.mapInArrow(_blocks, "part int, ids binary, vs binary"), parts, _best_of(k))
+
+
 def distance_rows(queries: DataFrame, rules: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rule_id, distance) for every query and rule: the rows of a distance matrix, in blocks."""
 
@@ -163,4 +271,4 @@ def match_scores(matches: DataFrame, threshold: float = 60.0) -> DataFrame:
     })
 
 
-__all__ = ["distance_rows", "l2_distance", "l2_norm", "l2_normalised", "match_scores", "nearest", "principal_components", "radar_ring"]
+__all__ = ["FiledRules", "distance_rows", "l2_distance", "l2_norm", "l2_normalised", "match_scores", "nearest", "principal_components", "radar_ring"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,23 @@ def images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "true").load(paths)
 
 
+#: How files of each kind begin.
+SIGNATURES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "bmp": "424D", "gif": "47494638", "tiff": "49492A00", "tiff ": "4D4D002A"}
+
+
+def decoded_images(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Decoded images as ``images`` gives them, and what was left out: (path, length, reason), reason "empty", "not an image" or "broken"."""
+    options = {"recursiveFileLookup": str(recursive).lower()}
+    good = spark.read.format("image").options(**options).load(paths).filter("image.height > 0")
+    files = spark.read.format("binaryFile").options(**options).load(paths).select("path", "length", F.hex(F.substring("content", 1, 8)).alias("head"))
+    known = reduce(or_, [F.col("head").startswith(s) for s in SIGNATURES.values()])
+    reason = F.when(F.col("length") == 0, "empty").when(known, "broken").otherwise("not an image")
+    # Both readers write paths with a scheme of their own form.
+    place = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    rejected = files.withColumn("_path", place(F.col("path"))).join(good.select(place(F.col("image.origin")).alias("_path")), "_path", "left_anti")
+    return good, rejected.select("path", "length", reason.alias("reason"))
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, text): lines that aren't blank, counted from 1 in each file."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "text"))

@@ -64,3 +64,16 @@ def test_class_filter(spark, rows):
     df = spark.createDataFrame([("Lamp",), ("fuse",), ("CABINET",), (None,)], "class string")
     assert rows(cleanup.of_classes(df, exclude=["cabinet"])) == [("Lamp",), ("fuse",), (None,)]
     assert rows(cleanup.of_classes(df, include=["LAMP", "cabinet"], exclude=["Cabinet"])) == [("Lamp",)]
+
+
+def test_rejected_images(spark, tmp_path, rows):
+    import numpy as np
+    from test_graphs_and_rasters import png
+
+    good = png(np.full((3, 4), 9))
+    for name, raw in {"a.png": good, "empty.png": b"", "cut.png": good[:20], "text.png": b"not an image", "note.txt": b"hello"}.items():
+        (tmp_path / name).write_bytes(raw)
+    decoded, rejected = src.decoded_images(spark, str(tmp_path))
+    assert [(r.image.width, r.image.height) for r in decoded.collect()] == [(4, 3)]
+    found = {r.path.rsplit("/", 1)[-1]: (r.length, r.reason) for r in rejected.collect()}
+    assert found == {"empty.png": (0, "empty"), "cut.png": (20, "broken"), "text.png": (12, "not an image"), "note.txt": (5, "not an image")}

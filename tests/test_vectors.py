@@ -51,7 +51,61 @@ def test_shift_match_finds_the_shift():
     similar = structure.similarity_map(fa, ea, fb, eb, dy, dx)
     assert score == pytest.approx(1, abs=1e-4) and similar.shape == (5, 5)
     assert best(fa, np.zeros_like(ea), fb, eb) == (0.0, -2, -2)
-    assert structure.mean_similarity(fa[None], fa[None])[0] == pytest.approx(1, abs=1e-4)
+
+
+@pytest.mark.parametrize("weighed", [True, False])
+def test_matches_with_and_without_energies(spark, weighed):
+    rng = np.random.default_rng(6)
+    f, e = rng.random((6, 4, 5, 3)), rng.random((6, 4, 5))
+    rows = [(k, f[k].ravel().tolist(), e[k].ravel().tolist() if weighed or k > 2 else None) for k in range(6)] + [(9, None, None)]
+    described = spark.createDataFrame(rows, "id long, features array<double>, energies array<double>")
+    pairs = spark.createDataFrame([(a, b) for a in (0, 3, 5, 9) for b in range(6)], "query_id long, rule_id long")
+    found = {(r.query_id, r.rule_id): (r.structure, r.dy, r.dx) for r in structure.match_structure(pairs, described, 5, 4, 3).collect()}
+    assert len(found) == 18
+    for (a, b), (score, *shift) in found.items():
+        plain = not weighed and min(a, b) <= 2
+        every = []
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                cells = [(y, x, y - dy, x - dx) for y in range(4) for x in range(5) if 0 <= y - dy < 4 and 0 <= x - dx < 5]
+                s = [f[a, y, x] @ f[b, v, u] for y, x, v, u in cells]
+                w = [1.0 if plain else min(e[a, y, x], e[b, v, u]) for y, x, v, u in cells]
+                used = [(p, q) for p, q in zip(s, w, strict=True) if q > 1e-4]
+                every.append((-round(sum(p * q for p, q in used) / (sum(q for _, q in used) + (0 if plain else 1e-6)), 9), dy, dx))
+        assert (-round(score, 9), *shift) == min(every)
+    if not weighed:
+        no_column = {(r.query_id, r.rule_id): (r.structure, r.dy, r.dx) for r in structure.match_structure(pairs, described.drop("energies"), 5, 4, 3).collect()}
+        assert no_column[0, 1] == found[0, 1]
+
+
+def clustered(rng, n):
+    return np.repeat(rng.normal(size=(10, 6)) * 20, n // 10, axis=0) + rng.normal(size=(n, 6))
+
+
+@pytest.mark.parametrize("group", [65_536, 7])
+def test_filed_rules_give_what_nearest_gives(spark, group):
+    rng = np.random.default_rng(7)
+    m = np.round(clustered(rng, 300), 1)  # with ties
+    m[50:90] = m[50]
+    rows = [(k, "l", v.tolist()) for k, v in enumerate(m)] + [(5, "again", m[5].tolist()), (None, "x", m[0].tolist()), (900, "y", None)]
+    store = spark.createDataFrame(rows, "id long, label string, embedding array<double>")
+    queries = spark.createDataFrame([(k, "q", (v + rng.normal(size=6) * 0.1).tolist()) for k, v in enumerate(m[::9])] + [(77, "q", [0.0] * 6)], store.schema)
+    key = lambda df: sorted((r.query_id, r.rank, r.rule_id, round(r.distance, 9)) for r in df.collect())
+    filed = vector.FiledRules(store, 12, group=group)
+    for k in (1, 4, 500):
+        assert key(filed.nearest(queries, k)) == key(vector.nearest(queries, store, k))
+
+
+def test_filed_rules_skip_groups(spark):
+    m = clustered(np.random.default_rng(8), 400)
+    store = vectors(spark, m)
+    filed = vector.FiledRules(store, 20)
+    asked = store.filter("id % 10 = 0").select("id", vector.F.col("embedding").cast("array<double>").alias("v"))
+    near = vector._ranked(filed._searched(filed._sent(asked.withColumn("bound", vector.F.lit(None)), 3, True), 3), 3)
+    sent = sum(len(r.ids) // 8 for r in filed.others(asked, near, 3).collect())
+    assert sent < 0.25 * 40 * int((filed.count > 0).sum())  # of all pairs of query and group
+    assert vector.FiledRules(store.limit(0)).nearest(store, 3).count() == 0
+    assert filed.nearest(store.limit(0), 3).count() == 0
 
 
 def test_batches_of_pairs_equal_each_pair():
@@ -98,3 +152,45 @@ def test_rule_store(spark, tmp_path):
     assert store.rules().count() == 5
     store.clear()
     assert store.rules().count() == 0
+
+
+def test_columns_added_to_a_store(spark, tmp_path):
+    store = rules.RuleStore(spark, str(tmp_path / "rules"))
+    store.set_columns("id long, label string, embedding array<float>")
+    old = spark.createDataFrame([(0, "old", [1.0, 0.0])], "position int, label string, embedding array<float>")
+    store.add(old)
+    assert store.rules().columns == ["id", "label", "embedding"]
+    store.add_columns("features array<double>, energies array<double>, note string")
+    store.add_columns("note string")  # is there
+    with pytest.raises(ValueError, match="note is there"):
+        store.add_columns("note int")
+    with pytest.raises(ValueError, match="holds rows"):
+        store.set_columns("id long, label string, embedding array<float>")
+    new = spark.createDataFrame([(0, "new", [0.9, 0.1], [1.0, 0.0], [1.0], "n", 1), (1, "old", [0.9, 0.1], [1.0, 0.0], [1.0], "n", 1)], "position int, label string, embedding array<float>, features array<double>, energies array<double>, note string, other int")
+    store.add(new)
+    assert [(r.id, r.label, r.features, r.note) for r in store.rules().orderBy("id").collect()] == [(1, "old", None, None), (2, "new", [1.0, 0.0], "n")]
+    queries = spark.createDataFrame([(7, [1.0, 0.0], [1.0, 0.0], [1.0])], "id long, embedding array<float>, features array<double>, energies array<double>")
+    assert [r.rule_id for r in structure.recognise(queries, store.rules(), 3, 1, 1, 2).collect()] == [2]  # the old row has nothing to match
+    store.clear()
+    assert store.rules().count() == 0 and "note" in store.rules().columns
+
+
+def test_writers_that_meet(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    batch = spark.createDataFrame([(k, f"l{k % 3}", [float(k)]) for k in range(6)], "position int, label string, embedding array<float>")
+    with ThreadPoolExecutor(4) as pool:
+        added = list(pool.map(lambda _: sorted((r.label, r.added) for r in rules.RuleStore(spark, str(tmp_path / "rules")).add(batch).collect()), range(4)))
+    found = rules.RuleStore(spark, str(tmp_path / "rules")).rules().orderBy("id").collect()
+    assert [(r.id, r.label) for r in found] == [(1, "l0"), (2, "l1"), (3, "l2")]
+    assert sum(a for one in added for _, a in one) == 3
+
+
+def test_numbers_that_were_given_up(spark, tmp_path):
+    store = rules.RuleStore(spark, str(tmp_path / "rules"))
+    store.patience = 0.2
+    batch = spark.createDataFrame([(0, "a", [1.0])], "position int, label string, embedding array<float>")
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "v00000000.taken").touch()  # a writer that was lost
+    store.add(batch)
+    assert [(r.id, r.label) for r in store.rules().collect()] == [(1, "a")]
