@@ -53,11 +53,13 @@ def decoded_images(spark: SparkSession, paths: str | list[str], recursive: bool
     good = spark.read.format("image").options(**options).load(paths).filter("image.height > 0")
     files = spark.read.format("binaryFile").options(**options).load(paths).select("path", "length", F.hex(F.substring("content", 1, 8)).alias("head"))
     known = reduce(or_, [F.col("head").startswith(s) for s in SIGNATURES.values()])
-    reason = F.when(F.col("length") == 0, "empty").when(known, "broken").otherwise("not an image")
-    # Both readers write paths with a scheme of their own form.
+    reason = F.when(known, "broken").otherwise("not an image")
+    # Readers pass over files without bytes, so what was listed is compared with what was read. Paths are written in several forms.
     place = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    rejected = files.withColumn("_path", place(F.col("path"))).join(good.select(place(F.col("image.origin")).alias("_path")), "_path", "left_anti")
-    return good, rejected.select("path", "length", reason.alias("reason"))
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "listed string").select(place(F.try_url_decode(F.replace(F.col("listed"), F.lit("+"), F.lit("%2B")))).alias("_path"))
+    seen = files.select("length", "head", place(F.col("path")).alias("_path"))
+    rejected = listed.join(good.select(place(F.col("image.origin")).alias("_path")), "_path", "left_anti").join(seen, "_path", "left")
+    return good, rejected.select(F.col("_path").alias("path"), F.coalesce("length", F.lit(0)).alias("length"), F.when(F.col("length").isNull(), "empty").otherwise(reason).alias("reason"))
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
