@@ -43,6 +43,17 @@ def images(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "true").load(paths)
 
 
+def plain_path(path: Column) -> Column:
+    """A path without the scheme of local files, which readers write in several forms."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def listed_files(files: DataFrame) -> DataFrame:
+    """(file): plain paths of all files of a scan, those without bytes too, which no reader gives."""
+    paths = files.sparkSession.createDataFrame([(p,) for p in files.inputFiles()], "file string")
+    return paths.select(plain_path(F.try_url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))).alias("file"))
+
+
 #: How files of each kind begin.
 SIGNATURES = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "bmp": "424D", "gif": "47494638", "tiff": "49492A00", "tiff ": "4D4D002A"}
 
@@ -55,10 +66,9 @@ def decoded_images(spark: SparkSession, paths: str | list[str], recursive: bool
     known = reduce(or_, [F.col("head").startswith(s) for s in SIGNATURES.values()])
     reason = F.when(known, "broken").otherwise("not an image")
     # Readers pass over files without bytes, so what was listed is compared with what was read. Paths are written in several forms.
-    place = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "listed string").select(place(F.try_url_decode(F.replace(F.col("listed"), F.lit("+"), F.lit("%2B")))).alias("_path"))
-    seen = files.select("length", "head", place(F.col("path")).alias("_path"))
-    rejected = listed.join(good.select(place(F.col("image.origin")).alias("_path")), "_path", "left_anti").join(seen, "_path", "left")
+    listed = listed_files(files).withColumnRenamed("file", "_path")
+    seen = files.select("length", "head", plain_path(F.col("path")).alias("_path"))
+    rejected = listed.join(good.select(plain_path(F.col("image.origin")).alias("_path")), "_path", "left_anti").join(seen, "_path", "left")
     return good, rejected.select(F.col("_path").alias("path"), F.coalesce("length", F.lit(0)).alias("length"), F.when(F.col("length").isNull(), "empty").otherwise(reason).alias("reason"))
 
 

@@ -118,6 +118,79 @@ def test_command_line(spark, tmp_path):
     assert sum(r.labels for r in tiles.values()) == 1 and sum(r.split == "val" for r in tiles.values()) == 1 and "cls_2" in [r[0] for r in spark.read.text(str(tmp_path / "set" / "dataset"), wholetext=True).collect() if r[0].strip()][0]
     main(["grid", str(tmp_path / "images"), str(tmp_path / "labels"), str(tmp_path / "grid"), "--tile", "128"])
     assert spark.read.parquet(str(tmp_path / "grid")).filter("text <> ''").count() >= 1
+    main(["wires", str(tmp_path / "images"), str(tmp_path / "boxes.json"), str(tmp_path / "wires")])
+    assert spark.read.parquet(str(tmp_path / "wires" / "overlay")).filter("v < 255").count() > 0
+    (tmp_path / "images" / "more").mkdir()
+    (tmp_path / "images" / "more" / "sheet.png").write_bytes(png(ink))
+    with pytest.raises(ValueError, match="several images are named sheet"):
+        main(["grid", f"{tmp_path}/images/*", str(tmp_path / "labels"), str(tmp_path / "grid")])
+
+
+def test_other_commands(spark, tmp_path):
+    from draftmill.__main__ import main
+
+    coco = {"images": [{"id": 1, "file_name": "a.jpg", "width": 100, "height": 50}, {"id": 2, "file_name": "b.jpg", "width": 10, "height": 10}], "annotations": [{"image_id": 1, "category_id": 7, "bbox": [10, 10, 20, 10], "iscrowd": 0}, {"image_id": 2, "category_id": 7, "bbox": [1, 1, 2, 2], "iscrowd": 1}], "categories": [{"id": 7, "name": "dog"}, {"id": 3, "name": "cat"}]}
+    (tmp_path / "coco.json").write_text(json.dumps(coco))
+    main(["coco", str(tmp_path / "coco.json"), str(tmp_path / "labels"), "--names", "cat, dog"])
+    assert [p.read_text().strip() for p in (tmp_path / "labels" / "file=a").glob("*.txt")] == ["1 0.200000 0.300000 0.200000 0.200000"]
+    assert [p.read_text().strip() for p in (tmp_path / "labels" / "file=b").glob("*.txt")] == [""]
+    panel = {"name": "p", "nodes": [{"id": "n", "label": "N"}], "components": [{"id": "r", "type": "R", "connections": ["n", "m", "o"], "note": ""}], "layout": {"n": [0.0, 1.0]}}
+    (tmp_path / "circuits.json").write_text(json.dumps({"reference_image": "x.png", "circuits": [panel]}))
+    main(["circuits", str(tmp_path / "circuits.json"), str(tmp_path / "circuits")])
+    assert spark.read.parquet(str(tmp_path / "circuits" / "edges")).count() == 2
+    assert json.loads(next((tmp_path / "circuits" / "json").glob("*.txt")).read_text())["circuits"][0]["name"] == "p"
+    import base64
+
+    wrapped = next((tmp_path / "circuits" / "base64").glob("*.txt")).read_text().strip()
+    assert max(map(len, wrapped.split("\n"))) == 76 and json.loads(base64.b64decode(wrapped))["circuits"][0]["name"] == "p"
+    for folder in ("img", "lab"):
+        (tmp_path / folder).mkdir()
+    for name, text in {"one": "0 1 1 1 1\n0 2 2 2 2\n", "two": "0 1 1 1 1\n3 1 1 1 1\n", "none": ""}.items():
+        (tmp_path / "img" / f"{name}.png").write_bytes(b"x")
+        (tmp_path / "lab" / f"{name}.txt").write_text(text)
+    main(["cleanup", str(tmp_path / "img"), str(tmp_path / "lab"), str(tmp_path / "clean")])
+    assert [r.value.rsplit("/", 1)[-1] for r in spark.read.text(str(tmp_path / "clean" / "kept")).collect()] == ["two.png"]
+    assert sorted(r.file.rsplit("/", 1)[-1] for r in spark.read.json(str(tmp_path / "clean" / "removed")).collect()) == ["none.txt", "one.txt"]
+
+
+def test_wires_step_by_step(spark):
+    from draftmill.operators import wires
+    from test_graphs_and_rasters import flood
+
+    ink, boxes = drawing()
+    rng = np.random.default_rng(2)
+    ink[100:103, 15:40] = 60
+    ink = np.minimum(ink, rng.integers(200, 256, ink.shape))
+    pixels = spark.createDataFrame([("s", y, x, int(v)) for (y, x), v in np.ndenumerate(ink)], "image string, y int, x int, v int")
+    sizes = spark.createDataFrame([("s", 300, 160)], "image string, width int, height int")
+    marked = spark.createDataFrame([("s", c, x1, y1, x2, y2) for _, c, x1, y1, x2, y2 in boxes[1:]], "image string, class string, x1 int, y1 int, x2 int, y2 int")
+
+    def as_ink(runs):
+        out = np.zeros((160, 300), bool)
+        for r in runs.collect():
+            out[r.y, r.x0 : r.x1 + 1] = True
+        return out
+
+    for method in ("otsu", "sauvola"):
+        found = wires.extract_wires(pixels, sizes, marked, method, window=15, ratio=0.5, exclude=["E"])
+        limit = raster.sauvola(ink, 15, 0.2) if method == "sauvola" else raster._otsu(ink)
+        white = ink > limit
+        skeleton = raster.thinned(white if white.mean() < 0.5 else ~white)
+        assert np.array_equal(as_ink(found.skeleton), skeleton)
+        cut = skeleton.copy()
+        for _, c, x1, y1, x2, y2 in boxes[1:]:
+            if c != "e":
+                cut[y1:y2, x1:x2] = False
+        assert np.array_equal(as_ink(found.without_devices), cut)
+        label = flood(cut)
+        area = np.bincount(label.ravel())
+        clean = cut & (area[label] >= max(1, int(area[1:].max() * 0.5)))
+        assert np.array_equal(as_ink(found.clean), clean) and clean.any()
+        p = np.pad(clean, 1)
+        thick = np.any([p[a : a + 160, b : b + 300] for a in range(3) for b in range(3)], axis=0)
+        assert np.array_equal(as_ink(found.thick), thick)
+        dark = {(r.y, r.x): r.v for r in wires.overlaid(pixels, found.thick, 0.4).collect()}
+        assert all(dark[y, x] == (int(v * 0.6) if thick[y, x] else v) for (y, x), v in np.ndenumerate(ink))
 
 
 def test_lines_are_counted_in_each_file(spark, tmp_path):
