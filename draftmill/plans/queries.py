@@ -622,4 +622,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q01(spark, sf_dir)
 
 
-from . import annotation_queries, raster_queries, search_queries  # noqa: E402, F401  their queries join QUERIES
+from . import annotation_queries, output_queries, raster_queries, search_queries  # noqa: E402, F401  their queries join QUERIES
