@@ -144,8 +144,8 @@ def circle_point(index, n, least_size: float, per_item: float = 28.0, share: flo
     return size / 2 + radius * F.cos(angle), size / 2 + radius * F.sin(angle)
 
 
-def rgb(color) -> Column:
-    """(r, g, b) struct of ``#RRGGBB`` or ``B,G,R``; empty or null is pure blue in B,G,R, malformed text is null."""
+def rgb(color, strict: bool = False) -> Column:
+    """(r, g, b) struct of ``#RRGGBB`` or ``B,G,R``; empty or null is pure blue in B,G,R, malformed text is null, or an error if ``strict``."""
     c = F.trim(F.coalesce(col(color), F.lit("")))
     digit = lambda at: F.conv(F.substring(c, at, 2), 16, 10).cast("int")
     part = lambda k: F.split(c, ",").getItem(k).cast("int")
@@ -154,6 +154,7 @@ def rgb(color) -> Column:
         F.when(c == "", make(F.lit(0), F.lit(0), F.lit(255)))
         .when(c.rlike("^#[0-9A-Fa-f]{6}$"), make(digit(2), digit(4), digit(6)))
         .when(c.rlike(r"^\s*\d+\s*,\s*\d+\s*,\s*\d+\s*$"), make(part(2), part(1), part(0)))
+        .otherwise(F.raise_error(F.concat(F.lit("not a colour: "), c)).cast("struct<r:int,g:int,b:int>") if strict else F.lit(None))
     )
 
 

@@ -119,13 +119,13 @@ def _links(edges: DataFrame, places: DataFrame) -> DataFrame:
 def ring_layout(devices: DataFrame, edges: DataFrame, least_size: int = 800) -> DataFrame:
     """Devices (graph, device 0 to n - 1, class) on a ring, links (graph, u, v) between them, numbers outside of it and names beside those.
 
-    Places are cut to whole numbers after rounding to six digits. Links to devices that aren't there are left out.
+    Places are cut to whole numbers after rounding to nine digits. Links to devices that aren't there are left out.
     """
     d = _with_hues(devices)
     size = F.greatest(F.lit(least_size), F.col("n") * 28)
     middle, radius = F.floor(size / 2), F.floor(size * 0.38)
     angle = F.col("device") / F.col("n") * (2 * 3.141592653589793)
-    whole = lambda c: F.round(c, 6).cast("int")
+    whole = lambda c: F.round(c, 9).cast("int")
     d = d.withColumns({"_m": middle, "x": whole(middle + radius * F.cos(angle)), "y": whole(middle + radius * F.sin(angle))})
     vx, vy = F.col("x") - F.col("_m"), F.col("y") - F.col("_m")
     length = F.sqrt(vx * vx + vy * vy) + 1e-6

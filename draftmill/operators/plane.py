@@ -104,7 +104,7 @@ def plane_layout(links: DataFrame, rounds: int = 250, seed: int = 0, rate: float
     state = links.select(F.col("a").alias("id")).distinct().select("id", unit(1).alias("x"), unit(2).alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
     state = materialise(state, "places")
     n = state.count()
-    rate = rate or max(50.0, n / EARLY)
+    rate = rate or n / (4 * EARLY)  # four is the factor of the gradient: larger steps overshoot while links pull strongly
     for k in range(rounds if n else 0):
         early = k < rounds // 4
         lo_x, hi_x, lo_y, hi_y = state.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()

@@ -46,6 +46,29 @@ def gray_pixels(images: DataFrame) -> DataFrame:
     return rows.mapInArrow(scan, "image string, height int, width int, pixels array<int>")
 
 
+def colour_pixels(images: DataFrame, threshold: int | None = None) -> DataFrame:
+    """(image, height, width, r, g, b) of rows of Spark's image source, each colour an array<int>; a gray image has three equal ones.
+
+    With a ``threshold``, all three are 255 where the gray value is above it, else 0.
+    """
+    rows = images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").filter("height > 0 and width > 0")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = ([], [], [])
+            for n, data in zip(b.column(3).to_pylist(), b.column(4), strict=True):
+                raw = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, n).astype(np.int32)
+                bgr = [raw[:, 0]] * 3 if n == 1 else [raw[:, k] for k in range(3)]
+                if threshold is not None:
+                    gray = bgr[0] if n == 1 else np.rint(raw[:, :3] @ np.array([0.114, 0.587, 0.299]))
+                    bgr = [np.where(gray > threshold, 255, 0).astype(np.int32)] * 3
+                for k in range(3):
+                    out[k].append(bgr[2 - k])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in range(3)], *[pa.array(c, pa.list_(pa.int32())) for c in out]], ["image", "height", "width", "r", "g", "b"])
+
+    return rows.mapInArrow(scan, "image string, height int, width int, r array<int>, g array<int>, b array<int>")
+
+
 def exploded(rasters: DataFrame) -> DataFrame:
     p = rasters.select("image", "width", F.posexplode("pixels").alias("k", "v"))
     return p.select("image", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), "v")

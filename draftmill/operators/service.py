@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import labels_of, stem
 from ..settings import Settings
+from ..sources.annotations import listed_files, plain_path
 from .rules import RuleStore
 from .structure import recognise
 from .vector import match_scores
@@ -27,6 +28,19 @@ def add_rules(store: RuleStore, files: DataFrame, labels: str = "") -> DataFrame
     return store.add(files.withColumn("label", named).filter("label is not null"))
 
 
+def files_there(batch: DataFrame, paths: str | list[str], path_col: str = "path") -> DataFrame:
+    """Rows of ``batch`` whose file is among those under ``paths``; the others are left out, in any order of rows."""
+    found = listed_files(batch.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths))
+    return batch.withColumn("_file", plain_path(F.col(path_col))).join(found.withColumnRenamed("file", "_file"), "_file", "left_semi").drop("_file")
+
+
+def match_bars(queries: DataFrame, matches: DataFrame, threshold: float = 60.0) -> DataFrame:
+    """(filename, place, bar, score, hue): a bar for each match (filename, rank, label, structure_score) of each query, green (60) from ``threshold`` on, else red (0)."""
+    shown = matches.join(queries.select("filename"), "filename", "left_semi")
+    hue = F.when(F.col("structure_score") >= threshold, 60).otherwise(0)
+    return shown.select("filename", F.col("rank").alias("place"), F.concat_ws(":", F.col("rank").cast("string"), "label").alias("bar"), F.col("structure_score").alias("score"), hue.alias("hue"))
+
+
 def batch_response(queries: DataFrame, rules: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(filename, results): for each query (id, filename, embedding, features, energies) its best matches in order.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -92,9 +93,12 @@ def cuts_along(length: float, forbidden: list[tuple[float, float]], tile: float,
     """Cut places from 0 to ``length``, at most ``tile`` apart and never strictly inside a forbidden interval.
 
     Each cut goes as far as it can, stepping back by ``back_step`` while it would hit something, to no less than
-    ``least`` after the last cut; None if it still hits something there. The last part may be short.
+    ``least`` after the last cut; None if it still hits something there. The last part may be short. The intervals
+    are merged: none overlaps another.
     """
-    hits = lambda x: any(s < x < e for s, e in forbidden)
+    spans = sorted(forbidden)
+    starts = [s for s, _ in spans]
+    hits = lambda x: (k := bisect_left(starts, x)) > 0 and x < spans[k - 1][1]
     cuts = [0.0]
     while length - cuts[-1] > tile:
         x = cuts[-1] + tile

@@ -62,8 +62,8 @@ def q68(spark, sf_dir):
 @query(
     "q69_ring_layout",
     f"""WITH {_DEVICES}, sized AS (SELECT *, greatest(800, n * 28) // 2 AS m, floor(greatest(800, n * 28) * 0.38) AS radius, device / n * 2 * pi() AS angle FROM named),
-    placed AS (SELECT *, trunc(round(m + radius * cos(angle), 6))::BIGINT AS x, trunc(round(m + radius * sin(angle), 6))::BIGINT AS y FROM sized),
-    shifted AS (SELECT *, trunc(round(x + 12 * (x - m) / (sqrt((x - m) * (x - m) + (y - m) * (y - m)) + 1e-6), 6))::BIGINT AS ox, trunc(round(y + 12 * (y - m) / (sqrt((x - m) * (x - m) + (y - m) * (y - m)) + 1e-6), 6))::BIGINT AS oy FROM placed),
+    placed AS (SELECT *, trunc(round(m + radius * cos(angle), 9))::BIGINT AS x, trunc(round(m + radius * sin(angle), 9))::BIGINT AS y FROM sized),
+    shifted AS (SELECT *, trunc(round(x + 12 * (x - m) / (sqrt((x - m) * (x - m) + (y - m) * (y - m)) + 1e-6), 9))::BIGINT AS ox, trunc(round(y + 12 * (y - m) / (sqrt((x - m) * (x - m) + (y - m) * (y - m)) + 1e-6), 9))::BIGINT AS oy FROM placed),
     rows AS (SELECT e.graph, 1 AS layer, row_number() OVER (PARTITION BY e.graph ORDER BY u, v) - 1 AS item, 0 AS part, 'line' AS kind, [a.x, a.y, b.x, b.y] AS points, NULL AS hue, NULL AS text
         FROM edges e JOIN placed a ON a.graph = e.graph AND a.device = u JOIN placed b ON b.graph = e.graph AND b.device = v
       UNION ALL SELECT graph, 2, device, 0, 'dot', [x, y, 5], hue, NULL FROM placed UNION ALL SELECT graph, 4, device, 0, 'text', [ox, oy], hue, device::VARCHAR FROM shifted

@@ -117,14 +117,18 @@ def detections_csv(text: DataFrame, text_col: str = "text") -> DataFrame:
     f = F.split(F.trim(text_col), ",")
     rows = text.filter(~F.lower(F.trim(text_col)).startswith("image_path")).select(f.alias("f")).filter("size(f) >= 6")
     box = [F.expr(f"try_cast(try_cast(trim(f[{k}]) as double) as int)").alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"), 1)]
-    return complete_detections(rows.select(F.trim(F.col("f")[0]).alias("image_path"), *box, F.trim(F.col("f")[5]).alias("class"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("track_id")))
+    row = F.struct(F.trim(F.col("f")[0]).alias("image_path"), *box, F.trim(F.col("f")[5]).alias("class"), F.lit(1.0).alias("score"), F.lit(None).cast("string").alias("track_id"))
+    # One array a line, so that fields are parsed once and not again for each filter that follows.
+    return complete_detections(rows.select(F.explode(F.array(row)).alias("d")).select("d.*"))
 
 
 def normal_path(path: str) -> Column:
     """Slashes forward, no ``.`` parts and no repeated slashes."""
-    p = F.regexp_replace(path, r"\\", "/")
-    p = F.regexp_replace(F.regexp_replace(p, "/+", "/"), r"(^|/)(\./)+", "$1")
-    return F.regexp_replace(p, r"(?<=.)/$", "")
+    p = F.translate(path, "\\", "/")
+    whole = F.regexp_replace(F.regexp_replace(p, "/+", "/"), r"(^|/)(\./)+", "$1")
+    whole = F.regexp_replace(whole, r"(?<=.)/$", "")
+    # Most paths are in normal form already, which plain searches tell.
+    return F.when(p.contains("//") | p.contains("./") | p.endswith("/"), whole).otherwise(p)
 
 
 def per_image(image_rows: DataFrame, detections: DataFrame) -> DataFrame:
