@@ -9,8 +9,8 @@ from ..functions import pixels as px
 from ..functions import text as tx
 from ..operators import cleanup, graph, raster, tiling
 from ..sources import annotations as src
-from .queries import _LINES, _label_lines, query
-from .tables import BOXES, boxes, table
+from .queries import _LINES, _coco, _label_lines, query
+from .tables import BOXES, boxes, rasters, table
 
 # ---- annotation formats
 
@@ -277,3 +277,47 @@ def q60(spark, sf_dir):
     rows = cleanup.of_classes(boxes(spark, sf_dir), ["A", "r"], ["R"]).select("image", "box_id", "class")
     counts = rows.groupBy("image").agg(F.count(F.lit(1)).alias("boxes"))
     return rows.join(counts, "image").select("image", "box_id", "class", "boxes")
+
+
+@query(
+    "q74_devices_cut_out",
+    f"""WITH {_INK}, {_DEVICES}, bare AS (SELECT * FROM ink WHERE NOT EXISTS (SELECT 1 FROM devices d WHERE d.image = ink.image AND ink.x BETWEEN d.x1 AND d.x2 - 1 AND ink.y BETWEEN d.y1 AND d.y2 - 1)) {_ROWS.format("bare")}""",
+)
+def q74(spark, sf_dir):
+    return raster.carved(_wires(spark, sf_dir), _devices(spark, sf_dir), margin=0)
+
+
+@query(
+    "q75_white_content",
+    """WITH p AS (SELECT l_suppkey AS image, l_orderkey AS y, l_partkey AS x, (floor(l_extendedprice)::BIGINT % 256)::INTEGER AS v FROM lineitem),
+    b AS (SELECT image, min(x) AS a, min(y) AS b, max(x) + 1 AS c, max(y) + 1 AS d FROM p WHERE v < 2 GROUP BY image)
+    SELECT s_suppkey AS image, coalesce(a, 0) AS x1, coalesce(b, 0) AS y1, coalesce(c, 3000) AS x2, coalesce(d, 2000) AS y2 FROM supplier LEFT JOIN b ON s_suppkey = image""",
+)
+def q75(spark, sf_dir):
+    # So few pixels are that dark that some images have none.
+    p = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("image"), F.col("l_orderkey").alias("y"), F.col("l_partkey").alias("x"), (F.floor("l_extendedprice") % 256).cast("int").alias("v"))
+    sizes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image"), F.lit(3000).alias("width"), F.lit(2000).alias("height"))
+    return raster.content_boxes(p, sizes, limit=2)
+
+
+@query(
+    "q76_categories_by_name",
+    """SELECT o_orderkey AS image_id, printf('%d.jpg', o_orderkey) AS file_name, (CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 0 ELSE 1 END)::INTEGER AS class_id,
+      round((l_partkey % 500 + l_quantity / 2) / 640, 9) AS cx, round((l_suppkey % 300 + (l_linenumber * 10.0) / 2) / 480, 9) AS cy, round(l_quantity / 640, 9) AS w, round(l_linenumber * 10.0 / 480, 9) AS h
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment IN ('HOUSEHOLD', 'AUTOMOBILE')""",
+)
+def q76(spark, sf_dir):
+    return _coco(spark, sf_dir, ["HOUSEHOLD", "AUTOMOBILE", "not there"], False)
+
+
+@query(
+    "q77_crops",
+    """WITH p AS (SELECT vec_id, k // 8 AS y, k % 8 AS x, round(embedding[k + 1]::DOUBLE * 100 + 100, 4) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k))
+    SELECT vec_id::VARCHAR AS image, 0 AS cabinet, (y - vec_id % 4)::INTEGER AS y, (x - vec_id % 3)::INTEGER AS x, v FROM p WHERE x >= vec_id % 3 AND x < 8 - vec_id % 6 AND y >= vec_id % 4 AND y < 5 + vec_id % 4""",
+)
+def q77(spark, sf_dir):
+    r = rasters(spark, sf_dir)
+    k = F.col("id")
+    regions = r.select("image", F.lit(0).alias("cabinet"), *[c.cast("int").alias(n) for n, c in (("tx1", k % 3), ("ty1", k % 4), ("tx2", 8 - k % 6), ("ty2", 5 + k % 4))])
+    cut = raster.cropped(r.drop("id"), regions).select("image", "cabinet", "width", F.posexplode("pixels").alias("k", "v"))
+    return cut.select("image", "cabinet", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).cast("int").alias("x"), F.round("v", 4).alias("v"))

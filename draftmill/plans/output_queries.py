@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import drawing, plane, report, vector
+from ..operators import drawing, plane, report, service, vector
+from ..settings import Settings
 from .queries import _recognised, query, searched
-from .tables import MATCHES, VECTORS, table, vectors
+from .tables import GRID, MATCHES, QUERY_STEP, VECTORS, described, table, vectors
 
 # ---- drawings: suppliers as devices, a graph for each nation, each linked with the next and the third after it
 
@@ -125,6 +126,33 @@ def q72(spark, sf_dir):
     return report.index_pages(_pages(spark, sf_dir), 10)
 
 
+# ---- a service's answers
+
+_ANSWERS = f"""{MATCHES}, answers AS (
+  SELECT 'img/' || query_id || '.png' AS filename, rank AS place, vectors.label, round(greatest(0, (1 - blended) * 100), 4) AS final_score, round(distance, 6) AS vector_dist, round(structure * 100, 4) AS structure_score, structure * 100 >= 90 AS trusted FROM recognised JOIN vectors ON rule_id = id
+)"""
+
+
+def _answers(spark, sf_dir):
+    d = described(spark, sf_dir)
+    queries = d.filter(F.col("id") % QUERY_STEP == 0).withColumn("filename", F.concat(F.lit("img/"), F.col("id").cast("string"), F.lit(".png")))
+    rows, columns, bins = GRID
+    settings = Settings(top_k=3, grid_rows=rows, grid_columns=columns, bins=bins, trust_threshold=90.0)
+    found = service.batch_response(queries, d, settings).select("filename", F.posexplode("results").alias("at", "r"))
+    return found.select("filename", (F.col("at") + 1).cast("long").alias("place"), "r.label", F.round("r.final_score", 4).alias("final_score"), F.round("r.vector_dist", 6).alias("vector_dist"), F.round("r.structure_score", 4).alias("structure_score"), "r.trusted")
+
+
+@query("q78_batch_answers", f"WITH {_ANSWERS} SELECT * FROM answers")
+def q78(spark, sf_dir):
+    return _answers(spark, sf_dir)
+
+
+@query("q79_match_bars", f"WITH {_ANSWERS} SELECT filename, place, place || ':' || label AS bar, structure_score AS score, (CASE WHEN structure_score >= 92 THEN 60 ELSE 0 END)::INTEGER AS hue FROM answers")
+def q79(spark, sf_dir):
+    answers = _answers(spark, sf_dir).withColumnRenamed("place", "rank")
+    return service.match_bars(answers.select("filename").distinct(), answers, 92.0)
+
+
 # ---- affinities for a map in the plane
 
 

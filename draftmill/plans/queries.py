@@ -249,6 +249,10 @@ def q15(spark, sf_dir):
     WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND l_returnflag <> 'R'""",
 )
 def q16(spark, sf_dir):
+    return _coco(spark, sf_dir, ["BUILDING", "MACHINERY"], True)
+
+
+def _coco(spark, sf_dir, names, drop_crowds):
     c = table(spark, sf_dir, "customer")
     category_id = F.abs(F.hash("c_mktsegment")).cast("long")
     categories = c.select(category_id.alias("id"), F.col("c_mktsegment").alias("name")).distinct()
@@ -256,7 +260,7 @@ def q16(spark, sf_dir):
     segment = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("image_id"), category_id.alias("category_id"))
     box = F.array((F.col("l_partkey") % 500).cast("double"), (F.col("l_suppkey") % 300).cast("double"), F.col("l_quantity"), F.col("l_linenumber") * F.lit(10.0))
     notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image_id"), box.alias("bbox"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("iscrowd")).join(segment, "image_id")
-    rows = src.coco_yolo(images, notes, categories, ["BUILDING", "MACHINERY"])
+    rows = src.coco_yolo(images, notes, categories, names, drop_crowds)
     return rows.select("image_id", "file_name", "class_id", *[F.round(k, 9).alias(k) for k in ("cx", "cy", "w", "h")])
 
 
@@ -491,9 +495,28 @@ def q34(spark, sf_dir):
     return graph.graph_json(nodes, graph.shared_net_pairs(rows, "net", "id", within=("cabinet",)))
 
 
-@query("q35_principal_components")
+def _axis_sql(name: str, of: str) -> str:
+    """The first principal axis of a matrix (i, j, x) by squaring it again and again: its loadings (i, w), the largest positive."""
+    return f"""{name}_powers AS (
+      SELECT 0 AS step, i, j, x / (SELECT sum(x) FROM {of} WHERE i = j) AS x FROM {of}
+      UNION ALL
+      SELECT step, i, j, x / sum(CASE WHEN i = j THEN x ELSE 0 END) OVER () FROM (SELECT a.step + 1 AS step, a.i, b.j, sum(a.x * b.x) AS x FROM {name}_powers a JOIN {name}_powers b ON a.j = b.i WHERE a.step < 24 GROUP BY a.step, a.i, b.j)
+    ), {name}_end AS (SELECT i, j, x FROM {name}_powers WHERE step = 24), {name}_top AS (SELECT arg_max(i, x) AS k, max(x) AS x FROM {name}_end WHERE i = j),
+    {name} AS (SELECT i, e.x / sqrt(t.x) AS w FROM {name}_end e, {name}_top t WHERE e.j = t.k)"""
+
+
+@query(
+    "q35_principal_components",
+    f"""WITH RECURSIVE long AS (SELECT vec_id AS id, unnest(range(1, len(embedding) + 1)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    centered AS (SELECT id, j, x - avg(x) OVER (PARTITION BY j) AS x FROM long),
+    spread AS (SELECT a.j AS i, b.j AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM embeddings) AS x FROM centered a JOIN centered b USING (id) GROUP BY a.j, b.j),
+    {_axis_sql("one", "spread")}, rest AS (SELECT s.i, s.j, s.x - a.w * b.w * (SELECT sum(p.w * q.w * t.x) FROM spread t JOIN one p ON p.i = t.i JOIN one q ON q.i = t.j) AS x FROM spread s JOIN one a ON a.i = s.i JOIN one b ON b.i = s.j),
+    {_axis_sql("two", "rest")}
+    SELECT id, round(sum(x * one.w), 6) AS pc1, round(sum(x * two.w), 6) AS pc2 FROM centered JOIN one ON one.i = j JOIN two ON two.i = j GROUP BY id""",
+)
 def q35(spark, sf_dir):
-    return vector.principal_components(vectors(spark, sf_dir), 2)
+    found = vector.principal_components(vectors(spark, sf_dir), 2)
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("pc1", "pc2")])
 
 
 # Parts: a few on most images, so that there is room to cut; every fifth on one of seven crowded images; some wider than a tile.
