@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from .graph import connected_components, graph_json, shared_net_pairs
 from .tiling import centers_in_regions
 
 RUN = "image string, y int, x0 int, x1 int"
-#: Side of the squares on which runs meet, in pixels.
-BLOCK = 64
+#: Side of the blocks in which runs are joined first, in pixels.
+BLOCK = 256
 
 
 # ---- pixels
@@ -245,24 +246,70 @@ def carved(runs: DataFrame, boxes: DataFrame, margin: int = 1) -> DataFrame:
     return runs.join(hits.select("image", "y", "x0", "x1"), ["image", "y", "x0", "x1"], "left_anti").unionByName(cut)
 
 
-def nets(runs: DataFrame) -> DataFrame:
-    """``runs`` with net long: 8-connected components, named by y * 2^32 + x0 of their first run, which tells them apart in an image.
+def joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """A number for each run of a block, equal for runs that touch (8 neighbours); runs are sorted by (y, x0) and don't overlap."""
+    if not len(y):
+        return np.zeros(0, np.int64)
+    y, x0, x1 = (a.astype(np.int64) for a in (y, x0, x1))
+    shift = 1 - x0.min()
+    row = x1.max() + shift + 3  # places of one row lie apart from those of the next
+    starts, ends = y * row + x0 + shift, y * row + x1 + shift
+    low = np.searchsorted(ends, starts + row - 1, "left")
+    high = np.searchsorted(starts, ends + row + 1, "right")
+    count = np.maximum(high - low, 0)
+    up = np.repeat(np.arange(len(y)), count)
+    down = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    root = np.arange(len(y))
+    while True:
+        a, b = root[up], root[down]
+        apart = a != b
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def nets(runs: DataFrame, side: int = BLOCK) -> DataFrame:
+    """``runs`` (of one row each, none touching another of its row) with net long: 8-connected components, named by y * 2^32 + x0 of their first run, which tells them apart in an image.
 
-    Nodes are row runs and column runs, numbered: a column run of one vertical wire joins all its rows in one step,
-    so rounds don't grow with a wire's height. Runs meet on squares of BLOCK pixels, not pixel by pixel.
+    Runs are joined inside blocks of ``side`` pixels first, each in one task; only parts of blocks that meet at a
+    border are joined after it. So rounds and tables don't grow with the number of runs, nor with a wire's length
+    inside a block.
     """
-    named = materialise(runs.select("image", "y", "x0", "x1").withColumn("run", F.monotonically_increasing_id()), "runs")
-    blocks = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BLOCK), F.floor(F.col(b) / BLOCK)))
-    # Row runs of neighbouring rows meet on the blocks of columns that they touch; the first that both touch counts.
-    above = named.select("image", (F.col("y") + 1).alias("y"), (F.col("x0") - 1).alias("u0"), (F.col("x1") + 1).alias("u1"), F.col("run").alias("up"))
-    near = named.withColumn("_c", blocks("x0", "x1")).join(above.withColumn("_c", blocks("u0", "u1")), ["image", "y", "_c"])
-    near = near.filter("x0 <= u1 and u0 <= x1").filter(F.col("_c") == F.floor(F.greatest("x0", "u0") / BLOCK)).select(F.col("run").alias("a"), F.col("up").alias("b"))
-    tall = materialise(runs_of(pixels_of(runs), ["image", "x"], "y", 3).withColumn("column", -1 - F.monotonically_increasing_id()), "columns")
-    upright = tall.withColumns({"_c": F.floor(F.col("x") / BLOCK), "_r": blocks("start", "end")})
-    flat = named.withColumns({"_c": blocks("x0", "x1"), "_r": F.floor(F.col("y") / BLOCK)})
-    crossing = upright.join(flat, ["image", "_r", "_c"]).filter("x0 <= x and x <= x1 and start <= y and y <= end").select(F.col("run").alias("a"), F.col("column").alias("b"))
-    found = connected_components(near.unionByName(crossing))
-    joined = named.join(found, named["run"] == found["node"], "left").withColumn("component", F.coalesce("component", "run"))
+    kind = runs.schema["image"].dataType.simpleString()
+    cut = runs.select("image", F.floor(F.col("y") / side).cast("int").alias("by"), "y", "x0", "x1", F.explode(F.sequence(F.floor(F.col("x0") / side).cast("int"), F.floor(F.col("x1") / side).cast("int"))).alias("bx"))
+    piece = F.struct("y", F.greatest(F.col("x0"), F.col("bx") * side).cast("int").alias("a"), F.least(F.col("x1"), F.col("bx") * side + side - 1).cast("int").alias("b"), "x0", "x1")
+    # A block holds at most side * side / 2 pieces.
+    held = cut.groupBy("image", "by", "bx").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for name, by, bx, own in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                y, a, b, x0, x1 = (own.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                part = joined_runs(y, a, b) + count
+                count += len(y)
+                begins = x0 >= bx * side  # a run is reported by the block in which it begins
+                edge = (y == by * side) | (y == by * side + side - 1)
+                # Pixels at the block's border: whole pieces of its first and last row, else the ends that lie on its sides.
+                size = np.where(edge, b - a + 1, 0)
+                at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                left, right = ~edge & (a == bx * side), ~edge & (b == bx * side + side - 1) & ((b > a) | (a != bx * side))
+                px, py, pp = np.concatenate([at, a[left], b[right]]), np.concatenate([np.repeat(y, size), y[left], y[right]]), np.concatenate([np.repeat(part, size), part[left], part[right]])
+                columns = [np.concatenate([part[begins], pp]), np.concatenate([y[begins], py]), np.concatenate([x0[begins], px]), np.concatenate([x1[begins], px])]
+                border = np.arange(len(columns[0])) >= begins.sum()
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(border), batch.schema.field(0).type), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[1:]], pa.array(border)], ["image", "part", "y", "x0", "x1", "border"])
+
+    found = materialise(held.mapInArrow(scan, f"image {kind}, part long, y int, x0 int, x1 int, border boolean"), "parts")
+    edge = found.filter("border").select("image", "y", F.col("x0").alias("x"), "part")
+    later = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    near = edge.select("image", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("part").alias("a"), later.alias("d"))
+    near = near.withColumns({"y": F.col("_y") + F.col("d.dy"), "x": F.col("_x") + F.col("d.dx")})
+    near = near.filter((F.floor(F.col("_y") / side) != F.floor(F.col("y") / side)) | (F.floor(F.col("_x") / side) != F.floor(F.col("x") / side)))
+    links = near.select("image", "y", "x", "a").join(edge.withColumnRenamed("part", "b"), ["image", "y", "x"]).select("a", "b").distinct()
+    whole = connected_components(links)
+    joined = found.filter("not border").join(whole, F.col("part") == F.col("node"), "left").withColumn("component", F.coalesce("component", "part"))
     place = F.col("y").cast("long") * (1 << 32) + F.col("x0")
     least = joined.groupBy("component").agg(F.min(place).alias("net"))
     return joined.join(least, "component").select("image", "y", "x0", "x1", "net")

@@ -153,6 +153,29 @@ def test_thinned_by_blocks_equals_whole_images(spark, side, passes):
         assert np.array_equal(got, raster.thinned(a)), n
 
 
+@pytest.mark.parametrize("side", [4, 8, 32, 256])
+def test_nets_of_any_block_equal_a_flood(spark, side):
+    from test_graphs_and_rasters import flood
+
+    rng = np.random.default_rng(side)
+    snake = np.zeros((40, 40), bool)
+    snake[::4] = True
+    snake[:, 0] = [(y // 4) % 2 == 0 for y in range(40)]
+    snake[:, -1] = [(y // 4) % 2 == 1 for y in range(40)]
+    images = {"noise": rng.random((37, 53)) < 0.4, "lines": drawing(5, 60, 70), "snake": snake, "diagonal": np.eye(50, dtype=bool)[::-1], "full": np.ones((20, 30), bool)}
+    rows = [(n, *map(int, r)) for n, a in images.items() for r in zip(*raster._runs(a), strict=True)]
+    out = raster.nets(spark.createDataFrame(rows, raster.RUN), side).collect()
+    assert sorted((r.image, r.y, r.x0, r.x1) for r in out) == sorted(rows)
+    for n, a in images.items():
+        label = flood(a)
+        names = {}
+        for r in out:
+            if r.image == n:
+                names.setdefault(label[r.y, r.x0], set()).add(r.net)
+        assert all(len(v) == 1 for v in names.values()) and len(set().union(*names.values())) == len(names)
+        assert all(min(v) == min(y * 2**32 + x for y, x in zip(*np.nonzero(label == k), strict=True)) for k, v in names.items())
+
+
 def test_nothing_to_thin(spark):
     assert local.thinned_runs(spark.createDataFrame([], raster.RUN)).count() == 0
     with pytest.raises(ValueError, match="multiple of 8"):
