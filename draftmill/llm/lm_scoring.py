@@ -225,7 +225,10 @@ class Part:
 
 
 def train(texts: DataFrame, shard_bits: int | None = None) -> tuple[DataFrame, int]:
-    """The model's shards (MODEL) from a table with one column of non-null texts, and the bits of a shard number."""
+    """The model's shards (MODEL) from a table with one column of non-null texts, and the bits of a shard number.
+
+    An empty text is its end alone; repeated texts count as often as they come.
+    """
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, (n - 1).bit_length()) if shard_bits is None else shard_bits
     runs = texts.mapInArrow(lean(_gather(bits)), "shard int, kind int, run binary")

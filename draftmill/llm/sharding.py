@@ -148,7 +148,10 @@ def _sizes(keyed: DataFrame, plan: SlotMap) -> dict[Key, int]:
 
 
 def plan_slots(keyed: DataFrame, shards: int) -> SlotMap:
-    """The balanced map for rows (slot, text_hash, size). Only sums of slots, of hot texts and of their parts reach the driver."""
+    """The balanced map for rows (slot, text_hash, size), none of them null; repeated rows count as often as they come, no rows leave all slots where they begin.
+
+    Only sums of slots, of hot texts and of their parts reach the driver.
+    """
     plan = SlotMap.initial(shards)
     size = _sizes(keyed, plan)
     most = HOT_SHARE * sum(size.values()) / shards

@@ -547,7 +547,9 @@ def repeated_passages(docs: DataFrame, similarity: float = 0.8, least_words: int
 def remove_passages(docs: DataFrame, similarity: float = 0.8, least_words: int = PASSAGE_WORDS, window_words: int = WINDOW_WORDS, inside: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what ``repeated_passages`` removes cut from their texts, in the same columns.
 
-    Lines that lose some words have the others joined by blanks. Columns may have any names.
+    Lines that lose some words have the others joined by blanks. Columns may have any names. Null and empty texts stay
+    as they are, as do rows with a null id. Rows that share an id lose the same places; of repeated passages the one of
+    smallest id stays, as ``repeated_passages`` decides. No rows give no rows.
     """
     place, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
     found = repeated_passages(docs, similarity, least_words, window_words, inside, id_col, text_col).filter("removed")

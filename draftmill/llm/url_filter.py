@@ -104,7 +104,7 @@ def path_of(url):
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
-    """(rule, verdict) rows from pairs such as ("example.com/en/", "block")."""
+    """(rule, verdict) rows from pairs such as ("example.com/en/", "block"); repeated and null rules are left to ``judge_urls``, no pairs give no rows."""
     return spark.createDataFrame(rules, RULES)
 
 
