@@ -1,4 +1,4 @@
-"""``python -m draftmill graphs | wires | tiles | grid | coco | circuits | cleanup``: whole runs from files to files.
+"""``python -m draftmill graphs | wires | tiles | grid | coco | circuits | cleanup | report``: whole runs from files to files.
 
 Paths may be in any store that Spark reads. Images and their detections or label files belong together by the stem of
 their names; two images of one stem are refused.
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import boxes as bx
 from .functions.text import stem, wrapped_base64
-from .operators import cleanup, graph, raster, tiling, wires
+from .operators import cleanup, graph, raster, report, service, tiling, wires
+from .operators.rules import RuleStore
 from .session import bound_batches, materialise, session
+from .settings import load
 from .sources import annotations as src
 
 
@@ -81,6 +83,16 @@ def clean(spark: SparkSession, images: str, labels: str, out: str) -> None:
     judged.filter("zero_only").select("file", "image_path").write.mode("overwrite").json(f"{out}/removed")
 
 
+def matches(spark: SparkSession, store: str, queries: str, out: str) -> None:
+    """A report of the best rules of a store for each query: HTML pages and an index under ``out``.
+
+    ``queries`` is a Parquet table (id, filename, embedding, features, energies); settings come from the session.
+    """
+    asked = spark.read.parquet(queries)
+    answers = service.batch_response(asked, RuleStore(spark, store).rules(), load(spark))
+    report.write_report(asked, answers, out)
+
+
 def _sizes_and_boxes(spark: SparkSession, images: str, labels: str) -> tuple[DataFrame, DataFrame]:
     sizes = src.images(spark, images).select(stem("image.origin").alias("image"), F.col("image.width").alias("width"), F.col("image.height").alias("height"))
     sizes = _once(materialise(sizes, "sizes"))
@@ -127,10 +139,11 @@ def main(given: list[str] | None = None) -> None:
     p.add_argument("--keep-crowds", action="store_true")
     add("circuits", "declared")
     add("cleanup", "images", "labels")
+    add("report", "store", "queries")
     chosen = vars(parser.parse_args(given))
     spark = session()
     bound_batches(spark)
-    {"graphs": graphs, "wires": wire_runs, "tiles": tiles, "grid": grid, "coco": coco, "circuits": circuits, "cleanup": clean}[chosen.pop("run")](spark, **chosen)
+    {"graphs": graphs, "wires": wire_runs, "tiles": tiles, "grid": grid, "coco": coco, "circuits": circuits, "cleanup": clean, "report": matches}[chosen.pop("run")](spark, **chosen)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escaped
+from ..session import materialise
 from .rules import numbered
 
 HEAD = "<!DOCTYPE html><html><head><meta charset=\"utf-8\"><title>Matches</title></head><body>"
@@ -50,3 +51,15 @@ def index_pages(pages: DataFrame, entries: int = 1000) -> DataFrame:
     joined = folded.join(last, "page", "left")
     after = F.when(F.col("more"), F.concat(F.lit("<a href=\"index-"), (F.col("page") + 1).cast("string"), F.lit(".html\">more</a>"))).otherwise("")
     return joined.select("page", F.concat(F.lit(HEAD + "<ol>"), F.concat_ws("", F.col("m.line")), F.lit("</ol>"), after, F.lit(TAIL)).alias("html"))
+
+
+def write_report(queries: DataFrame, answers: DataFrame, path: str, entries: int = 1000) -> None:
+    """``path``/pages: one folder a query file (filename) with its page; ``path``/index: one folder an index page.
+
+    ``answers`` are the rows of ``service.batch_response``. Former pages are replaced.
+    """
+    found = answers.select("filename", F.posexplode("results").alias("at", "r"))
+    matches = found.select("filename", (F.col("at") + 1).alias("rank"), "r.label", "r.vector_dist", "r.structure_score", "r.trusted")
+    pages = materialise(match_pages(queries.select("filename").distinct(), matches), "pages")
+    pages.select(F.col("filename").alias("file"), "html").write.mode("overwrite").partitionBy("file").text(f"{path}/pages")
+    index_pages(pages, entries).write.mode("overwrite").partitionBy("page").text(f"{path}/index")

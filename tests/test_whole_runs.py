@@ -203,3 +203,18 @@ def test_lines_are_counted_in_each_file(spark, tmp_path):
     assert got == [("a.txt", 1, "0 1"), ("a.txt", 3, "2 3")]
     (tmp_path / "s.json").write_text('{\n  "top_k": 4\n}\n')
     assert settings.load(spark, str(tmp_path / "s.json")).top_k == 4
+
+
+def test_report_of_a_store(spark, tmp_path):
+    from draftmill.__main__ import main
+
+    schema = "position int, label string, embedding array<float>, features array<double>, energies array<double>"
+    unit = [[0.0] * 9000, [0.0] * 9000]
+    for k in range(1000):
+        unit[0][k * 9] = unit[1][k * 9 + 1] = 1.0
+    rules.RuleStore(spark, str(tmp_path / "rules")).add(spark.createDataFrame([(0, "same", [1.0, 0.0], unit[0], [1.0] * 1000), (1, "other", [0.0, 1.0], unit[1], [1.0] * 1000)], schema))
+    spark.createDataFrame([(1, "a b.png", [1.0, 0.0], unit[0], [1.0] * 1000)], "id long, filename string, embedding array<float>, features array<double>, energies array<double>").write.parquet(str(tmp_path / "queries"))
+    main(["report", str(tmp_path / "rules"), str(tmp_path / "queries"), str(tmp_path / "out")])
+    page = next((tmp_path / "out" / "pages" / "file=a b.png").glob("*.txt")).read_text()
+    assert "<h1>+ a b.png</h1>" in page and page.index("</b> same <i>trusted</i> 0.000 <span class=\"high\">100.0%") < page.index("</b> other <i>doubtful</i>")
+    assert "+ a b.png" in next((tmp_path / "out" / "index" / "page=0").glob("*.txt")).read_text()
