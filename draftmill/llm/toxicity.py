@@ -5,7 +5,7 @@ to the power of the characters it spans, up to SPAN, so that gaps and inserted c
 don't break it. It is normalised and squared. A word is mapped to its kernels with landmark words, whitened by
 the landmarks' own kernel matrix (Nystrom), and a linear machine with squared hinge loss judges it. A text is a
 bag of words: a toxic one is known to hold some toxic word, which training finds in rounds (the words that the
-last round judges worst); words of clean texts are all clean. A text's score is a logistic function of its two
+last round judges worst); words of clean texts are all clean and all fitted. A text's score is a logistic function of its two
 worst words, fitted on the same texts.
 """
 
@@ -29,13 +29,15 @@ LANDMARKS = 96
 MARKS = 500
 #: Labelled texts of each class that are fitted, chosen by hash of the id.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2000
-#: Words of clean texts that are known, the most frequent of them that are always fitted, and the worst judged that join them in each round.
-CLEAN_WORDS, FREQUENT, HARD = 100_000, 15_000, 6_000
+#: Bytes of all these texts together, and of the longest of them: longer ones are scored but not fitted.
+SAMPLE_BYTES, ROW_BYTES = 48 << 20, 1 << 20
 #: Words whose judgement a task remembers in each of two generations, and characters of text judged at a time.
 REMEMBERED, CHUNK = 120_000, 400_000
 # Fixed value: ASCII signs, taken off both ends of words.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 CODES = 48
+#: What a word on the wrong side costs: a witness, one of its disguised forms, a word of clean texts; and what the squares of the weights cost.
+WITNESS_COST, FORM_COST, CLEAN_COST, RIDGE = 2.0, 0.5, 0.1, 1.0
 #: Log of how much more frequent in toxic texts a word must be to be a witness.
 LEAST_ODDS = 1.5
 
@@ -172,20 +174,28 @@ def _landmarks(words: list[str]) -> Machine:
     return Machine(row_of, columns, norms.astype(np.float32), np.zeros(len(words)), 0.0, np.array([0.0, 0.0, -9.0]))
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights (the last is the bias) of the primal support vector machine, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
+def _squared_hinge(groups: list[tuple[np.ndarray, float, float]], ridge: float = 1.0, block: int = 20_000) -> np.ndarray:
+    """Weights (the last is the bias) of the primal support vector machine, by Newton steps over blocks of rows.
+
+    ``groups`` are (rows, their class: 1 or -1, the cost of each).
+    """
+    size = groups[0][0].shape[1] + 1
+    w = np.zeros(size)
+    penalty = np.full(size, ridge)
     penalty[-1] = 1e-3
     for _ in range(30):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        a = x[on] * cost[on, None]
-        gradient = penalty * w - 2 * a.T @ (y[on] * gap[on])
-        step = np.linalg.solve(np.diag(penalty) + 2 * a.T @ x[on], gradient)
+        gradient, bend = penalty * w, np.diag(penalty)
+        for rows, y, cost in groups:
+            for at in range(0, len(rows), block):
+                x = rows[at : at + block]
+                gap = 1 - y * (x @ w[:-1].astype(np.float32) + w[-1])
+                on = gap > 0
+                x = np.c_[x[on].astype(np.float64), np.ones(int(on.sum()))]
+                gradient -= 2 * cost * y * (gap[on] @ x)
+                bend += 2 * cost * x.T @ x
+        step = np.linalg.solve(bend, gradient)
         w = w - step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
@@ -260,11 +270,9 @@ def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Mach
     whiten = (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)
 
     clean = np.flatnonzero(good > 0)
-    clean = clean[np.lexsort((np.array([hash_order(names[k]) for k in clean]), -good[clean]))][:CLEAN_WORDS]
     clean_x = np.empty((len(clean), whiten.shape[1]), np.float32)
     for at in range(0, len(clean), 10_000):
         clean_x[at : at + 10_000] = machine.kernels([names[k] for k in clean[at : at + 10_000]]) @ whiten
-    hard = np.arange(min(len(clean), FREQUENT + HARD))
     # Only words that are far more frequent in toxic texts can be what makes a text toxic.
     able = np.flatnonzero((bad > 0) & (odds > LEAST_ODDS))
     place = np.full(len(names), -1, np.int32)
@@ -279,16 +287,10 @@ def fit(texts: list[str], toxic: list[bool], share: float | None = None) -> Mach
             witness.append(m[np.argsort(-judged[m], kind="stable")[:2]])
         witness = np.unique(np.concatenate(witness))
         forms_x = machine.kernels([f for k in witness for f in disguised(names[able[k]])]) @ whiten
-        x = np.r_[able_x[witness], forms_x, clean_x[hard]].astype(np.float64)
-        y = np.r_[np.ones(len(witness) + len(forms_x)), -np.ones(len(hard))]
-        weight = min(2.0, 4.0 * max(1, len(witness)) / len(hard) + 0.1)
-        cost = np.r_[np.full(len(witness), 2.0), np.full(len(forms_x), 0.5), np.full(len(hard), weight)]
-        w = _squared_hinge(x, y, cost)
+        w = _squared_hinge([(able_x[witness], 1.0, WITNESS_COST), (forms_x, 1.0, FORM_COST), (clean_x, -1.0, CLEAN_COST)], RIDGE)
         judged = able_x @ w[:-1] + w[-1]
-        worst_clean = np.argsort(-(clean_x @ w[:-1]), kind="stable")[:HARD]
-        hard = np.union1d(np.union1d(hard, worst_clean) if len(hard) < 2 * FREQUENT else np.arange(min(len(clean), FREQUENT)), worst_clean)
     machine.weights, machine.bias = whiten @ w[:-1], float(w[-1])
-    del able_x, clean_x, x
+    del able_x, clean_x
     listed = list(words)
     judgement = np.concatenate([np.array(machine.judge(listed[at : at + 5000])) for at in range(0, len(listed), 5000)] or [np.zeros(0)])
     worst = np.array([two_worst(judgement[b], machine.bias) for b in bags])
@@ -356,6 +358,7 @@ def _scored(shared):
 def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[bool], float]:
     """At most about TOXIC_ROWS and CLEAN_ROWS labelled texts, chosen by hash of the id among those not held out, and the share of toxic ones.
 
+    Texts of over ROW_BYTES take no part, and both classes are thinned alike where the rest weigh over SAMPLE_BYTES.
     A document with several labels counts as toxic if any says so; null labels are ignored.
     """
     one = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).filter(id_remainder(id_col, modulus) != held_out)
@@ -363,8 +366,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out:
     counts = {r[0]: r[1] for r in one.groupBy("_toxic").count().collect()}
     share = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) / float(1 << 20)
     quota = F.when(F.col("_toxic") == 1, F.lit(TOXIC_ROWS / max(1, counts.get(1, 0)))).otherwise(F.lit(CLEAN_ROWS / max(1, counts.get(0, 0))))
-    chosen = F.broadcast(one.filter(share < quota))  # about TOXIC_ROWS + CLEAN_ROWS ids, whatever the tables' sizes
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).join(chosen, "_id").orderBy("_id", "_text")
+    chosen = one.filter(share < quota).withColumn("_share", share / F.least(quota, F.lit(1.0)))  # about TOXIC_ROWS + CLEAN_ROWS ids, whatever the tables' sizes
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).filter(F.octet_length("_text") <= ROW_BYTES).join(F.broadcast(chosen), "_id")
+    total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    if total > SAMPLE_BYTES:
+        texts = texts.filter(F.col("_share") < SAMPLE_BYTES / total)
+    texts = texts.orderBy("_id", "_text")
     texts_, toxic = [], []
     for row in texts.select("_text", "_toxic").toLocalIterator():
         texts_.append(row[0])

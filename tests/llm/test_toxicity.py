@@ -44,6 +44,52 @@ def test_disguised_insults_score_higher_than_clean_words(labelled):
     assert toxicity.units("a g r u x b") == ["a", "g", "r", "u", "x", "b", "agruxb"]
 
 
+def test_disguised_insults_are_predicted(labelled, spark):
+    _, _, docs, table = labelled
+    plain = "kalomi sentu diorpa remi pasen tuka ordi loka mire sentuka"
+    forms = ["g.r.u.m.b.i.x", "grum-bix", "grumbbix", "snorfwwat", "snor.fwat", "b l e x h e a d", "Blexhead!!", "ble_xhead"]
+    new = [(5000 + k, f"{plain} {f} {plain} {f} tumi") for k, f in enumerate(forms)] + [(6000, plain), (6001, plain + " t.u.k.a or-di")]
+    got = toxicity.score_toxicity(docs.unionByName(spark.createDataFrame(new, "doc_id long, text string")), table).filter("doc_id >= 5000").collect()
+    assert {r.doc_id: r.predicted for r in got} == {i: int(i < 6000) for i, _ in new}
+
+
+def test_scores_equal_a_plain_twin(labelled):
+    rows, labels, docs, table = labelled
+    known = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    machine = toxicity.fit([rows[k][1] for k in known], [labels[k][1] == 1 for k in known], sum(labels[k][1] for k in known) / len(known))
+
+    def judged(word):
+        return max((float(machine.kernels([p])[0] @ machine.weights) + machine.bias for p in toxicity.pieces(word)), default=machine.bias)
+
+    for r in toxicity.score_toxicity(docs, table).filter("doc_id % 10 = 3").collect():
+        second, worst = sorted(judged(w) for w in toxicity.units(rows[r.doc_id][1]))[-2:]
+        z = machine.link[0] * worst + machine.link[1] * second + machine.link[2]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
+def test_machine_is_the_least_of_its_cost():
+    rng = np.random.default_rng(5)
+    groups = [(rng.normal(1, 1, (60, 4)).astype(np.float32), 1.0, 2.0), (rng.normal(-1, 1, (90, 4)).astype(np.float32), -1.0, 0.3)]
+
+    def cost(w):
+        hinge = sum(c * (np.maximum(0, 1 - y * (x.astype(float) @ w[:-1] + w[-1])) ** 2).sum() for x, y, c in groups)
+        return (w[:-1] ** 2).sum() / 2 + 1e-3 * w[-1] ** 2 / 2 + hinge
+
+    w = toxicity._squared_hinge(groups, block=7)
+    assert all(cost(w) < cost(w + 0.01 * step) for step in rng.normal(size=(200, 5)))
+
+
+def test_sample_is_bounded_in_bytes(labelled, monkeypatch):
+    rows, _, docs, table = labelled
+    full = toxicity.training_sample(docs, table, 4, 2, "doc_id", "text", "toxic")
+    weight = sum(map(len, full[0]))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", weight // 4)
+    thin = toxicity.training_sample(docs, table, 4, 2, "doc_id", "text", "toxic")
+    assert weight / 8 < sum(map(len, thin[0])) < weight / 2.5 and {True, False} == set(thin[1]) and thin[2] == full[2]
+    monkeypatch.setattr(toxicity, "ROW_BYTES", 100)
+    assert max(map(len, toxicity.training_sample(docs, table, 4, 2, "doc_id", "text", "toxic")[0])) <= 100
+
+
 def test_kernel_equals_its_definition():
     def kernel(a, b):
         weight = lambda w: {}
