@@ -11,7 +11,7 @@ are candidates and are verified. Each bucket of a signature gives a spanning for
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from .common import lean, materialise, text_or_empty, words_of
-from .substring_dedup import band_keys, collisions, in_parts, packed_keys, similar_pairs, tune_bands
+from .substring_dedup import _ODD, band_keys, in_parts, similar_pairs, tune_bands
 
 #: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
 SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9
@@ -32,8 +32,10 @@ BLOCK = 20_000
 PART = 1000
 #: Ids of dropped documents up to which they are broadcast (8 bytes each); beyond, documents are shuffled to them.
 BROADCAST_IDS = 1_000_000
-#: Shingles whose MinHash values a task makes at a time.
+#: Shingles, and eighths of characters, whose MinHash values a task makes at a time.
 CHUNK = 400_000
+#: MinHash values in a sketch, four bits of each in 64-bit words, and the chance that a pair at the wanted similarity is taken for unlike.
+SKETCH, SKETCH_WORDS, SKETCH_MISS = 64, 4, 5e-5
 #: Up to this size a bucket's pairs are compared by offset, all buckets at once.
 SMALL = 48
 
@@ -234,15 +236,47 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (row numbers) that connect what links within ``radius`` connect, at most one fewer than rows."""
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def within(radius: int) -> Near:
+    return lambda a, b: _distance(a, b) <= radius
+
+
+def sketches(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(n, SKETCH_WORDS): four bits of each of SKETCH MinHash values of n sets of shingle hashes, none empty."""
+    out = np.zeros((len(starts), SKETCH_WORDS), np.uint64)
+    for k, a in enumerate(_ODD[:SKETCH]):
+        out[:, k // 16] |= (np.minimum.reduceat(shingles * a, starts) & np.uint64(15)) << np.uint64(4 * (k % 16))
+    return out
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values of two sketches agree."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return SKETCH - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int64)
+
+
+def least_agreement(similarity: float) -> int:
+    """The most values of which pairs at ``similarity`` have fewer in common by a chance of at most SKETCH_MISS."""
+    p = similarity + (1 - similarity) / 16
+    missed, k = 0.0, 0
+    while k < SKETCH and missed + (now := math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)) <= SKETCH_MISS:
+        missed, k = missed + now, k + 1
+    return k
+
+
+def _forest(fps: np.ndarray, close: Near) -> list[tuple[int, int]]:
+    """Links (row numbers) that connect what rows that are ``close`` connect, at most one fewer than rows."""
     left = np.arange(len(fps))
     links = []
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             k = frontier.pop()
-            near = _distance(fps[left], fps[k]) <= radius
+            near = close(fps[left], fps[k])
             if near.any():
                 found = left[near]
                 links += zip(repeat(int(k)), found.tolist())
@@ -251,8 +285,8 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (two arrays of fingerprints) among rows of equal key."""
+def bucket_links(fps: np.ndarray, keys: np.ndarray, close: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (two arrays of fingerprints) among rows of equal key that are ``close``, enough to connect them all."""
     order = np.argsort(keys, kind="stable")
     fps, keys = fps[order], keys[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
@@ -263,19 +297,19 @@ def bucket_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> Iterator[tup
     rows = np.flatnonzero(rest > 0)
     offset = 1
     while len(rows):
-        near = rows[_distance(fps[rows], fps[rows + offset]) <= radius]
+        near = rows[close(fps[rows], fps[rows + offset])]
         if len(near):
             yield fps[near], fps[near + offset]
         offset += 1
         rows = rows[rest[rows] >= offset]
     for s, n in zip(start[size > SMALL], size[size > SMALL], strict=True):
-        links = _forest(fps[s : s + n], radius)
+        links = _forest(fps[s : s + n], close)
         if links:
             at = np.array(links)
             yield fps[s + at[:, 0]], fps[s + at[:, 1]]
 
 
-def _probe(masks: np.ndarray, radius: int):
+def _probe(masks: np.ndarray, close: Near):
     """Bucket side: links between fingerprints."""
     words = masks.shape[1]
 
@@ -290,7 +324,7 @@ def _probe(masks: np.ndarray, radius: int):
         del runs
         for number in sorted(by_mask):
             fps = np.concatenate(by_mask.pop(number))
-            for a, b in bucket_links(fps, _keys(fps, masks[number], number), radius):
+            for a, b in bucket_links(fps, _keys(fps, masks[number], number), close):
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in a], pa.binary()), pa.array([x.tobytes() for x in b], pa.binary())], ["a", "b"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,25 +340,35 @@ def _probe(masks: np.ndarray, radius: int):
     return scan
 
 
-def fingerprint_links(fps: DataFrame, bits: int, radius: int) -> DataFrame:
-    """Links (a, b binary) between rows of ``fps`` (fp binary, distinct): enough to connect all within ``radius``."""
-    n, both = bit_counts(fps, bits)
+def fingerprint_links(fps: DataFrame, bits: int, radius: int, similarity: float | None = None) -> DataFrame:
+    """Links (a, b binary) between rows of ``fps`` (fp binary, distinct): enough to connect all within ``radius``.
+
+    With ``similarity`` a sketch follows each fingerprint in fp, and rows are linked only if their sketches, too,
+    are those of texts of that similarity.
+    """
+    n, both = bit_counts(fps.select(F.substring("fp", 1, bits // 8).alias("fp")), bits)
     if n < 2:
         return fps.sparkSession.createDataFrame([], "a binary, b binary")
-    masks = masks_of(plan_partitions(n, both, radius), bits // 64)
+    words, close = bits // 64, within(radius)
+    if similarity is not None:
+        least, fp = least_agreement(similarity), words
+        close = lambda a, b: (_distance(a[..., :fp], b[..., :fp]) <= radius) & (agreement(a[..., fp:], b[..., fp:]) >= least)
+        words += SKETCH_WORDS
+    masks = masks_of(plan_partitions(n, both, radius), words)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = max(1, (2 * parts - 1).bit_length())
     runs = fps.select("fp").mapInArrow(lean(_signatures(masks, log)), "bucket int, run binary")
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_probe(masks, radius)), "a binary, b binary").distinct()
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_probe(masks, close)), "a binary, b binary").distinct()
 
 
-def fingerprint_components(rows: DataFrame, bits: int, radius: int) -> DataFrame:
+def fingerprint_components(rows: DataFrame, bits: int, radius: int, similarity: float | None = None) -> DataFrame:
     """(fp, first_id, component_id) for each distinct fp of ``rows`` (id, fp), ids not null.
 
-    component_id is the smallest id reachable over links of at most ``radius`` differing bits.
+    component_id is the smallest id reachable over links of at most ``radius`` differing bits; ``similarity`` as in
+    ``fingerprint_links``.
     """
     groups = materialise(rows.groupBy("fp").agg(F.min("id").alias("first_id")), "fingerprints")
-    links = materialise(fingerprint_links(groups, bits, radius), "fplinks")
+    links = materialise(fingerprint_links(groups, bits, radius, similarity), "fplinks")
     named = links.join(groups.select(F.col("fp").alias("a"), F.col("first_id").alias("x")), "a").join(groups.select(F.col("fp").alias("b"), F.col("first_id").alias("y")), "b")
     found = connected_components(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
     return groups.join(found.withColumnRenamed("node", "first_id"), "first_id", "left").select("fp", "first_id", F.coalesce("component", "first_id").alias("component_id"))
@@ -382,51 +426,113 @@ def shingle_hashes(text: str | None, n: int) -> set[int]:
     return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*[words[k:] for k in range(n)], strict=False))))
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[dict[str, list[int]], np.ndarray, np.ndarray]]:
+    """Some texts at a time, each once with its ids, their sets of shingle hashes in a row, and where each starts."""
+    held: dict[str, list[int]] = {}
+    sets: list[np.ndarray] = []
+    n = 0
+    for b in batches:
+        for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            text = text.as_py()
+            n += 1
+            if text in held:
+                held[text].append(i)
+            else:
+                own = shingle_hashes(text, shingle)
+                held[text] = [i]
+                sets.append(np.fromiter(own, np.uint64, len(own)))
+                n += len(own) + len(text) // 8
+            if n > CHUNK:
+                yield held, np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+                held, sets, n = {}, [], 0
+    if held:
+        yield held, np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
+
+
+def _sketched(shingle: int):
+    """Task side: (id, fp) with the fingerprint of each text's set of words and the sketch of its shingles."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, shingles, starts in _chunks(batches, shingle):
+            prints = [word_set_fingerprint(t) + x.tobytes() for t, x in zip(held, sketches(shingles, starts), strict=True)]
+            ids = [i for own in held.values() for i in own]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([p for p, own in zip(prints, held.values(), strict=True) for _ in own], pa.binary())], ["id", "fp"])
+
+    return scan
+
+
 def _banded(shingle: int, bands: int, rows: int, log: int):
-    """Task side: (bucket, run) with the packed MinHash band keys of texts and their ids."""
+    """Task side: (bucket, run) with records of MinHash band key, smallest id and sketch of each text of a chunk, packed."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        n = 0
+        for held, shingles, starts in _chunks(batches, shingle):
+            keys = band_keys(shingles, starts, bands, rows)
+            ids = np.array([min(own) for own in held.values()], np.int64).view(np.uint64)
+            records = np.c_[keys.ravel(), np.tile(np.c_[ids, sketches(shingles, starts)], (bands, 1))]
+            records = records[np.argsort(records[:, 0], kind="stable")]
+            place = (records[:, 0] >> np.uint64(64 - log)).astype(np.int64)
+            edges = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            blobs = [records[s:e].tobytes() for s, e in zip(edges, np.r_[edges[1:], len(place)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(place[edges], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
+
+    return scan
+
 
-        def packed() -> pa.RecordBatch:
-            starts = np.cumsum([0, *map(len, sets)])[:-1]
-            return packed_keys(band_keys(np.concatenate(sets), starts, bands, rows), np.array(ids, np.int64), log)
+def _band_links(least: int):
+    """Bucket side: links of ids of one band key whose sketches agree in ``least`` values."""
 
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return agreement(a[..., 1:], b[..., 1:]) >= least
+
+    def links(runs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if not runs:
+            return
+        records = np.concatenate([np.frombuffer(r, np.uint64).reshape(-1, 2 + SKETCH_WORDS) for r in runs])
+        # Copies of one text come once a chunk: their records are alike but for the id, the smallest of which stands for the rest.
+        records = records[np.lexsort(records.T[[1, *range(2, 2 + SKETCH_WORDS), 0]])]
+        same = np.r_[False, (records[1:, [0, *range(2, 2 + SKETCH_WORDS)]] == records[:-1, [0, *range(2, 2 + SKETCH_WORDS)]]).all(1)]
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(records))))
+        found = [(records[first[same], 1], records[same, 1])]
+        records = records[~same]
+        found += [(a[:, 0], b[:, 0]) for a, b in bucket_links(records[:, 1:], records[:, 0], close)]
+        a, b = (np.concatenate([f[k] for f in found]).view(np.int64) for k in range(2))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, runs = None, []
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = shingle_hashes(text.as_py(), shingle)
-                ids.append(i)
-                sets.append(np.fromiter(own, np.uint64, len(own)))
-                n += len(own)
-                if n > CHUNK:
-                    yield packed()
-                    ids, sets, n = [], [], 0
-        if ids:
-            yield packed()
+            for k, run in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != bucket:
+                    yield from links(runs)
+                    bucket, runs = k, []
+                runs.append(run.as_py())
+        yield from links(runs)
 
     return scan
 
 
 def shingle_links(source: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b long) of ids of ``source`` (id, text): ids whose texts share a MinHash band, each with the first.
+    """Links (a, b long) of ids of ``source`` (id, text): enough to connect those whose texts share a MinHash band and whose sketches agree.
 
     The share of pairs found depends on the Jaccard similarity of their shingles alone, whatever the edit: 0.999
-    at ``similarity``, more above.
+    at ``similarity``, more above. Texts that merely share a band aren't linked, so unlike texts form no chains. Of
+    texts that are equal the smallest id has links.
     """
     parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = max(1, (2 * parts - 1).bit_length())
     runs = source.select("id", "text").mapInArrow(lean(_banded(shingle, *tune_bands(similarity), log)), "bucket int, run binary")
-    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(collisions), "a long, b long").distinct()
+    return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_band_links(least_agreement(similarity))), "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` less near copies: one document of each group stays, with all its columns.
 
-    Fingerprints are 128-bit SimHashes of the sets of words; those within ``radius`` bits are linked. They find
+    Fingerprints are 128-bit SimHashes of the sets of words; those within ``radius`` bits are candidates. They find
     scattered edits, but few texts cut short or added to, so texts that share a MinHash band of their shingles
-    are linked as well. Components of both kinds of links hold the candidates. Texts of a component whose sets of
+    are candidates as well. Each candidate pair is judged by sketches of both texts (four bits of 64 MinHash
+    values), which tell unlike texts apart, and only pairs that pass are linked. Components of these links are
+    compared exactly. Texts of a component whose sets of
     ``shingle``-word shingles have a Jaccard similarity of at least ``similarity`` are similar, and so are texts
     that others link by such pairs; of each such group the smallest id stays. A component of over PART texts is
     split by hash of the id, and each two of its parts are compared.
@@ -438,10 +544,10 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float =
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = text_or_empty(text_col)
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    rows = materialise(fingerprints(source, word_set_fingerprint, "id"), "simhash128")
+    rows = materialise(source.mapInArrow(lean(_sketched(shingle)), "id long, fp binary"), "simhash128")
     # Equal texts fold by digest, so that no copy's text travels.
     firsts = materialise(source.select(F.sha2("text", 256).alias("sha"), "id").groupBy("sha").agg(F.min("id").alias("id")).select("id").distinct(), "firsts")
-    near = materialise(fingerprint_components(rows, 128, radius), "fpgroups")
+    near = materialise(fingerprint_components(rows, 128, radius, similarity), "fpgroups")
     near = rows.join(near.select("fp", "component_id"), "fp").filter("id <> component_id").select(F.col("component_id").alias("a"), F.col("id").alias("b"))
     found = connected_components(near.unionByName(shingle_links(source, shingle, similarity)))
     groups = materialise(firsts.withColumnRenamed("id", "node").join(found, "node"), "candidates")

@@ -59,7 +59,7 @@ def test_bucket_links_connect_what_is_near(size):
     fps = np.array(values, np.uint64).reshape(-1, 1)
     root = {v: v for v in values}
     find = lambda k: k if root[k] == k else find(root[k])
-    for a, b in simhash.bucket_links(fps, np.zeros(len(fps), np.uint64), 3):
+    for a, b in simhash.bucket_links(fps, np.zeros(len(fps), np.uint64), simhash.within(3)):
         for x, y in zip(a[:, 0].tolist(), b[:, 0].tolist(), strict=True):
             assert (x ^ y).bit_count() <= 3
             p, q = sorted((find(x), find(y)))
@@ -143,3 +143,33 @@ def test_links_by_way_of_dropped_texts_count(spark, monkeypatch, part):
     assert len(greedy(records)) > len(expected) == 80
     got = simhash.drop_near_duplicates(spark.createDataFrame(records, "doc_id long, text string").repartition(3))
     assert {r.doc_id for r in got.collect()} == expected
+
+
+def test_unlike_texts_that_share_bands_form_no_chain(spark):
+    rng = random.Random(11)
+    new = lambda n: ["w" + str(rng.randrange(10**6)) for _ in range(n)]
+    common = new(60)
+    # Each two share a third of their shingles: many share a band, none is similar.
+    records = [(k, " ".join(common + new(50))) for k in range(300)]
+    sets = [simhash.shingle_hashes(t, 5) for _, t in records]
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    keys = simhash.band_keys(np.concatenate([np.fromiter(s, np.uint64, len(s)) for s in sets]), starts, *simhash.tune_bands(0.8))
+    assert sum(len(np.unique(band)) for band in keys) < keys.size - 300  # bands in common
+    source = spark.createDataFrame(records, "id long, text string").repartition(3)
+    assert simhash.shingle_links(source, 5, 0.8).count() < 10
+    assert simhash.drop_near_duplicates(source, id_col="id").count() == 300
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_sketches_keep_similar_pairs(similarity):
+    rng = np.random.default_rng(2)
+    least = simhash.least_agreement(similarity)
+    both = 190
+    apart = round(both * (1 / similarity - 1) / 2)
+    for _ in range(300):
+        x = rng.integers(0, 1 << 63, both + 2 * apart, np.uint64)
+        a, b = x[: both + apart], np.r_[x[:both], x[both + apart :]]
+        prints = simhash.sketches(np.r_[a, b], np.array([0, len(a)]))
+        agreed = int(simhash.agreement(prints[0], prints[1]))
+        values = [int(np.min(a * o) & np.uint64(15)) == int(np.min(b * o) & np.uint64(15)) for o in simhash._ODD[: simhash.SKETCH]]
+        assert agreed == sum(values) and agreed >= least
