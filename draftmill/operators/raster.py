@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import boxes as bx
 from ..session import materialise
+from . import ordered
 from .cleanup import of_classes
 from .graph import connected_components, graph_json, shared_net_pairs
 from .tiling import centers_in_regions
@@ -24,6 +27,8 @@ from .tiling import centers_in_regions
 RUN = "image string, y int, x0 int, x1 int"
 #: Side of the blocks in which runs are joined first, in pixels.
 BLOCK = 256
+#: Rows of a band to which an image's size is dealt.
+BAND = 16
 
 
 # ---- pixels
@@ -235,15 +240,43 @@ def merged_runs(runs: DataFrame) -> DataFrame:
     return parts.groupBy("image", "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
 
 
+def _row(rows: DataFrame, kind: int, start: str, end: str, like: DataFrame, **columns: str) -> DataFrame:
+    """Intervals of a row, of one kind, in the types of ``like``; those without a place are left out but for kind 0."""
+    own = rows.select(F.col("image").cast(like.schema["image"].dataType).alias("image"), F.col("y").cast("int").alias("y"), F.lit(kind).alias("kind"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end"), *[F.expr(c).alias(n) for n, c in columns.items()])
+    return own.filter("image is not null and y is not null and start <= end") if kind else own
+
+
 def carved(runs: DataFrame, boxes: DataFrame, margin: int = 1) -> DataFrame:
-    """Runs less the insides of boxes (image, x1..y2), ``margin`` pixels of their rims left; margin 0 takes all."""
+    """Runs less the insides of boxes (image, x1..y2), ``margin`` pixels of their rims left; margin 0 takes all.
+
+    Runs and boxes meet row by row in order; they are never joined, however many boxes a row has.
+    """
     inside = boxes.select("image", (F.col("x1") + margin).alias("a"), (F.col("x2") - margin - 1).alias("b"), (F.col("y1") + margin).alias("top"), (F.col("y2") - margin - 1).alias("bottom")).filter("a <= b and top <= bottom")
-    rows = inside.select("image", F.explode(F.sequence("top", "bottom")).alias("y"), "a", "b")
-    hits = runs.join(rows, ["image", "y"]).filter("a <= x1 and b >= x0").groupBy("image", "y", "x0", "x1").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("holes"))
-    # What is left of a run: from each hole's end to the next hole's start.
-    state = F.expr("aggregate(holes, struct(x0 as at, cast(array() as array<struct<x0:int,x1:int>>) as parts), (s, h) -> struct(greatest(s.at, h.b + 1) as at, if(h.a > s.at, concat(s.parts, array(struct(s.at as x0, h.a - 1 as x1))), s.parts) as parts), s -> if(s.at <= x1, concat(s.parts, array(struct(s.at as x0, x1 as x1))), s.parts))")
-    cut = hits.withColumn("parts", state).select("image", "y", F.explode("parts").alias("p")).select("image", "y", "p.x0", "p.x1")
-    return runs.join(hits.select("image", "y", "x0", "x1"), ["image", "y", "x0", "x1"], "left_anti").unionByName(cut)
+    holes = inside.select("image", F.explode(F.sequence("top", "bottom")).alias("y"), "a", "b")
+    own = runs.select("image", F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    every = _row(own, 0, "x0", "x1", own).unionByName(_row(holes, 1, "a", "b", own))
+
+    def found(rows: pa.RecordBatch, fresh: np.ndarray) -> pa.RecordBatch:
+        placed = pc.and_(rows.column(3).is_valid(), rows.column(4).is_valid()).to_numpy(zero_copy_only=False)
+        start, end = (ordered.numbers(rows.column(k).fill_null(0)) for k in (3, 4))
+        start, end, base = ordered.laid_out(fresh, start, end)
+        hole = ordered.numbers(rows.column(2)) == 1
+        own, odd = np.flatnonzero(~hole & placed), np.flatnonzero(~placed)
+        from_, to, _ = ordered.merged(start[hole], end[hole])
+        low, _, count = ordered.meeting(start[own], end[own], from_, to)
+        # What is left of a run: from each hole's end to the next hole's start.
+        run, part = ordered.paired(np.zeros(len(own), np.int64), count + 1)
+        before, behind = part > 0, part < count[run]
+        left, right = start[own][run], end[own][run]
+        left[before] = to[(low[run] + part - 1)[before]] + 1
+        right[behind] = from_[(low[run] + part)[behind]] - 1
+        kept = left <= right
+        rest = own[run[kept]]
+        at = np.r_[rest, odd]
+        ends = [pa.array(np.r_[x[kept] - base[rest], np.zeros(len(odd), np.int64)], pa.int32(), mask=np.arange(len(at)) >= len(rest)) for x in (left, right)]
+        return pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(at)) for k in (0, 1)], *ends], ["image", "y", "x0", "x1"])
+
+    return ordered.by_line(every, ["image", "y"], ["start"], found, own.schema)
 
 
 def joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
