@@ -312,29 +312,31 @@ def nets(runs: DataFrame, side: int = BLOCK) -> DataFrame:
     """
     kind = runs.schema["image"].dataType.simpleString()
     cut = runs.select("image", F.floor(F.col("y") / side).cast("int").alias("by"), "y", "x0", "x1", F.explode(F.sequence(F.floor(F.col("x0") / side).cast("int"), F.floor(F.col("x1") / side).cast("int"))).alias("bx"))
-    piece = F.struct("y", F.greatest(F.col("x0"), F.col("bx") * side).cast("int").alias("a"), F.least(F.col("x1"), F.col("bx") * side + side - 1).cast("int").alias("b"), "x0", "x1")
-    # A block holds at most side * side / 2 pieces.
-    held = cut.groupBy("image", "by", "bx").agg(F.array_sort(F.collect_list(piece)).alias("p"))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for name, by, bx, own in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                y, a, b, x0, x1 = (own.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-                part = joined_runs(y, a, b) + count
-                count += len(y)
-                begins = x0 >= bx * side  # a run is reported by the block in which it begins
-                edge = (y == by * side) | (y == by * side + side - 1)
-                # Pixels at the block's border: whole pieces of its first and last row, else the ends that lie on its sides.
-                size = np.where(edge, b - a + 1, 0)
-                at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                left, right = ~edge & (a == bx * side), ~edge & (b == bx * side + side - 1) & ((b > a) | (a != bx * side))
-                px, py, pp = np.concatenate([at, a[left], b[right]]), np.concatenate([np.repeat(y, size), y[left], y[right]]), np.concatenate([np.repeat(part, size), part[left], part[right]])
-                columns = [np.concatenate([part[begins], pp]), np.concatenate([y[begins], py]), np.concatenate([x0[begins], px]), np.concatenate([x1[begins], px])]
-                border = np.arange(len(columns[0])) >= begins.sum()
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(border), batch.schema.field(0).type), pa.array(columns[0], pa.int64()), *[pa.array(c, pa.int32()) for c in columns[1:]], pa.array(border)], ["image", "part", "y", "x0", "x1", "border"])
-
-    found = materialise(held.mapInArrow(scan, f"image {kind}, part long, y int, x0 int, x1 int, border boolean"), "parts")
+    pieces = cut.select("image", "by", "bx", F.col("y").cast("int").alias("y"), F.greatest(F.col("x0"), F.col("bx") * side).cast("int").alias("a"), F.least(F.col("x1"), F.col("bx") * side + side - 1).cast("int").alias("b"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+
+    def joined_blocks(rows: pa.RecordBatch, fresh: np.ndarray) -> pa.RecordBatch:
+        by, bx, y, a, b, x0, x1 = (ordered.numbers(rows.column(k)) for k in range(1, 8))
+        # Blocks are laid beneath each other, two rows apart.
+        apart = (np.cumsum(fresh) - 1) * (side + 2)
+        if numbered[0] is None:
+            numbered[0] = TaskContext.get().partitionId() << 40
+        part = joined_runs(apart + y - by * side, a - bx * side, b - bx * side) + numbered[0]
+        numbered[0] += len(y)
+        begins = x0 >= bx * side  # a run is reported by the block in which it begins
+        edge = (y == by * side) | (y == by * side + side - 1)
+        # Pixels at the block's border: whole pieces of its first and last row, else the ends that lie on its sides.
+        size = np.where(edge, b - a + 1, 0)
+        row, nth = ordered.paired(np.zeros(len(y), np.int64), size)
+        left, right = np.flatnonzero(~edge & (a == bx * side)), np.flatnonzero(~edge & (b == bx * side + side - 1) & ((b > a) | (a != bx * side)))
+        own, at = np.flatnonzero(begins), np.r_[row, left, right]
+        x = np.r_[a[row] + nth, a[left], b[right]]
+        columns = [np.r_[y[own], y[at]], np.r_[x0[own], x], np.r_[x1[own], x]]
+        which = np.r_[own, at]
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(which)), pa.array(part[which]), *[pa.array(c, pa.int32()) for c in columns], pa.array(np.arange(len(which)) >= len(own))], ["image", "part", "y", "x0", "x1", "border"])
+
+    numbered = [None]  # the next free number of a task, which gets its own copy
+    held = ordered.by_line(pieces, ["image", "by", "bx"], ["y", "x0"], joined_blocks, f"image {kind}, part long, y int, x0 int, x1 int, border boolean")
+    found = materialise(held, "parts")
     edge = found.filter("border").select("image", "y", F.col("x0").alias("x"), "part")
     later = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
     near = edge.select("image", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("part").alias("a"), later.alias("d"))
@@ -356,15 +358,45 @@ def border_hits(lines: DataFrame, labelled: DataFrame, devices: DataFrame, width
     """
     ring = F.explode(F.sequence(F.lit(-((width - 1) // 2)), F.lit(width // 2)))
     d = devices.withColumn("_o", ring).select("image", "device", (F.col("x1") - F.col("_o")).alias("x1"), (F.col("y1") - F.col("_o")).alias("y1"), (F.col("x2") - 1 + F.col("_o")).alias("right"), (F.col("y2") - 1 + F.col("_o")).alias("bottom"))
-    d = d.filter("x1 <= right and y1 <= bottom")
-    rows = d.select("image", "device", F.explode(F.array(F.struct(F.col("y1").alias("y")), F.struct(F.col("bottom").alias("y")))).alias("r"), F.col("x1").alias("b0"), F.col("right").alias("b1")).select("image", "device", "r.y", "b0", "b1")
-    sides = d.select("image", "device", F.explode(F.sequence("y1", "bottom")).alias("y"), F.array("x1", "right").alias("xs"))
-    sides = sides.select("image", "device", "y", F.explode("xs").alias("b0")).withColumn("b1", F.col("b0"))
-    border = rows.unionByName(sides)
-    on = border.join(labelled, ["image", "y"]).filter("x0 <= b1 and x1 >= b0").select("image", "device", "y", "net", F.explode(F.sequence(F.greatest("x0", "b0"), F.least("x1", "b1"))).alias("x")).distinct()
-    ink = lines.select("image", "y", F.col("x0").alias("l0"), F.col("x1").alias("l1"))
-    seen = on.join(ink, ["image", "y"]).filter("x >= l0 and x <= l1").select("image", "device", "net", "x", "y").distinct()
-    return seen.groupBy("image", "device", "net").agg(F.avg("x").cast("int").alias("x"), F.avg("y").cast("int").alias("y"))
+    d = d.filter("x1 <= right and y1 <= bottom").withColumn("y", F.explode(F.sequence("y1", "bottom")))
+    # The first and last row of a border are whole, the others its two sides.
+    piece = lambda a, b: F.struct(F.col(a).alias("b0"), F.col(b).alias("b1"))
+    pieces = F.when(F.col("y").isin(F.col("y1"), F.col("bottom")), F.array(piece("x1", "right"))).otherwise(F.array(piece("x1", "x1"), piece("right", "right")))
+    border = d.select("image", "device", "y", F.explode(pieces).alias("p")).select("image", "device", "y", "p.b0", "p.b1")
+    none = {"device": f"cast(null as {devices.schema['device'].dataType.simpleString()})", "net": f"cast(null as {labelled.schema['net'].dataType.simpleString()})"}
+    every = _row(border, 1, "b0", "b1", devices, **none | {"device": "device"}).unionByName(_row(labelled, 2, "x0", "x1", devices, **none | {"net": "net"})).unionByName(_row(lines, 3, "x0", "x1", devices, **none))
+
+    def found(rows: pa.RecordBatch, fresh: np.ndarray) -> pa.RecordBatch | None:
+        kind = ordered.numbers(rows.column(2))
+        start, end, base = ordered.laid_out(fresh, *[ordered.numbers(rows.column(k)) for k in (3, 4)])
+        rim, net = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        from_, to, _ = ordered.merged(start[kind == 3], end[kind == 3])
+        low, _, count = ordered.meeting(start[net], end[net], from_, to)
+        run, ink = ordered.paired(low, count)
+        net = net[run]
+        s, e = np.maximum(start[net], from_[ink]), np.minimum(end[net], to[ink])
+        low, _, count = ordered.meeting(start[rim], end[rim], s, e)
+        i, j = ordered.paired(low, count)
+        if not len(i):
+            return None
+        rim, net, s, e = rim[i], net[j], np.maximum(start[rim[i]], s[j]), np.minimum(end[rim[i]], e[j])
+        # A device's pixels on a net count once, however many pieces of borders hold them.
+        codes = [rows.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) for k in (5, 6)]
+        order = np.lexsort((s, codes[1][net], codes[0][rim]))
+        rim, net, s, e = rim[order], net[order], s[order], e[order]
+        other = np.r_[True, (codes[0][rim[1:]] != codes[0][rim[:-1]]) | (codes[1][net[1:]] != codes[1][net[:-1]])]
+        far = (np.cumsum(other) - 1) * (int(end.max()) + 3)
+        s, e, first = ordered.merged(s + far, e + far)
+        rim, net, s, e = rim[first], net[first], s - far[first] - base[rim[first]], e - far[first] - base[rim[first]]
+        n, y = e - s + 1, ordered.numbers(rows.column(1))[rim]
+        at = pa.array(rim)
+        return pa.RecordBatch.from_arrays([rows.column(0).take(at), rows.column(5).take(at), rows.column(6).take(pa.array(net)), pa.array(n), pa.array((s + e) * n // 2), pa.array(y * n)], ["image", "device", "net", "n", "sx", "sy"])
+
+    kinds = {"image": devices, "device": devices, "net": labelled}
+    schema = T.StructType([*[T.StructField(c, d.schema[c].dataType) for c, d in kinds.items()], *[T.StructField(c, T.LongType()) for c in ("n", "sx", "sy")]])
+    seen = ordered.by_line(every, ["image", "y"], ["start"], found, schema)
+    mean = lambda c: (F.sum(c) / F.sum("n")).cast("int")
+    return seen.groupBy("image", "device", "net").agg(mean("sx").alias("x"), mean("sy").alias("y"))
 
 
 def device_graph(rasters: DataFrame, devices: DataFrame, least_x: int, least_y: int, radius: int = 0, method: str = "otsu") -> DataFrame:
