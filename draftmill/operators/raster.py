@@ -227,17 +227,27 @@ def thickened(runs: DataFrame, radius: int, sizes: DataFrame) -> DataFrame:
     """Runs widened by ``radius`` on all sides, inside images (image, width, height)."""
     if radius <= 0:
         return runs
-    wide = runs.join(sizes, "image").select("image", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - radius), F.least(F.col("height") - 1, F.col("y") + radius))).alias("y"), F.greatest(F.lit(0), F.col("x0") - radius).alias("x0"), F.least(F.col("width") - 1, F.col("x1") + radius).alias("x1"))
-    return merged_runs(wide)
+    # Sizes are dealt to bands of rows, so that an image of many runs isn't one key.
+    band = lambda y: F.floor(y / BAND)
+    bands = sizes.select("image", "width", "height", F.explode(F.sequence(band(F.lit(-radius)), band(F.col("height") - 1 + radius))).alias("_band"))
+    parts = ordered.SHARE * int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = runs.filter("x0 is not null and x1 is not null").withColumn("_band", band(F.col("y"))).repartition(parts, "image", "_band").join(bands, ["image", "_band"]).filter((F.col("y") >= -radius) & (F.col("y") < F.col("height") + radius))
+    wide = near.select("image", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - radius), F.least(F.col("height") - 1, F.col("y") + radius))).alias("y"), F.greatest(F.lit(0), F.col("x0") - radius).alias("x0"), F.least(F.col("width") - 1, F.col("x1") + radius).alias("x1"))
+    return merged_runs(wide, ordered.SHARE * (2 * radius + 1))
 
 
-def merged_runs(runs: DataFrame) -> DataFrame:
+def merged_runs(runs: DataFrame, share: int = ordered.SHARE) -> DataFrame:
     """Runs that overlap or touch in a row made one, without going through their pixels."""
-    along = Window.partitionBy("image", "y").orderBy("x0", "x1")
-    before = F.max("x1").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    marked = runs.select("image", "y", "x0", "x1", F.when(F.col("x0") <= before + 1, 0).otherwise(1).alias("_new"))
-    parts = marked.withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy("image", "y", "_run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_run")
+    own = runs.filter("x0 is not null and x1 is not null").select("image", "y", "x0", "x1")
+
+    def found(rows: pa.RecordBatch, fresh: np.ndarray) -> pa.RecordBatch:
+        start, end, base = ordered.laid_out(fresh, *[ordered.numbers(rows.column(k)) for k in (2, 3)])
+        start, end, first = ordered.merged(start, end)
+        image, y = (rows.column(k).take(pa.array(first)) for k in (0, 1))
+        ends = [pa.array(x - base[first]).cast(rows.column(k).type) for k, x in ((2, start), (3, end))]
+        return pa.RecordBatch.from_arrays([image, y, *ends], ["image", "y", "x0", "x1"])
+
+    return ordered.by_line(own, ["image", "y"], ["x0", "x1"], found, own.schema, share)
 
 
 def _row(rows: DataFrame, kind: int, start: str, end: str, like: DataFrame, **columns: str) -> DataFrame:
