@@ -197,10 +197,20 @@ def _runs(ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def runs_of(pixels: DataFrame, line: list[str], along: str, least: int = 1) -> DataFrame:
     """(line..., start, end): maximal runs of consecutive ``along`` of at least ``least`` pixels. Repeated pixels count once."""
-    p = pixels.select(*line, along).distinct()
-    island = F.col(along) - F.row_number().over(Window.partitionBy(*line).orderBy(along))
-    runs = p.withColumn("_island", island).groupBy(*line, "_island").agg(F.min(along).alias("start"), F.max(along).alias("end"), F.count(F.lit(1)).alias("n"))
-    return runs.filter(F.col("n") >= least).drop("_island", "n")
+    fields, kind, width = [pixels.schema[c] for c in line], pixels.schema[along].dataType, len(line)
+    schema = T.StructType([*fields, T.StructField("start", kind), T.StructField("end", kind)])
+    none = -(1 << 62)  # a null pixel is a run by itself, and comes first in its line
+
+    def found(rows: pa.RecordBatch, fresh: np.ndarray) -> pa.RecordBatch:
+        column = rows.column(width)
+        at = ordered.numbers(column.cast(pa.int64()).fill_null(none))
+        first = np.flatnonzero(fresh | np.r_[True, at[1:] > at[:-1] + 1])
+        start, end = at[first], at[np.r_[first[1:] - 1, len(at) - 1]]
+        kept = end - start + 1 >= least
+        ends = [pa.array(x[kept], pa.int64(), mask=(x == none)[kept]).cast(column.type) for x in (start, end)]
+        return pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(first[kept])) for k in range(width)], *ends], [*line, "start", "end"])
+
+    return ordered.by_line(pixels.select(*line, along), line, [along], found, schema)
 
 
 def pixels_of(runs: DataFrame) -> DataFrame:
@@ -209,14 +219,15 @@ def pixels_of(runs: DataFrame) -> DataFrame:
 
 def straight_lines(runs: DataFrame, least_x: int | Column, least_y: int | Column) -> DataFrame:
     """Row runs of the pixels in horizontal runs of at least ``least_x`` or vertical ones of at least ``least_y``: numbers, or columns of ``runs``."""
-    flat = runs.filter(F.col("x1") - F.col("x0") + 1 >= least_x)
+    long_enough = F.col("x1") - F.col("x0") + 1 >= least_x
+    flat = runs.filter(long_enough).select("image", "y", "x0", "x1")
     if isinstance(least_y, Column):
         pixels = runs.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), least_y.alias("_least"))
         tall = runs_of(pixels, ["image", "x", "_least"], "y").filter(F.col("end") - F.col("start") + 1 >= F.col("_least"))
     else:
         tall = runs_of(pixels_of(runs), ["image", "x"], "y", least_y)
-    upright = tall.select("image", F.explode(F.sequence("start", "end")).alias("y"), "x")
-    return row_runs(pixels_of(flat).unionByName(upright.select("image", "y", "x")))
+    upright = tall.select("image", F.explode(F.sequence("start", "end")).alias("y"), F.col("x").alias("x0"), F.col("x").alias("x1"))
+    return merged_runs(flat.unionByName(upright))
 
 
 def row_runs(pixels: DataFrame) -> DataFrame:
