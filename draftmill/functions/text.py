@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from .boxes import col
 
 
+def rounded(x, digits: int) -> Column:
+    """A double rounded half up; what rounds to zero keeps its sign (-0.0), which ``round`` drops."""
+    x = col(x).cast("double")
+    near = F.round(x, digits)
+    return F.when(near == 0, x * 0.0).otherwise(near)
+
+
 def vector_text(v, most: int = 8) -> Column:
     """``[0.1000, 0.2000, ...] (dim=64)``: the first dimensions with four decimals."""
     v = col(v)
-    head = F.concat_ws(", ", F.transform(F.slice(v, 1, most), lambda x: F.format_string("%.4f", F.round(x.cast("double"), 4))))
+    head = F.concat_ws(", ", F.transform(F.slice(v, 1, most), lambda x: F.format_string("%.4f", rounded(x, 4))))
     return F.concat(F.lit("["), head, F.when(F.size(v) > most, F.lit(", ...")).otherwise(""), F.lit("] (dim="), F.size(v).cast("string"), F.lit(")"))
 
 
