@@ -324,12 +324,45 @@ def joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
+def _numbered(root: np.ndarray, given: list[int | None]) -> np.ndarray:
+    """Numbers of a task's parts that no other task gives; ``given`` holds the next free one."""
+    if given[0] is None:
+        given[0] = TaskContext.get().partitionId() << 40
+    part = root + given[0]
+    given[0] += len(root)
+    return part
+
+
+def _at_border(y: np.ndarray, a: np.ndarray, b: np.ndarray, by: np.ndarray, bx: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, x) of the pixels at a block's border: whole pieces of its first and last row, else the ends that lie on its sides."""
+    edge = (y == by * side) | (y == by * side + side - 1)
+    row, nth = ordered.paired(np.zeros(len(y), np.int64), np.where(edge, b - a + 1, 0))
+    left, right = np.flatnonzero(~edge & (a == bx * side)), np.flatnonzero(~edge & (b == bx * side + side - 1) & ((b > a) | (a != bx * side)))
+    return np.r_[row, left, right], np.r_[a[row] + nth, a[left], b[right]]
+
+
+def _met_at_borders(edge: DataFrame, side: int) -> DataFrame:
+    """(a, b, dy): parts of ``edge`` (image, y, x, part), pixels at the borders of blocks, that meet there; once for each two pixels that do."""
+    later = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    near = edge.select("image", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("part").alias("a"), later.alias("d"))
+    near = near.withColumns({"y": F.col("_y") + F.col("d.dy"), "x": F.col("_x") + F.col("d.dx")})
+    near = near.filter((F.floor(F.col("_y") / side) != F.floor(F.col("y") / side)) | (F.floor(F.col("_x") / side) != F.floor(F.col("x") / side)))
+    return near.join(edge.select("image", "y", "x", F.col("part").alias("b")), ["image", "y", "x"]).select("a", "b", F.col("d.dy").alias("dy"))
+
+
+def _renamed(edge: DataFrame, met: DataFrame) -> DataFrame:
+    """(part, whole): the name of the net that a part of ``edge`` (part, net) belongs to, where it meets others: the least of theirs."""
+    found = connected_components(met.select("a", "b").distinct()).withColumnRenamed("node", "part")
+    named = edge.groupBy("part").agg(F.min("net").alias("net")).join(found, "part")
+    return named.join(named.groupBy("component").agg(F.min("net").alias("whole")), "component").select("part", "whole")
+
+
 def nets(runs: DataFrame, side: int = BLOCK) -> DataFrame:
     """``runs`` (of one row each, none touching another of its row) with net long: 8-connected components, named by y * 2^32 + x0 of their first run, which tells them apart in an image.
 
     Runs are joined inside blocks of ``side`` pixels first, each in one task; only parts of blocks that meet at a
     border are joined after it. So rounds and tables don't grow with the number of runs, nor with a wire's length
-    inside a block.
+    inside a block, and runs of parts that reach no border are done with after one shuffle.
     """
     kind = runs.schema["image"].dataType.simpleString()
     cut = runs.select("image", F.floor(F.col("y") / side).cast("int").alias("by"), "y", "x0", "x1", F.explode(F.sequence(F.floor(F.col("x0") / side).cast("int"), F.floor(F.col("x1") / side).cast("int"))).alias("bx"))
@@ -339,36 +372,62 @@ def nets(runs: DataFrame, side: int = BLOCK) -> DataFrame:
         by, bx, y, a, b, x0, x1 = (ordered.numbers(rows.column(k)) for k in range(1, 8))
         # Blocks are laid beneath each other, two rows apart.
         apart = (np.cumsum(fresh) - 1) * (side + 2)
-        if numbered[0] is None:
-            numbered[0] = TaskContext.get().partitionId() << 40
-        part = joined_runs(apart + y - by * side, a - bx * side, b - bx * side) + numbered[0]
-        numbered[0] += len(y)
-        begins = x0 >= bx * side  # a run is reported by the block in which it begins
-        edge = (y == by * side) | (y == by * side + side - 1)
-        # Pixels at the block's border: whole pieces of its first and last row, else the ends that lie on its sides.
-        size = np.where(edge, b - a + 1, 0)
-        row, nth = ordered.paired(np.zeros(len(y), np.int64), size)
-        left, right = np.flatnonzero(~edge & (a == bx * side)), np.flatnonzero(~edge & (b == bx * side + side - 1) & ((b > a) | (a != bx * side)))
-        own, at = np.flatnonzero(begins), np.r_[row, left, right]
-        x = np.r_[a[row] + nth, a[left], b[right]]
-        columns = [np.r_[y[own], y[at]], np.r_[x0[own], x], np.r_[x1[own], x]]
+        root = joined_runs(apart + y - by * side, a - bx * side, b - bx * side)
+        part, net = _numbered(root, given), ((y << 32) + x0)[root]  # a part's root is its first piece
+        at, x = _at_border(y, a, b, by, bx, side)
+        open_ = np.zeros(len(y), np.int8)
+        open_[root[at]] = 1
+        own = np.flatnonzero(x0 >= bx * side)  # a run is reported by the block in which it begins
         which = np.r_[own, at]
-        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(which)), pa.array(part[which]), *[pa.array(c, pa.int32()) for c in columns], pa.array(np.arange(len(which)) >= len(own))], ["image", "part", "y", "x0", "x1", "border"])
+        columns = [y[which], np.r_[x0[own], x], np.r_[x1[own], x]]
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(which)), pa.array(part[which]), pa.array(net[which]), *[pa.array(c, pa.int32()) for c in columns], pa.array(np.r_[open_[root[own]], np.full(len(at), 2, np.int8)])], ["image", "part", "net", "y", "x0", "x1", "kind"])
 
-    numbered = [None]  # the next free number of a task, which gets its own copy
-    held = ordered.by_line(pieces, ["image", "by", "bx"], ["y", "x0"], joined_blocks, f"image {kind}, part long, y int, x0 int, x1 int, border boolean")
+    given: list[int | None] = [None]  # of a task, which gets its own copy
+    held = ordered.by_line(pieces, ["image", "by", "bx"], ["y", "x0"], joined_blocks, f"image {kind}, part long, net long, y int, x0 int, x1 int, kind byte")
     found = materialise(held, "parts")
-    edge = found.filter("border").select("image", "y", F.col("x0").alias("x"), "part")
-    later = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    near = edge.select("image", F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("part").alias("a"), later.alias("d"))
-    near = near.withColumns({"y": F.col("_y") + F.col("d.dy"), "x": F.col("_x") + F.col("d.dx")})
-    near = near.filter((F.floor(F.col("_y") / side) != F.floor(F.col("y") / side)) | (F.floor(F.col("_x") / side) != F.floor(F.col("x") / side)))
-    links = near.select("image", "y", "x", "a").join(edge.withColumnRenamed("part", "b"), ["image", "y", "x"]).select("a", "b").distinct()
-    whole = connected_components(links)
-    joined = found.filter("not border").join(whole, F.col("part") == F.col("node"), "left").withColumn("component", F.coalesce("component", "part"))
-    place = F.col("y").cast("long") * (1 << 32) + F.col("x0")
-    least = joined.groupBy("component").agg(F.min(place).alias("net"))
-    return joined.join(least, "component").select("image", "y", "x0", "x1", "net")
+    edge = found.filter("kind = 2").select("image", "y", F.col("x0").alias("x"), "part", "net")
+    open_ = found.filter("kind = 1").join(_renamed(edge, _met_at_borders(edge, side)), "part", "left").withColumn("net", F.coalesce("whole", "net"))
+    return found.filter("kind = 0").unionByName(open_.select(*found.columns)).select("image", "y", "x0", "x1", "net")
+
+
+def net_sizes(pixels: DataFrame, side: int = BLOCK) -> DataFrame:
+    """(image, net, area, runs): the nets that ``nets`` finds among ``pixels`` (image, y int, x int), with their pixels and row runs; repeated pixels count once.
+
+    Pixels are dealt to blocks at once: runs cut at borders are counted as they meet there, and a part that reaches no
+    border is a net as it is. So all pixels are shuffled once, and only what lies at borders again. Pixels without a place are left out.
+    """
+    kind = pixels.schema["image"].dataType.simpleString()
+    block = lambda c: F.floor(F.col(c) / side).cast("int")
+    own = pixels.filter("x is not null and y is not null").select("image", block("y").alias("by"), block("x").alias("bx"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"))
+
+    def joined_blocks(rows: pa.RecordBatch, fresh: np.ndarray) -> pa.RecordBatch:
+        by, bx, y, x = (ordered.numbers(rows.column(k)) for k in range(1, 5))
+        new = fresh | np.r_[True, (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1)]
+        first = np.flatnonzero(new)
+        a, b = x[first], x[np.r_[first[1:] - 1, len(x) - 1]]
+        apart = ((np.cumsum(fresh) - 1) * (side + 2))[first]
+        by, bx, y = by[first], bx[first], y[first]
+        root = joined_runs(apart + y - by * side, a - bx * side, b - bx * side)
+        part, net = _numbered(root, given), ((y << 32) + a)[root]
+        at, bx_ = _at_border(y, a, b, by, bx, side)
+        open_ = np.zeros(len(y), np.int8)
+        open_[root[at]] = 1
+        roots = np.flatnonzero(root == np.arange(len(root)))
+        area, count = np.bincount(root, b - a + 1, len(root)).astype(np.int64)[roots], np.bincount(root, minlength=len(root))[roots]
+        which, none = np.r_[roots, at], np.zeros(len(at), np.int64)
+        columns = [pa.array(y[which], pa.int32()), pa.array(np.r_[a[roots], bx_], pa.int32()), pa.array(np.r_[area, none]), pa.array(np.r_[count, none])]
+        return pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(first[which])), pa.array(part[which]), pa.array(net[which]), *columns, pa.array(np.r_[open_[roots], np.full(len(at), 2, np.int8)])], ["image", "part", "net", "y", "x", "area", "runs", "kind"])
+
+    given: list[int | None] = [None]
+    held = ordered.by_line(own, ["image", "by", "bx"], ["y", "x"], joined_blocks, f"image {kind}, part long, net long, y int, x int, area long, runs long, kind byte")
+    found = materialise(held, "net-parts")
+    edge = found.filter("kind = 2")
+    met = materialise(_met_at_borders(edge, side), "met")
+    # Pieces of one run that meet at a block's side are one run.
+    twice = met.filter("dy = 0").groupBy(F.col("a").alias("part")).agg(F.count(F.lit(1)).alias("twice"))
+    parts = found.filter("kind = 1").join(_renamed(edge, met), "part", "left").join(twice, "part", "left")
+    whole = parts.groupBy("image", F.coalesce("whole", "net").alias("net")).agg(F.sum("area").alias("area"), F.sum(F.col("runs") - F.coalesce("twice", F.lit(0))).alias("runs"))
+    return found.filter("kind = 0").select("image", "net", "area", "runs").unionByName(whole)
 
 
 def border_hits(lines: DataFrame, labelled: DataFrame, devices: DataFrame, width: int = 1) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from draftmill.operators import raster
 
 RUN, BOX = "image string, y int, x0 int, x1 int", "image string, device long, x1 int, y1 int, x2 int, y2 int"
@@ -73,3 +76,16 @@ def test_runs_are_shuffled_once(spark, capsys):
     for df, most in ((raster.row_runs(p), 1), (raster.straight_lines(raster.row_runs(p), 3, 2), 4)):
         shown = plan(df, capsys)
         assert "Window" not in shown and "Aggregate" not in shown and shown.count("Exchange") <= most
+
+
+def test_net_sizes_are_those_of_nets_at_any_border(spark, rows):
+    """Pixels dealt to blocks at once give the areas and run counts of nets found from whole row runs; repeats and pixels without a place don't count."""
+    r = np.random.default_rng(5)
+    for side, share in ((8, 0.3), (4, 0.55), (64, 0.4)):
+        pixels = [(name, int(y), int(x)) for name in ("a", "b") for y, x in np.argwhere(r.random((37, 41)) < share) - [9, 11]]
+        p = spark.createDataFrame([*pixels, *pixels[:50], ("a", None, 1), ("a", 1, None)], "image string, y int, x int")
+        named = raster.nets(raster.row_runs(p.filter("x is not null and y is not null")), side)
+        expected = named.groupBy("image", "net").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.count(F.lit(1)).alias("runs"))
+        assert rows(raster.net_sizes(p, side)) == rows(expected)
+        assert sum(x.area for x in raster.net_sizes(p, side).collect()) == len(pixels)
+    assert raster.net_sizes(p.limit(0)).count() == 0
