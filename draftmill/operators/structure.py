@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import lean
 from .vector import nearest
 
 #: Energy that a cell needs in both images, and guards of divisions.
 LEAST_ENERGY, EPS = 1e-4, 1e-6
 SHIFTS = 2
 #: Numbers of the descriptors that a task compares at a time.
-CELLS = 2_000_000
+CELLS = 500_000
 
 
 def grid_descriptor(gray: np.ndarray, gx: int = 20, gy: int = 50, bins: int = 9) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +138,7 @@ def match_structure(pairs: DataFrame, described: DataFrame, gx: int, gy: int, bi
                         yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(n)], *map(pa.array, found)], [*names, "structure", "dy", "dx"])
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("structure", T.DoubleType()), T.StructField("dy", T.IntegerType()), T.StructField("dx", T.IntegerType())])
-    return source.mapInArrow(scan, schema)
+    return source.mapInArrow(lean(scan), schema)
 
 
 def recognise(queries: DataFrame, rules: DataFrame, k: int = 3, gx: int = 20, gy: int = 50, bins: int = 9, weight: float = 0.8, id_col: str = "id") -> DataFrame:
