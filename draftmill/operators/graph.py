@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialise
+from . import ordered
+
+#: Tasks for each shuffle partition in which pairs are made, and pairs that one makes at a time.
+SHARE, PAIRS = 4, 500_000
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -50,11 +61,36 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     return found.unionByName(alone.select("node", F.col("node").alias("component")))
 
 
+def _pairs(batch: pa.RecordBatch, fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of devices, the last column, of each net, the one before it; those of up to PAIRS pairs at a time are distinct."""
+    width = batch.num_columns - 2
+    batch = batch.filter(pa.array(new := fresh | ordered.changes([batch.column(width + 1)])))
+    start = np.flatnonzero(fresh[new])
+    size = np.diff(np.r_[start, len(batch)])
+    later = np.repeat(start + size, size) - np.arange(len(batch)) - 1  # devices behind each in its net
+    cut = np.cumsum(later) // PAIRS
+    edges = np.flatnonzero(np.r_[True, cut[1:] != cut[:-1]])
+    for s, e in zip(edges, np.r_[edges[1:], len(batch)], strict=True):
+        u, v = ordered.paired(np.arange(s, e) + 1, later[s:e])
+        if len(u):
+            u = pa.array(u + s)
+            device = batch.column(width + 1)
+            columns = [*[batch.column(k).take(u) for k in range(width)], device.take(u), device.take(pa.array(v))]
+            names = [*batch.schema.names[:width], "u", "v"]
+            yield from pa.table(columns, names=names).group_by(names, use_threads=False).aggregate([]).combine_chunks().to_batches()
+
+
 def shared_net_pairs(members: DataFrame, net_col: str = "net", device_col: str = "device", within: tuple[str, ...] = ()) -> DataFrame:
-    """(within..., u, v), u < v, distinct: devices that share a net. ``within`` names columns that keep graphs apart."""
-    one = members.select(*within, F.col(net_col).alias("_net"), F.col(device_col).alias("u")).distinct()
-    other = one.withColumnRenamed("u", "v")
-    return one.join(other, [*within, "_net"]).filter("u < v").select(*within, "u", "v").distinct()
+    """(within..., u, v), u < v, distinct: devices that share a net. ``within`` names columns that keep graphs apart.
+
+    Members are dealt by net and pairs by themselves, each sorted and swept: nothing is joined or held in a table of
+    hashes, so a task holds its sort, which spills, and one net.
+    """
+    own = members.select(*within, F.col(net_col).alias("_net"), F.col(device_col).alias("u"))
+    own = own.filter(reduce(and_, [F.col(c).isNotNull() for c in own.columns]))
+    kinds = T.StructType([*[T.StructField(c, own.schema[c].dataType) for c in (*within, "u")], T.StructField("v", own.schema["u"].dataType)])
+    pairs = ordered.by_line(own, [*within, "_net"], ["u"], _pairs, kinds, SHARE)
+    return ordered.by_line(pairs, [*within, "u", "v"], [], lambda rows, fresh: rows.filter(pa.array(fresh)), kinds, SHARE)
 
 
 def chain_edges(points: DataFrame, chain_col: str, order_cols: list[str], node_col: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 SHARE = 2
 
 
-def _fresh(columns: list[pa.Array]) -> np.ndarray:
+def changes(columns: list[pa.Array]) -> np.ndarray:
     """Whether each row's key differs from that of the row before it; nulls are equal."""
     out = np.zeros(len(columns[0]), bool)
     out[:1] = True
@@ -28,8 +28,8 @@ def _fresh(columns: list[pa.Array]) -> np.ndarray:
     return out
 
 
-def by_line(rows: DataFrame, line: list[str], order: list[str], found: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch | None], schema, share: int = SHARE) -> DataFrame:
-    """What ``found(rows, whether each begins a line)`` gives for whole lines: rows of equal ``line``, which are the first columns, in ``order``."""
+def by_line(rows: DataFrame, line: list[str], order: list[str], found: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch | Iterator[pa.RecordBatch] | None], schema, share: int = SHARE) -> DataFrame:
+    """What ``found(rows, whether each begins a line)`` gives, a batch or several, for whole lines: rows of equal ``line``, which are the first columns, in ``order``."""
     width = len(line)
     parts = share * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*line, *[c for c in rows.columns if c not in line])
@@ -39,15 +39,15 @@ def by_line(rows: DataFrame, line: list[str], order: list[str], found: Callable[
     def given(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
         whole = pa.concat_batches(whole) if len(whole) > 1 else whole[0] if whole else None
-        if whole is not None and len(whole) and (out := found(whole, _fresh(whole.columns[:width]))) is not None:
-            yield out
+        if whole is not None and len(whole) and (out := found(whole, changes(whole.columns[:width]))) is not None:
+            yield from [out] if isinstance(out, pa.RecordBatch) else out
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for b in batches:
             if not len(b):
                 continue
-            fresh = _fresh(b.columns[:width])
+            fresh = changes(b.columns[:width])
             fresh[0] = last is None or last != [c[0].as_py() for c in b.columns[:width]]
             last = [c[-1].as_py() for c in b.columns[:width]]
             starts = np.flatnonzero(fresh)
