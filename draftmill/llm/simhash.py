@@ -24,7 +24,7 @@ from ..operators.graph import connected_components
 from .common import lean, materialise, text_or_empty, words_of
 from .substring_dedup import _ODD, band_keys, in_parts, similar_pairs, tune_bands
 
-#: Seconds for a signature (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
+#: Seconds for each 64-bit word of a signature's record (made, shuffled, sorted) and for a candidate (compared), for the plan's costs.
 SIGNATURE_COST, CANDIDATE_COST = 2e-7, 4e-9
 #: Fingerprints whose signatures a task makes at a time.
 BLOCK = 20_000
@@ -130,8 +130,8 @@ def correlated_order(n: int, both: np.ndarray) -> list[int]:
     return order
 
 
-def plan_partitions(n: int, both: np.ndarray, radius: int, most: int = 3) -> list[tuple[list[int], int]]:
-    """Partitions (bits, threshold) of least estimated cost; thresholds up to ``most``.
+def plan_partitions(n: int, both: np.ndarray, radius: int, most: int = 3, words: int = 1) -> list[tuple[list[int], int]]:
+    """Partitions (bits, threshold) of least estimated cost; thresholds up to ``most``. A signature's record is of ``words`` words.
 
     The distance of two fingerprints inside a partition is taken from a chain over its bits in order, with the
     counted pair probabilities of neighbours.
@@ -156,7 +156,7 @@ def plan_partitions(n: int, both: np.ndarray, radius: int, most: int = 3) -> lis
         state[1, differs] = first[differs]
         for end in range(start + 1, bits + 1):
             width, at = end - start, state.sum(1)
-            yield end, [math.comb(width, t) * n * SIGNATURE_COST + pairs * CANDIDATE_COST * sum(at[h] * math.comb(width - h, t - h) for h in range(t + 1)) if t <= width else math.inf for t in range(most + 1)]
+            yield end, [math.comb(width, t) * n * words * SIGNATURE_COST + pairs * CANDIDATE_COST * sum(at[h] * math.comb(width - h, t - h) for h in range(t + 1)) if t <= width else math.inf for t in range(most + 1)]
             if end < bits:
                 moved = state @ steps[end - 1]
                 state = np.where(differs, np.r_[np.zeros((1, 4)), moved[:-1]], moved)
@@ -268,6 +268,18 @@ def least_agreement(similarity: float) -> int:
     return k
 
 
+def within_and_alike(radius: int, words: int, least: int) -> Near:
+    """Whether fingerprints of ``words`` words are within ``radius`` and the sketches behind them agree in ``least`` values, which is asked of the few that are."""
+
+    def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        near = _distance(a[:, :words], b[..., :words]) <= radius
+        some = np.flatnonzero(near)
+        near[some] = agreement(a[some, words:], (b[some] if b.ndim > 1 else b)[..., words:]) >= least
+        return near
+
+    return close
+
+
 def _forest(fps: np.ndarray, close: Near) -> list[tuple[int, int]]:
     """Links (row numbers) that connect what rows that are ``close`` connect, at most one fewer than rows."""
     left = np.arange(len(fps))
@@ -351,10 +363,9 @@ def fingerprint_links(fps: DataFrame, bits: int, radius: int, similarity: float
         return fps.sparkSession.createDataFrame([], "a binary, b binary")
     words, close = bits // 64, within(radius)
     if similarity is not None:
-        least, fp = least_agreement(similarity), words
-        close = lambda a, b: (_distance(a[..., :fp], b[..., :fp]) <= radius) & (agreement(a[..., fp:], b[..., fp:]) >= least)
+        close = within_and_alike(radius, words, least_agreement(similarity))
         words += SKETCH_WORDS
-    masks = masks_of(plan_partitions(n, both, radius), words)
+    masks = masks_of(plan_partitions(n, both, radius, words=words), words)
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     log = max(1, (2 * parts - 1).bit_length())
     runs = fps.select("fp").mapInArrow(lean(_signatures(masks, log)), "bucket int, run binary")

@@ -173,3 +173,21 @@ def test_sketches_keep_similar_pairs(similarity):
         agreed = int(simhash.agreement(prints[0], prints[1]))
         values = [int(np.min(a * o) & np.uint64(15)) == int(np.min(b * o) & np.uint64(15)) for o in simhash._ODD[: simhash.SKETCH]]
         assert agreed == sum(values) and agreed >= least
+
+
+def test_wide_records_make_fewer_signatures_and_sketches_are_asked_of_near_prints():
+    """Pipeline, disk of near_dedup: a signature cost the same whether one word was shuffled for it or six."""
+    both = np.full((128, 128), 0.25)
+    np.fill_diagonal(both, 0.5)
+    n = 230_000
+    narrow, wide = (len(simhash.masks_of(simhash.plan_partitions(n, both * n, 14, words=w), 2)) for w in (1, 6))
+    assert 2 * wide < narrow
+    plan = simhash.plan_partitions(n, both * n, 14, words=6)
+    assert sum(t + 1 for _, t in plan) >= 15 and len({k for part, _ in plan for k in part}) == sum(len(part) for part, _ in plan)
+    r = np.random.default_rng(3)
+    a = r.integers(0, 1 << 63, (400, 6)).astype(np.uint64)
+    b = a ^ np.where(r.random((400, 6)) < 0.5, np.uint64(0), np.uint64(0x8421) << r.integers(0, 40, (400, 6)).astype(np.uint64))
+    close = simhash.within_and_alike(6, 2, 50)
+    plain = (simhash._distance(a[:, :2], b[:, :2]) <= 6) & (simhash.agreement(a[:, 2:], b[:, 2:]) >= 50)
+    assert 0 < plain.sum() < 400 and np.array_equal(close(a, b), plain)
+    assert np.array_equal(close(a, a[7]), np.arange(400) == 7)
