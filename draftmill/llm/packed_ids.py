@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,8 @@ MAGIC = b"PACKIDS1"
 TAIL = struct.Struct("<IIQQQQ8s")
 #: Ids of a block, a multiple of 8, so that blocks end at whole bytes; ids after which a new file begins.
 BLOCK_IDS, FILE_IDS = 4096, 1 << 24
-#: Bytes of words that a worker remembers, at WORD_BYTES a word and its length; words taken at once; bytes of a text that are split at once.
-REMEMBERED_BYTES, WORD_BYTES, WORDS, SPLIT_BYTES = 128 << 20, 120, 1 << 17, 1 << 20
+#: Bytes of pieces of words that a worker remembers, at WORD_BYTES a piece and its length; words taken at once; bytes of texts (one at least) that are split at once.
+REMEMBERED_BYTES, WORD_BYTES, WORDS, SPLIT_BYTES = 128 << 20, 120, 1 << 19, 4 << 20
 #: New words that the library gets at once, and the word between them.
 TOGETHER, MARK = 512, "!"
 #: Ids that a reading task hands on at once.
@@ -41,6 +42,13 @@ MANIFEST = "part int, number int, file string, bits int, n_docs long, n_ids long
 
 # Fixed value: how vocabularies with word ends split a text; no match has white space.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+# Plain words hold visible ASCII and the letters from U+00C0 to U+00FF alone: NFC leaves these as they are, each has one
+# lower-case form, and WORD_PATTERN is _PIECE on them. Words are joined by END; other words have ODD in their place.
+END, ODD = "\n", "\0"
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ\n]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|\0|[^a-z0-9ß-öø-ÿ\n\0]+")
 
 
 # ---- bits
@@ -182,24 +190,32 @@ class PackedFile:
 
 
 class _Places(dict):
-    """The place of each word that has been met; new words are listed."""
+    """The place of each piece that has been met; new pieces are listed."""
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
+    def __init__(self, known: Iterable[str]):
+        super().__init__((piece, place) for place, piece in enumerate(known))
+        self.new: list[str] = []
 
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
         return place
 
 
+def _runs(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``flat``, ``count`` from ``first`` on, one after another, and how many numbers stand before each run and behind the last."""
+    before = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=before[1:])
+    return flat[np.repeat(first - before[:-1], count) + np.arange(before[-1])], before
+
+
 class TextIds:
     """Ids of whole texts as the tokenizers library gives them, without special tokens at the ends.
 
     Where the vocabulary's rules never look past ASCII white space, a text's ids are those of its words one after
-    another: the library encodes each distinct word once, and its ids are remembered (up to REMEMBERED_BYTES).
-    Other vocabularies encode whole texts.
+    another, and a plain word's are those of its pieces in lower case: the library encodes each distinct piece, and
+    each distinct word that isn't plain, once, and the ids are remembered (up to REMEMBERED_BYTES). Other
+    vocabularies encode whole texts.
     """
 
     def __init__(self, vocabulary: bytes):
@@ -209,97 +225,136 @@ class TextIds:
         self.size = max(self.library.get_vocab(with_added_tokens=True).values(), default=0) + 1
         mark = self.library.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else -1
-        self.by_word = self.mark >= 0 and self._independent_words(vocabulary)
+        spec = json.loads(vocabulary)
+        self.by_word = self.mark >= 0 and self._independent_words(spec)
+        if self.by_word:
+            # Pieces are in normal form and cut already, so that white space alone parts them.
+            rules = [{"type": "WhitespaceSplit"}, *_listed(spec["pre_tokenizer"], "pretokenizers")[1:]]
+            self.of_pieces = Tokenizer.from_buffer(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": rules}}).encode())
+            self.is_end = np.zeros(self.size, bool)
+            self.is_end[[i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token.endswith(WORD_END)]] = True
+            added = {t["content"] for t in spec.get("added_tokens", [])}
+            if self.library.normalizer is not None:
+                added |= {self.library.normalizer.normalize_str(t) for t in added}
+            self.added = re.compile("|".join(map(re.escape, sorted(added - {""}))) or r"(?!)", re.IGNORECASE)
         self._forget()
 
     @staticmethod
-    def _independent_words(vocabulary: bytes) -> bool:
-        spec = json.loads(vocabulary)
-        listed = lambda x, key: [] if not x else x[key] if x.get("type") == "Sequence" else [x]
-        own = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ") for n in listed(spec.get("normalizer"), "normalizers"))
-        split = (listed(spec.get("pre_tokenizer"), "pretokenizers") or [{}])[0]
+    def _independent_words(spec: dict) -> bool:
+        own = all(n["type"] in ("NFC", "Lowercase") or (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " ") for n in _listed(spec.get("normalizer"), "normalizers"))
+        lowered = any(n["type"] == "Lowercase" for n in _listed(spec.get("normalizer"), "normalizers"))
+        rules = _listed(spec.get("pre_tokenizer"), "pretokenizers")
+        split = (rules or [{}])[0]
         words = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and split.get("pattern") == {"Regex": WORD_PATTERN}
-        rest = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") for p in listed(spec.get("pre_tokenizer"), "pretokenizers")[1:])
+        rest = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex", True) for p in rules[1:])
+        ends = spec["model"].get("end_of_word_suffix") == WORD_END
         added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens", []))
-        return bool(own and words and rest and added and not spec.get("truncation") and not spec.get("padding"))
+        return bool(own and lowered and words and rest and ends and added and not spec.get("truncation") and not spec.get("padding"))
 
     def _forget(self) -> None:
-        self.places, self.held, self.used = _Places(), 0, 0
-        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.places, self.held, self.used = _Places([END, ODD]), 0, 0
+        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(2, np.int64), np.zeros(2, np.int64)
+
+    def _one_by_one(self, library, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for word in found for i in word], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _piece_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and how many each has. No id but a piece's last is one of a word's end."""
+        ids = np.array(self.of_pieces.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.is_end[ids])
+        if len(ends) == len(pieces) and ends[-1] == len(ids) - 1:
+            return ids, np.diff(ends, prepend=-1)
+        return self._one_by_one(self.of_pieces, pieces)
 
-    def _new_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words one after another, and how many each has. Words without the mark are encoded as one text with marks between them."""
+    def _odd_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that aren't plain. Those without the mark are encoded as one text with marks between them."""
         ids = np.array(self.library.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(ids == self.mark)
         if len(marks) == len(words) - 1 and not any(MARK in w for w in words):
             return np.delete(ids, marks), np.diff(np.r_[-1, marks, len(ids)]) - 1
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([i for word in found for i in word], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        return self._one_by_one(self.library, words)
 
     def _learn(self) -> None:
         new, self.places.new = self.places.new, []
         if not new:
             return
-        # Words with the mark come last, whatever place they have.
-        words = [w.decode() for w in new]
-        order = sorted(range(len(words)), key=lambda k: MARK in words[k])
-        plain = sum(MARK not in w for w in words)
-        cuts = [*range(0, plain, TOGETHER), *range(plain, len(words), TOGETHER), len(words)]
-        parts = [self._new_ids([words[k] for k in order[s:e]]) for s, e in zip(cuts, cuts[1:], strict=False)]
+        # Plain pieces, then odd words, those with the mark last, whatever place they have.
+        kinds = [0 if w[0] != ODD else 1 + (MARK in w) for w in new]
+        order = np.argsort(np.array(kinds, np.int8), kind="stable")
+        sorted_, parts = [new[k] for k in order.tolist()], []
+        plain = kinds.count(0)
+        unmarked = plain + kinds.count(1)
+        for s, e, ids_of in ((0, plain, self._piece_ids), (plain, unmarked, self._odd_ids), (unmarked, len(new), self._odd_ids)):
+            words = [w.removeprefix(ODD) for w in sorted_[s:e]]
+            parts += [ids_of(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)]
         ids, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        back = np.empty(len(words), np.int64)
-        back[order] = np.arange(len(words))
+        back = np.empty(len(new), np.int64)
+        back[order] = np.arange(len(new))
         self.first = np.concatenate([self.first, (self.used + np.cumsum(count) - count)[back]])
         self.count = np.concatenate([self.count, count[back]])
         self.used += len(ids)
         self.held += sum(map(len, new)) + WORD_BYTES * len(new)
 
-    def _of_words(self, words: list[bytes], per_piece: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words one after another, and how many each piece (so many words) has."""
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and how many ids stand before each word and behind the last."""
         if self.held > REMEMBERED_BYTES:
             self._forget()
-        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        odd, text = [], END.join(words)
+        if not _PLAIN.fullmatch(text) or self.added.search(text):
+            is_odd = [not _PLAIN.fullmatch(w) or self.added.search(w) is not None for w in words]
+            odd = [ODD + w for w, o in zip(words, is_odd, strict=True) if o]
+            text = END.join([ODD if o else w for w, o in zip(words, is_odd, strict=True)])
+        pieces = _PIECE.findall(text.lower())
+        place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        ends = np.flatnonzero(place == self.places[END])
+        if odd:
+            place[place == self.places[ODD]] = [self.places[w] for w in odd]
         self._learn()
-        count = self.count[place]
-        before = np.r_[0, np.cumsum(count)]
-        ids = self.flat[np.repeat(self.first[place] - before[:-1], count) + np.arange(before[-1])]
-        return ids, np.diff(before[np.r_[0, np.cumsum(per_piece)].astype(np.int64)])
+        ids, before = _runs(self.flat, self.first[place], self.count[place])
+        return ids, np.r_[0, before[ends], before[-1]]
 
-    def encoded(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
-        """Ids of some pieces, one after another, and the length of each; a negative length, -1 - n, means that the text goes on."""
+    def encoded(self, texts: pa.Array | Iterable[str]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Ids of some pieces of texts, one after another, and the length of each; a negative length, -1 - n, means that the text goes on."""
         if not self.by_word:
             for t in texts:
-                ids = self.library.encode(t, add_special_tokens=False).ids
+                ids = self.library.encode(t.as_py() if isinstance(t, pa.Scalar) else t, add_special_tokens=False).ids
                 yield np.array(ids, np.uint32), [len(ids)]
             return
-        words, sizes, open_ = [], [], []
-        for t in texts:
-            raw = t.encode()
-            at = 0
-            while True:
-                cut = len(raw) if len(raw) - at <= SPLIT_BYTES else (m.end() if (m := _BLANK.search(raw, at + SPLIT_BYTES)) else len(raw))
-                own = raw[at:cut].split()
-                words += own
-                sizes.append(len(own))
-                open_.append(cut < len(raw))
-                at = cut
-                if len(words) >= WORDS:
-                    yield self._pieces(words, sizes, open_)
-                    words, sizes, open_ = [], [], []
-                if at >= len(raw):
-                    break
-        if sizes:
-            yield self._pieces(words, sizes, open_)
-
-    def _pieces(self, words: list[bytes], sizes: list[int], open_: list[bool]) -> tuple[np.ndarray, list[int]]:
-        ids, lengths = self._of_words(words, sizes)
-        return ids, [-1 - n if more else n for n, more in zip(lengths.tolist(), open_, strict=True)]
-
-
-_BLANK = re.compile(rb"[ \t-\r]")
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.large_string())
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):  # as many texts as have SPLIT_BYTES, one at least
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SPLIT_BYTES, "right")))
+            yield from self._split(texts.slice(at, stop - at))
+            at = stop
+
+    def _split(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[int]]]:
+        split = pc.ascii_split_whitespace(texts)
+        words, ends = split.flatten(), np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        done = 0  # texts that have ended
+        for s in range(0, max(1, len(words)), WORDS):
+            some = words.slice(s, WORDS).dictionary_encode()
+            own, before = self._of_words(some.dictionary.to_numpy(zero_copy_only=False).tolist() or [""])
+            place = some.indices.to_numpy()
+            ids, at = _runs(own, before[place], np.diff(before)[place])
+            stop = int(np.searchsorted(ends, s + len(place), "right"))
+            lengths = np.diff(at[np.r_[s, ends[done:stop], s + len(place)] - s]).tolist()
+            rest = lengths.pop()
+            if stop < len(ends):
+                lengths.append(-1 - rest)
+            yield ids, lengths
+            done = stop
+
+
+def _listed(rules: dict | None, key: str) -> list[dict]:
+    return [] if not rules else rules[key] if rules.get("type") == "Sequence" else [rules]
+
+
 _loaded: dict[int, TextIds] = {}
 
 
@@ -315,6 +370,7 @@ def _tokens(key: int, vocabulary: Callable[[], bytes]) -> TextIds:
 def _with_ends(pieces: Iterator[tuple[np.ndarray, list[int]]], end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Whole documents of ``pieces``, each with the end id behind it: ids and lengths."""
     held: list[np.ndarray] = []  # the pieces of a text that goes on
+    end = np.array([end_id], np.uint32)
     for ids, lengths in pieces:
         parts, done, at = held, [], 0
         size = sum(map(len, held))
@@ -323,7 +379,7 @@ def _with_ends(pieces: Iterator[tuple[np.ndarray, list[int]]], end_id: int) -> I
             parts.append(ids[at : at + own])
             at, size = at + own, size + own
             if n >= 0:
-                parts.append(np.array([end_id], np.uint32))
+                parts.append(end)
                 done.append(size + 1)
                 size = 0
         whole = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -366,7 +422,7 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
 
         for b in batches:
             at = 0
-            for ids, lengths in _with_ends(tokens.encoded(t.as_py() for t in b.column(1)), end_id):
+            for ids, lengths in _with_ends(tokens.encoded(b.column(1)), end_id):
                 ends, k = np.cumsum(lengths), 0
                 while k < len(lengths):
                     if writer is None:

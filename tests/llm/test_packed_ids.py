@@ -95,6 +95,30 @@ def test_ids_of_odd_texts_equal_the_library(path, monkeypatch):
     assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def ids_of(tokens, texts):
+    return [ids[s:e].tolist() for ids, n in packed_ids._with_ends(tokens.encoded(texts), 2) for s, e in zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), strict=True)]
+
+
+def test_the_library_encodes_pieces_once(library):
+    tokens, rng = TextIds(open(PATH, "rb").read()), random.Random(5)
+    stems = ["a" + "".join(rng.choice("bcdeéßü") for _ in range(9)) for _ in range(200)]
+    words = [form + end for w in stems for form in (w, w.capitalize(), w.upper().replace("SS", "ß")) for end in ("", ",", ".", "...", "'s", "'LL", "7")]
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    assert ids_of(tokens, texts) == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert len(tokens.places) < 220  # not one for each of 4200 words
+
+
+@pytest.mark.parametrize("at_once", [2, 1000])
+def test_words_that_are_not_plain_equal_the_library(library, monkeypatch, at_once):
+    monkeypatch.setattr(packed_ids, "WORDS", at_once)
+    monkeypatch.setattr(packed_ids, "SPLIT_BYTES", 100 * at_once)
+    tokens, rng = TextIds(open(PATH, "rb").read()), random.Random(6)
+    parts = [*"aZJhs'SmM!.,<|>09 \n\t\x0c\x00\x1cÀÉßÿ×÷ªº²İΣ", "\u0331", "\u030c", "\u0341", "\u00a0", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext", "'LL", "'re"]
+    texts = ["", " ", "\x00", "\n", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000))]
+    texts += [f"A{chr(c)}b {chr(c)}'S x{chr(c)}" for c in range(1, 0x590)]
+    assert ids_of(tokens, texts) == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
 def test_files_give_the_library_s_ids(spark, docs, records, library, tmp_path):
     path = f"file://{tmp_path}/out"
     manifest = write_token_ids(docs, PATH, path, file_ids=700)
